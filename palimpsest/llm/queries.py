@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import byte_bpe, host_rules, pii, shard_ring, token_count
+from palimpsest.llm import byte_bpe, host_rules, ngram_join, pii, shard_ring, token_count
 from palimpsest.session import table
 
 UNIGRAM_PIECES = "piece_bpe_32k.model"
@@ -46,7 +46,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.col("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_shard_ring, op5_byte_bpe, op6_host_rules, op9_pii)}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_shard_ring, op5_byte_bpe, op6_host_rules, op9_pii, op10_ngram_join)}
 
 _OP6 = r"""
 WITH split AS (
@@ -93,4 +97,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM marked JOIN verdicts ON source IS NOT DISTINCT FROM host
 """
 
-ORACLES = {"op6_host_rules": _OP6}
+_OP10 = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i+2], ' ') AS s
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 2))) AS i FROM cut WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * o >= 90 * (p.n + q.n - o)),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS m FROM reach GROUP BY x) USING (doc_id)
+"""
+
+ORACLES = {"op6_host_rules": _OP6, "op10_ngram_join": _OP10}
