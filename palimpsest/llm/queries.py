@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import byte_bpe, host_rules, ngram_join, pii, shard_ring, token_count
+from palimpsest.llm import byte_bpe, decontam, host_rules, ngram_join, pii, shard_ring, token_count
 from palimpsest.session import table
 
 UNIGRAM_PIECES = "piece_bpe_32k.model"
@@ -28,6 +28,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer(UNIGRAM_PIECES))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), words=5, threshold=0.8)
+    return found.select("doc_id", "item_id", "n_item", "n_shared")
+
+
 def op4_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_ring.shard_ring(table(spark, sf_dir, "documents"), shards=16)
 
@@ -50,7 +55,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_shard_ring, op5_byte_bpe, op6_host_rules, op9_pii, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op4_shard_ring, op5_byte_bpe, op6_host_rules, op9_pii, op10_ngram_join)}
 
 _OP6 = r"""
 WITH split AS (
@@ -112,4 +117,20 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, c
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS m FROM reach GROUP BY x) USING (doc_id)
 """
 
-ORACLES = {"op6_host_rules": _OP6, "op10_ngram_join": _OP10}
+_OP2 = r"""
+WITH texts AS (
+  SELECT doc_id AS id, TRUE AS is_doc, text FROM documents UNION ALL SELECT item_id, FALSE, text FROM benchmark),
+cut AS (
+  SELECT id, is_doc, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-/:-@\[-`{-\x7f]+') AS words
+  FROM texts),
+shingles AS (
+  SELECT DISTINCT id, is_doc, array_to_string(words[i:i+4], ' ') AS s
+  FROM (SELECT id, is_doc, words, unnest(range(1, len(words) - 3)) AS i FROM cut)),
+sizes AS (SELECT id AS item_id, count(*) AS n_item FROM shingles WHERE NOT is_doc GROUP BY id),
+shared AS (
+  SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared
+  FROM shingles d JOIN shingles b ON d.s = b.s AND d.is_doc AND NOT b.is_doc GROUP BY 1, 2)
+SELECT doc_id, item_id, n_item, n_shared FROM shared JOIN sizes USING (item_id) WHERE 10 * n_shared >= 8 * n_item
+"""
+
+ORACLES = {"op2_decontamination": _OP2, "op6_host_rules": _OP6, "op10_ngram_join": _OP10}
