@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import byte_bpe, decontam, host_rules, ngram_join, pii, shard_ring, token_count, toxicity
+from palimpsest.llm import byte_bpe, decontam, host_rules, html_main, ngram_join, pii, shard_ring, token_count, toxicity
 from palimpsest.session import table
 
 UNIGRAM_PIECES = "piece_bpe_32k.model"
@@ -33,6 +33,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_item", "n_shared")
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract_main(table(spark, sf_dir, "pages"))
+
+
 def op4_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_ring.shard_ring(table(spark, sf_dir, "documents"), shards=16)
 
@@ -61,7 +65,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op4_shard_ring, op5_byte_bpe, op6_host_rules, op8_toxicity, op9_pii, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_main_text, op4_shard_ring, op5_byte_bpe, op6_host_rules, op8_toxicity, op9_pii, op10_ngram_join)}
 
 _OP6 = r"""
 WITH split AS (
