@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import byte_bpe, decontam, host_rules, html_main, ngram_join, pii, shard_ring, token_count, toxicity
+from palimpsest.llm import byte_bpe, decontam, host_rules, html_main, lm_score, ngram_join, pii, shard_ring, token_count, toxicity
 from palimpsest.session import table
 
 UNIGRAM_PIECES = "piece_bpe_32k.model"
@@ -50,6 +50,12 @@ def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lm_score.train(docs, table(spark, sf_dir, "labels").filter("quality = 1"))
+    return lm_score.score_documents(docs, model)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -65,7 +71,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_main_text, op4_shard_ring, op5_byte_bpe, op6_host_rules, op8_toxicity, op9_pii, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_main_text, op4_shard_ring, op5_byte_bpe, op6_host_rules, op7_lm_score, op8_toxicity, op9_pii, op10_ngram_join)}
 
 _OP6 = r"""
 WITH split AS (
