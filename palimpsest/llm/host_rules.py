@@ -110,3 +110,27 @@ def host_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: s
     """One row a document: key, host, the counters, base_failed, failed, host_rate, verdict, kept."""
     counted = durable(count_rules(docs.select(F.col(key).alias("__key"), F.col(host).alias("__source"), F.col(text)), ["__key", "__source"], text), "rules")
     return judge(counted, "__source", watch, reject).withColumnsRenamed({"__key": key, "__source": host})
+
+
+def keep(docs: DataFrame, text: str = "text", host: str = "source", watch: float = 0.02, reject: float = 0.5) -> DataFrame:
+    """The documents that host_rules() keeps, with their columns as they are.
+
+    Counters and verdicts come first, from host and text alone; then each row's own counters meet its host's verdict.
+    """
+    counted = durable(count_rules(docs, [host], text), "rules").withColumns({"base_failed": base_failed(), "failed": any_failed()})
+    verdicts = host_verdicts(counted, host, watch, reject).select(F.col("host").alias("__host"), "verdict")
+    verdicts = durable(verdicts, "hosts").withColumnRenamed("verdict", "__verdict")
+    joined = join_sized(docs, verdicts, docs[host].eqNullSafe(F.col("__host")), "left")
+    at, last = joined.columns.index(text), joined.columns.index("__verdict")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [count_chunk(c.bytes, c.offsets) for c in K.chunks(batch.column(at))]
+            if parts:
+                n, repeats, symbols, same, lines, chars = (np.concatenate([p[x] for p in parts]) for x in ("n_words", "n_repeat_words", "n_symbols", "n_dup_lines", "n_lines", "word_chars"))
+                base = (n < 10) | (100 * repeats > 20 * n)
+                failed = base | (10 * symbols > n) | (10 * same > 3 * lines) | (chars < 3 * n) | (chars > 10 * n)
+                verdict = batch.column(last).to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(~base & (verdict != "rejected") & ~((verdict == "watched") & failed)))
+
+    return joined.mapInArrow(run, joined.schema).select(*docs.columns)
