@@ -92,7 +92,7 @@ def _sieve(heads: DataFrame) -> DataFrame:
     """doc, need, head of the sets that share enough of their heads with others."""
     tokens = heads.select("doc", F.explode("head").alias("token"))
     shared = tokens.groupBy("token").count().filter("count >= 2").select("token")
-    enough = tokens.join(shared.hint("merge"), "token").groupBy("doc").count()
+    enough = durable(tokens.join(shared.hint("merge"), "token").groupBy("doc").count(), "enough")
     return durable(join_sized(heads, enough, "doc").filter("count >= need").select("doc", "need", "head"), "sieved")
 
 
@@ -213,17 +213,17 @@ def _in_blocks(sets: DataFrame, groups: DataFrame) -> DataFrame:
 
 def find_links(sets: DataFrame, percent: int) -> DataFrame:
     """a, b: links that connect what links connect, among sets (doc, tokens array<long>) with distinct tokens."""
-    tokens = sets.select("doc", F.explode("tokens").alias("token"))
+    tokens = sets.select("doc", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
     df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df >= 2")
-    shared = tokens.join(df.hint("merge"), "token").groupBy("doc").agg(F.collect_list(F.struct("token", F.col("df").cast("long").alias("df"))).alias("shared"))
-    shared = join_sized(sets.select("doc", F.size("tokens").cast("long").alias("n")), shared, "doc")
-    shared = durable(shared.filter(F.expr(f"n - size(shared) <= n - ceil({percent} * n / 100)")), "shared")
+    shared = tokens.join(df.hint("merge"), "token").groupBy("doc", "n").agg(F.collect_list(F.struct("token", "df")).alias("shared"))
+    shared = shared.withColumn("rare", F.expr("n - size(shared)")).filter(F.expr(f"rare <= n - ceil({percent} * n / 100)"))
+    shared = durable(shared, "shared")
     kind = dict(sets.dtypes)["doc"]
     signed = durable(shared.select("doc", "n", "shared").mapInArrow(_sign(percent), f"doc {kind}, sig long, indexed boolean"), "signatures")
     heads = signed.groupBy("sig").agg(F.min("doc").alias("root"), F.count(F.lit(1)).alias("docs"), F.max("indexed").alias("any")).filter("docs >= 2 AND any")
     edges = signed.join(heads.hint("merge"), "sig").filter("doc <> root").select("doc", "root").distinct()
     group = components(edges, "doc", "root")
-    members = join_sized(join_sized(sets, group.withColumnRenamed("node", "doc").withColumnRenamed("component", "group"), "doc"), shared.select("doc", F.expr("n - size(shared)").alias("rare")), "doc")
+    members = join_sized(join_sized(sets, group.withColumnRenamed("node", "doc").withColumnRenamed("component", "group"), "doc"), shared.select("doc", "rare"), "doc")
     members = durable(members.withColumn("label", F.col("doc")), "members")
     size = members.groupBy("group").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("tokens")).alias("tokens"), F.min_by("doc", F.struct("rare", "doc")).alias("centre"))
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_ROWS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).alias("blocks")

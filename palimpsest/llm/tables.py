@@ -15,5 +15,8 @@ def is_small(side: DataFrame, most: int = SMALL_ROWS) -> bool:
 
 
 def join_sized(left: DataFrame, right: DataFrame, on: Column | str | list[str], how: str = "inner", most: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast right where its row count is within `most`; else a shuffled join, whose skewed keys AQE splits."""
+    """Broadcast right where its row count is within `most`; else a shuffled join, whose skewed keys AQE splits.
+
+    right: a written table of a few numbers a row, as it is counted first and read again.
+    """
     return left.join(F.broadcast(right) if is_small(right, most) else right.hint("merge"), on, how)
