@@ -3,9 +3,9 @@
 Sets are 64-bit n-gram hashes. Copies with one set are one class from the start, so no pair of copies is
 ever made. Of the classes' representatives:
 
-1. Sieve. In the order of the hashes, two sets that link share at least k = tau + 1 of their first 2 tau + 3
-   tokens (tau: tokens that a set can lose). A set of which fewer than k such tokens stand in any other set's
-   prefix links with none and goes. The sieve runs twice, the second time among those that passed.
+1. Sieve. In the order of the hashes, two sets that link share at least k = tau // 2 + 1 of their first tau + k + 2
+   tokens (tau: tokens that a set can lose; the 2 make up for a partner of another size). A set of which fewer
+   than k such tokens stand in any other set's prefix links with none and goes. The sieve runs twice, the second time among those that passed.
 2. Index. Document frequencies are counted among the sets that passed and tokens go rare first. A rare token signs by
    itself. Frequent tokens fall by hash into small groups and sign in pairs of a group: c tokens of a group are c - 1
    units, as that many must be lost before no pair is left. The prefix runs on until its units exceed the
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm import kernels as K
 from palimpsest.llm.components import components
 from palimpsest.llm.tables import join_sized
-from palimpsest.session import durable, prepare
+from palimpsest.session import discard, durable, prepare
 
 FREQUENT = 32
 BLOCK_ROWS, BLOCK_TOKENS = 256, 1 << 20
@@ -81,7 +81,8 @@ def _digest(words: int, percent: int, whole: bool):
                 for seed in (21, 22):
                     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(K.mix(h + np.uint64(seed)), dtype=np.uint64)))
                     prints.append(pa.array((sums[starts[1:]] - sums[starts[:-1]]).view(np.int64)))
-                head = np.minimum(n, 2 * losses(n, percent)[0] + 3)
+                most = losses(n, percent)[0]
+                head = np.minimum(n, most + most // 2 + 3)
                 first = np.arange(len(h)) - starts[row] < head[row]
                 yield pa.RecordBatch.from_arrays([keys, pa.array(n), *prints, _lists(h[first], np.concatenate(([0], np.cumsum(head))))], names=["doc", "n", "print1", "print2", "head"])
 
@@ -225,6 +226,7 @@ def find_links(sets: DataFrame, percent: int) -> DataFrame:
     group = components(edges, "doc", "root")
     members = join_sized(join_sized(sets, group.withColumnRenamed("node", "doc").withColumnRenamed("component", "group"), "doc"), shared.select("doc", "rare"), "doc")
     members = durable(members.withColumn("label", F.col("doc")), "members")
+    discard(shared)
     size = members.groupBy("group").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("tokens")).alias("tokens"), F.min_by("doc", F.struct("rare", "doc")).alias("centre"))
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_ROWS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).alias("blocks")
     size = durable(size.select("group", "centre", blocks, "docs"), "groups")
@@ -269,18 +271,24 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     prepare(docs.sparkSession)
     body = docs.select(F.col(key).alias("doc"), F.col(text).alias("__text"))
     kind = body.dtypes[0][1]
-    digest = durable(body.mapInArrow(_digest(words, percent, False), f"doc {kind}, n long, print1 long, print2 long, head array<long>"), "sets")
+    heads = durable(body.mapInArrow(_digest(words, percent, False), f"doc {kind}, n long, print1 long, print2 long, head array<long>"), "heads")
     whole = ["n", "print1", "print2"]
+    digest = durable(heads.drop("head"), "sets")
     classes = durable(digest.filter("n > 0").groupBy(*whole).agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-    reps = join_sized(digest.select("doc", "n", "head"), classes.select("rep").distinct(), F.col("doc") == F.col("rep"), "left_semi").dropDuplicates(["doc", "n"])
-    need = F.expr(f"n - ceil({percent} * n / 100) + 1").alias("need")
-    sieved = _sieve(_sieve(reps.filter("n > 0").select("doc", need, "head")))
+    reps = join_sized(heads.select("doc", "n", "head"), classes.select("rep").distinct(), F.col("doc") == F.col("rep"), "left_semi").dropDuplicates(["doc", "n"])
+    need = F.expr(f"(n - ceil({percent} * n / 100)) div 2 + 1").alias("need")
+    once = _sieve(reps.filter("n > 0").select("doc", need, "head"))
+    discard(heads)
+    sieved = _sieve(once)
+    discard(once)
     passed = join_sized(body, sieved.select(F.col("doc").alias("rep")).distinct(), F.col("doc") == F.col("rep"), "left_semi")
     sets = passed.mapInArrow(_digest(words, percent, True), f"doc {kind}, tokens array<long>").dropDuplicates(["doc"])
-    links = find_links(durable(sets, "tokens"), percent)
+    sets = durable(sets, "tokens")
+    links = find_links(sets, percent)
+    discard(sets)
     linked = components(links, "a", "b").withColumnRenamed("node", "rep")
     named = join_sized(classes, linked, "rep", "left").filter("copies > 1 OR component IS NOT NULL")
     named = durable(named.select(*[F.col(c).alias(f"__{c}") for c in whole], F.coalesce("component", "rep").alias("__component")), "named")
     same = (F.col("n") == F.col("__n")) & (F.col("print1") == F.col("__print1")) & (F.col("print2") == F.col("__print2"))
-    out = join_sized(digest.drop("head"), named, same, "left")
+    out = join_sized(digest, named, same, "left")
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("__component", "doc").alias("component_id"))
