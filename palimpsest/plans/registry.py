@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from palimpsest.plans import detection, forgery, raster, reports, scoring, tabular
+from palimpsest.plans.catalog import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "detection", "forgery", "raster", "reports", "scoring", "tabular"]
