@@ -55,10 +55,11 @@ class UnigramCounter:
     def tokens(self, strings: list[str]) -> np.ndarray:
         """Token counts of strings whose spaces are marks already: one dynamic program, in step over all of them."""
         out = np.zeros(len(strings), dtype=np.int64)
-        long = [i for i, s in enumerate(strings) if len(s) > STEP_CHARS]
+        apart = not self.byte_fallback  # runs of unknowns need the state that only the single walk carries
+        long = [i for i, s in enumerate(strings) if len(s) > STEP_CHARS or apart and s]
         for i in long:
             out[i] = self.tokens_of_long(strings[i])
-        short = [i for i, s in enumerate(strings) if 0 < len(s) <= STEP_CHARS]
+        short = [] if apart else [i for i, s in enumerate(strings) if 0 < len(s) <= STEP_CHARS]
         if not short:
             return out
         joined = "\0".join([strings[i] for i in short])

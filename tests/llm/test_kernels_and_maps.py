@@ -1,0 +1,234 @@
+"""Byte kernels, token counts, byte-level BPE, rules, personal data, pages, decontamination: against plain versions."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from palimpsest.llm import byte_bpe, decontam, host_rules, html_main, pii, token_count
+from palimpsest.llm import kernels as K
+from palimpsest.llm import piece_model as P
+
+WORDS = "[^\x20\x09-\x0d]+"
+ODD = ["", " ", "\n\n", "a", "a b c d e f g h i j k", "x " * 400, "né b\x1cc  d\n\td  e\v\ff", "a\nb\na\n\n \nb", "日本 語 " * 30, "1" * 5000]
+
+
+def docs(spark, texts, **more):
+    rows = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_word_hashes_do_not_depend_on_place_or_chunk():
+    texts = ["one two one", "two", "", "one"]
+    seen = {}
+    for limit in (1, 8, 1 << 20):
+        for c in K.chunks(pa.array(texts), limit):
+            w = K.words(c.bytes, c.offsets)
+            for s, e, h in zip(w.start, w.end, w.hash, strict=True):
+                assert seen.setdefault(c.bytes[s:e].tobytes(), h) == h
+    assert len(seen) == len(set(seen.values())) == 2
+
+
+def test_long_text_hashes_across_steps():
+    word = b"abcdefg "
+    data = np.frombuffer(word * 40_000, np.uint8)  # several steps of the prefix sums
+    w = K.words(data, np.array([0, len(data)]))
+    assert len(w.hash) == 40_000 and len(np.unique(w.hash)) == 1
+
+
+def plain_rules(text):
+    text = text or ""
+    w = re.findall(WORDS, text)
+    lines = [x for x in text.split("\n") if re.search(WORDS, x)]
+    windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    again = set()
+    for i, x in enumerate(windows):
+        if windows.count(x) > 1:
+            again |= set(range(i, i + 5))
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines), len(lines) - len(set(lines)), len(again)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab é\n\t#| 日"), max_size=60), min_size=1, max_size=5))
+def test_rule_counters(texts):
+    got = [host_rules.count_chunk(c.bytes, c.offsets) for c in K.chunks(pa.array(texts), 40)]
+    rows = zip(*[np.concatenate([g[n] for g in got]) for n in host_rules.COUNTERS], strict=True)
+    assert [tuple(map(int, r)) for r in rows] == [plain_rules(t) for t in texts]
+
+
+def test_host_verdicts(spark):
+    clean = "some quite ordinary words that make a decent sentence number {} of this host"
+    rows = [(i, clean.format(i), "good") for i in range(60)] + [(100 + i, "junk", "bad") for i in range(60)] + [(200, clean.format(0), "bad"), (201, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in host_rules.host_rules(d).collect()}
+    assert all(got[i]["kept"] for i in range(60)) and not any(got[100 + i]["kept"] for i in range(60))
+    assert not got[200]["kept"] and not got[200]["base_failed"] and got[200]["verdict"] == "rejected"
+    assert got[201]["base_failed"] and got[201]["n_words"] == 0
+    kept = host_rules.keep(d.withColumn("verdict", F.lit("mine")).withColumn("n_words", F.lit(1)))
+    assert kept.columns == ["doc_id", "text", "source", "verdict", "n_words"] and sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i in got if got[i]["kept"])
+    assert host_rules.host_rules(d.limit(0)).count() == 0 and host_rules.keep(d.limit(0)).count() == 0
+
+
+def plain_spans(text):
+    out = []
+    for k, pattern in enumerate((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            luhn = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+            if (k == 0) or (k == 1 and all(int(p) <= 255 for p in m[0].split("."))) or (k == 2 and 12 <= len(d) <= 19 and luhn) or (k == 3 and 9 <= len(d) <= 15):
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a", "é", "@", ".", "@b.c", "x.y@", "-", " ", "+1", "(", ")", "4111 1111 1111 1111", "4111111111111111", "0", "9", "10.0.0.1", "256", "+", "%", "\n", "+49 (30) 123-4567"]), max_size=14))
+def test_base_spans(parts):
+    text = "".join(parts)
+    assert pii.base_spans(text) == plain_spans(text)
+
+
+def test_added_spans_and_masks(spark):
+    text = "iban DE89 3704 0044 0532 0130 00 and DE88 3704 0044 0532 0130 00, ssn 123-45-6789, code 123-45-6789 mail é a.b@c.de"
+    kinds = [k for _, _, k, _ in pii.find(text)]
+    assert kinds == ["iban", "ssn", "email"] or kinds == ["iban", "ssn", "ssn", "email"]
+    assert pii.mask("x a@b.c y") == "x <EMAIL> y" and pii.mask(None) is None and pii.mask("") == ""
+    rows = pii.find_pii(docs(spark, ["call +1 (017) 555-7713", None, ""])).orderBy("doc_id").collect()
+    assert rows[0]["spans"] == "phone:5:22" and rows[0]["n_phone"] == 1 and rows[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    masked = pii.mask_pii(docs(spark, ["a@b.c", None, "plain", ""])).orderBy("doc_id").collect()
+    assert [r["text"] for r in masked] == ["<EMAIL>", None, "plain", ""]
+
+
+def test_spans_of_long_runs_are_linear():
+    text = "a" * 200_000 + "@" + "b" * 200_000 + " " + "1.2.3." * 50_000
+    assert pii.find(text) is not None
+
+
+@pytest.fixture(scope="module")
+def tokenizers_here():
+    return pytest.importorskip("public_tokenizers")
+
+
+def sample_texts(n=400):
+    r = random.Random(5)
+    letters = "abcdefgé日ñ  \n\t.,'1287😀 ▁|%ßst"
+    return ["".join(r.choice(letters) for _ in range(r.randrange(60))) for _ in range(n)] + ["It's the  best of\n\ntimes, isn't it? 'twas 1234567", "a" * 3000, " ", "", "  x", "x  ", "x \n y"]
+
+
+def test_byte_bpe_against_tiktoken(spark, tokenizers_here):
+    import tiktoken
+
+    path, pattern = tokenizers_here.path("byte_bpe_multi_50k.tiktoken"), tokenizers_here.PATTERN
+    entries = P.read_ranks(path)
+    plain = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks={e: i for i, e in enumerate(entries)}, special_tokens={})
+    texts = sample_texts()
+    rows = byte_bpe.digest(docs(spark, [*texts, None]), path, pattern).orderBy("doc_id").collect()
+    for text, r in zip([*texts, ""], rows, strict=True):
+        ids = plain.encode_ordinary(text)
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    coded = byte_bpe.encode(docs(spark, texts), path, pattern)
+    back = byte_bpe.decode(coded, path, pattern).orderBy("doc_id").collect()
+    assert [bytes(r["bytes"]).decode() for r in back] == texts
+
+
+def test_token_counts_against_a_tokenizer(spark, tokenizers_here):
+    from tokenizers import Tokenizer, models
+
+    path = tokenizers_here.path("piece_bpe_32k.model")
+    own = token_count.zipf_scores(P.read_pieces(path))
+    low = min(s for _, s in own)
+    vocab = [("<unk>", low), *own, *[(f"<0x{i:02X}>", low) for i in range(256)]]
+    model = Tokenizer(models.Unigram(vocab, unk_id=0, byte_fallback=True))
+    texts = sample_texts()
+    want = [len(model.encode("▁" + t.replace(" ", "▁"), add_special_tokens=False).ids) if t else 0 for t in texts]
+    rows = token_count.count_tokens(docs(spark, [*texts, None]), path).orderBy("doc_id").collect()
+    assert [r["n_tokens"] for r in rows] == [*want, 0]
+
+
+def test_token_counts_break_ties_to_the_longer_piece_and_join_unknowns():
+    ties = token_count.UnigramCounter([("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁", -1.0)])
+    assert ties.counts(["ab"]) == [2] and ties.tokens_of_long("▁ab") == 2  # ▁ + ab, of the score of ▁ + a + b
+    joined = token_count.UnigramCounter([("a", -1.0), ("▁", -1.0)], byte_fallback=False)
+    assert joined.counts(["axxa", "xx xx"]) == [4, 4]
+
+
+def test_piece_model_round_trip(tmp_path):
+    pieces = [("a", -1.0, P.NORMAL), ("é", -2.5, P.NORMAL), ("?", 0.0, P.UNKNOWN)]
+    (tmp_path / "m").write_bytes(P.serialise(pieces, P.UNIGRAM))
+    assert P.read_pieces(str(tmp_path / "m")) == pieces
+
+
+PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header>
+<nav><ul><li><a href=/a>one<li><a href=/b>two</ul></nav><div class="cookie-notice">We use cookies</div>%s
+<aside>more</aside><form><p>Your mail<input></form><div id="comments"><p>First!</div><footer>&copy; me</footer></body></html>"""
+
+
+def test_main_text():
+    article = "<article><h1>Head &amp; line</h1><p>First <b>bold</b>\n text &lt;x&gt;<p>Second&nbsp;one<br>broken<script>var a='<p>';</script><div class=ad>Buy</div><!-- no --></article>"
+    assert html_main.main_text(PAGE % article) == "Head & line\nFirst bold text <x>\nSecond one broken"
+    plain = "<div id=content>" + "".join(f"<p>Paragraph {i} with quite a few words that stand in the main text, and a comma.</p>" for i in range(5)) + "</div><div class=links>" + "<a href=x>go</a> " * 9 + "</div>"
+    text = html_main.main_text(PAGE % plain)
+    assert text.count("\n") == 4 and text.startswith("Paragraph 0") and "go" not in text
+
+
+@pytest.mark.parametrize("page", [None, "", "<", "<p", "</p></div>", "<!--", "<script>", "<a href='", "<table><tr><td>x<td>y", "&#xZZ; &bogus", "<div>" * 3000 + "x"])
+def test_malformed_pages(page):
+    assert isinstance(html_main.main_text(page), str)
+
+
+def test_pages_with_nulls_and_other_columns(spark):
+    d = spark.createDataFrame([(1, "u", None, 5), (2, None, PAGE % "<article><p>Text é</article>", 6)], "page_id long, url string, html string, text int")
+    rows = html_main.extract_main(d).orderBy("page_id").collect()
+    assert [tuple(r) for r in rows] == [(1, "u", "", 0), (2, None, "Text é", 6)] and html_main.extract_main(d.limit(0)).count() == 0
+
+
+def plain_shingles(text, k=5):
+    w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", text or "")]
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}, w
+
+
+def plain_contained(texts, items, threshold=0.8):
+    out = set()
+    for i, t in enumerate(texts):
+        own, w = plain_shingles(t)
+        for j, item in enumerate(items):
+            need, words = plain_shingles(item)
+            if not need and words:
+                need = {tuple(words)}
+                own_j = {tuple(w[a : a + len(words)]) for a in range(len(w))}
+            else:
+                own_j = own
+            if need and len(need & own_j) >= threshold * len(need) - 1e-9:
+                out.add((i, j))
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    r = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(60)]
+    words = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [" ".join(words(n)) for n in (1, 3, 5, 8, 13, 20, 40, 60)] + ["", None, "same item twice here now", "same item twice here now"]
+    texts = []
+    for _ in range(60):
+        t = words(r.randrange(120))
+        for item in r.sample([x for x in items if x], 2):
+            own = item.split()
+            for _ in range(r.randrange(3)):
+                own[r.randrange(len(own))] = "changed"
+            t[r.randrange(len(t) + 1) : 0] = own
+        texts.append(", ".join(t).upper() if r.random() < 0.3 else " ".join(t))
+    texts += [None, "", texts[0]]
+    d = docs(spark, texts).withColumn("item_id", F.lit(1))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = plain_contained(texts, items)
+    for block in (4_000_000, 40):
+        got = decontam.find_contained(d, bench, block_shingles=block).collect()
+        assert {(x["doc_id"], x["item_id"]) for x in got} == want and len(got) == len(want)
+    kept = decontam.decontaminate(d, bench)
+    assert kept.columns == d.columns and {x["doc_id"] for x in kept.collect()} == set(range(len(texts))) - {i for i, _ in want}
+    assert decontam.find_contained(d, bench.limit(0)).count() == 0 and decontam.find_contained(d.limit(0), bench).count() == 0 and decontam.decontaminate(d, bench.limit(0)).count() == len(texts)
