@@ -105,7 +105,7 @@ def signatures(n: int, tokens: np.ndarray, df: np.ndarray, percent: int) -> tupl
     size = int(np.floor(np.log(n) / -np.log(percent / 100) + 1e-9))
     any_size, longer = losses(np.array([n]), percent)
     out, roles = [], []
-    for indexed, budget, sizes in ((True, int(longer[0]), (size,)), (False, int(any_size[0]), (size, size - 1))):
+    for indexed, budget, sizes in ((True, int(longer[0]), (size,)), (False, int(any_size[0]), (size, size - 1) if size else (size,))):
         for own in sizes:
             groups = max(1, int((100 / percent) ** own * (100 - percent) / 400))
             left = budget + 1 - single
