@@ -175,6 +175,20 @@ def _haar_bands(block: np.ndarray) -> np.ndarray:
     return np.concatenate([low.ravel(), *out])
 
 
+def _orientations(block: np.ndarray, cells: int = 2, bins: int = 8) -> np.ndarray:
+    """Gradient orientations by cell, weighted by magnitude; unit length, large entries cut and unit again."""
+    gy, gx = np.gradient(block)
+    bin_ = ((np.arctan2(gy, gx) + np.pi) / (2 * np.pi) * bins).astype(int) % bins
+    y, x = np.indices(block.shape)
+    cell = (y * cells // block.shape[0]) * cells + x * cells // block.shape[1]
+    out = np.bincount((cell * bins + bin_).ravel(), weights=np.hypot(gy, gx).ravel(), minlength=cells * cells * bins)
+    for cut in (0.2, None):
+        size = np.linalg.norm(out)
+        out = out / size if size > 0 else out
+        out = np.minimum(out, cut) if cut else out
+    return out
+
+
 #: Features by name, block -> vector; sides are powers of two.
 KERNELS = {
     "NO": lambda b: b.ravel(),
@@ -182,6 +196,7 @@ KERNELS = {
     "DWTFEAT": _haar_bands,
     "FMT": _dft_log_polar,
     "BLUR": _blur_invariants,
+    "DSIFT": _orientations,
 }
 
 

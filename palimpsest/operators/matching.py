@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.arrays import squared_distance
-from palimpsest.session import prepare
+from palimpsest.session import durable, prepare
 
 
 def lexicographic(features: DataFrame, by: list[str], neighbours: int) -> DataFrame:
@@ -78,12 +78,13 @@ def ratio_matches(neighbours: DataFrame, limit: float) -> DataFrame:
     return stepped.withColumn("run", run).filter("run = 1").select("image_id", "id", "other", "distance", "rank")
 
 
-def tuned_ratio(neighbours: DataFrame, start: float = 0.6, low: int = 50, high: int = 1000, most_steps: int = 12) -> tuple[float, DataFrame]:
-    """The ratio limit at which between `low` and `high` matches are found, moved by 0.05 at a time between 0.2 and 0.8."""
+def tuned_ratio(neighbours: DataFrame, start: float = 0.6, low: int = 50, high: int = 1000, bottom: float = 0.2, top: float = 0.8, most_steps: int = 16) -> tuple[float, DataFrame]:
+    """The ratio limit at which between `low` and `high` matches are found, moved by 0.05 at a time from at most `top` or at least `bottom`."""
     limit, before = start, 0
+    neighbours = durable(neighbours, "neighbours")
     for _ in range(most_steps):
         n = ratio_matches(neighbours, limit).count()
-        step = 0.05 if n < low and limit <= 0.8 else -0.05 if n > high and limit >= 0.2 else 0.0
+        step = 0.05 if n < low and limit <= top else -0.05 if n > high and limit >= bottom else 0.0
         if not step or step * before < 0:
             break
         limit, before = round(limit + step, 2), step

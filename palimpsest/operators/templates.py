@@ -119,3 +119,12 @@ def annotation(panels: DataFrame, images: DataFrame) -> DataFrame:
     joined = panels.join(images, ["template", "panel"], "left")
     entry = F.struct("panel", F.struct(F.struct("x0", "x1", "y0", "y1").alias("bbox"), F.col("class"), F.col("image_id").cast("string").alias("image_id")))
     return joined.groupBy("template").agg(F.to_json(F.struct(F.first("height").alias("height"), F.first("width").alias("width"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("panels"))).alias("annotation"))
+
+
+def contact_sheet(panels: DataFrame, border: int = 2) -> DataFrame:
+    """sheet, panel, y0, x0, h, w: panels (sheet, panel, h, w) at their sheet's least size, in as many rows as the root of their number."""
+    w = Window.partitionBy("sheet").orderBy("panel")
+    size = panels.groupBy("sheet").agg(F.min("h").alias("h"), F.min("w").alias("w"), F.count(F.lit(1)).alias("n"))
+    per_row = F.ceil(F.col("n") / F.floor(F.sqrt("n")))
+    rows = panels.select("sheet", "panel").join(size, "sheet").withColumn("i", F.row_number().over(w) - 1)
+    return rows.select("sheet", "panel", (F.floor(F.col("i") / per_row) * (F.col("h") + 2 * border) + border).cast("int").alias("y0"), (F.col("i") % per_row * (F.col("w") + 2 * border) + border).cast("int").alias("x0"), "h", "w")

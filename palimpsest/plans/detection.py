@@ -124,6 +124,12 @@ def feat_dwt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.block_vectors(_packed(spark, sf_dir), "DWTFEAT", 4, 2)
 
 
+@query()
+def feat_dsift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense gradient-orientation histograms."""
+    return B.block_vectors(_packed(spark, sf_dir), "DSIFT", 4, 2)
+
+
 @query()
 def feat_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Principal axes of raw blocks, as many as keep 99 % of the variance."""
@@ -187,7 +193,7 @@ def knn_ratio_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def knn_tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ratio limit moves until there are enough matches."""
-    limit, found = M.tuned_ratio(_neighbours(spark, sf_dir, 5))
+    limit, found = M.tuned_ratio(_neighbours(spark, sf_dir, 5), 0.8, top=0.94)
     return found.withColumn("limit", F.lit(limit))
 
 

@@ -177,6 +177,17 @@ def panel_mates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.has_mates(_panels(spark, sf_dir), 3)
 
 
+@query(
+    """WITH p AS (SELECT p_size AS sheet, p_partkey AS panel, 10 + p_partkey % 7 AS h, 12 + p_partkey % 5 AS w FROM part),
+s AS (SELECT sheet, min(h) AS h, min(w) AS w, count(*) AS n FROM p GROUP BY sheet), r AS (SELECT sheet, panel, s.h, s.w, CAST(ceil(n / floor(sqrt(n))) AS BIGINT) AS per, row_number() OVER (PARTITION BY sheet ORDER BY panel) - 1 AS i FROM p JOIN s USING (sheet))
+SELECT sheet, panel, i // per * (h + 4) + 2 AS y0, i % per * (w + 4) + 2 AS x0, h, w FROM r"""
+)
+def contact_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of panels on a sheet."""
+    p = table(spark, sf_dir, "part").select(F.col("p_size").alias("sheet"), F.col("p_partkey").alias("panel"), (10 + F.col("p_partkey") % 7).alias("h"), (12 + F.col("p_partkey") % 5).alias("w"))
+    return P.contact_sheet(p)
+
+
 @query()
 def picked_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One seeded panel of each template."""

@@ -29,17 +29,17 @@ def contamination_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.without(table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size"), rejected, ["p_partkey"]).filter("p_partkey <> 7")
 
 
-@query("SELECT p_partkey, p_name, l_orderkey, l_linenumber FROM part JOIN lineitem ON p_partkey = l_partkey WHERE contains(p_name, '1')")
+@query("SELECT p_partkey, p_name, l_orderkey, l_linenumber FROM part JOIN lineitem ON p_partkey = l_partkey WHERE contains(p_name, 'ring')")
 def natural_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An inner join on the shared key, after a substring filter."""
-    parts = table(spark, sf_dir, "part").filter(F.col("p_name").contains("1")).select(F.col("p_partkey").alias("key"), "p_name")
+    parts = table(spark, sf_dir, "part").filter(F.col("p_name").contains("ring")).select(F.col("p_partkey").alias("key"), "p_name")
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), "l_orderkey", "l_linenumber")
     return parts.join(lines, "key").withColumnRenamed("key", "p_partkey")
 
 
 @query(
     """WITH c AS (SELECT p_partkey, p_brand AS klass, CAST(p_size AS DOUBLE) / 10 AS ratio FROM part),
-panels AS (SELECT s_suppkey AS panel, 'Brand#' || (1 + s_suppkey % 5) || (1 + s_suppkey % 3) AS klass, CAST(s_suppkey % 50 AS DOUBLE) / 10 AS ratio_r FROM supplier)
+panels AS (SELECT s_suppkey AS panel, 'Brand#' || (1 + s_suppkey % 25) AS klass, CAST(s_suppkey % 50 AS DOUBLE) / 10 AS ratio_r FROM supplier)
 SELECT panel, count(*) AS fits, min(p_partkey) AS first FROM c JOIN panels USING (klass) WHERE abs(ratio - ratio_r) <= CASE WHEN klass = 'Brand#11' THEN 2.0 ELSE 0.4 END GROUP BY panel"""
 )
 def ar_tolerance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def ar_tolerance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    brand = F.concat(F.lit("Brand#"), (1 + F.col("s_suppkey") % 5).cast("string"), (1 + F.col("s_suppkey") % 3).cast("string"))
+    brand = F.concat(F.lit("Brand#"), (1 + F.col("s_suppkey") % 25).cast("string"))
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("panel"), brand.alias("klass"), (F.col("s_suppkey") % 50).cast("double").__truediv__(10).alias("ratio"))
 
 
