@@ -228,3 +228,34 @@ def test_queries_match_their_sql(spark, name):
     want = con.execute(registry.ORACLES[name])
     order = [[d[0] for d in want.description].index(c) for c in columns]
     assert sorted(str(tuple(r[c] for c in columns)) for r in df.collect()) == sorted(str(tuple(r[i] for i in order)) for r in want.fetchall())
+
+
+def test_files_samples_and_matches(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "annotations.json").write_text("{}")
+    (tmp_path / "a" / "x.txt").write_text("no")
+    assert [os.path.basename(r["path"]) for r in readers.list_files(spark, str(tmp_path), "*.json").collect()] == ["annotations.json"]
+    samples = spark.createDataFrame([("m", "op", 1, "{}")], "modality string, op string, index int, annotation string")
+    sinks.write_samples(samples, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out/samples")).count() == 1 and spark.read.text(str(tmp_path / "out/annotations")).first()[0] == "{}"
+    matches = spark.createDataFrame([(0, 0, 1, 1, 5, 5, 0.5), (0, 0, 1, 1, 6, 6, 0.1), (0, 0, 1, 1, 7, 7, 0.9)], readers.MATCHES)
+    sinks.write_matches(matches, str(tmp_path / "matches"))
+    stacked = matching.planes(readers.read_matches(spark, str(tmp_path / "matches")).drop("plane"), 2)
+    assert sorted((r["plane"], r["my"]) for r in stacked.collect()) == [(0, 6), (1, 5)]
+
+
+def test_missing_masks_are_zeros_and_rows_are_observed(spark):
+    shown = spark.createDataFrame([(1, 1, 2, [3.0, 4.0]), (2, 1, 2, [5.0, 6.0])], "image_id long, height int, width int, values array<double>")
+    got = {r["image_id"]: r["mask"] for r in readers.masks_or_zeros(shown, shown.filter("image_id = 1")).collect()}
+    assert got == {1: [3.0, 4.0], 2: [0.0, 0.0]}
+    rows, watch = sinks.observed(spark.range(5), "seen")
+    rows.write.format("noop").mode("overwrite").save()
+    assert watch.get["rows"] == 5
+
+
+def test_contact_sheet_and_free_strip(spark):
+    p = spark.createDataFrame([(1, "001", 100, 100, 0, 50, 10, 50, "W", 1.0), (1, "002", 100, 100, 50, 100, 5, 50, "W", 1.0)], "template int, panel string, height int, width int, x0 int, x1 int, y0 int, y1 int, class string, ratio double")
+    sides = {r["panel"]: r["side"] for r in templates.free_strip(p, 8).collect()}
+    assert sides == {"001": "top", "002": "bottom"}
+    s = spark.createDataFrame([(1, i, 10, 10) for i in range(5)], "sheet int, panel int, h int, w int")
+    assert [(r["y0"], r["x0"]) for r in templates.contact_sheet(s).orderBy("panel").collect()] == [(2, 2), (2, 16), (2, 30), (16, 2), (16, 16)]
