@@ -91,7 +91,9 @@ def host_verdicts(counted: DataFrame, host: str, watch: float = 0.02, reject: fl
     prior = prior.select(F.expr("(bad + 0.5D) / (total + 1)").alias("m"), F.expr("squares / total - (bad / total) * (bad / total)").alias("spread"), F.expr("hosts / total").alias("per"))
     prior = prior.select("m", F.expr("greatest(spread - m * (1 - m) * per, m * (1 - m) * 1e-4D)").alias("between"))
     prior = prior.select("m", F.expr("greatest(m * (1 - m) / between - 1, 1D)").alias("strength"))
-    shrunk = hosts.crossJoin(F.broadcast(prior)).withColumn("rate", F.expr("(failed + m * strength) / (n + strength)"))
+    fitted = prior.first()  # two numbers, whatever the corpus
+    m, strength = (0.5, 1.0) if fitted["m"] is None or fitted["strength"] is None else fitted
+    shrunk = hosts.withColumns({"m": F.lit(float(m)), "strength": F.lit(float(strength))}).withColumn("rate", F.expr("(failed + m * strength) / (n + strength)"))
     shrunk = shrunk.withColumn("deviation", F.expr("sqrt(rate * (1 - rate) / (n + strength + 1))"))
     verdict = F.when(F.col("rate") - 2 * F.col("deviation") >= reject, "rejected").when(F.col("rate") < watch, "trusted").otherwise("watched")
     return shrunk.select("host", "n", "failed", "rate", verdict.alias("verdict"))
