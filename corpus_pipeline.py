@@ -64,7 +64,7 @@ STAGES = [
     ("token_ids", token_ids),
 ]
 
-#: Similarity components and token ids are beyond SQL; tests compare run() with brute force.
+#: Similarity components and token ids are beyond SQL; tests check each stage on planted cases and each operator by brute force.
 ORACLE_SQL = None
 
 
