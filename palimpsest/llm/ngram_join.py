@@ -17,7 +17,7 @@ ever made. Of the classes' representatives:
    a group has several blocks and is not yet one component, sets outside its main component meet every block.
 
 Every link between different sets is either verified or lies within a component that other links connect, so
-components are exact; n_links counts the links of the spanning work that found them. Hot tokens and copies are
+components are exact. Hot tokens and copies are
 counted by partial sums and joined by plans that split skewed keys.
 """
 

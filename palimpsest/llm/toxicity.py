@@ -1,6 +1,6 @@
 """Toxic passages as maximum-scoring segments of token log-odds, calibrated by extreme-value statistics.
 
-Learning uses labelled documents alone, at most `most_labelled` of them by the order of their keys' hash (a documented
+Learning uses labelled documents alone, about `most_labelled` of them at most, those whose keys' hash is lowest (a documented
 bound; the rest of the operator covers every row). Words are letters and digits with A-Z in lower case.
 
 1. A word's features are itself and its beginnings of 4 to 8 bytes, which stand for words that are built from one
@@ -234,10 +234,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Of the labelled rows whose key's crc32 modulo 5 is not 0."""
     spark = prepare(docs.sparkSession)
     marked = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("__key")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
-    # by hash order, the first most_labelled
-    marked = durable(marked.orderBy(F.xxhash64("__key"), "__key").limit(most_labelled), "labelled")
+    marked = durable(marked, "labels")
+    if (n := marked.count()) > most_labelled:  # keys of the lowest hashes, by a threshold: no task sees more than its own rows
+        marked = durable(marked.filter(F.pmod(F.xxhash64("__key"), F.lit(1 << 30)) < int(most_labelled / n * (1 << 30))), "labelled")
     body = docs.select(F.col(key).alias("__key"), F.col(text).alias("text"))
-    rows = durable(join_sized(body, marked, "__key", most=most_labelled).select("toxic", "text"), "labelled-texts")
+    rows = durable(join_sized(body, marked, "__key").select("toxic", "text"), "labelled-texts")
     counted = rows.mapInArrow(_feature_counts, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     features, significance = lexicon(durable(counted, "feature-counts"), sizes.get(1, 0), sizes.get(0, 0), min_z)
