@@ -12,8 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+#: Rows of whole texts are wide: with Spark's default of 10,000 a batch, the batches of all tasks of an executor are its largest buffers.
+BATCH_ROWS, DEFAULT_ROWS = "1000", "10000"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, whatever folder the driver was started in."""
+    """Let Python workers import this package, whatever folder the driver was started in, and keep Arrow batches small where the session has no size of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", DEFAULT_ROWS) == DEFAULT_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths and ROOT not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
