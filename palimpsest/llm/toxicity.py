@@ -32,6 +32,8 @@ from palimpsest.llm.tables import is_small, join_sized
 from palimpsest.session import durable, prepare
 
 LEXICON_MOST = 1_000_000
+#: Counts that a task adds up before it passes them on.
+HELD = 2_000_000
 STEMS = (4, 5, 6, 7, 8)
 STEM_MARK = np.uint64(0x6A09E667F3BCC909)
 
@@ -158,9 +160,9 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], name: str) -
 
 def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many toxic and clean texts each feature stands."""
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for batch in batches:
         toxic = batch.column(0).to_numpy(zero_copy_only=False)
-        parts = []
         for c in K.chunks(batch.column(1)):
             w = words_of(c.bytes, c.offsets)
             for h, word in features_of(c.bytes, w):
@@ -168,7 +170,10 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 key, at, n = np.unique(h, return_inverse=True, return_counts=True)
                 bad = np.bincount(at, weights=toxic[c.first + row], minlength=len(key))
                 parts.append((key, bad, n - bad))
-        yield from _summed(parts, "feature")
+            if sum(len(p[0]) for p in parts) > HELD:
+                yield from _summed(parts, "feature")
+                parts = []
+    yield from _summed(parts, "feature")
 
 
 def _class_counts(features: np.ndarray, significance: np.ndarray):
