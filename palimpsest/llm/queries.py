@@ -52,8 +52,7 @@ def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = lm_score.train(docs, table(spark, sf_dir, "labels").filter("quality = 1"))
-    return lm_score.score_documents(docs, model)
+    return lm_score.score_corpus(docs, table(spark, sf_dir, "labels").filter("quality = 1"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -231,6 +231,37 @@ def test_models_sum_to_one(spark):
     assert lm_score.score_documents(d, lm_score.train(d, spark.createDataFrame([], "doc_id long"))).count() == 3
 
 
+def test_scores_of_the_whole_corpus_are_those_of_a_model_that_drops_nothing(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", 90)
+    monkeypatch.setattr(lm_score, "PART_TOKENS", 60)
+    monkeypatch.setattr(K.chunks, "__defaults__", (300,))
+    r = random.Random(5)
+    texts = [" ".join(r.choice(["the", "a", "cat", f"rare{r.randrange(90)}"]) for _ in range(r.randrange(40))) for _ in range(50)] + [None, "", "..."]
+    for ids in ([], [*range(0, 50, 3), 51]):
+        d, targets = docs(spark, texts), spark.createDataFrame([(i,) for i in ids], "doc_id long")
+        want = {x["doc_id"]: x for x in lm_score.score_documents(d, lm_score.train(d, targets, word_share=0.0, pair_share=0.0)).collect()}
+        got = lm_score.score_corpus(d, targets).collect()
+        assert len(got) == len(want) == 53
+        for x in got:
+            assert tuple(x) == pytest.approx(tuple(want[x["doc_id"]]))
+    assert lm_score.score_corpus(d.limit(0), targets).count() == 0
+
+
+def test_a_rare_bigram_of_a_long_corpus_counts(spark, tmp_path):
+    texts = ["the cat " * 50_000] * 30 + ["rare bigram"] * 2
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(30, 1)], "doc_id long, quality long").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {x["doc_id"]: x for x in queries.op7_lm_score(spark, str(tmp_path)).collect()}
+    size = 2.0  # tokens of the target; background counts are scaled to it
+    single = lambda n: (n + 100 / 5) / (size + 100)
+    by = size / 3_000_004
+    loss = []
+    for n in (1.0, 2 * by):
+        pair = max(n - 0.75, 0) / n
+        loss.append(-(math.log(single(n)) + math.log((1 - pair) * single(n) + pair)) / 2)
+    assert (got[31]["target_loss"], got[31]["background_loss"]) == (pytest.approx(loss[0]), pytest.approx(loss[1]))
+
+
 # toxicity
 
 
