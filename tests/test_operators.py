@@ -230,6 +230,24 @@ def test_queries_match_their_sql(spark, name):
     assert sorted(str(tuple(r[c] for c in columns)) for r in df.collect()) == sorted(str(tuple(r[i] for i in order)) for r in want.fetchall())
 
 
+def test_every_template_is_assembled(spark, tmp_path):
+    from palimpsest.plans import forgery, maps
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables here")
+    want, px = {}, {}
+    for r in maps.pixels(spark, folder).collect():
+        px[r["image_id"], r["y"], r["x"]] = r["g"]
+    for r in forgery.template_explode(spark, folder).collect():
+        h, w, side = r["y1"] - r["y0"], r["x1"] - r["x0"], forgery.SIDE
+        values = [px[r["template"] % 50, y * side // h, x * side // w] for y in range(h) for x in range(w) if (r["template"] % 50, y * side // h, x * side // w) in px]
+        n, total = want.get(r["template"], (0, 0))
+        want[r["template"]] = n + len(values), total + sum(values)
+    got = {r["template"]: (r["pixels"], r["total"]) for r in forgery.figure_assembly(spark, folder).collect()}
+    assert len(got) == 100 and got == want
+
+
 def test_files_samples_and_matches(spark, tmp_path):
     (tmp_path / "a" / "b").mkdir(parents=True)
     (tmp_path / "a" / "b" / "annotations.json").write_text("{}")
