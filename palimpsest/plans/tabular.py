@@ -55,9 +55,11 @@ def panels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def greedy_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panels of each template take images in order; templates that stay open give nothing."""
-    slots = panels(spark, sf_dir).select((F.col("panel") % 7).alias("template"), F.col("panel").alias("slot"), "klass", "ratio").filter("slot <= 40")
-    images = table(spark, sf_dir, "part").select((F.col("p_partkey") % 7).alias("template"), F.col("p_partkey").alias("image"), F.col("p_brand").alias("klass"), (F.col("p_size").cast("double") / 10).alias("ratio"))
+    """The panels of each template take images in order; templates that stay open give nothing. Six suppliers in a row are a template, and all parts are dealt to the templates."""
+    slots = panels(spark, sf_dir).select(F.expr("panel div 6").alias("template"), F.col("panel").alias("slot"), "klass", "ratio")
+    last = slots.agg((F.max("template") + 1).alias("templates"))
+    parts = table(spark, sf_dir, "part").crossJoin(F.broadcast(last))  # one row
+    images = parts.select((F.col("p_partkey") % F.col("templates")).alias("template"), F.col("p_partkey").alias("image"), F.col("p_brand").alias("klass"), (F.col("p_size").cast("double") / 10).alias("ratio"))
     return T.greedy_fill(slots, images, {"Brand#11": 2.0}, 2.5)
 
 

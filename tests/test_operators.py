@@ -248,6 +248,33 @@ def test_every_template_is_assembled(spark, tmp_path):
     assert len(got) == 100 and got == want
 
 
+def test_every_slot_is_tried(spark):
+    from palimpsest.plans import tabular as plans
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables here")
+    slots = {r["panel"]: (r["klass"], r["ratio"]) for r in plans.panels(spark, folder).collect()}
+    templates = max(slots) // 6 + 1
+    pools = [[] for _ in range(templates)]
+    for r in spark.read.parquet(f"{folder}/part.parquet").orderBy("p_partkey").collect():
+        pools[r["p_partkey"] % templates].append((r["p_partkey"], r["p_brand"], r["p_size"] / 10))
+    want = []
+    for t, pool in enumerate(pools):
+        rows = []
+        for s in sorted(s for s in slots if s // 6 == t):
+            klass, ratio = slots[s]
+            image = next((p for p in pool if p[1] == klass and abs(p[2] - ratio) <= (2.0 if klass == "Brand#11" else 2.5)), None)
+            if image is None:
+                rows = []
+                break
+            pool.remove(image)
+            rows.append((t, s, image[0]))
+        want += rows
+    got = sorted(map(tuple, plans.greedy_fill(spark, folder).collect()))
+    assert got == want and max(s for _, s, _ in got) > 40
+
+
 def test_files_samples_and_matches(spark, tmp_path):
     (tmp_path / "a" / "b").mkdir(parents=True)
     (tmp_path / "a" / "b" / "annotations.json").write_text("{}")
