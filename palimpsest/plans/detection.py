@@ -261,9 +261,19 @@ blocks AS (SELECT image_id, position, w[position] || ' ' || w[position + 1] AS b
 m AS (SELECT p.image_id, p.position AS x, q.position AS mx FROM blocks p JOIN blocks q ON p.image_id = q.image_id AND p.block = q.block AND p.position < q.position)"""
 
 
-def _text_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _some_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of _TEXT: items of even ids only, and turns whose image ids can be those of items."""
+    return table(spark, sf_dir, "benchmark").filter("item_id % 2 = 0").select(F.col("item_id").alias("image_id"), "text").unionByName(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("image_id"), "text"))
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All items and all turns, each source with image ids of its own."""
+    items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("image_id"), "text")
+    return items.unionByName(table(spark, sf_dir, "conversations").select(F.concat_ws(" ", F.lit("turn"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("image_id"), "text"))
+
+
+def _text_matches(t: DataFrame) -> DataFrame:
     """Equal word pairs of one text, at two places: matches in a one-dimensional image."""
-    t = table(spark, sf_dir, "benchmark").filter("item_id % 2 = 0").select(F.col("item_id").alias("image_id"), "text").unionByName(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("image_id"), "text"))
     b = M.blocks_of_text(t, "image_id", "text", 2)
     pairs = b.select("image_id", F.col("position").alias("x"), "block").join(b.select("image_id", F.col("position").alias("mx"), "block"), ["image_id", "block"]).filter("x < mx")
     return pairs.select("image_id", F.lit(0).alias("y"), "x", F.lit(0).alias("my"), "mx")
@@ -271,20 +281,32 @@ def _text_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TEXT}, v AS (SELECT image_id, mx - x AS dx, count(*) AS votes FROM m GROUP BY ALL) SELECT image_id, x, mx, dx, votes FROM m JOIN v USING (image_id) WHERE dx = mx - x AND votes >= 2")
 def shift_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches whose shift others share."""
-    return V.vote(_text_matches(spark, sf_dir), 2).select("image_id", "x", "mx", "dx", "votes")
+    """Matches whose shift others share, of the rows that its SQL reads; shift_votes_whole reads all."""
+    return V.vote(_text_matches(_some_texts(spark, sf_dir)), 2).select("image_id", "x", "mx", "dx", "votes")
 
 
 @query(f"WITH {_TEXT}, v AS (SELECT image_id, mx - x AS dx, count(*) AS votes FROM m GROUP BY ALL), r AS (SELECT *, dense_rank() OVER (PARTITION BY image_id ORDER BY votes DESC) AS r FROM v), k AS (SELECT image_id, x, mx FROM m JOIN r USING (image_id) WHERE dx = mx - x AND r = 1) SELECT DISTINCT image_id, x + 1 AS x FROM (SELECT image_id, x FROM k UNION ALL SELECT image_id, mx FROM k)")
 def shift_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Y2: both ends of the matches of the most frequent shifts."""
-    return V.mark_endpoints(V.vote(_text_matches(spark, sf_dir), most_counts=1), 1).select("image_id", "x")
+    """Y2: both ends of the matches of the most frequent shifts, of the rows that its SQL reads; shift_marks_whole reads all."""
+    return V.mark_endpoints(V.vote(_text_matches(_some_texts(spark, sf_dir)), most_counts=1), 1).select("image_id", "x")
+
+
+@query()
+def shift_votes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of all items and turns whose shift others share."""
+    return V.vote(_text_matches(_texts(spark, sf_dir)), 2).select("image_id", "x", "mx", "dx", "votes")
+
+
+@query()
+def shift_marks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Y2: both ends of the matches of the most frequent shifts, of all items and turns."""
+    return V.mark_endpoints(V.vote(_text_matches(_texts(spark, sf_dir)), most_counts=1), 1).select("image_id", "x")
 
 
 @query()
 def copy_regions_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas that matches join share a label."""
-    matches = _text_matches(spark, sf_dir)
+    matches = _text_matches(_texts(spark, sf_dir))
     return V.shared_labels(V.symmetric(matches), matches)
 
 

@@ -275,6 +275,22 @@ def test_every_slot_is_tried(spark):
     assert got == want and max(s for _, s, _ in got) > 40
 
 
+def test_every_text_is_matched_under_its_own_id(spark, tmp_path):
+    from palimpsest.plans import detection
+
+    text = "one two three x one two three"
+    spark.createDataFrame([(0, text), (1, text), (3, "no such words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(0, 1, text)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    ids = ["item 0", "item 1", "turn 0 1"]
+    pairs = [(1, 5), (2, 6)]
+    votes = detection.shift_votes_whole(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, votes)) == [(i, x, mx, 4, 2) for i in ids for x, mx in pairs]
+    marks = detection.shift_marks_whole(spark, str(tmp_path)).collect()
+    assert {r["image_id"] for r in marks} == set(ids) and len(marks) == 12
+    regions = detection.copy_regions_text(spark, str(tmp_path)).collect()
+    assert sorted((r["image_id"], r["x"], r["label"]) for r in regions) == [(i, x, 1) for i in ids for x in (1, 2, 5, 6)]
+
+
 def test_files_samples_and_matches(spark, tmp_path):
     (tmp_path / "a" / "b").mkdir(parents=True)
     (tmp_path / "a" / "b" / "annotations.json").write_text("{}")
