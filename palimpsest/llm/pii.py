@@ -159,13 +159,13 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
 
 
 def mask(text: str | None, threshold: float = 0.5) -> str | None:
-    """The text with each span replaced by <KIND>; of spans that overlap, the first, then the longest."""
+    """The text with each span replaced by <KIND>; spans that overlap are replaced as one, by the kind of the first, then the longest."""
     spans = sorted(find(text, threshold), key=lambda x: (x[0], -x[1]))
     out, done = [], 0
     for start, end, kind, _ in spans:
         if start >= done:
             out += [text[done:start], f"<{kind.upper()}>"]
-            done = end
+        done = max(done, end)
     return text if not spans else "".join(out) + text[done:]
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import components as C
 from palimpsest.llm import kernels as K
-from palimpsest.llm import lm_score, ngram_join, queries, shard_ring, toxicity
+from palimpsest.llm import lm_score, ngram_join, pii, queries, shard_ring, toxicity
 
 WORDS = "[^\x20\x09-\x0d]+"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -377,6 +377,10 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(map(str, now.collect())) == sorted(map(str, pipeline.run(spark, folder).collect()))
 
 
+def test_masks_cover_overlapping_spans():
+    assert pii.mask("on 10.0.0.0 4111 1111 1111 1111 and a@b.c") == "on <IP> and <EMAIL>"
+
+
 def test_empty_chunks():
     assert list(K.chunks(pa.array([], pa.string()))) == []
     assert [len(c.offsets) for c in K.chunks(pa.array([None, None], pa.string()))] == [3]
