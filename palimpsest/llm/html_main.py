@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree of elements in one pass (comments, scripts and the like are skipped, ends that HTML leaves out
-are supplied). Elements that are boilerplate by tag, role or class are left out with all below them. Every other node gets its characters, tags, link characters and link tags, and
+are supplied). Elements that are boilerplate by tag or role are left out with all below them; forms and elements with a class or id that names
+nothing but boilerplate only where they hold no article or main and not the greatest density sum, so wrappers of the content stay. Every other node gets its characters, tags, link characters and link tags, and
 from them its link-adjusted characters per tag; a node's density sum adds up its children's. The node with the
 greatest sum below the body is content; the threshold is the least density on its path to the body, and in each other subtree
 that reaches it the node with the greatest sum is content too. Content that lies within one article or
@@ -27,7 +28,7 @@ from palimpsest.session import prepare
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp noembed noframes".split())
-BOILERPLATE_TAGS = frozenset("head nav footer aside form script style noscript template iframe object svg canvas button select textarea input title dialog menu audio video map math".split())
+BOILERPLATE_TAGS = frozenset("head nav footer aside script style noscript template iframe object svg canvas button select textarea input title dialog menu audio video map math".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
@@ -60,11 +61,14 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("best", "chars", "children", "density", "link_chars", "link_tags", "parent", "sum", "tag", "tags")
+    __slots__ = ("best", "chars", "children", "density", "link_chars", "link_tags", "parent", "suspect", "sum", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: Node | None, suspect: bool = False):
+        self.tag, self.parent, self.suspect = tag, parent, suspect
         self.children: list[Node] = []
+        self.clear()
+
+    def clear(self) -> None:
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = self.best = 0.0
 
@@ -83,8 +87,17 @@ def is_boilerplate(tag: str, attributes: dict[str, str], within: bool) -> bool:
         return True
     if "display:none" in attributes.get("style", "").replace(" ", "").lower():
         return True
-    named = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    return not BOILERPLATE_WORDS.isdisjoint(_WORD.findall(named))
+    return False
+
+
+def is_suspect(tag: str, attributes: dict[str, str]) -> bool:
+    """Boilerplate unless it holds the content: a form, or an element with a class or id of words that all say so."""
+    if tag == "form":
+        return True
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return False
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
+    return any((parts := _WORD.findall(x)) and BOILERPLATE_WORDS.issuperset(parts) for x in names)
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Node | None, str]]]:
@@ -102,7 +115,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node | None, str]]]:
 
     def close(k: int) -> None:
         for node in stack[k:]:
-            if node.tag in BLOCKS:
+            if node.tag in BLOCKS or node.tag == "form":
                 runs.append((None, ""))
                 break
         del stack[k:]
@@ -172,16 +185,18 @@ def parse(page: str) -> tuple[Node, list[tuple[Node | None, str]]]:
                 if stack[k].tag in ended:
                     close(k)
                     break
-        if is_boilerplate(tag, _attributes(body), any(x.tag in HOLDS for x in stack)):
+        attributes = _attributes(body)
+        if is_boilerplate(tag, attributes, any(x.tag in HOLDS for x in stack)):
             runs.append((None, ""))
             if tag not in VOID and not body.endswith("/"):
                 skip.append(tag)
             continue
-        if tag in BLOCKS:
+        suspect = is_suspect(tag, attributes)
+        if tag in BLOCKS or suspect:
             runs.append((None, ""))
         elif tag == "br":
             runs.append((stack[-1], " "))
-        node = Node(tag, stack[-1])
+        node = Node(tag, stack[-1], suspect)
         stack[-1].children.append(node)
         if tag not in VOID and not body.endswith("/"):
             stack.append(node)
@@ -233,6 +248,21 @@ def _best(node: Node) -> Node:
     return node
 
 
+def prune(nodes: list[Node], body: Node) -> bool:
+    """Take suspects without an article, a main or the node of the greatest density sum off the tree; True if there were any."""
+    if not any(x.suspect for x in nodes):
+        return False
+    holders: set[int] = set()
+    for node in [_best(body), *(x for x in nodes if x.tag in HOLDS)]:
+        while node is not None and id(node) not in holders:
+            holders.add(id(node))
+            node = node.parent
+    for node in nodes:
+        node.children = [x for x in node.children if not x.suspect or id(x) in holders]
+        node.clear()
+    return True
+
+
 def select(body: Node) -> list[Node]:
     """The content nodes."""
     top = _best(body)
@@ -273,6 +303,8 @@ def main_text(page: str | None) -> str:
         return ""
     root, runs = parse(page)
     nodes, body = measure(root, runs)
+    if prune(nodes, body):
+        nodes, body = measure(root, runs)
     if not body.chars:
         return ""
     chosen = {id(x) for x in select(body)}

@@ -176,6 +176,15 @@ def test_main_text():
     assert text.count("\n") == 4 and text.startswith("Paragraph 0") and "go" not in text
 
 
+@pytest.mark.parametrize("wrapper", ['<div class="page has-sidebar">%s</div>', '<div class="no-sidebar nav-open">%s</div>', '<div class="elementor-widget-text">%s</div>', '<form id=f action=x>%s</form>', '<div class="widget">%s</div>'])
+def test_wrappers_of_the_content_stay(wrapper):
+    text = "".join(f"<p>Paragraph {i} with quite a few words that stand in the main text, and a comma.</p>" for i in range(5))
+    beside = '<div class="ad widget"><p>Buy</p></div><form><p>Your mail<input></form>'
+    for held in (f"<article>{text}</article>", f"<div>{text}</div>"):
+        got = html_main.main_text(f"<html><body>{beside}{wrapper % held}{beside}</body></html>")
+        assert got.count("\n") == 4 and got.startswith("Paragraph 0") and "Buy" not in got
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "</p></div>", "<!--", "<script>", "<a href='", "<table><tr><td>x<td>y", "&#xZZ; &bogus", "<div>" * 3000 + "x"])
 def test_malformed_pages(page):
     assert isinstance(html_main.main_text(page), str)
