@@ -138,24 +138,51 @@ def block_criterion(pairs: DataFrame, kind: str, least: float, size: int) -> Dat
     return pairs.withColumn("value", value("a.vec", "b.vec")).filter(F.col("value") >= least)
 
 
-def gray_buckets(points: DataFrame, gray: str, step: int = 40, overlap: int = 10) -> DataFrame:
-    """Points by gray level in overlapping buckets: one near a border is in both."""
-    here = F.floor(F.col(gray) / step).cast("int")
-    also = F.when((F.col(gray) % step < overlap) & (here > 0), here - 1)
-    return points.withColumn("bucket", F.explode(F.filter(F.array(here, also), lambda b: b.isNotNull())))
-
-
-def bucketed_matches(points: DataFrame, gray: str, limit: float, clone: float, step: int = 40, overlap: int = 10) -> DataFrame:
-    """a, b: unordered pairs by the angle ratio test within gray buckets, at least `clone` apart, each once."""
-    rows = gray_buckets(points, gray, step, overlap)
-    p = rows.select("image_id", "bucket", F.struct("id", "y", "x", "vec").alias("a"))
-    q = rows.select("image_id", "bucket", F.struct("id", "y", "x", "vec").alias("b"))
-    pairs = p.join(q, ["image_id", "bucket"]).filter("a.id <> b.id")
+def gray_buckets(points: DataFrame, gray: str) -> DataFrame:
+    """Points of each image and octave by gray level: one bucket of all below 5,000 points, then buckets of 40 that reach 10 further down, from 10,000 on of 20 and 5; those of under five points go."""
+
+    def cells(step: int, overlap: int) -> Column:
+        return F.sequence(F.greatest(F.lit(0), F.ceil(F.col(gray) / step).cast("int") - 1), F.least(F.lit(255 // step), F.floor((F.col(gray) + overlap) / step).cast("int")))
+
+    n = F.col("__n")
+    rows = points.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("image_id", "octave")))
+    rows = rows.withColumn("bucket", F.explode(F.when(n < 5000, F.array(F.lit(0))).when(n < 10000, cells(40, 10)).otherwise(cells(20, 5))))
+    size = F.count(F.lit(1)).over(Window.partitionBy("image_id", "octave", "bucket"))
+    return rows.withColumn("__size", size).filter((n < 5000) | (F.col("__size") >= 5)).drop("__n", "__size")
+
+
+def without_isolated(pairs: DataFrame, radius: float, neighbours: int) -> DataFrame:
+    """Pairs (image_id, a, b) of which one end has at least so many ends of pairs within the radius, itself not counted."""
+    if neighbours <= 0:
+        return pairs
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a.y").alias("y"), F.col("a.x").alias("x")), F.struct(F.lit(1).alias("side"), F.col("b.y").alias("y"), F.col("b.x").alias("x"))))
+    ends = pairs.select("image_id", F.struct("a.id", F.col("b.id").alias("to")).alias("pair"), sides.alias("e")).withColumns({"cy": F.floor(F.col("e.y") / radius), "cx": F.floor(F.col("e.x") / radius)})
+    other = ends.select("image_id", F.col("pair").alias("q"), F.col("e").alias("f"), F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)).alias("cy"), "cx")
+    other = other.select("image_id", "q", "f", "cy", F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1)).alias("cx"))
+    dy, dx = F.col("e.y") - F.col("f.y"), F.col("e.x") - F.col("f.x")
+    met = ends.join(other, ["image_id", "cy", "cx"]).filter(((F.col("pair") != F.col("q")) | (F.col("e.side") != F.col("f.side"))) & (dy * dy + dx * dx <= radius * radius))
+    kept = met.groupBy("image_id", "pair", "e").count().filter(F.col("count") >= neighbours).select("image_id", F.col("pair.id").alias("__a"), F.col("pair.to").alias("__b")).distinct()
+    keyed = pairs.withColumns({"__a": F.col("a.id"), "__b": F.col("b.id")})
+    return keyed.join(kept, ["image_id", "__a", "__b"], "left_semi").drop("__a", "__b")
+
+
+def bucketed_matches(points: DataFrame, gray: str, limit: float, clone: float, octave: str | None = None, neighbours: int = 0) -> DataFrame:
+    """a, b: unordered pairs by the angle ratio test within gray buckets of an octave, at least `clone` apart, each once; isolated pairs go.
+
+    octave: the column of the scale octave, None for one. neighbours: ends that one end of a pair has within clone / 2 + 50 at least; by
+    rule of the reference min(3, round(3 * megapixels)), so 0 for small images.
+    """
+    rows = gray_buckets(points.withColumn("octave", F.lit(0) if octave is None else F.col(octave)), gray)
+    cell = ["image_id", "octave", "bucket"]
+    p = rows.select(*cell, F.struct("id", "y", "x", "vec").alias("a"))
+    q = rows.select(*cell, F.struct("id", "y", "x", "vec").alias("b"))
+    pairs = p.join(q, cell).filter("a.id <> b.id")
     dot = F.aggregate(F.zip_with("a.vec", "b.vec", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     pairs = pairs.withColumn("angle", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))))
-    w = Window.partitionBy("image_id", "bucket", "a.id").orderBy("angle", "b.id")
+    w = Window.partitionBy(*cell, "a.id").orderBy("angle", "b.id")
     best = pairs.withColumn("n", F.row_number().over(w)).withColumn("next", F.lead("angle").over(w)).filter("n = 1").filter(F.col("angle") < limit * F.col("next"))
-    best = best.filter(far_enough(clone))
+    best = best.filter(far_enough(clone)).select("image_id", F.struct("a.id", "a.y", "a.x").alias("a"), F.struct("b.id", "b.y", "b.x").alias("b")).distinct()
+    best = without_isolated(best, clone / 2 + 50, neighbours)
     return best.select("image_id", F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
 

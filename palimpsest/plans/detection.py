@@ -225,7 +225,7 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def keypoint_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs by an angle ratio within overlapping gray buckets."""
+    """Pairs by an angle ratio; images of this size have one octave and no neighbours to find, and so few points one gray bucket."""
     return M.bucketed_matches(_points(spark, sf_dir), "gray", 0.98, 2.0)
 
 

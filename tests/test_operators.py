@@ -291,6 +291,22 @@ def test_every_text_is_matched_under_its_own_id(spark, tmp_path):
     assert sorted((r["image_id"], r["x"], r["label"]) for r in regions) == [(i, x, 1) for i in ids for x in (1, 2, 5, 6)]
 
 
+def test_keypoints_of_any_gray_level_match(spark):
+    import math
+
+    at = lambda t: [math.cos(t), math.sin(t)]
+    rows = [(0, 0, 0, 0, 10, 0, at(0.0)), (0, 1, 0, 90, 200, 0, at(0.01)), (0, 2, 300, 300, 10, 0, at(0.8)), (0, 3, 0, 95, 200, 1, at(0.001))]
+    rows += [(1, i, y, x, 10, 0, at(t)) for i, (y, x, t) in enumerate([(0, 0, 0.0), (0, 200, 0.01), (9, 0, 0.5), (9, 200, 0.51), (900, 900, 1.0), (900, 1200, 1.01)])]
+    points = spark.createDataFrame(rows, "image_id int, id int, y int, x int, gray int, octave int, vec array<double>")
+    found = lambda **more: sorted(map(tuple, matching.bucketed_matches(points, "gray", 0.5, 2.0, **more).collect()))
+    assert found(octave="octave") == [(0, 0, 1), (1, 0, 1), (1, 2, 3), (1, 4, 5)]
+    assert (0, 0, 3) in found()
+    assert [r for r in found(octave="octave", neighbours=2) if r[0] == 1] == [(1, 0, 1), (1, 2, 3)]
+    many = spark.range(10000).selectExpr("cast(id div 5000 as int) as image_id", "id", "0 as octave", "cast(id % 250 as int) as gray")
+    cut = {(r["gray"], r["bucket"]) for r in matching.gray_buckets(many, "gray").select("gray", "bucket").distinct().collect()}
+    assert cut == {(g, b) for g in range(250) for b in range(7) if max(0, b * 40 - 10) <= g <= b * 40 + 40}
+
+
 def test_files_samples_and_matches(spark, tmp_path):
     (tmp_path / "a" / "b").mkdir(parents=True)
     (tmp_path / "a" / "b" / "annotations.json").write_text("{}")
