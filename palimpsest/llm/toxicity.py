@@ -1,7 +1,8 @@
 """Toxic passages as maximum-scoring segments of token log-odds, calibrated by extreme-value statistics.
 
-Learning uses labelled documents alone, about `most_labelled` of them at most, those whose keys' hash is lowest (a documented
-bound; the rest of the operator covers every row). Words are letters and digits with A-Z in lower case.
+Learning uses labelled documents alone, about `most_labelled` of them and `most_bytes` of their texts at most, those whose keys' hash
+is lowest (documented bounds; the rest of the operator covers every row). A lexicon feature stands in several of these documents, so
+its size is bounded by theirs: under `most_bytes` / 3 entries. Words are letters and digits with A-Z in lower case.
 
 1. A word's features are itself and its beginnings of 4 to 8 bytes, which stand for words that are built from one
    stem. Features that toxic and clean documents hold unequally, by a likelihood ratio of `min_z` standard normal
@@ -13,8 +14,12 @@ bound; the rest of the operator covers every row). Words are letters and digits
 3. Per document, the best segment's S - ln(K n) and the summed excess of the significant segments, mapped to a probability by a
    logistic fit on the labelled documents.
 
-A document without words, null and empty texts included, has no segment and gets the probability of such documents.
-Repeated labels of a key count as toxic if any is. Without labels of both classes every score is the share of toxic labels (0 without labels).
+A document without words, null and empty texts included, has no segment and gets the probability of such documents. Long texts are
+scanned whole. Repeated rows are scored each, and counted as often as they stand if labelled; repeated labels of a key count as toxic if any is. Null keys and
+null labels teach nothing. Of a word's features of equal significance the first in the order of `features_of` counts. Without labels of both
+classes every score is the share of toxic labels (0 without labels). An empty table gives an empty result; other columns are not looked at.
+
+The features, `min_z` and `prior_words` were chosen by four folds inside the rows whose labels may be learned (`without`), never by held-out ones.
 """
 
 from __future__ import annotations
@@ -28,10 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import kernels as K
-from palimpsest.llm.tables import is_small, join_sized
-from palimpsest.session import durable, prepare
+from palimpsest.llm.tables import join_sized
+from palimpsest.session import discard, durable, prepare
 
-LEXICON_MOST = 1_000_000
 #: Counts that a task adds up before it passes them on.
 HELD = 2_000_000
 STEMS = (4, 5, 6, 7, 8)
@@ -76,8 +80,12 @@ def classes_of(data: np.ndarray, w: K.Words, features: np.ndarray, significance:
     return out
 
 
+def fold(key: str) -> F.Column:
+    return F.crc32(F.encode(F.coalesce(F.col(key).cast("string"), F.lit("")), "UTF-8")) % 5
+
+
 def held_out(key: str) -> F.Column:
-    return F.crc32(F.encode(F.coalesce(F.col(key).cast("string"), F.lit("")), "UTF-8")) % 5 == 0
+    return fold(key) == 0
 
 
 def maximal_segments(values: list[float]) -> list[tuple[int, int, float]]:
@@ -200,9 +208,7 @@ def lexicon(counts: DataFrame, toxic_docs: int, clean_docs: int, min_z: float) -
     holds, lacks = "(toxic + clean)", f"({n1 + n0} - toxic - clean)"
     ratio = " + ".join([term("toxic", holds, n1), term("clean", holds, n0), term(f"({n1} - toxic)", lacks, n1), term(f"({n0} - clean)", lacks, n0)])
     marked = counts.withColumn("z", F.expr(f"sqrt(greatest(0, 2 * ({ratio})))")).filter(F.col("z") >= min_z).select("feature", "z")
-    if not is_small(marked, LEXICON_MOST):
-        raise ValueError(f"over {LEXICON_MOST} features differ between the classes; raise min_z")
-    rows = marked.toArrow()  # at most LEXICON_MOST
+    rows = marked.toArrow()  # bounded by the labelled texts
     feature = rows["feature"].to_numpy().view(np.uint64)
     order = np.argsort(feature)
     return feature[order], rows["z"].to_numpy()[order]
@@ -235,18 +241,22 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return beta
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most_labelled: int = 20_000, prior_words: float = 100.0, min_z: float = 5.0, significant: float = 0.05) -> Model:
-    """Of the labelled rows whose key's crc32 modulo 5 is not 0."""
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most_labelled: int = 20_000, most_bytes: int = 128 << 20, prior_words: float = 100.0, min_z: float = 5.0, significant: float = 0.05, without: int = 0) -> Model:
+    """Of the labelled rows whose key's crc32 modulo 5 is neither 0 nor `without`."""
     spark = prepare(docs.sparkSession)
-    marked = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("__key")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
-    marked = durable(marked, "labels")
-    if (n := marked.count()) > most_labelled:  # keys of the lowest hashes, by a threshold: no task sees more than its own rows
-        marked = durable(marked.filter(F.pmod(F.xxhash64("__key"), F.lit(1 << 30)) < int(most_labelled / n * (1 << 30))), "labelled")
+    allowed = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & ~fold(key).isin(0, without))
+    marked = durable(allowed.groupBy(F.col(key).alias("__key")).agg(F.max(F.col(label).cast("int")).alias("toxic")), "labels")
+    place = F.pmod(F.xxhash64("__key"), F.lit(1 << 30))
+    limit = int(min(1.0, most_labelled / max(1, marked.count())) * (1 << 30))  # keys of the lowest hashes, by a threshold: no task sees more than its own rows
     body = docs.select(F.col(key).alias("__key"), F.col(text).alias("text"))
-    rows = durable(join_sized(body, marked, "__key").select("toxic", "text"), "labelled-texts")
+    labelled = durable(join_sized(body, durable(marked.filter(place < limit), "labelled"), "__key"), "labelled-texts")
+    held = int(labelled.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    rows = labelled.filter(place < int(limit * min(1.0, most_bytes / max(1, held)))).select("toxic", "text")
     counted = rows.mapInArrow(_feature_counts, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
-    features, significance = lexicon(durable(counted, "feature-counts"), sizes.get(1, 0), sizes.get(0, 0), min_z)
+    counts = durable(counted, "feature-counts")
+    features, significance = lexicon(counts, sizes.get(1, 0), sizes.get(0, 0), min_z)
+    discard(counts)
     by_place = rows.mapInArrow(_class_counts(features, significance), "place long, toxic long, clean long").groupBy("place").agg(F.sum("toxic"), F.sum("clean")).collect()  # at most one row a feature
     scores, other = class_scores(by_place, len(features), prior_words)
     model = Model(features, significance, scores, other, 0.0, (0.0, 0.0, 0.0), significant)
@@ -278,6 +288,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, len(best)), pa.array(np.round(best * 4) / 4), pa.array(np.round(excess * 4) / 4)], names=["toxic", "best", "excess"])
 
     cells = rows.mapInArrow(features, "toxic int, best double, excess double").groupBy("toxic", "best", "excess").count().collect()  # cells of a bounded grid
+    discard(marked)
+    discard(labelled)
     y = np.array([r[0] for r in cells], dtype=float)
     n = np.array([r[3] for r in cells], dtype=float)
     if not len(y) or y.min() == y.max():
