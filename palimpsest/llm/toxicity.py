@@ -36,8 +36,10 @@ from palimpsest.llm import kernels as K
 from palimpsest.llm.tables import join_sized
 from palimpsest.session import discard, durable, prepare
 
-#: Counts that a task adds up before it passes them on.
-HELD = 2_000_000
+#: Counts that a task adds up before it passes them on: some 20 MB with the copies that sorting makes.
+HELD = 200_000
+#: Text whose features are made at once.
+COUNTED_BYTES = 1 << 18
 STEMS = (4, 5, 6, 7, 8)
 STEM_MARK = np.uint64(0x6A09E667F3BCC909)
 
@@ -171,16 +173,16 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for batch in batches:
         toxic = batch.column(0).to_numpy(zero_copy_only=False)
-        for c in K.chunks(batch.column(1)):
+        for c in K.chunks(batch.column(1), COUNTED_BYTES):
             w = words_of(c.bytes, c.offsets)
             for h, word in features_of(c.bytes, w):
                 h, row = K.distinct_in_row(h, w.doc[word])
                 key, at, n = np.unique(h, return_inverse=True, return_counts=True)
                 bad = np.bincount(at, weights=toxic[c.first + row], minlength=len(key))
                 parts.append((key, bad, n - bad))
-            if sum(len(p[0]) for p in parts) > HELD:
-                yield from _summed(parts, "feature")
-                parts = []
+                if sum(len(p[0]) for p in parts) > HELD:
+                    yield from _summed(parts, "feature")
+                    parts = []
     yield from _summed(parts, "feature")
 
 
