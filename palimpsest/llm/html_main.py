@@ -3,14 +3,16 @@
 A page becomes a tree of elements in one pass (comments, scripts and the like are skipped, ends that HTML leaves out
 are supplied). Elements that are boilerplate by tag or role are left out with all below them; forms and elements with a class or id that names
 nothing but boilerplate only where they hold no article or main and not the greatest density sum, so wrappers of the content stay. Every other node gets its characters, tags, link characters and link tags, and
-from them its link-adjusted characters per tag; a node's density sum adds up its children's. The node with the
-greatest sum below the body is content; the threshold is the least density on its path to the body, and in each other subtree
-that reaches it the node with the greatest sum is content too. Content that lies within one article or
-main element stands for that element, so short headings and paragraphs stay with it.
+from them its link-adjusted characters per tag (its density); a node's density sum adds up its children's. Of the containers (elements that hold a block) the
+one with the greatest sum is content, the outermost, first of equals; a body without containers is content itself. The threshold is the least density on the way from
+there to the body, and in each other subtree that reaches it the container with the greatest sum, or the subtree without containers, is content too.
+If the greatest sum lies in an article, that article is content as a whole and alone: short headings and paragraphs stay with it, what lies beside it goes. Without an
+article a main element does the same.
 
 Text: character references are decoded, white space within a block becomes one space, blocks are trimmed, empty ones go, and the
 rest are joined in page order by one line feed. A null or empty page, and one without text, gives an empty string. Nothing is cut off; malformed pages are
-read as far as they make sense. Time and memory are linear in the page.
+read as far as they make sense. Time and memory are linear in the page, however deep it nests. Repeated rows are answered each, an empty table
+gives an empty result, and columns of the input with the names of the output's are not looked at.
 """
 
 from __future__ import annotations
@@ -61,7 +63,7 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("best", "chars", "children", "density", "link_chars", "link_tags", "parent", "suspect", "sum", "tag", "tags")
+    __slots__ = ("best", "chars", "children", "density", "link_chars", "link_tags", "parent", "pick", "suspect", "sum", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None, suspect: bool = False):
         self.tag, self.parent, self.suspect = tag, parent, suspect
@@ -71,6 +73,64 @@ class Node:
     def clear(self) -> None:
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = self.best = 0.0
+        self.pick: Node | None = None  # of the greatest sum, `best`, among the containers of the subtree
+
+
+class Stack:
+    """The open elements, with the places of each tag and of the blocks among them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.blocks = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCKS:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element of one of the tags, or 0."""
+        return max([self.places[t][-1] for t in tags if self.places.get(t)], default=0)
+
+    def cut(self, k: int) -> bool:
+        """Closes the elements from place k on; True if a block or form was among them."""
+        edge = False
+        while len(self.nodes) > k:
+            tag = self.nodes.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+            edge |= tag in BLOCKS or tag == "form"
+        return edge
+        self.pick: Node | None = None  # of the greatest sum, `best`, among the containers of the subtree
+
+
+class Stack:
+    """The open elements, with the places of each tag and of the blocks among them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.blocks = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCKS:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element of one of the tags, or 0."""
+        return max([self.places[t][-1] for t in tags if self.places.get(t)], default=0)
+
+    def cut(self, k: int) -> bool:
+        """Closes the elements from place k on; True if a block or form was among them."""
+        edge = False
+        while len(self.nodes) > k:
+            tag = self.nodes.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+            edge |= tag in BLOCKS or tag == "form"
+        return edge
 
 
 def _attributes(body: str) -> dict[str, str]:
@@ -103,7 +163,7 @@ def is_suspect(tag: str, attributes: dict[str, str]) -> bool:
 def parse(page: str) -> tuple[Node, list[tuple[Node | None, str]]]:
     """The tree below html, and its text runs in page order with the node of each; a block's edge is (None, "")."""
     root = Node("html", None)
-    stack, runs = [root], []
+    stack, runs = Stack(root), []
     skip: list[str] = []  # open elements from the outermost boilerplate one on
     lower, at, n, text_from = page.lower(), 0, len(page), 0
     if len(lower) != n:  # some letters have longer lower cases
@@ -111,14 +171,11 @@ def parse(page: str) -> tuple[Node, list[tuple[Node | None, str]]]:
 
     def text(end: int) -> None:
         if end > text_from and not skip:
-            runs.append((stack[-1], page[text_from:end]))
+            runs.append((stack.nodes[-1], page[text_from:end]))
 
     def close(k: int) -> None:
-        for node in stack[k:]:
-            if node.tag in BLOCKS or node.tag == "form":
-                runs.append((None, ""))
-                break
-        del stack[k:]
+        if stack.cut(k):
+            runs.append((None, ""))
 
     while (start := page.find("<", at)) >= 0:
         mark = page[start + 1 : start + 2]
@@ -148,10 +205,8 @@ def parse(page: str) -> tuple[Node, list[tuple[Node | None, str]]]:
                     pass
             elif not skip or tag in ENCLOSING:
                 skip.clear()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        close(k)
-                        break
+                if k := stack.last((tag,)):
+                    close(k)
             continue
         body = page[name.end() : end - 1] if end > name.end() else ""
         if tag in RAW:
@@ -168,25 +223,16 @@ def parse(page: str) -> tuple[Node, list[tuple[Node | None, str]]]:
             continue
         if tag == "html":
             continue
-        if tag == "body" and any(x.tag == "body" for x in stack):
+        if tag == "body" and stack.last(("body",)):
             continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    close(k)
-                    break
-                if stack[k].tag in BLOCKS:
-                    break
+        if tag in CLOSES_P and (k := stack.last(("p",))) and k == stack.blocks[-1]:
+            close(k)
         if tag in ENDS:
             ended, walls = ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in walls:
-                    break
-                if stack[k].tag in ended:
-                    close(k)
-                    break
+            if (k := stack.last(ended)) > stack.last(walls):
+                close(k)
         attributes = _attributes(body)
-        if is_boilerplate(tag, attributes, any(x.tag in HOLDS for x in stack)):
+        if is_boilerplate(tag, attributes, stack.last(HOLDS) > 0):
             runs.append((None, ""))
             if tag not in VOID and not body.endswith("/"):
                 skip.append(tag)
@@ -195,11 +241,11 @@ def parse(page: str) -> tuple[Node, list[tuple[Node | None, str]]]:
         if tag in BLOCKS or suspect:
             runs.append((None, ""))
         elif tag == "br":
-            runs.append((stack[-1], " "))
-        node = Node(tag, stack[-1], suspect)
-        stack[-1].children.append(node)
+            runs.append((stack.nodes[-1], " "))
+        node = Node(tag, stack.nodes[-1], suspect)
+        stack.nodes[-1].children.append(node)
         if tag not in VOID and not body.endswith("/"):
-            stack.append(node)
+            stack.push(node)
     text_from = max(text_from, 0)
     text(n)
     return root, runs
@@ -236,16 +282,17 @@ def measure(root: Node, runs: list[tuple[Node | None, str]]) -> tuple[list[Node]
             ratio = c / max(1, lc) * t / max(1, lt)
             node.density = c / t * (math.log(max(ratio, 1.0)) / math.log(base) if base > 1.0 + 1e-9 else math.log(max(ratio, 1.0)) + 1.0)
         node.sum = sum(x.density for x in node.children)
-        node.best = max([node.sum, *(x.best for x in node.children)])
+        inner = max((x for x in node.children if x.pick), key=lambda x: x.best, default=None)
+        if inner is not None and (inner.best > node.sum or not is_container(node)):
+            node.best, node.pick = inner.best, inner.pick
+        elif is_container(node):
+            node.best, node.pick = node.sum, node
     return nodes, body
 
 
-def _best(node: Node) -> Node:
-    """The node of the greatest density sum in the subtree; the outermost, first one of equals."""
-    want = node.best
-    while node.sum < want:
-        node = next(x for x in node.children if x.best >= want)
-    return node
+def is_container(node: Node) -> bool:
+    """Whether blocks stand in it: a paragraph is content of a container, not one."""
+    return any(x.tag in BLOCKS for x in node.children)
 
 
 def prune(nodes: list[Node], body: Node) -> bool:
@@ -253,7 +300,7 @@ def prune(nodes: list[Node], body: Node) -> bool:
     if not any(x.suspect for x in nodes):
         return False
     holders: set[int] = set()
-    for node in [_best(body), *(x for x in nodes if x.tag in HOLDS)]:
+    for node in [body.pick or body, *(x for x in nodes if x.tag in HOLDS)]:
         while node is not None and id(node) not in holders:
             holders.add(id(node))
             node = node.parent
@@ -265,37 +312,26 @@ def prune(nodes: list[Node], body: Node) -> bool:
 
 def select(body: Node) -> list[Node]:
     """The content nodes."""
-    top = _best(body)
-    threshold, node = top.density, top
-    while node is not body and node.parent is not None:
-        node = node.parent
-        threshold = min(threshold, node.density)
-    marked, todo, seen = [top], [body], {id(top)}
+    top = body.pick or body
+    path = [top]
+    while path[-1] is not body and path[-1].parent is not None:
+        path.append(path[-1].parent)
+    for tag in ("article", "main"):
+        if holder := next((x for x in reversed(path) if x.tag == tag), None):
+            return [holder]
+    threshold, way = min(x.density for x in path), {id(x) for x in path}
+    marked, seen, todo = [top], {id(top)}, [body]
     while todo:
         node = todo.pop()
         if id(node) in seen:
             continue
-        if node is not body and node.chars and node.density >= threshold and not _holds(node, top):
-            best = _best(node)
+        if id(node) not in way and node.chars and node.density >= threshold:
+            best = node.pick or node
             if id(best) not in seen:
                 seen.add(id(best))
                 marked.append(best)
         todo.extend(node.children)
-    path = []
-    node = top
-    while node is not None and node is not body:
-        path.append(node)
-        node = node.parent
-    holder = next((x for x in reversed(path) if x.tag in HOLDS), None)
-    return [holder] if holder is not None else marked
-
-
-def _holds(node: Node, inner: Node | None) -> bool:
-    while inner is not None:
-        if inner is node:
-            return True
-        inner = inner.parent
-    return False
+    return marked
 
 
 def main_text(page: str | None) -> str:

@@ -1,8 +1,10 @@
 """Byte kernels, token counts, byte-level BPE, rules, personal data, pages, decontamination: against plain versions."""
 
 import hashlib
+import math
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -185,6 +187,85 @@ def test_wrappers_of_the_content_stay(wrapper):
         assert got.count("\n") == 4 and got.startswith("Paragraph 0") and "Buy" not in got
 
 
+@pytest.mark.parametrize("page", ['<body><div class="content has-sidebar"><p>long text</p></div></body>', '<div id="page" class="layout-sidebar-right">long text</div>', '<div class="row widgets-area-off"><p>long text</div>', '<article><div class="social-science"><p>long text</p></div></article>', "long <i>text</i>"])
+def test_small_pages_keep_their_text(page):
+    assert html_main.main_text(page) == "long text"
+
+
+def random_page(r):
+    def some(depth):
+        out = []
+        for _ in range(r.randrange(1, 5)):
+            tag = r.choice(["div", "section", "p", "a", "b", "ul", "text", "text"])
+            if tag == "text" or not depth:
+                out.append(" ".join("w" * r.randrange(1, 9) for _ in range(r.randrange(12))))
+            else:
+                out.append(f"<{tag}>{some(depth - 1)}</{tag}>")
+        return "".join(out)
+
+    return f"<html><body>{some(r.randrange(1, 6))}</body></html>"
+
+
+def plain_density(node, own, linked, share):
+    def count(x, inside):
+        inside = inside or x.tag == "a"
+        total = [own.get(id(x), 0), 0, own.get(id(x), 0) if inside else 0, 0]
+        for child in x.children:
+            c = count(child, inside)
+            total = [total[0] + c[0], total[1] + c[1] + 1, total[2] + c[2], total[3] + c[3] + (child.tag == "a")]
+        return total
+
+    c, t, lc, lt = count(node, linked)
+    if not c:
+        return 0.0, c, lc
+    t = max(1, t)
+    base = math.log(c * lc / max(1, c - lc) + (share or 0.0) * c + math.e)
+    return c / t * math.log(max(1.0, c / max(1, lc) * t / max(1, lt)), base) if base > 1.0 + 1e-9 else c / t * (math.log(max(1.0, c / max(1, lc) * t / max(1, lt))) + 1.0), c, lc
+
+
+def test_densities_sums_and_content_against_their_definitions():
+    r = random.Random(11)
+    for _ in range(150):
+        root, runs = html_main.parse(random_page(r))
+        nodes, body = html_main.measure(root, runs)
+        own, ways = {}, {}
+        for node, run in runs:
+            if node is not None:
+                own[id(node)] = own.get(id(node), 0) + len("".join(run.split()))
+        for x in nodes:
+            ways[id(x)] = [x] if x.parent is None else [x, *ways[id(x.parent)]]
+        _, chars, links = plain_density(body, own, False, 0.0)
+        density = {id(x): plain_density(x, own, any(y.tag == "a" for y in ways[id(x)][1:]), links / chars if chars else 0.0)[0] for x in nodes}
+        assert all(x.density == pytest.approx(density[id(x)]) for x in nodes)
+        assert all(x.sum == pytest.approx(sum(density[id(c)] for c in x.children)) for x in nodes)
+
+        def below(x):
+            return [x, *[y for c in x.children for y in below(c)]]
+
+        def greatest(x):
+            held = [y for y in below(x) if any(c.tag in html_main.BLOCKS for c in y.children)]
+            return next((y for y in held if y.sum == max(z.sum for z in held)), x)
+
+        top = greatest(body)
+        way = ways[id(top)][: [id(x) for x in ways[id(top)]].index(id(body)) + 1]
+        least = min(x.density for x in way)
+        want = {id(y) for y in below(top)}
+        for x in below(body):
+            if all(x is not y for y in way) and x.chars and x.density >= least:
+                want |= {id(y) for y in below(greatest(x))}
+        assert {id(y) for x in html_main.select(body) for y in below(x)} == want
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    for page in ("<div>", "<ul><li>", "<div><header>h</header>", "<div></x>", "<span></p>", "<div><p>some text here"):
+        took = []
+        for n in (3000, 24_000):
+            start = time.perf_counter()
+            html_main.main_text(page * n + "x")
+            took.append(time.perf_counter() - start)
+        assert took[1] < 30 * took[0] + 0.5
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "</p></div>", "<!--", "<script>", "<a href='", "<table><tr><td>x<td>y", "&#xZZ; &bogus", "<div>" * 3000 + "x"])
 def test_malformed_pages(page):
     assert isinstance(html_main.main_text(page), str)
