@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,19 +35,39 @@ def shared_folder(spark: SparkSession) -> str:
     if conf:
         return conf.rstrip("/")
     if not getattr(spark, "_palimpsest_folder", None):
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark._palimpsest_folder = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
     return spark._palimpsest_folder
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here and lost executors cost nothing."""
+#: The tables of each open scratch().
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that durable() writes within are deleted at the end: what reads them must be written by then."""
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        for one in made:
+            discard(one)
+
+
+def durable(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends here and lost executors cost nothing. kept: an open scratch() leaves it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/palimpsest/{name}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._palimpsest_path = path
+    if _scopes and not kept:
+        _scopes[-1].append(out)
     return out
 
 
