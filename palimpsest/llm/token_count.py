@@ -8,7 +8,12 @@ lowest score less 10; with byte fallback it counts one token a byte, else a run
 
 Text is cut only where no piece can span the cut (before a word mark that follows another character, and around line ends that no piece holds),
 so counts are those of the whole text and words can be kept. Scores are rounded to multiples of 2^-16: sums are exact, in any order.
-Null and empty texts count 0.
+
+`zipf_scores` gives a ranked vocabulary the log-probabilities of Zipf's law, as public unigram files are rare: the counts then are those of a
+unigram tokenizer with these scores, not of the tokenizer that the vocabulary was trained for.
+
+Null and empty texts count 0; texts of any length are counted whole, in memory bounded by the longest piece beside the text. Any character counts,
+U+0000 too. Repeated rows are counted each, an empty table gives an empty result, and other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -56,10 +61,10 @@ class UnigramCounter:
         """Token counts of strings whose spaces are marks already: one dynamic program, in step over all of them."""
         out = np.zeros(len(strings), dtype=np.int64)
         apart = not self.byte_fallback  # runs of unknowns need the state that only the single walk carries
-        long = [i for i, s in enumerate(strings) if len(s) > STEP_CHARS or apart and s]
+        long = [i for i, s in enumerate(strings) if len(s) > STEP_CHARS or apart and s or "\0" in s]  # U+0000 separates the others
         for i in long:
             out[i] = self.tokens_of_long(strings[i])
-        short = [] if apart else [i for i, s in enumerate(strings) if 0 < len(s) <= STEP_CHARS]
+        short = [] if apart else [i for i, s in enumerate(strings) if 0 < len(s) <= STEP_CHARS and "\0" not in s]
         if not short:
             return out
         joined = "\0".join([strings[i] for i in short])
