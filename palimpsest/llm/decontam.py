@@ -5,13 +5,15 @@ punctuation and junk marks don't hide a passage). An item is found in a text whe
 are in it, wherever they stand. The text may be thousands of times longer, so plain MinHash signatures of both would
 hardly ever agree. Instead the item alone is sketched: its least shingles under a seeded permutation. Containment c
 means that each of them is in the text with probability c; and with m = n - ceil(threshold * n) + 1 of n, at
-least one is for certain. Items are partitioned by size, and all items of a partition take the m of its largest
+least one is for certain. Items are partitioned by size (powers of two), and all items of a partition take the m of its largest
 size, so every partition is one fixed-length sketch table and no contained item is missed.
 
-Texts are streamed past the sketches: a text that holds a sketch value of an item is a candidate, and the exact share of the
+Texts are streamed past the partitions: those that are too short for the least item of a partition leave it out; of the others, a
+text that holds a sketch value of an item is a candidate of its partition, and the exact share of the
 item's shingles decides. An item of fewer than five words is one shingle of all its words. Items without words are in
 no text. Items come in blocks of at most `block_shingles` shingles, the only data that is sent to every executor; each block is one pass.
-Null and empty texts hold nothing. Repeated rows are answered each; equal items too.
+Null and empty texts hold nothing; long texts are searched whole. Repeated rows are answered each; equal items too. Without texts or items
+nothing is found. Columns of other names, and such as clash with the output's, are not looked at (decontaminate keeps them).
 """
 
 from __future__ import annotations
@@ -30,13 +32,20 @@ from palimpsest.session import prepare
 PERMUTATION = np.uint64(0x5851F42D4C957F2D)
 
 
-class Items(NamedTuple):
-    """Sorted (shingle, item) pairs of a block of items, the sketch values among them, and the items' sizes."""
+class Partition(NamedTuple):
+    """Items of one size class: sorted (shingle, item) pairs, the sketch values among them, and the least number of shingles that a text needs."""
 
     shingle: np.ndarray
     item: np.ndarray
-    size: np.ndarray
     probes: np.ndarray
+    least: int
+
+
+class Items(NamedTuple):
+    """A block of items: its partitions, the items' sizes, and the words of a shingle that occur."""
+
+    partitions: tuple[Partition, ...]
+    size: np.ndarray
     lengths: tuple[int, ...]
 
 
@@ -55,17 +64,19 @@ def sketch(texts: list[str], words: int, threshold: float) -> Items:
         rows.append(row[own])
     shingle, item = K.distinct_in_row(np.concatenate(hashes), np.concatenate(rows))
     size = K.per_row(item, len(texts))
-    partition = np.frexp(np.maximum(size, 1))[1]  # by powers of two
-    probes = []
-    for p in np.unique(partition[size > 0]):
-        members = np.flatnonzero((partition == p) & (size > 0))
-        most = size[members].max()
+    kind = np.frexp(size)[1][item]
+    order = np.lexsort((K.mix(shingle ^ PERMUTATION), item))  # of each item its least values first
+    place = np.arange(len(item)) - np.searchsorted(item, item)
+    partitions = []
+    for p in np.unique(kind):
+        own = kind == p
+        sizes = size[item[own]]
+        most = int(sizes.max())
         m = int(most - np.ceil(threshold * most - 1e-9) + 1)
-        for i in members:
-            own = shingle[item == i]
-            probes.append(own[np.argsort(K.mix(own ^ PERMUTATION))][:m])
-    order = np.argsort(shingle, kind="stable")
-    return Items(shingle[order], item[order], size, np.unique(np.concatenate(probes)) if probes else np.zeros(0, np.uint64), tuple(sorted(lengths)))
+        probes = np.unique(shingle[order][own & (place < m)])
+        by = np.argsort(shingle[own], kind="stable")
+        partitions.append(Partition(shingle[own][by], item[own][by], probes, int(np.ceil(threshold * sizes.min() - 1e-9))))
+    return Items(tuple(partitions), size, tuple(sorted(lengths)))
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -81,26 +92,32 @@ def _among(h: np.ndarray, values: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return maybe[values[at] == h[maybe]]
 
 
-def search(data: np.ndarray, offsets: np.ndarray, items: Items, probe_bits: np.ndarray, all_bits: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tables(items: Items) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(_bits(p.probes), _bits(p.shingle)) for p in items.partitions]
+
+
+def search(data: np.ndarray, offsets: np.ndarray, items: Items, bits: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, item, shared shingles) of every text and item that it contains."""
-    none = np.zeros(0, np.int64)
-    if not len(items.probes):
-        return none, none, none
-    w = K.words(data, offsets, K.NON_ALNUM, K.LOWER)
-    made = [K.shingles(w, k)[:2] for k in items.lengths]
-    h, row = np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
-    hit = np.zeros(len(offsets) - 1, dtype=bool)
-    hit[row[_among(h, items.probes, probe_bits)]] = True
-    kept = np.flatnonzero(hit[row])
-    kept = kept[_among(h[kept], items.shingle, all_bits)]
-    h, row = K.distinct_in_row(h[kept], row[kept])
-    first, last = np.searchsorted(items.shingle, h, "left"), np.searchsorted(items.shingle, h, "right")
-    n = last - first
-    at = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-    pair, shared = np.unique(np.repeat(row, n) * len(items.size) + items.item[at], return_counts=True)
-    row, item = pair // max(1, len(items.size)), pair % max(1, len(items.size))
-    found = shared >= np.ceil(threshold * items.size[item] - 1e-9)
-    return row[found], item[found], shared[found]
+    rows, found = len(offsets) - 1, [(np.zeros(0, np.int64),) * 3]
+    if items.partitions:
+        w = K.words(data, offsets, K.NON_ALNUM, K.LOWER)
+        made = [K.shingles(w, k)[:2] for k in items.lengths]
+        h, row = np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
+        holds = K.per_row(row, rows)
+        for p, (probe_bits, all_bits) in zip(items.partitions, bits, strict=True):
+            hit = np.zeros(rows, dtype=bool)
+            hit[row[_among(h, p.probes, probe_bits)]] = True
+            kept = np.flatnonzero((hit & (holds >= p.least))[row])
+            kept = kept[_among(h[kept], p.shingle, all_bits)]
+            own, at_row = K.distinct_in_row(h[kept], row[kept])
+            first, last = np.searchsorted(p.shingle, own, "left"), np.searchsorted(p.shingle, own, "right")
+            n = last - first
+            at = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            pair, shared = np.unique(np.repeat(at_row, n) * len(items.size) + p.item[at], return_counts=True)
+            text, item = pair // len(items.size), pair % len(items.size)
+            enough = shared >= np.ceil(threshold * items.size[item] - 1e-9)
+            found.append((text[enough], item[enough], shared[enough]))
+    return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
 
 
 def item_blocks(items: DataFrame, key: str, text: str, block_shingles: int) -> Iterator[tuple[list, list[str]]]:
@@ -131,10 +148,10 @@ def find_contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = sent.value
-            bits = _bits(own.probes), _bits(own.shingle)
+            bits = tables(own)
             for batch in batches:
                 for c in K.chunks(batch.column(1)):
-                    row, item, shared = search(c.bytes, c.offsets, own, *bits, threshold)
+                    row, item, shared = search(c.bytes, c.offsets, own, bits, threshold)
                     if len(row):
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + c.first)), pa.array(item.astype(np.int32)), pa.array(own.size[item]), pa.array(shared)], names=["__key", "at", "n_item", "n_shared"])
 
@@ -155,11 +172,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_ke
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = sent.value
-            bits = _bits(own.probes), _bits(own.shingle)
+            bits = tables(own)
             for batch in batches:
                 clean = np.ones(batch.num_rows, dtype=bool)
                 for c in K.chunks(batch.column(at)):
-                    clean[c.first + search(c.bytes, c.offsets, own, *bits, threshold)[0]] = False
+                    clean[c.first + search(c.bytes, c.offsets, own, bits, threshold)[0]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
