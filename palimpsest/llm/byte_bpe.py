@@ -5,8 +5,10 @@ characters and is scored by its negative rank, so the pair that sentencepiece me
 lowest rank, leftmost among equals. Normalisation is the identity. Each match of the pattern is encoded by itself
 (one that is an entry as a whole is that entry), and decoding joins the entries' bytes.
 
-A null text is empty and has no ids. Texts are encoded whole, whatever their length. The files' paths are
-parameters and are opened on the executors.
+A null text is empty and has no ids. Texts are encoded whole, whatever their length. Repeated rows are encoded each, an empty table gives an
+empty result, and other columns are not looked at, whatever their names. The files' paths are
+parameters and are opened on the executors. `spaced` states that the pattern lets a single space start a pre-token and none cross it,
+so that words can be kept from text to text; without it every text is split as a whole.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ def byte_characters() -> list[str]:
 
 
 class ByteBpe:
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, spaced: bool = False):
         import regex
         import sentencepiece
 
@@ -47,7 +49,9 @@ class ByteBpe:
         pieces.append(("⁇", 0.0, P.UNKNOWN))
         self.model = sentencepiece.SentencePieceProcessor(model_proto=P.serialise(pieces, P.BPE))
         self.whole = {entry: rank for rank, entry in enumerate(self.entries)}
-        self.split = regex.compile(pattern).findall
+        compiled = regex.compile(pattern)
+        self.split = compiled.findall if not compiled.groups else lambda text: [m[0] for m in compiled.finditer(text)]
+        self.spaced = spaced
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -67,9 +71,11 @@ class ByteBpe:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text, the ids as little-endian unsigned 32-bit integers.
 
-        A single space starts a pre-token and none crosses it, so a word that has neither white space at its ends nor
+        Where the pattern is spaced, a word that has neither white space at its ends nor
         another space beside it is encoded with its space, once for all the texts. A text with other spaces is split as a whole.
         """
+        if not self.spaced:
+            return self._encode_strings(texts)
         cut = [text.split(" ") for text in texts]
         words = set().union(*(c[1:] for c in cut)) - self.kept.keys()
         if self.older:
@@ -95,8 +101,8 @@ class ByteBpe:
 
 
 @lru_cache(2)
-def codec(ranks_path: str, pattern: str) -> ByteBpe:
-    return ByteBpe(ranks_path, pattern)
+def codec(ranks_path: str, pattern: str, spaced: bool) -> ByteBpe:
+    return ByteBpe(ranks_path, pattern, spaced)
 
 
 def _texts(column: pa.Array) -> Iterator[list[str]]:
@@ -105,9 +111,9 @@ def _texts(column: pa.Array) -> Iterator[list[str]]:
         yield [raw[a:b].decode() for a, b in zip(c.offsets[:-1], c.offsets[1:], strict=True)]
 
 
-def _digests(ranks_path: str, pattern: str):
+def _digests(ranks_path: str, pattern: str, spaced: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks_path, pattern)
+        own = codec(ranks_path, pattern, spaced)
         for batch in batches:
             rows = [(len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()) for texts in _texts(batch.column(1)) for ids in own.encode(texts)]
             counts, coded, decoded = zip(*rows) if rows else ((), (), ())
@@ -116,9 +122,9 @@ def _digests(ranks_path: str, pattern: str):
     return run
 
 
-def _encode(ranks_path: str, pattern: str):
+def _encode(ranks_path: str, pattern: str, spaced: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks_path, pattern)
+        own = codec(ranks_path, pattern, spaced)
         for batch in batches:
             ids = [memoryview(x).cast("I").tolist() for texts in _texts(batch.column(1)) for x in own.encode(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["key", "ids"])
@@ -128,7 +134,7 @@ def _encode(ranks_path: str, pattern: str):
 
 def _decode(ranks_path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks_path, pattern)
+        own = codec(ranks_path, pattern, False)
         for batch in batches:
             texts = [b"".join(map(own.entries.__getitem__, v.as_py() or ())) for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["key", "bytes"])
@@ -142,9 +148,9 @@ def _over(df: DataFrame, key: str, column: str, make, made: str) -> DataFrame:
     return kept.mapInArrow(make, f"key {kept.dtypes[0][1]}, {made}").withColumnRenamed("key", key)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", spaced: bool = False) -> DataFrame:
     """key, ids array<int>."""
-    return _over(docs, key, text, _encode(ranks_path, pattern), "ids array<int>")
+    return _over(docs, key, text, _encode(ranks_path, pattern, spaced), "ids array<int>")
 
 
 def decode(coded: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -152,6 +158,6 @@ def decode(coded: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     return _over(coded, key, ids, _decode(ranks_path, pattern), "bytes binary")
 
 
-def digest(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def digest(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", spaced: bool = False) -> DataFrame:
     """key, n_tokens, ids_sha256, decoded_sha256: encoded and decoded in one pass."""
-    return _over(docs, key, text, _digests(ranks_path, pattern), "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _over(docs, key, text, _digests(ranks_path, pattern, spaced), "n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -1,14 +1,16 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context words adjust a score.
 
-Four base kinds (email, ip, card, phone) follow fixed rules and always stay. Two kinds come on top: `iban`
-(two letters, two digits, 11 to 30 letters or digits in groups, confirmed by mod 97) and `ssn`
-(ddd-dd-dddd with valid parts, which has no checksum and so needs a context word). Each span has a
+Four base kinds (email, ip, card, phone) follow fixed rules and always stay. Four kinds come on top: `iban`
+(two letters, two digits, 11 to 30 letters or digits in groups, confirmed by mod 97), `ssn` (ddd-dd-dddd with valid parts), `key` (an access key
+by its fixed prefix) and `secret` (16 letters and digits or more, of both). Each span has a
 score: its kind's prior, plus the weight of a checksum that holds, plus the weight of a context word of
-its kind within `CONTEXT` characters before it. An added span is reported from `threshold` on.
+its kind within `CONTEXT` characters before it, less that of a word that speaks against personal data (a serial number, an example). An
+added span is reported from `threshold` on: ssn and secret need a context word, iban and key go where only a contrary one stands.
 
-Null and empty texts have no spans. Offsets are code points, ends are exclusive. Repeated rows are treated
-alike; the input's other columns are not looked at. The time is linear in the text: an email starts from its @, every other
-kind from a run of characters that no other match can share.
+Null and empty texts have no spans; texts of any length are read whole. Offsets are code points, ends are exclusive. Repeated rows are treated
+alike, an empty table gives an empty result, and the input's other columns are not looked at (mask_pii keeps them). Spans of several kinds may
+overlap; they are listed by start, then kind, then end. The time is linear in the text: an email starts from its @, every other
+kind from the start of a run of characters that no other match can share.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ from palimpsest.llm import kernels as K
 from palimpsest.session import prepare
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "ssn")
+KINDS = (*BASE_KINDS, "iban", "ssn", "key", "secret")
 CONTEXT = 48
-PRIOR = {"email": 0.6, "ip": 0.5, "card": 0.3, "phone": 0.5, "iban": 0.3, "ssn": 0.2}
-CHECKED = {"card": 0.4, "iban": 0.5}
+PRIOR = {"email": 0.6, "ip": 0.5, "card": 0.3, "phone": 0.5, "iban": 0.2, "ssn": 0.2, "key": 0.6, "secret": 0.2}
+CHECKED = {"card": 0.4, "iban": 0.4}
 NEARBY = {
     "email": ("mail", "contact", "write"),
     "ip": ("ip", "address", "host", "server"),
@@ -36,15 +38,22 @@ NEARBY = {
     "phone": ("phone", "tel", "call", "mobile"),
     "iban": ("iban", "bank", "account"),
     "ssn": ("ssn", "social security", "taxpayer"),
+    "key": ("key", "aws", "access"),
+    "secret": ("token", "password", "passwd", "secret", "key", "credential"),
 }
-NEAR_WEIGHT = 0.4
+CONTRARY = ("example", "sample", "order", "invoice", "serial", "version", "part number", "checksum", "commit")
+NEAR_WEIGHT, CONTRARY_WEIGHT = 0.3, 0.3
 
 _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_KEY = re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{16,}+")
+_NEAR = {kind: re.compile(rf"(?<![a-z])(?:{'|'.join(words)})") for kind, words in NEARBY.items()}
+_CONTRARY = re.compile(rf"(?<![a-z])(?:{'|'.join(CONTRARY)})")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 
 
@@ -99,14 +108,20 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def score(text: str, start: int, kind: str, checked: bool) -> float:
     before = text[max(0, start - CONTEXT) : start].lower()
-    return min(1.0, PRIOR[kind] + (CHECKED.get(kind, 0.0) if checked else 0.0) + (NEAR_WEIGHT if any(w in before for w in NEARBY[kind]) else 0.0))
+    total = PRIOR[kind] + (CHECKED.get(kind, 0.0) if checked else 0.0)
+    total += (NEAR_WEIGHT if _NEAR[kind].search(before) else 0.0) - (CONTRARY_WEIGHT if _CONTRARY.search(before) else 0.0)
+    return round(min(1.0, max(0.0, total)), 6)
 
 
 def added_spans(text: str, threshold: float) -> list[tuple[int, int, str, float]]:
-    found = [(m.start(), 4, m.end(), score(text, m.start(), "iban", mod97(m[0]))) for m in _IBAN.finditer(text)]
+    found = [(m.start(), 4, m.end(), True) for m in _IBAN.finditer(text) if mod97(m[0])]
     if "-" in text:
-        found += [(m.start(), 5, m.end(), score(text, m.start(), "ssn", False)) for m in _SSN.finditer(text)]
-    return [x for x in found if x[3] >= threshold and (x[1] != 4 or mod97(text[x[0] : x[2]]))]
+        found += [(m.start(), 5, m.end(), False) for m in _SSN.finditer(text)]
+    keys = [(m.start(), 6, m.end(), False) for m in _KEY.finditer(text)] if "AKIA" in text else []
+    taken = {s for s, *_ in found + keys}
+    found += keys + [(m.start(), 7, m.end(), False) for m in _SECRET.finditer(text) if m.start() not in taken]
+    scored = [(s, k, e, score(text, s, KINDS[k], checked)) for s, k, e, checked in found]
+    return [x for x in scored if x[3] >= threshold]
 
 
 def find(text: str | None, threshold: float = 0.5) -> list[tuple[int, int, str, float]]:
@@ -114,23 +129,25 @@ def find(text: str | None, threshold: float = 0.5) -> list[tuple[int, int, str,
     if not text:
         return []
     spans = [(s, k, e, score(text, s, KINDS[k], True)) for s, k, e in base_spans(text)]
-    if _DIGIT.search(text):
+    if _DIGIT.search(text) or "AKIA" in text:
         spans += added_spans(text, threshold)
     return [(s, e, KINDS[k], p) for s, k, e, p in sorted(spans)]
 
 
 _DIGIT = re.compile("[0-9]")
-SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string, top_score double"
+SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string, scores string"
 
 
 def _texts(column: pa.Array) -> Iterator[str]:
-    """The texts; those that hold neither a digit nor an @ come as empty, as no span can start in them."""
+    """The texts; those that hold neither a digit nor an @ nor a key's prefix come as empty, as no span can start in them."""
     marks = K.np.zeros(256, dtype=bool)
     marks[[*b"0123456789@"]] = True
     for c in K.chunks(column):
-        hits = K.np.concatenate(([0], K.np.cumsum(marks[c.bytes])))[c.offsets]
+        hits = K.np.diff(K.np.concatenate(([0], K.np.cumsum(marks[c.bytes])))[c.offsets])
         raw = c.bytes.tobytes()
-        for i, n in enumerate(K.np.diff(hits)):
+        if keys := [m.start() for m in re.finditer(b"AKIA", raw)]:
+            hits[K.np.searchsorted(c.offsets, keys, side="right") - 1] += 1
+        for i, n in enumerate(hits):
             yield raw[c.offsets[i] : c.offsets[i + 1]].decode() if n else ""
 
 
@@ -142,9 +159,9 @@ def _digest(threshold: float):
                 spans = find(text, threshold)
                 base = [f"{k}:{s}:{e}" for s, e, k, _ in spans if k in BASE_KINDS]
                 counts = [sum(k == x for _, _, k, _ in spans) for x in BASE_KINDS]
-                rows.append((*counts, len(spans) - len(base), hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(f"{k}:{s}:{e}" for s, e, k, _ in spans), max((p for *_, p in spans), default=0.0)))
+                rows.append((*counts, len(spans) - len(base), hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(f"{k}:{s}:{e}" for s, e, k, _ in spans), ",".join(f"{p:.2f}" for *_, p in spans)))
             names = [x.split()[0] for x in SCHEMA.split(", ")]
-            kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64()]
+            kinds = [pa.int64()] * 5 + [pa.string()] * 3
             made = [pa.array(c, type=t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], *names])
 
@@ -152,7 +169,7 @@ def _digest(threshold: float):
 
 
 def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """One row a document: key, counts of the base kinds, n_added, base_sha256, spans, top_score."""
+    """One row a document: key, counts of the base kinds, n_added, base_sha256, spans, scores (of the spans, in their order)."""
     prepare(docs.sparkSession)
     kept = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     return kept.mapInArrow(_digest(threshold), f"__key {kept.dtypes[0][1]}, {SCHEMA}").withColumnRenamed("__key", key)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from palimpsest.llm import byte_bpe, decontam, host_rules, html_main, lm_score, ngram_join, pii, shard_ring, token_count, toxicity
 from palimpsest.session import table
@@ -42,7 +41,7 @@ def op4_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.digest(table(spark, sf_dir, "documents"), tokenizer(BYTE_RANKS), pre_tokens())
+    return byte_bpe.digest(table(spark, sf_dir, "documents"), tokenizer(BYTE_RANKS), pre_tokens(), spaced=True)
 
 
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +62,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.col("spans"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "scores")
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
