@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.session import durable
+from palimpsest.session import discard, durable
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
@@ -22,12 +22,13 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """node, component (its least node), for each node of an edge between two nodes. Null ends and loops are no edges.
 
     Large-star and small-star rounds until nothing moves; their number grows with the logarithm of a component's width.
-    Each round is written to the shared folder.
+    Each round is written to the shared folder, and the one before it is deleted.
     """
     now = durable(edges.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).where(f"`{left}` IS NOT NULL AND `{right}` IS NOT NULL AND `{left}` <> `{right}`").distinct(), "edges")
     before = None
     while True:
-        now = durable(_star(_star(now, True), False), "stars")
+        last, now = now, durable(_star(_star(now, True), False), "stars")
+        discard(last)
         # both stars leave a forest of stars unchanged: as many edges, and the same sum of their lesser ends
         state = now.agg(F.count(F.lit(1)), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:

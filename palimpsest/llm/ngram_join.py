@@ -224,6 +224,7 @@ def find_links(sets: DataFrame, percent: int) -> DataFrame:
     heads = signed.groupBy("sig").agg(F.min("doc").alias("root"), F.count(F.lit(1)).alias("docs"), F.max("indexed").alias("any")).filter("docs >= 2 AND any")
     edges = signed.join(heads.hint("merge"), "sig").filter("doc <> root").select("doc", "root").distinct()
     group = components(edges, "doc", "root")
+    discard(signed)
     members = join_sized(join_sized(sets, group.withColumnRenamed("node", "doc").withColumnRenamed("component", "group"), "doc"), shared.select("doc", "rare"), "doc")
     members = durable(members.withColumn("label", F.col("doc")), "members")
     discard(shared)
@@ -231,9 +232,10 @@ def find_links(sets: DataFrame, percent: int) -> DataFrame:
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_ROWS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).alias("blocks")
     size = durable(size.select("group", "centre", blocks, "docs"), "groups")
     links = durable(_compare(_in_blocks(members, size), ["group", "block"], percent), "links")
-    if not size.filter("blocks > 1").limit(1).count():
-        return links
-    return links.unionByName(_across_blocks(members, size.filter("blocks > 1"), links, percent))
+    if size.filter("blocks > 1").limit(1).count():
+        links = links.unionByName(_across_blocks(members, size.filter("blocks > 1"), links, percent))
+    discard(members)
+    return links
 
 
 def _across_blocks(members: DataFrame, wide: DataFrame, links: DataFrame, percent: int) -> DataFrame:
@@ -261,12 +263,24 @@ def _across_blocks(members: DataFrame, wide: DataFrame, links: DataFrame, percen
 _SET = ("doc", "tokens", "rare", "label")
 
 
+def _by_row(body: DataFrame, key: str, words: int, percent: int) -> DataFrame:
+    """jaccard_components() where keys don't tell documents apart: rows get numbers, and components the least key of their rows."""
+    rows = durable(body.withColumn("row", F.monotonically_increasing_id()), "rows")
+    own = jaccard_components(rows, "row", "__text", words, percent).withColumnRenamed("row", "__row")
+    own = durable(own.join(rows.select(F.col("row").alias("__row"), "doc").hint("merge"), "__row"), "own")
+    wide = own.groupBy(F.col("component_id").alias("__component")).agg(F.min("doc").alias("__least"), F.count(F.lit(1)).alias("__rows")).filter("__rows > 1")
+    out = join_sized(own, durable(wide.select("__component", "__least"), "least"), F.col("component_id") == F.col("__component"), "left")
+    return out.select(F.col("doc").alias(key), "n_shingles", F.when(F.col("__component").isNull(), F.col("doc")).otherwise(F.col("__least")).alias("component_id"))
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
     """key, n_shingles (size of the set), component_id (the least key that links reach): one row a document.
 
     Words are runs of non-space bytes with A-Z in lower case; a text with fewer than `words` has its whole sequence as
     its set, a null, empty or blank one an empty set that links with nothing. Two sets link when 100 * |intersection| >= percent * |union|.
-    Repeated rows are copies. An empty table gives an empty result. Key: an integer column; a null key is never a representative unless all of its copies are null.
+    Repeated rows are copies. Rows that repeat a key with another text, and rows without a key, are documents of their own: each has its own set and links, and a
+    component has the least key of its rows (null if none has one). Texts of any length are read whole. An empty table gives an empty result. Key: an integer column. Other columns
+    are not looked at, whatever their names.
     """
     prepare(docs.sparkSession)
     body = docs.select(F.col(key).alias("doc"), F.col(text).alias("__text"))
@@ -275,6 +289,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     whole = ["n", "print1", "print2"]
     digest = durable(heads.drop("head"), "sets")
     classes = durable(digest.filter("n > 0").groupBy(*whole).agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    if classes.groupBy("rep").count().filter("count > 1 OR rep IS NULL").limit(1).count():
+        for written in (heads, digest, classes):
+            discard(written)
+        return _by_row(body, key, words, percent)
     reps = join_sized(heads.select("doc", "n", "head"), classes.select("rep").distinct(), F.col("doc") == F.col("rep"), "left_semi").dropDuplicates(["doc", "n"])
     need = F.expr(f"(n - ceil({percent} * n / 100)) div 2 + 1").alias("need")
     once = _sieve(reps.filter("n > 0").select("doc", need, "head"))
