@@ -10,7 +10,8 @@ the verdict of a host goes back to its documents:
 * rejected (shrunk rate less two posterior deviations at least `reject`): all documents go.
 
 Nulls: a null text has no words (and so fails); a null host is a host of its own. Repeated rows count as
-often as they stand. An empty table gives an empty result. Other columns of the input are not looked at.
+often as they stand. Long texts are read whole. An empty table gives an empty result. Other columns of the input are not looked at; keep()
+returns them as they are, and reserves the names __host and __verdict.
 """
 
 from __future__ import annotations

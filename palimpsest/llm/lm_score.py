@@ -14,8 +14,10 @@ one unknown word) and bigrams from `pair_share` on; others back off to their sec
 With shares of 0 both ways give the same scores.
 
 A document's score is its mean loss per token under the target less that under the background: lower is more like the target.
-Words are letters and digits, A-Z in lower case. A text without words (null and empty ones too) has 0 tokens and null losses.
-Repeated rows count as often as they stand. Without target rows the target model is uniform over the vocabulary.
+Both models have counted the documents that they score, target documents in the target model too; nothing is held out.
+Words are letters and digits, A-Z in lower case. A text without words (null and empty ones too) has 0 tokens and null losses; long texts are scored whole.
+Repeated rows count as often as they stand; rows without a key are no targets. Without target rows the target model is uniform over the vocabulary. An
+empty table gives an empty result. Columns of other names, and such as clash with the output's, are not looked at.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from palimpsest.session import discard, durable, prepare
 
 DISCOUNT = 0.75
 #: Counts that a task adds up before it passes them on.
-HELD = 2_000_000
+HELD = 200_000
 #: Tokens of a block, and of a part of the hash space (one text at least).
 BLOCK_TOKENS, PART_TOKENS = 1 << 21, 1 << 21
 

@@ -76,7 +76,16 @@ def test_a_shard_more_moves_few_rows_with_slack(spark):
     at = lambda n: {r["doc_id"]: r["shard"] for r in placed(spark, texts, shards=n, slack=0.25)}
     before, after = at(8), at(9)
     assert max(np.bincount(list(before.values()))) <= 1.25 * 3000 / 8 + 2
-    assert sum(before[i] != after[i] for i in before) < 0.35 * 3000
+    assert sum(before[i] != after[i] for i in before) < 0.25 * 3000  # 1 / 9 without bounds on the loads
+
+
+def test_shards_of_repeated_rows_and_clashing_names(spark):
+    d = docs(spark, ["same"] * 40 + [None, "other"], [7] * 40 + [1, 2])
+    for name in ("size", "shard", "slot", "law", "text_crc32"):
+        d = d.withColumn(name, F.lit("mine"))
+    rows = shard_ring.shard_ring(d, shards=16).collect()
+    sizes = np.bincount([r["shard"] for r in rows], minlength=16)
+    assert len(rows) == 42 and sizes.max() - sizes.min() <= 1 and sorted(r["doc_id"] for r in rows) == [1, 2] + [7] * 40
 
 
 # similarity components
@@ -147,32 +156,47 @@ def test_components_of_nothing_and_of_repeated_rows(spark):
     assert sorted(map(tuple, got)) == [(1, 0, 1), (7, 2, 7), (7, 2, 7), (9, 2, 7)]
 
 
+def test_components_where_ids_repeat_or_lack(spark):
+    texts = near_copies(3, 3, 90)[:60]
+    r = random.Random(2)
+    ids = [r.choice([None, *range(25)]) for _ in texts]
+    rows = [t for t in zip(ids, texts, strict=True)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = []
+    by_row = plain_components(texts, list(range(len(texts))))
+    for row, size, component in by_row:
+        held = [ids[i] for i, _, c in by_row if c == component and ids[i] is not None]
+        want.append((ids[row], size, min(held) if held else None))
+    assert sorted(map(str, map(tuple, ngram_join.jaccard_components(d).collect()))) == sorted(map(str, want))
+
+
 def test_linked_sets_share_signatures_and_pass_the_sieve():
     r = np.random.default_rng(7)
+    tried = 0
     for percent in (80, 90):
-        for _ in range(300):
+        for _ in range(600):
             n = int(r.integers(4, 160))
-            a = np.unique(r.integers(1, 1 << 63, n, dtype=np.uint64))
-            lost = int(r.integers(0, max(1, len(a) - -(-percent * len(a) // 100)) + 1))
-            b = a[np.sort(r.permutation(len(a))[lost:])]
-            extra = 0
-            while 100 * len(b) < percent * (len(a) + extra + 1) and False:
-                extra += 1
-            if 100 * len(b) < percent * len(a) or not len(b):
-                continue
+            common = np.unique(r.integers(1, 1 << 63, n, dtype=np.uint64))
+            most = len(common) * (100 - percent) // percent  # tokens that stand in one of the two sets alone
+            left = int(r.integers(0, most + 1))
+            right = int(r.integers(0, most - left + 1))
+            a, b = (np.unique(np.concatenate([common, r.integers(1, 1 << 63, k, dtype=np.uint64)])) for k in (left, right))
+            assert 100 * len(common) >= percent * (len(a) + len(b) - len(common))
+            tried += left > 0 and right > 0
             heads = []
             for s in (a, b):
                 most = ngram_join.losses(np.array([len(s)]), percent)[0][0]
                 heads.append((s[: most + most // 2 + 3], most // 2 + 1))
             both = len(np.intersect1d(heads[0][0], heads[1][0]))
             assert both >= max(heads[0][1], heads[1][1]) or both == min(len(a), len(b))
-            both_sets = np.intersect1d(a, b)
-            df = {int(t): int(r.integers(2, 90)) for t in both_sets}
-            one, two = (ngram_join.signatures(len(s), np.array(both_sets), np.array([df[int(t)] for t in both_sets]), percent) for s in (a, b))
-            if len(a) > 8:
-                shared = np.intersect1d(one[0][one[1] | True], two[0])
-                indexed = set(one[0][one[1]].tolist()) | set(two[0][two[1]].tolist())
-                assert any(int(t) in indexed for t in shared)
+            df = {int(t): int(r.integers(2, 90)) for t in common}
+            one, two = (ngram_join.signatures(len(s), common, np.array([df[int(t)] for t in common]), percent) for s in (a, b))
+            short, long = (one, two) if len(a) <= len(b) else (two, one)
+            # the smaller set probes (or indexes, if its class is the same), the larger one is met by what either side indexes
+            shared = np.intersect1d(short[0], long[0])
+            indexed = np.union1d(short[0][short[1]], long[0][long[1]])
+            assert len(np.intersect1d(shared, indexed))
+    assert tried > 100
 
 
 def test_components_of_a_long_chain(spark):
@@ -334,6 +358,43 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score_documents(d.limit(0), toxicity.train(d, labels)).count() == 0
 
 
+def test_feature_counts_do_not_depend_on_what_a_task_holds(monkeypatch):
+    r = random.Random(9)
+    texts = [" ".join(f"word{r.randrange(300)}" for _ in range(r.randrange(900))) for _ in range(40)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array([i % 3 == 0 for i in range(42)]), pa.array(texts)], names=["toxic", "text"])
+
+    def total():
+        out = {}
+        for b in toxicity._feature_counts(iter([batch, batch.slice(5, 9)])):
+            for key, *n in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                out[key] = tuple(np.add(out.get(key, (0, 0)), n).tolist())
+        return out
+
+    want = total()
+    monkeypatch.setattr(toxicity, "HELD", 100)
+    monkeypatch.setattr(toxicity, "COUNTED_BYTES", 3000)
+    assert total() == want and len(want) > 300
+
+
+def test_models_do_not_look_at_other_columns(spark):
+    d, labels = toxic_corpus(spark, 200)
+    odd = d
+    for name in ("score", "toxic", "target", "__target", "n_tokens", "feature", "key"):
+        odd = odd.withColumn(name, F.lit("mine"))
+    more = labels.withColumn("text", F.lit("mine"))
+    scored = lambda x, y: sorted(map(str, toxicity.score_documents(x, toxicity.train(x, y)).collect()))
+    assert scored(d, labels) == scored(odd, more)
+    losses = lambda x, y: sorted(map(str, lm_score.score_corpus(x, y.filter("toxic = 1")).collect()))
+    assert losses(d, labels) == losses(odd, more)
+
+
+def test_learning_is_bounded_by_rows_and_bytes(spark):
+    d, labels = toxic_corpus(spark, 400)
+    few = toxicity.train(d, labels, most_bytes=20_000)
+    assert len(few.features) < len(toxicity.train(d, labels).features)
+    assert len(toxicity.train(d, labels, most_labelled=30).features) < 20
+
+
 # SQL and the pipeline
 
 
@@ -357,7 +418,7 @@ def test_pipeline_stages(spark, tmp_path):
     clean = lambda: " ".join(r.choice(["alpha", "bravo", "charlie", "delta", "echo", "golf", "hotel", "india", "kilo", "lima"]) for _ in range(60))
     good = [clean() for _ in range(40)]
     item = " ".join(f"bench{i}" for i in range(20))
-    texts = [*good, "too short", "# $ % & " * 30, good[0], good[0].replace("alpha", "Alpha", 1), good[1] + " " + item, good[2] + " and mail me@example.org", None, ""]
+    texts = [*good, "too short", "# $ % & " * 30, good[0], good[0].replace("alpha", "Alpha", 1), good[1] + " " + item, clean() + " and mail me@example.org, card 4111 1111 1111 1111", None, ""]
     folder = str(tmp_path / "sf")
     d = docs(spark, texts)
     d.unionByName(d.filter("doc_id = 5")).write.parquet(f"{folder}/documents.parquet")
@@ -372,11 +433,31 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept["quality"] == sorted([*range(40), 5, 42, 43, 44, 45])
     assert kept["near_duplicates"][:40] == list(range(40)) and 42 not in kept["near_duplicates"] and 43 not in kept["near_duplicates"]
     assert 44 not in kept["decontaminate"]
-    masked = spark.read.parquet(f"{folder}/3").filter("doc_id = 45").collect()
-    assert not masked or "<EMAIL>" in masked[0]["text"] and masked[0]["n_chars"] == len(masked[0]["text"])
+    masked = spark.read.parquet(f"{folder}/3").filter("doc_id = 45").first()
+    assert masked["text"] == texts[45].replace("me@example.org", "<EMAIL>").replace("4111 1111 1111 1111", "<CARD>") and masked["n_chars"] == len(masked["text"])
+    assert [tuple(x) for x in spark.read.parquet(f"{folder}/3").filter("doc_id <> 45").orderBy("doc_id").collect()] == [tuple(x) for x in spark.read.parquet(f"{folder}/2").filter("doc_id <> 45").orderBy("doc_id").collect()]
     assert sorted(map(str, now.collect())) == sorted(map(str, pipeline.run(spark, folder).collect()))
 
 
+def test_pipeline_stages_on_nothing_nulls_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    folder = str(tmp_path / "sf")
+    spark.createDataFrame([(0, "some item of the benchmark")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    r = random.Random(3)
+    long = lambda: " ".join(r.choice(["alpha", "bravo", "charlie", "delta", "echo", "golf"]) for _ in range(60))
+    one, two, three = long(), long(), long()
+    rows = [(1, one), (1, two), (2, one), (None, three), (None, None), (3, two), (3, two), (4, None), (4, "")]
+    for some in (rows, []):
+        d = spark.createDataFrame([(i, t, "en", None, None, 5) for i, t in some], COLUMNS + ", kept int")
+        for name, stage in pipeline.STAGES:
+            out = stage(spark, d, folder).collect()
+            if name == "near_duplicates" and some:
+                assert sorted(map(str, [(x["doc_id"], x["text"]) for x in out])) == sorted(map(str, [(1, one), (1, two), (None, three), (None, None), (4, None), (4, "")]))
+            elif name != "quality":
+                assert len(out) == len(some)
+
+
 def test_masks_cover_overlapping_spans():
     assert pii.mask("on 10.0.0.0 4111 1111 1111 1111 and a@b.c") == "on <IP> and <EMAIL>"
 
