@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.paths import padded
-from palimpsest.session import prepare
+from palimpsest.session import durable, prepare
 
 
 def without(rows: DataFrame, rejected: DataFrame, on: list[str]) -> DataFrame:
@@ -25,17 +25,20 @@ def stack_catalogues(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def dense_numbers(rows: DataFrame, order: list[str | Column], name: str = "number", bucket_rows: int = 1 << 16) -> DataFrame:
-    """Numbers rows from 0 without a gap, in order.
+def dense_numbers(rows: DataFrame, order: list[str | Column], name: str = "number") -> DataFrame:
+    """Numbers rows from 0 without a gap, in order; equal ones in any order.
 
-    A global row_number would take all rows through one task. Instead rows are range-partitioned by the order, numbered
-    within partitions, and shifted by the counts of the partitions before: one row a partition is all that meets in one place.
+    A global row_number would take all rows through one task. Instead rows are range-partitioned by the order and written once, numbered
+    within partitions, and shifted by the counts of the partitions before: one row a partition is all that meets in one place. Both the counts and
+    the ranks read the written rows, as each plan of its own would sample bounds of its own. Rows of one frequent value part by where they came from.
     """
     parts = max(1, min(rows.sparkSession.sparkContext.defaultParallelism * 4, 1 << 12))
-    placed = rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    inside = placed.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1)
-    before = inside.groupBy("__part").count().withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return inside.join(F.broadcast(before.select("__part", "__before")), "__part").withColumn(name, F.col("__rank") + F.col("__before")).drop("__part", "__rank", "__before")
+    tied = rows.withColumn("__tie", F.monotonically_increasing_id())
+    placed = durable(tied.repartitionByRange(parts, *order, "__tie").withColumn("__part", F.spark_partition_id()), "placed")
+    inside = placed.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(*order, "__tie")) - 1)
+    before = placed.groupBy("__part").count().withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = inside.join(F.broadcast(before.select("__part", "__before")), "__part").withColumn(name, F.col("__rank") + F.col("__before"))  # at most 4,096 rows
+    return numbered.drop("__part", "__rank", "__before", "__tie")
 
 
 def numbered_ids(rows: DataFrame, order: list[str | Column], width: int, name: str = "id") -> DataFrame:

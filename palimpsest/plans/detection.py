@@ -223,7 +223,14 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select((F.col("vec_id") % 50).alias("image_id"), F.col("vec_id").alias("id"), F.floor(F.abs(F.col("embedding")[0]) * 400).cast("int").alias("y"), F.floor(F.abs(F.col("embedding")[1]) * 400).cast("int").alias("x"), (F.floor(F.abs(F.col("embedding")[2]) * 400) % 256).cast("int").alias("gray"), F.transform("embedding", lambda v: v.cast("double")).alias("vec"), F.col("label").alias("segment"))
 
 
-@query()
+_POINTS = """pts AS (SELECT vec_id % 50 AS image_id, vec_id AS id, CAST(floor(abs(embedding[1]) * 400) AS INT) AS y, CAST(floor(abs(embedding[2]) * 400) AS INT) AS x, list_transform(embedding, lambda t: CAST(t AS DOUBLE)) AS v FROM embeddings)"""
+
+
+@query(
+    f"""WITH {_POINTS}, d AS (SELECT p.image_id, p.id AS a, q.id AS b, acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, list_dot_product(p.v, q.v)))) AS angle, (p.y - q.y) * (p.y - q.y) + (p.x - q.x) * (p.x - q.x) AS gap FROM pts p JOIN pts q ON p.image_id = q.image_id AND p.id <> q.id),
+r AS (SELECT *, row_number() OVER w AS n, lead(angle) OVER w AS next FROM d WINDOW w AS (PARTITION BY image_id, a ORDER BY angle, b))
+SELECT DISTINCT image_id, least(a, b) AS a, greatest(a, b) AS b FROM r WHERE n = 1 AND angle < 0.98 * next AND gap >= 4"""
+)
 def keypoint_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs by an angle ratio; images of this size have one octave and no neighbours to find, and so few points one gray bucket."""
     return M.bucketed_matches(_points(spark, sf_dir), "gray", 0.98, 2.0)
@@ -255,17 +262,12 @@ def snippet_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.locate(px, cut, SIDE, SIDE).withColumn("rank", F.col("rank").cast("long"))
 
 
-_TEXT = """w AS (SELECT item_id AS image_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM benchmark WHERE item_id % 2 = 0 UNION ALL SELECT conv_id * 1000 + turn, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') FROM conversations),
+_TEXT = """w AS (SELECT 'item ' || item_id AS image_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM benchmark UNION ALL SELECT 'turn ' || conv_id || ' ' || turn, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') FROM conversations),
 b AS (SELECT image_id, CAST(unnest(range(1, len(w))) AS INT) AS position, w FROM w WHERE len(w) >= 2),
 blocks AS (SELECT image_id, position, w[position] || ' ' || w[position + 1] AS block FROM b),
 m AS (SELECT p.image_id, p.position AS x, q.position AS mx FROM blocks p JOIN blocks q ON p.image_id = q.image_id AND p.block = q.block AND p.position < q.position)"""
 
 
-def _some_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of _TEXT: items of even ids only, and turns whose image ids can be those of items."""
-    return table(spark, sf_dir, "benchmark").filter("item_id % 2 = 0").select(F.col("item_id").alias("image_id"), "text").unionByName(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("image_id"), "text"))
-
-
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All items and all turns, each source with image ids of its own."""
     items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("image_id"), "text")
@@ -281,29 +283,25 @@ def _text_matches(t: DataFrame) -> DataFrame:
 
 @query(f"WITH {_TEXT}, v AS (SELECT image_id, mx - x AS dx, count(*) AS votes FROM m GROUP BY ALL) SELECT image_id, x, mx, dx, votes FROM m JOIN v USING (image_id) WHERE dx = mx - x AND votes >= 2")
 def shift_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches whose shift others share, of the rows that its SQL reads; shift_votes_whole reads all."""
-    return V.vote(_text_matches(_some_texts(spark, sf_dir)), 2).select("image_id", "x", "mx", "dx", "votes")
-
-
-@query(f"WITH {_TEXT}, v AS (SELECT image_id, mx - x AS dx, count(*) AS votes FROM m GROUP BY ALL), r AS (SELECT *, dense_rank() OVER (PARTITION BY image_id ORDER BY votes DESC) AS r FROM v), k AS (SELECT image_id, x, mx FROM m JOIN r USING (image_id) WHERE dx = mx - x AND r = 1) SELECT DISTINCT image_id, x + 1 AS x FROM (SELECT image_id, x FROM k UNION ALL SELECT image_id, mx FROM k)")
-def shift_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Y2: both ends of the matches of the most frequent shifts, of the rows that its SQL reads; shift_marks_whole reads all."""
-    return V.mark_endpoints(V.vote(_text_matches(_some_texts(spark, sf_dir)), most_counts=1), 1).select("image_id", "x")
-
-
-@query()
-def shift_votes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of all items and turns whose shift others share."""
     return V.vote(_text_matches(_texts(spark, sf_dir)), 2).select("image_id", "x", "mx", "dx", "votes")
 
 
-@query()
-def shift_marks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"WITH {_TEXT}, v AS (SELECT image_id, mx - x AS dx, count(*) AS votes FROM m GROUP BY ALL), r AS (SELECT *, dense_rank() OVER (PARTITION BY image_id ORDER BY votes DESC) AS r FROM v), k AS (SELECT image_id, x, mx FROM m JOIN r USING (image_id) WHERE dx = mx - x AND r = 1) SELECT DISTINCT image_id, x + 1 AS x FROM (SELECT image_id, x FROM k UNION ALL SELECT image_id, mx FROM k)")
+def shift_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Y2: both ends of the matches of the most frequent shifts, of all items and turns."""
     return V.mark_endpoints(V.vote(_text_matches(_texts(spark, sf_dir)), most_counts=1), 1).select("image_id", "x")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_TEXT}, p AS (SELECT DISTINCT image_id, x FROM (SELECT image_id, x FROM m UNION ALL SELECT image_id, mx FROM m)),
+runs AS (SELECT image_id, x, min(x) OVER (PARTITION BY image_id, x - n) AS c FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY x) AS n FROM p)),
+e AS (SELECT DISTINCT m.image_id, s.c AS a, t.c AS b FROM m JOIN runs s ON s.image_id = m.image_id AND s.x = m.x JOIN runs t ON t.image_id = m.image_id AND t.x = m.mx WHERE s.c <> t.c),
+step AS (SELECT image_id, a, b FROM e UNION SELECT image_id, b, a FROM e),
+reach AS (SELECT image_id, a, b FROM step UNION SELECT r.image_id, r.a, s.b FROM reach r JOIN step s ON s.image_id = r.image_id AND s.a = r.b),
+least AS (SELECT image_id, a AS c, least(a, min(b)) AS component FROM reach GROUP BY image_id, a)
+SELECT image_id, 0 AS y, x, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY component) AS INT) AS label FROM runs JOIN least USING (image_id, c)"""
+)
 def copy_regions_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas that matches join share a label."""
     matches = _text_matches(_texts(spark, sf_dir))
@@ -394,7 +392,12 @@ def field_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.symmetric(V.least_displacement(m, 4.0))
 
 
-@query()
+@query(
+    f"""WITH {_POINTS}, m AS (SELECT image_id, id, y, x, CASE WHEN id % 5 = 0 THEN 37 ELSE 0 END AS noise, CAST(id * 37 % 360 AS DOUBLE) AS theta_a, 30 + CASE WHEN id % 5 = 0 THEN 90 ELSE id % 3 END AS turn FROM pts),
+a AS (SELECT image_id, degrees(atan2(avg(sin(radians(turn))), avg(cos(radians(turn))))) AS mean FROM m GROUP BY image_id),
+o AS (SELECT m.*, ((turn - mean) % 360 + 360) % 360 AS off FROM m JOIN a USING (image_id))
+SELECT image_id, id, y, x, y + 7 + noise AS my, x + 3 - noise AS mx, theta_a, theta_a + turn AS theta_b, 0.01::DOUBLE AS contrast, 25 AS clone FROM o WHERE least(off, 360 - off) <= 15"""
+)
 def keypoint_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of a common turn, with settings by image size."""
     m = _moved(spark, sf_dir).withColumns({"theta_a": F.pmod(F.col("id") * 37, F.lit(360)).cast("double")})
@@ -402,26 +405,45 @@ def keypoint_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.orientation_consistent(m, 15.0).select("*", *V.detector_settings(F.lit(500), F.lit(900)))
 
 
-@query()
+@query(
+    f"""WITH {PX}, t AS (SELECT image_id, y // 2 AS ty, x // 2 AS tx, avg(g) AS mean FROM px GROUP BY ALL), s AS (SELECT * FROM t WHERE mean > 135)
+SELECT image_id, CAST(ty * 4 + tx AS INT) AS segment FROM s UNION SELECT b.image_id, CAST(b.ty * 4 + b.tx AS INT) FROM s a JOIN t b ON a.image_id = b.image_id AND greatest(abs(a.ty - b.ty), abs(a.tx - b.tx)) = 1 AND abs(a.mean - b.mean) <= 15"""
+)
 def grown_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matched segments with their near-coloured neighbours; tiles stand for segments."""
-    px = maps.pixels(spark, sf_dir).withColumn("segment", F.expr("y div 2 * 4 + x div 2"))
+    px = maps.pixels(spark, sf_dir).withColumn("segment", F.expr("cast(y div 2 * 4 + x div 2 AS int)"))
     means = px.groupBy("image_id", "segment").agg(F.avg("g").alias("mean"))
-    steps = F.explode(F.array(*[F.lit(dy * 4 + dx) for dy, dx in grids.EIGHT]))
-    near = means.select("image_id", F.col("segment").alias("a")).withColumn("step", steps).withColumn("b", F.col("a") + F.col("step")).drop("step").filter("b BETWEEN 0 AND 15")
+    steps = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in grids.EIGHT]))
+    at = means.select("image_id", F.col("segment").alias("a"), steps.alias("s")).withColumns({"ty": F.expr("a div 4 + s.dy"), "tx": F.expr("a % 4 + s.dx")})
+    near = at.filter("ty BETWEEN 0 AND 3 AND tx BETWEEN 0 AND 3").select("image_id", "a", F.expr("cast(ty * 4 + tx AS int)").alias("b"))
     return V.grow_segments(means, near, means.filter("mean > 135").select("image_id", "segment"))
 
 
+@query(
+    """WITH RECURSIVE p AS (SELECT vec_id % 50 AS image_id, vec_id AS id, CAST(floor(abs(embedding[1]) * 400) AS INT) AS y, CAST(floor(abs(embedding[2]) * 400) AS INT) AS x FROM embeddings),
+e AS (SELECT a.image_id, a.id AS a, b.id AS b FROM p a JOIN p b ON a.image_id = b.image_id AND a.id <> b.id AND (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= 400),
+r AS (SELECT image_id, id AS a, id AS b FROM p UNION SELECT r.image_id, r.a, e.b FROM r JOIN e ON e.image_id = r.image_id AND e.a = r.b),
+c AS (SELECT image_id, a AS id, min(b) AS cluster FROM r GROUP BY image_id, a),
+l AS (SELECT s.image_id, s.id AS a, t.id AS b, s.cluster AS ca, t.cluster AS cb FROM c s JOIN c t ON t.image_id = s.image_id AND t.id IN (s.id + 50, s.id + 100))
+SELECT image_id, a, b, ca, cb FROM (SELECT *, count(*) OVER (PARTITION BY image_id, ca, cb) AS n FROM l) WHERE n >= 2"""
+)
+def cluster_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of clusters that enough matches link."""
+    p = _points(spark, sf_dir)
+    both = p.select("image_id", F.col("id").alias("a"), F.explode(F.array(F.col("id") + 50, F.col("id") + 100)).alias("b"))
+    return V.cluster_links(both, V.single_linkage(p, 20.0), 2).select("image_id", "a", "b", "ca", "cb")
+
+
 @query("SELECT CAST(time_bucket(INTERVAL '1 hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extra: counts by hour and type from a stream of files."""
     import uuid
 
-    from palimpsest.streaming.reports import run_to_memory, stream_table, windowed_means
+    from palimpsest.streaming.reports import run_to_files, stream_table, windowed_means
 
     schema = table(spark, sf_dir, "events").schema
     events = stream_table(spark, sf_dir, schema, "events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     report = windowed_means(events, "ts", "event_type", "value")
     name = f"stream_{uuid.uuid4().hex[:8]}"
-    out = run_to_memory(report, name, f"{shared_folder(spark)}/palimpsest/{name}")
+    out = run_to_files(report, ["window", "event_type"], f"{shared_folder(spark)}/palimpsest/{name}")
     return out.select(F.col("window.start").alias("start"), "event_type", "n")

@@ -208,9 +208,9 @@ def caption_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.free_strip(p, 8).join(P.captions(p), ["template", "panel"]).join(P.class_numbers(p), ["template", "panel"])
 
 
-@query(f"WITH {_TEMPLATE}, {PX} SELECT template, CAST(count(*) AS BIGINT) AS pixels, CAST(sum(g) AS BIGINT) AS total FROM panels r, LATERAL (SELECT unnest(range(y0, y1)) AS fy), LATERAL (SELECT unnest(range(x0, x1)) AS fx), px WHERE px.image_id = template % 50 AND template <= 20 AND px.y = CAST(floor((fy - y0) * 8 / (y1 - y0)::DOUBLE) AS INT) AND px.x = CAST(floor((fx - x0) * 8 / (x1 - x0)::DOUBLE) AS INT) GROUP BY template")
+@query(f"WITH {_TEMPLATE}, {PX} SELECT template, CAST(count(*) AS BIGINT) AS pixels, CAST(sum(g) AS BIGINT) AS total FROM panels r, LATERAL (SELECT unnest(range(y0, y1)) AS fy), LATERAL (SELECT unnest(range(x0, x1)) AS fx), px WHERE px.image_id = template % 50 AND px.y = CAST(floor((fy - y0) * 8 / (y1 - y0)::DOUBLE) AS INT) AND px.x = CAST(floor((fx - x0) * 8 / (x1 - x0)::DOUBLE) AS INT) GROUP BY template")
 def figure_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Figures of resized panel images, for every template of the catalogue. Its SQL covers templates up to 20 only."""
+    """Figures of resized panel images, for every template of the catalogue."""
     p = _panels(spark, sf_dir).withColumns({"image_id": F.col("template") % 50, "ih": F.lit(SIDE), "iw": F.lit(SIDE)})
     return P.place(p, maps.pixels(spark, sf_dir).select(*XY, "g")).groupBy("template").agg(F.count(F.lit(1)).alias("pixels"), F.sum("g").alias("total"))
 

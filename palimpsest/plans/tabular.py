@@ -78,12 +78,12 @@ def similarity_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_UNIT}, {_PAIRS}, near AS (SELECT a, b, round(score, 6) AS score FROM pairs WHERE score >= 0.3),
 both_ AS (SELECT a AS query, b AS candidate, score FROM near UNION ALL SELECT b, a, score FROM near),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate) AS rank FROM both_)
-SELECT query, candidate, score, rank FROM ranked WHERE rank <= 5"""
+SELECT query, candidate, score, rank FROM ranked WHERE rank <= 50"""
 )
 def similar_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most similar rows of each, best first, one row a candidate; here without padding."""
+    """The 50 most similar rows of each, best first, one row a candidate; here without padding."""
     pairs = similarity_self_join(spark, sf_dir)
-    return T.similar_top(pairs, table(spark, sf_dir, "embeddings").limit(0), "vec_id", 5, 0).select("query", "candidate", "score", F.col("rank").cast("long").alias("rank"))
+    return T.similar_top(pairs, table(spark, sf_dir, "embeddings").limit(0), "vec_id", 50, 0).select("query", "candidate", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query()

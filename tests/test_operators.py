@@ -88,6 +88,18 @@ def test_dense_numbers_have_no_gap(spark):
     assert all(r["k"] == r["number"] for r in numbered) and len(numbered) == 1000
 
 
+def test_dense_numbers_of_many_wide_rows_and_a_frequent_value(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(500_000, numPartitions=7).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") * 7919 % 500_000).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+    numbered = tabular.dense_numbers(rows, ["k"]).cache()
+    assert tuple(numbered.agg(F.count(F.lit(1)), F.count_distinct("number"), F.min("number"), F.max("number")).first()) == (500_000, 500_000, 0, 499_999)
+    ends = numbered.groupBy("k").agg(F.min("number").alias("low"), F.max("number").alias("high"), F.count(F.lit(1)).alias("n"))
+    assert ends.filter("high - low + 1 <> n").count() == 0 and numbered.alias("a").join(numbered.alias("b"), F.expr("a.number + 1 = b.number")).filter("a.k > b.k").count() == 0
+    assert tabular.dense_numbers(rows.limit(0), ["k"]).count() == 0
+    numbered.unpersist()
+
+
 def test_repaired_ranges(spark):
     cases = [("1", "3", "1"), ("1", "x", "1"), ("5", "3", "1"), ("2", "3", "0"), ("x", "3", "1"), ("0", "1", "0.25")]
     rows = spark.createDataFrame(cases, "a string, b string, c string").select(tabular.repaired_range(F.col("a"), F.col("b"), F.col("c")).alias("r")).collect()
@@ -211,7 +223,7 @@ def test_ward_and_single_linkage(spark):
     assert sorted(r["cluster"] for r in verify.ward_linkage(points, 20.0).collect()) == [0, 0, 0, 3]
 
 
-@pytest.mark.parametrize("name", ["score_pivot", "ctp_scores", "ar_tolerance_join", "similarity_self_join", "shift_votes", "template_explode"])
+@pytest.mark.parametrize("name", ["score_pivot", "ctp_scores", "ar_tolerance_join", "similarity_self_join", "shift_votes", "shift_marks", "copy_regions_text", "keypoint_matches", "grown_segments", "cluster_linked", "figure_assembly", "template_explode"])
 def test_queries_match_their_sql(spark, name):
     import duckdb
 
@@ -283,9 +295,9 @@ def test_every_text_is_matched_under_its_own_id(spark, tmp_path):
     spark.createDataFrame([(0, 1, text)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     ids = ["item 0", "item 1", "turn 0 1"]
     pairs = [(1, 5), (2, 6)]
-    votes = detection.shift_votes_whole(spark, str(tmp_path)).collect()
+    votes = detection.shift_votes(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, votes)) == [(i, x, mx, 4, 2) for i in ids for x, mx in pairs]
-    marks = detection.shift_marks_whole(spark, str(tmp_path)).collect()
+    marks = detection.shift_marks(spark, str(tmp_path)).collect()
     assert {r["image_id"] for r in marks} == set(ids) and len(marks) == 12
     regions = detection.copy_regions_text(spark, str(tmp_path)).collect()
     assert sorted((r["image_id"], r["x"], r["label"]) for r in regions) == [(i, x, 1) for i in ids for x in (1, 2, 5, 6)]
