@@ -52,3 +52,21 @@ def quantise(a: Column | str, start: int, end: int, step: float, absolute: bool
 def quotient(a: Column, b: Column) -> Column:
     """a / b, and 0 where b is 0."""
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
+
+
+def angular_difference(a: Column | str, b: Column | str) -> Column:
+    """Between directions in degrees: 0 to 180."""
+    turn = F.pmod(_c(a) - _c(b), F.lit(360))
+    return F.least(turn, 360 - turn)
+
+
+def homogeneous(a: Column | str) -> Column:
+    """The vector by its last element where that is finite and not 0."""
+    last = F.element_at(_c(a), -1)
+    good = (last != 0) & ~F.isnan(last) & (F.abs(last) < float("inf"))
+    return F.when(good, F.transform(_c(a), lambda x: x / last)).otherwise(_c(a))
+
+
+def log_polar_factor(width: Column | str) -> Column:
+    """What a log-radius is multiplied by so that the half diagonal of a square comes to its width."""
+    return _c(width) / (F.ln(_c(width)) - F.ln(F.lit(2.0)) / 2)

@@ -142,6 +142,14 @@ def fit_affine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return solved.T
 
 
+def fit_affine_total(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Total least-squares 2x3 with b = A a + t: both sides may err, so distances to the joint plane of (a, b) count."""
+    ca, cb = a.mean(axis=0), b.mean(axis=0)
+    normal = np.linalg.svd(np.hstack((a - ca, b - cb)), full_matrices=True)[2][2:]  # spans what the pairs leave out
+    m = -np.linalg.solve(normal[:, 2:], normal[:, :2])
+    return np.column_stack((m, cb - m @ ca))
+
+
 def normalise_points(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Centred, at a mean distance of sqrt 2; and the 3x3 that does it."""
     centre = p.mean(axis=0)

@@ -148,7 +148,7 @@ def _dft_log_polar(block: np.ndarray, angles: int = 8, radii: int = 4) -> np.nda
 
 
 def _blur_invariants(block: np.ndarray) -> np.ndarray:
-    """Central moments of odd order up to 5, made invariant to a symmetric blur by the known recursion."""
+    """Central moments of odd order up to 7, made invariant to a symmetric blur by the known recursion."""
     y, x = np.indices(block.shape).astype(float)
     m = block.sum() or 1.0
     u, v = x - (block * x).sum() / m, y - (block * y).sum() / m
@@ -163,7 +163,7 @@ def _blur_invariants(block: np.ndarray) -> np.ndarray:
             known[p, q] = mu(p, q) - rest / m
         return known[p, q]
 
-    return np.array([invariant(p, o - p) for o in (3, 5) for p in range(o + 1)])
+    return np.array([invariant(p, o - p) for o in (3, 5, 7) for p in range(o + 1)])
 
 
 def _haar_bands(block: np.ndarray) -> np.ndarray:

@@ -127,3 +127,81 @@ def annotation(names: DataFrame) -> DataFrame:
     info = F.struct(F.lit("forgery").alias("class"), modality_of(F.col("function_name")).alias("modality"), F.lit("simple").alias("figure_type"), "function_name", "args")
     figure = F.struct("height", "width", F.col("image_id").cast("string").alias("image_id"))
     return names.select("image_id", F.to_json(F.struct(info.alias("forgery_info"), figure.alias("figure_annotations"))).alias("annotation"))
+
+
+def turned_copy(pixels: DataFrame, objects: DataFrame, height: int, width: int, dy: int, dx: int, turns: int = 0, mirrored: bool = False, up: int = 1, down: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Each image's objects as one piece, mirrored left to right, turned clockwise by quarters, scaled by up / down and pasted at (dy, dx) from their box.
+
+    Every target pixel takes the nearest sample by the inverse transform, so the copy has no holes. What falls outside or on the objects is left out; truth has
+    the copy, and as source the pixels that were sampled for it.
+    """
+    box = R.boxes(objects, ["image_id"]).select("image_id", "y0", "x0", (F.col("y1") - F.col("y0") + 1).alias("h"), (F.col("x1") - F.col("x0") + 1).alias("w"))
+    upright = turns % 2 == 0
+    box = box.withColumns({"th": F.col("h" if upright else "w"), "tw": F.col("w" if upright else "h")})
+    scaled = lambda c: F.greatest(F.lit(1), F.floor(F.col(c) * up / down)).cast("int")
+    grid = box.withColumns({"nh": scaled("th"), "nw": scaled("tw")}).withColumn("r", F.explode(F.expr("sequence(0, nh - 1)"))).withColumn("c", F.explode(F.expr("sequence(0, nw - 1)")))
+    grid = grid.withColumns({"i": F.expr("cast(r * th div nh AS int)"), "j": F.expr("cast(c * tw div nw AS int)")})
+    sy, sx = {0: ("i", "j"), 1: ("h - 1 - j", "i"), 2: ("h - 1 - i", "w - 1 - j"), 3: ("j", "w - 1 - i")}[turns % 4]
+    sx = f"w - 1 - ({sx})" if mirrored else sx
+    at = grid.select("image_id", F.expr(f"y0 + {sy}").alias("y"), F.expr(f"x0 + {sx}").alias("x"), (F.col("y0") + dy + F.col("r")).alias("ty"), (F.col("x0") + dx + F.col("c")).alias("tx"))
+    at = at.filter(F.col("ty").between(0, height - 1) & F.col("tx").between(0, width - 1)).join(objects.select(*XY).distinct(), XY, "left_semi")
+    landed = at.join(objects.select("image_id", F.col("y").alias("ty"), F.col("x").alias("tx")).distinct(), ["image_id", "ty", "tx"], "left_anti")
+    copied = landed.join(pixels.select(*XY, "g"), XY).select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), "g")
+    truth = landed.select(*XY, F.lit("source").alias("part")).distinct().unionByName(copied.select(*XY, F.lit("copy").alias("part")))
+    return R.paste(pixels.select(*XY, "g"), copied, "g"), truth
+
+
+def tile_moves(objects: DataFrame, tiles: DataFrame, pairs: DataFrame, tile_h: int, tile_w: int, n: int, label: str = "component", seed: int | None = None) -> DataFrame:
+    """donor, host, label, dy, dx, index: up to n objects of each donor that fit a tile, each with a free tile of its host of its own.
+
+    pairs: (donor, host), at most one host a donor. Objects and tiles go in seeded order, without a seed in that of their labels and places.
+    """
+    box = R.boxes(objects, ["image_id", label]).filter((F.col("y1") - F.col("y0") < tile_h) & (F.col("x1") - F.col("x0") < tile_w))
+    order = lambda *c: [*([] if seed is None else [F.xxhash64(*c, F.lit(seed))]), *map(F.col, c)]
+    a = box.select(F.col("image_id").alias("donor"), label, "y0", "x0").withColumn("index", F.row_number().over(Window.partitionBy("donor").orderBy(*order(label)))).filter(F.col("index") <= n)
+    b = tiles.select(F.col("image_id").alias("host"), "ty", "tx").withColumn("index", F.row_number().over(Window.partitionBy("host").orderBy(*order("ty", "tx"))))
+    return a.join(pairs, "donor").join(b, ["host", "index"]).select("donor", "host", label, (F.col("ty") - F.col("y0")).alias("dy"), (F.col("tx") - F.col("x0")).alias("dx"), "index")
+
+
+def to_tiles(donor: DataFrame, objects: DataFrame, host: DataFrame, moves: DataFrame, label: str = "component") -> tuple[DataFrame, DataFrame]:
+    """Host images with the moved objects; truth has the index that source and copy share, in donor and host coordinates."""
+    moved = objects.withColumnRenamed("image_id", "donor").join(moves, ["donor", label]).join(donor.select(F.col("image_id").alias("donor"), "y", "x", "g"), ["donor", "y", "x"])
+    copied = moved.select(F.col("host").alias("image_id"), (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "g", "index")
+    source = moved.select(F.col("donor").alias("image_id"), "y", "x", F.lit("source").alias("part"), "index")
+    return R.paste(host.select(*XY, "g"), copied, "g"), source.unionByName(copied.select(*XY, F.lit("copy").alias("part"), "index"))
+
+
+def random_copy_move(pixels: DataFrame, objects: DataFrame, height: int, width: int, tile_h: int, tile_w: int, n: int = 1, label: str = "component", seed: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Up to n objects of each image in free tiles of it."""
+    images = pixels.select("image_id").distinct()
+    tiles = R.free_tiles(images, objects, height, width, tile_h, tile_w)
+    moves = tile_moves(objects, tiles, images.select(F.col("image_id").alias("donor"), F.col("image_id").alias("host")), tile_h, tile_w, n, label, seed)
+    return to_tiles(pixels, objects, pixels, moves, label)
+
+
+def splice_to_tiles(donor: DataFrame, donor_objects: DataFrame, host: DataFrame, host_objects: DataFrame, pairs: DataFrame, height: int, width: int, tile_h: int, tile_w: int, n: int = 1, label: str = "component", seed: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Up to n objects of each donor in free tiles of its host; pairs: (donor, host)."""
+    tiles = R.free_tiles(host.select("image_id").distinct(), host_objects, height, width, tile_h, tile_w)
+    return to_tiles(donor, donor_objects, host, tile_moves(donor_objects, tiles, pairs, tile_h, tile_w, n, label, seed), label)
+
+
+def forge(name: str, pixels: DataFrame, objects: DataFrame, height: int, width: int, **arguments) -> tuple[DataFrame, DataFrame]:
+    """The forgery of that name: changed pixels and ground truth. An unknown name, or arguments that the operator lacks, raise ValueError before any work."""
+    import inspect
+
+    makers = {
+        "retouching_contrast": lambda alpha: retouch(pixels, objects, alpha, 0, height, width),
+        "retouching_brightness": lambda beta: retouch(pixels, objects, 1.0, beta, height, width),
+        "retouching_brightness_contrast": lambda alpha, beta: retouch(pixels, objects, alpha, beta, height, width),
+        "copy_move_forgery": lambda dy, dx, turns=0, mirrored=False, up=1, down=1: turned_copy(pixels, objects, height, width, dy, dx, turns, mirrored, up, down),
+        "random_copy_move": lambda tile_h, tile_w, n=1, seed=0: random_copy_move(pixels, objects, height, width, tile_h, tile_w, n, seed=seed),
+        "splicing_forgery": lambda host, host_objects, pairs, tile_h, tile_w, n=1, seed=0: splice_to_tiles(pixels, objects, host, host_objects, pairs, height, width, tile_h, tile_w, n, seed=seed),
+        "cleaning_using_bf": lambda tile_h, tile_w, seed=0: clean_by_tiles(pixels, objects, R.free_tiles(pixels.select("image_id").distinct(), objects, height, width, tile_h, tile_w), tile_h, tile_w, seed=seed),
+    }
+    if name not in makers:
+        raise ValueError(f"{name}: one of {', '.join(sorted(makers))}")
+    known = inspect.signature(makers[name]).parameters
+    lacking = [p for p, v in known.items() if v.default is inspect.Parameter.empty and p not in arguments]
+    if lacking or set(arguments) - set(known):
+        raise ValueError(f"{name} takes {', '.join(known)}")
+    return makers[name](**arguments)

@@ -36,8 +36,8 @@ def accepted(pairs: DataFrame, distances: list[Column], criteria: list[Column])
     return pairs.filter(keep & criteria[-1]) if criteria else pairs.filter(keep)
 
 
-def nearest(features: DataFrame, k: int, across_images: bool = False, block_rows: int = 4096) -> DataFrame:
-    """image_id, id, other, distance, rank: the k nearest rows in feature space, ties by id.
+def nearest(features: DataFrame, k: int, across_images: bool = False, block_rows: int = 4096, hamming: bool = False) -> DataFrame:
+    """image_id, id, other, distance, rank: the k nearest rows in feature space, ties by id. hamming: vectors of bytes, by the bits that differ.
 
     Blocks of rows meet as matrix products and keep k candidates a row and block; the final choice is a window over those.
     """
@@ -56,11 +56,15 @@ def nearest(features: DataFrame, k: int, across_images: bool = False, block_rows
         if not len(q) or not len(b):
             return pd.DataFrame({"scope": [], "id": [], "other": [], "distance": []})
         x, y = np.array(q["vec"].tolist(), dtype=float), np.array(b["vec"].tolist(), dtype=float)
-        d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
+        if hamming:
+            x, y = (np.unpackbits(v.astype(np.uint8), axis=1).astype(float) for v in (x, y))
+        d = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0)  # of bits, those that differ
+        d = d if hamming else np.sqrt(d)
         d[q["id"].to_numpy()[:, None] == b["id"].to_numpy()[None]] = np.inf
         take = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
         rows, near = np.repeat(np.arange(len(q)), take.shape[1]), take.ravel()
-        exact = np.sqrt(((x[rows] - y[near]) ** 2).sum(axis=1))
+        exact = ((x[rows] - y[near]) ** 2).sum(axis=1)
+        exact = exact if hamming else np.sqrt(exact)
         out = pd.DataFrame({"scope": q["scope"].to_numpy()[rows], "id": q["id"].to_numpy()[rows], "other": b["id"].to_numpy()[near], "distance": exact})
         return out[np.isfinite(d[rows, near])]
 
@@ -109,6 +113,12 @@ def componentwise(limits: list[float], a: str = "a.vec", b: str = "b.vec") -> Co
     return F.forall(near, lambda x: x)
 
 
+def colour_entropy(colour: float, entropy: float, a: str = "a", b: str = "b") -> Column:
+    """Near in every colour mean and in entropy: what comes before a costly criterion."""
+    means = F.forall(F.zip_with(F.col(f"{a}.colours"), F.col(f"{b}.colours"), lambda x, y: F.abs(x - y) <= colour), lambda x: x)
+    return means & (F.abs(F.col(f"{a}.entropy") - F.col(f"{b}.entropy")) <= entropy)
+
+
 def correlation(a: np.ndarray, b: np.ndarray) -> float:
     a, b = a - a.mean(), b - b.mean()
     size = np.sqrt((a @ a) * (b @ b))

@@ -101,6 +101,18 @@ def union_masks(masks: DataFrame, value: str) -> DataFrame:
     return masks.groupBy(*XY).agg(F.bit_or(value).alias(value))
 
 
+def labels_of(masks: DataFrame, label: str = "label") -> DataFrame:
+    """image_id, label: the labels of each image without the background's 0."""
+    return masks.select("image_id", label).distinct().filter(F.col(label) != 0)
+
+
+def subimage(pixels: DataFrame, value: str, opacity: float, height: int, width: int, radius: int = 2) -> DataFrame:
+    """The mask of what is at least that opaque, worn off by a square."""
+    from palimpsest.functions import grids
+
+    return erode(pixels.filter(F.col(value) >= opacity), grids.box(radius), height, width)
+
+
 def to_8bit(pixels: DataFrame, value: str) -> DataFrame:
     """Each image's own range to 0..255, cut to whole numbers; a flat image is 0."""
     w = Window.partitionBy("image_id")

@@ -127,8 +127,16 @@ def merge_transforms(transforms: DataFrame, linear: float = 0.03, full: float =
     return transforms.select("image_id", "id").join(connected(edges, ["image_id"]), ["image_id", "id"], "left").select("image_id", "id", F.coalesce("component", "id").alias("merged"))
 
 
-def area_rules(mask: DataFrame, matches: DataFrame, least: int) -> DataFrame:
-    """Pixels of 8-connected areas that are large enough, hold a match, and whose match ends in a marked pixel."""
+def correlated(pixels: DataFrame, matches: DataFrame, least: float, radius: int = 2, value: str = "g") -> DataFrame:
+    """Pixels at either end of a match whose correlation, taken from that end, is at least `least`."""
+    back = matches.select("image_id", F.col("my").alias("y"), F.col("mx").alias("x"), F.col("y").alias("my"), F.col("x").alias("mx"))
+    ends = matches.select("image_id", "y", "x", "my", "mx").unionByName(back).distinct()
+    return correlation_map(pixels, ends, radius, value).filter(F.col("ncc") >= least).select(*XY).distinct()
+
+
+def area_rules(mask: DataFrame, matches: DataFrame, least: float, image_area: int = 0) -> DataFrame:
+    """Pixels of 8-connected areas that are large enough, hold a match, and whose match ends in a marked pixel. least: pixels, below 1 a share of image_area."""
+    least = least * image_area if least < 1 else least
     areas = label_components(mask.withColumn("label", F.lit(1)), eight=True).drop("label")
     large = areas.groupBy("image_id", "component").count().filter(F.col("count") >= least).drop("count")
     ends = matches.select("image_id", "y", "x", "my", "mx")

@@ -447,3 +447,56 @@ def stream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = f"stream_{uuid.uuid4().hex[:8]}"
     out = run_to_files(report, ["window", "event_type"], f"{shared_folder(spark)}/palimpsest/{name}")
     return out.select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+@query(
+    """WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda e: CAST(floor((CAST(e AS DOUBLE) + 1) * 127.5) AS INT)) AS v FROM embeddings),
+d AS (SELECT p.id, q.id AS other, CAST(list_sum(list_transform(range(1, len(p.v) + 1), lambda i: bit_count(xor(p.v[i], q.v[i])))) AS DOUBLE) AS distance FROM v p JOIN v q ON p.id <> q.id),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS rank FROM d) SELECT * FROM n WHERE rank <= 3"""
+)
+def knn_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of bytes by the bits that differ."""
+    bytes_ = F.transform("embedding", lambda e: F.floor((e.cast("double") + 1) * 127.5).cast("int"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("vec_id").alias("id"), bytes_.alias("vec"))
+    return M.nearest(vectors, 3, across_images=True, hamming=True).select("id", "other", "distance", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {PX}, m AS (SELECT p.image_id, p.y, p.x, q.y AS my, q.x AS mx, abs(p.g - q.g) AS distance FROM px p JOIN px q ON q.image_id = p.image_id AND q.y = p.y AND abs(q.x - p.x) >= 2), r AS (SELECT *, row_number() OVER (PARTITION BY image_id, y, x ORDER BY distance, my, mx) - 1 AS plane FROM m) SELECT image_id, y, x, my, mx, distance, plane FROM r WHERE plane < 2")
+def match_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first matches of each pixel, one a plane."""
+    px = maps.pixels(spark, sf_dir).select(*XY, "g")
+    q = px.select("image_id", "y", F.col("x").alias("mx"), F.col("g").alias("h"))
+    m = px.join(q, ["image_id", "y"]).filter(F.abs(F.col("mx") - F.col("x")) >= 2).select(*XY, F.col("y").alias("my"), "mx", F.abs(F.col("g") - F.col("h")).alias("distance"))
+    return M.planes(m, 2).select(*XY, "my", "mx", "distance", F.col("plane").cast("long").alias("plane"))
+
+
+@query(
+    f"""WITH {PX}, {BL}, h AS (SELECT image_id, block_y, block_x, g // 8 AS bin, count(*) AS n FROM bl GROUP BY ALL), e AS (SELECT image_id, block_y, block_x, round(sum(-(n / 16.0::DOUBLE) * log2(n / 16.0::DOUBLE)), 6) AS f1 FROM h GROUP BY ALL),
+m AS (SELECT image_id, block_y, block_x, round(avg(g), 6) AS f0 FROM bl WHERE {_R2} <= 4 GROUP BY ALL), f AS (SELECT image_id, block_y * 8 + block_x AS id, f0, f1 FROM m JOIN e USING (image_id, block_y, block_x))
+SELECT p.image_id, p.id AS a, q.id AS b FROM f p JOIN f q ON p.image_id = q.image_id AND p.id < q.id WHERE abs(p.f0 - q.f0) <= 4.3 AND abs(p.f1 - q.f1) <= 0.31"""
+)
+def colour_entropy_criterion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X11: block pairs near in colour and entropy."""
+    f = _rounded(B.bravo(_blocks(spark, sf_dir), 4), KEY).select("image_id", F.struct((F.col("block_y") * 8 + F.col("block_x")).alias("id"), F.array("f0").alias("colours"), F.col("f1").alias("entropy")).alias("p"))
+    pairs = f.select("image_id", F.col("p").alias("a")).join(f.select("image_id", F.col("p").alias("b")), "image_id").filter("a.id < b.id")
+    return pairs.filter(M.colour_entropy(4.3, 0.31)).select("image_id", F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+
+
+@query(f"WITH {PX}, b AS (SELECT image_id, y // 4 * 32 + x // 4 * 4 AS id, array_agg(g ORDER BY y, x) AS v FROM px GROUP BY ALL) SELECT p.image_id, p.id AS a, q.id AS b FROM b p JOIN b q ON p.image_id = q.image_id AND p.id < q.id WHERE list_max(list_transform(range(1, 17), lambda i: abs(p.v[i] - q.v[i]))) <= 60")
+def componentwise_criterion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block pairs whose components are all near."""
+    return _block_pairs(spark, sf_dir).filter(M.componentwise([60.0] * 16)).select("image_id", F.col("a.id").cast("long").alias("a"), F.col("b.id").cast("long").alias("b"))
+
+
+@query(
+    f"""WITH {PX}, o AS (SELECT * FROM (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx)), f AS (SELECT image_id, y, x, y + 2 AS my, x + 3 AS mx FROM px WHERE y < 6 AND x < 5 AND v > 0.1),
+m AS (SELECT * FROM f UNION SELECT image_id, my, mx, y, x FROM f),
+c AS (SELECT m.*, p.g AS p, q.g AS q FROM m, o JOIN px p ON p.image_id = m.image_id AND p.y = m.y + dy AND p.x = m.x + dx JOIN px q ON q.image_id = m.image_id AND q.y = m.my + dy AND q.x = m.mx + dx),
+s AS (SELECT image_id, y, x, my, mx, covar_pop(p, q) AS c, var_pop(p) AS vp, var_pop(q) AS vq FROM c GROUP BY ALL)
+SELECT DISTINCT image_id, y, x FROM s WHERE vp > 1e-9 AND vq > 1e-9 AND c / sqrt(vp * vq) >= 0.413"""
+)
+def correlated_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ends of matches that correlate, from either side."""
+    px = maps.pixels(spark, sf_dir)
+    m = px.filter("y < 6 AND x < 5 AND v > 0.1").select(*XY, (F.col("y") + 2).alias("my"), (F.col("x") + 3).alias("mx"))
+    return V.correlated(px, m, 0.413, 1)

@@ -283,3 +283,50 @@ def scene_degraded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.join(plan.groupBy("image_id").agg(F.count(F.lit(1)).alias("blocks")), "image_id", "left")
 
 
+def _first_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = S.label_components(maps.truth(spark, sf_dir))
+    return parts.join(parts.groupBy("image_id").agg(F.min("component").alias("component")), ["image_id", "component"], "left_semi")
+
+
+@query(
+    f"""WITH RECURSIVE {PX}, {GT}, {COMP}, obj AS (SELECT image_id, y, x FROM comp WHERE (image_id, c) IN (SELECT image_id, min(c) FROM comp GROUP BY image_id)),
+box AS (SELECT image_id, min(y) AS y0, min(x) AS x0, max(y) - min(y) + 1 AS h, max(x) - min(x) + 1 AS w FROM obj GROUP BY image_id),
+t AS (SELECT *, greatest(1, w * 3 // 2) AS nh, greatest(1, h * 3 // 2) AS nw FROM box),
+spots AS (SELECT image_id, y0 + h - 1 - c * h // nw AS sy, x0 + w - 1 - r * w // nh AS sx, y0 + 2 + r AS y, x0 + 1 + c AS x FROM t, (SELECT CAST(unnest(range(12)) AS INT) AS r), (SELECT CAST(unnest(range(12)) AS INT) AS c) WHERE r < nh AND c < nw),
+landed AS (SELECT a.* FROM spots a JOIN obj s ON s.image_id = a.image_id AND s.y = sy AND s.x = sx WHERE a.y <= 7 AND a.x <= 7 AND NOT EXISTS (SELECT 1 FROM obj o WHERE o.image_id = a.image_id AND o.y = a.y AND o.x = a.x)),
+copied AS (SELECT l.image_id, l.y, l.x, p.g FROM landed l JOIN px p ON p.image_id = l.image_id AND p.y = sy AND p.x = sx),
+source AS (SELECT DISTINCT image_id, sy AS y, sx AS x FROM landed)
+SELECT p.image_id, p.y, p.x, coalesce(c.g, p.g) AS g, CASE WHEN c.g IS NOT NULL THEN 'copy' WHEN s.y IS NOT NULL THEN 'source' ELSE 'none' END AS part
+FROM px p LEFT JOIN copied c ON c.image_id = p.image_id AND c.y = p.y AND c.x = p.x LEFT JOIN source s ON s.image_id = p.image_id AND s.y = p.y AND s.x = p.x"""
+)
+def copy_move_turned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An object mirrored, turned, scaled and pasted, with the sampled pixels as its source."""
+    out, truth = forge.forge("copy_move_forgery", maps.pixels(spark, sf_dir), _first_object(spark, sf_dir), SIDE, SIDE, dy=2, dx=1, turns=1, mirrored=True, up=3, down=2)
+    return out.join(truth, XY, "left").withColumn("part", F.coalesce("part", F.lit("none")))
+
+
+_TILED = f"""WITH RECURSIVE {PX}, {GT}, {COMP}, box AS (SELECT image_id, c, min(y) AS y0, min(x) AS x0 FROM comp GROUP BY ALL HAVING max(y) - min(y) < 2 AND max(x) - min(x) < 2),
+a AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY c) AS n FROM box),
+tiles AS (SELECT image_id, ty, tx FROM (SELECT DISTINCT image_id FROM px), (SELECT CAST(unnest([0, 2, 4, 6]) AS INT) AS ty), (SELECT CAST(unnest([0, 2, 4, 6]) AS INT) AS tx)),
+free AS (SELECT t.*, row_number() OVER (PARTITION BY image_id ORDER BY ty, tx) AS n FROM tiles t WHERE NOT EXISTS (SELECT 1 FROM gt g WHERE g.image_id = t.image_id AND g.y BETWEEN ty AND ty + 1 AND g.x BETWEEN tx AND tx + 1)),
+moved AS (SELECT o.image_id AS donor, o.y, o.x, f.image_id AS host, o.y + ty - y0 AS my, o.x + tx - x0 AS mx, a.n, p.g FROM comp o JOIN a USING (image_id, c) JOIN free f ON f.n = a.n AND f.image_id = a.image_id + :step JOIN px p ON p.image_id = o.image_id AND p.y = o.y AND p.x = o.x WHERE a.n <= 2)
+SELECT p.image_id, p.y, p.x, coalesce(m.g, p.g) AS g, coalesce(CAST(m.n AS INT), 0) AS copied, coalesce(CAST(s.n AS INT), 0) AS taken FROM px p LEFT JOIN moved m ON m.host = p.image_id AND m.my = p.y AND m.mx = p.x LEFT JOIN moved s ON s.donor = p.image_id AND s.y = p.y AND s.x = p.x"""
+
+
+def _tiled(out: DataFrame, truth: DataFrame) -> DataFrame:
+    part = lambda kind, name: truth.filter(F.col("part") == kind).select(*XY, F.col("index").alias(name))
+    return out.join(part("copy", "copied"), XY, "left").join(part("source", "taken"), XY, "left").fillna(0, ["copied", "taken"])
+
+
+@query(_TILED.replace(":step", "0"))
+def copy_move_to_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """two objects of each image in free tiles of it, with the index that source and copy share."""
+    return _tiled(*forge.random_copy_move(maps.pixels(spark, sf_dir), S.label_components(maps.truth(spark, sf_dir)), SIDE, SIDE, 2, 2, 2))
+
+
+@query(_TILED.replace(":step", "1"))
+def splicing_to_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """two objects of each image in free tiles of the next."""
+    px, parts = maps.pixels(spark, sf_dir), S.label_components(maps.truth(spark, sf_dir))
+    pairs = maps.image_list(spark, sf_dir).select(F.col("image_id").alias("donor"), (F.col("image_id") + 1).alias("host"))
+    return _tiled(*forge.splice_to_tiles(px, parts, px, parts, pairs, SIDE, SIDE, 2, 2, 2))

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import grids
+from palimpsest.functions.arrays import angular_difference, log_polar_factor
 from palimpsest.operators import raster as R
 from palimpsest.operators import scoring as S
 from palimpsest.operators.images import XY
 from palimpsest.plans import maps
 from palimpsest.plans.catalog import query
-from palimpsest.plans.maps import COMP, GT, IMAGES, PX, SIDE
+from palimpsest.plans.maps import COMP, DET, GT, IMAGES, PX, SIDE
+from palimpsest.session import table
 
 
 @query(f"WITH {PX} SELECT image_id, y, x, least(255, greatest(0, g + 40)) AS bright, round(least(255.0::DOUBLE, g * power(2.0, 0.5)), 6) AS exposed, least(255, greatest(0, CAST(floor(g * 1.5 - 20) AS INT))) AS contrasted FROM px")
@@ -137,13 +139,13 @@ def adaptive_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {PX}, h AS (SELECT image_id, y // 4 AS block_y, x // 4 AS block_x, g // 8 AS bin, count(*) AS n FROM px GROUP BY ALL),
+    f"""WITH {PX}, h AS (SELECT image_id, y // 4 AS block_y, x // 4 AS block_x, g AS bin, count(*) AS n FROM px GROUP BY ALL),
 t AS (SELECT *, sum(n) OVER (PARTITION BY image_id, block_y, block_x) AS total FROM h), e AS (SELECT image_id, block_y, block_x, sum(-(n / total) * log2(n / total)) AS entropy FROM t GROUP BY ALL)
 SELECT image_id, CAST(block_y AS INT) AS block_y, CAST(block_x AS INT) AS block_x, round(entropy, 6) AS entropy FROM e WHERE entropy >= 1.5"""
 )
 def block_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of enough entropy."""
-    px = maps.pixels(spark, sf_dir).select("image_id", F.expr("y div 4").cast("int").alias("block_y"), F.expr("x div 4").cast("int").alias("block_x"), F.expr("g div 8").alias("bin"))
+    px = maps.pixels(spark, sf_dir).select("image_id", F.expr("y div 4").cast("int").alias("block_y"), F.expr("x div 4").cast("int").alias("block_x"), F.col("g").alias("bin"))
     return R.entropy(px, ["image_id", "block_y", "block_x"], "bin").filter("entropy >= 1.5").withColumn("entropy", F.round("entropy", 6))
 
 
@@ -224,3 +226,22 @@ def truth_postprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     support = R.box_sums(px, "on", 1, SIDE, SIDE)
     value = F.when(F.col("box") >= 4, 255).when(F.col("on") == 1, 170).when(F.col("v") > 0.05, 85).otherwise(0)
     return support.select(*XY, value.alias("value"))
+
+
+@query(f"WITH {PX}, {DET} SELECT DISTINCT image_id, label FROM det WHERE label <> 0")
+def distinct_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels of each map."""
+    return R.labels_of(maps.detection(spark, sf_dir))
+
+
+@query(f"WITH {PX} SELECT p.image_id, p.y, p.x FROM px p WHERE p.g >= 110 AND NOT EXISTS (SELECT 1 FROM px q WHERE q.image_id = p.image_id AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 AND q.g < 110)")
+def subimage_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is opaque, worn off by a square."""
+    return R.subimage(maps.pixels(spark, sf_dir), "g", 110, SIDE, SIDE, 1).select("image_id", "y", "x")
+
+
+@query("SELECT p_partkey, least((p_partkey * 37 - p_size * 53) % 360 + CASE WHEN (p_partkey * 37 - p_size * 53) % 360 < 0 THEN 360 ELSE 0 END, 360 - ((p_partkey * 37 - p_size * 53) % 360 + CASE WHEN (p_partkey * 37 - p_size * 53) % 360 < 0 THEN 360 ELSE 0 END)) AS apart, round((p_size + 2) / (ln((p_size + 2)::DOUBLE) - ln(2.0::DOUBLE) / 2), 6) AS factor FROM part")
+def angles_and_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Angles between directions, and the log-polar factor of a width."""
+    p = table(spark, sf_dir, "part").withColumns({"a": F.col("p_partkey") * 37, "b": F.col("p_size") * 53})
+    return p.select("p_partkey", angular_difference("a", "b").alias("apart"), F.round(log_polar_factor((F.col("p_size") + 2).cast("double")), 6).alias("factor"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,18 +12,18 @@ from pyspark.sql import functions as F
 
 
 def write_csv(rows: DataFrame, folder: str, separator: str = ",") -> str:
-    """Below a folder of this moment's name; its path."""
+    """Below a folder of this moment's name, and of a suffix that no other write has; its path."""
     stamp = rows.sparkSession.sql("SELECT date_format(current_timestamp(), 'yyyyMMdd-HHmmss')").first()[0]
-    path = f"{folder}/{stamp}"
+    path = f"{folder}/{stamp}-{uuid.uuid4().hex[:8]}"
     rows.write.csv(path, header=True, sep=separator)
     return path
 
 
 def write_samples(samples: DataFrame, folder: str) -> None:
-    """Samples (modality, op, ...) as partitioned Parquet, their annotations as JSON lines beside them."""
+    """Samples (modality, op, index, ...) as partitioned Parquet; beside them their annotations, a JSON document a line with modality, op and index."""
     samples.drop("annotation").write.partitionBy("modality", "op").mode("overwrite").parquet(f"{folder}/samples")
     if "annotation" in samples.columns:
-        samples.select("modality", "op", "index", F.col("annotation").alias("value")).select("value").write.mode("overwrite").text(f"{folder}/annotations")
+        samples.select("modality", "op", "index", "annotation").write.mode("overwrite").json(f"{folder}/annotations")
 
 
 def raw_label_files(packed: DataFrame) -> DataFrame:
@@ -50,3 +51,8 @@ def observed(rows: DataFrame, name: str):
 
     watch = Observation(name)
     return rows.observe(watch, F.count(F.lit(1)).alias("rows")), watch
+
+
+def thumbnails(images: DataFrame, content: str = "content", name: str = "image_id", kind: str = "image/png") -> DataFrame:
+    """name, html: an image element that holds the file's bytes."""
+    return images.select(name, F.concat(F.lit(f'<img src="data:{kind};base64,'), F.base64(content), F.lit('">')).alias("html"))

@@ -326,7 +326,10 @@ def test_files_samples_and_matches(spark, tmp_path):
     assert [os.path.basename(r["path"]) for r in readers.list_files(spark, str(tmp_path), "*.json").collect()] == ["annotations.json"]
     samples = spark.createDataFrame([("m", "op", 1, "{}")], "modality string, op string, index int, annotation string")
     sinks.write_samples(samples, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out/samples")).count() == 1 and spark.read.text(str(tmp_path / "out/annotations")).first()[0] == "{}"
+    assert spark.read.parquet(str(tmp_path / "out/samples")).count() == 1 and tuple(spark.read.json(str(tmp_path / "out/annotations")).select("modality", "op", "index", "annotation").first()) == ("m", "op", 1, "{}")
+    assert sinks.write_csv(samples, str(tmp_path / "csv")) != sinks.write_csv(samples, str(tmp_path / "csv"))
+    shown = sinks.thumbnails(spark.createDataFrame([(7, bytearray(b"abc"))], "image_id long, content binary")).first()
+    assert tuple(shown) == (7, '<img src="data:image/png;base64,YWJj">')
     matches = spark.createDataFrame([(0, 0, 1, 1, 5, 5, 0.5), (0, 0, 1, 1, 6, 6, 0.1), (0, 0, 1, 1, 7, 7, 0.9)], readers.MATCHES)
     sinks.write_matches(matches, str(tmp_path / "matches"))
     stacked = matching.planes(readers.read_matches(spark, str(tmp_path / "matches")).drop("plane"), 2)
@@ -348,3 +351,119 @@ def test_contact_sheet_and_free_strip(spark):
     assert sides == {"001": "top", "002": "bottom"}
     s = spark.createDataFrame([(1, i, 10, 10) for i in range(5)], "sheet int, panel int, h int, w int")
     assert [(r["y0"], r["x0"]) for r in templates.contact_sheet(s).orderBy("panel").collect()] == [(2, 2), (2, 16), (2, 30), (16, 2), (16, 16)]
+
+
+@pytest.mark.parametrize(("turns", "mirrored", "up", "down"), [(0, False, 1, 1), (1, False, 1, 1), (2, True, 2, 1), (3, True, 3, 2), (1, True, 1, 2)])
+def test_turned_copies_against_arrays(spark, turns, mirrored, up, down):
+    image = np.arange(240).reshape(12, 20) % 251
+    mask = np.zeros((12, 20), bool)
+    mask[1:4, 2:7] = [[1, 1, 0, 1, 1], [1, 1, 1, 1, 0], [0, 1, 1, 1, 1]]
+    objects = spark.createDataFrame([(0, int(y), int(x)) for y, x in np.argwhere(mask)], "image_id long, y int, x int")
+    out, truth = forge.forge("copy_move_forgery", pixels(spark, image), objects, 12, 20, dy=3, dx=6, turns=turns, mirrored=mirrored, up=up, down=down)
+
+    def shaped(a):
+        a = np.rot90(a[:, ::-1] if mirrored else a, -turns)
+        h, w = (max(1, n * up // down) for n in a.shape)
+        return a[np.ix_(np.arange(h) * a.shape[0] // h, np.arange(w) * a.shape[1] // w)]
+
+    want, copied, taken = image.copy(), np.zeros_like(mask), np.zeros_like(mask)
+    at = shaped(np.arange(240).reshape(12, 20)[1:4, 2:7])
+    for (r, c), hit in np.ndenumerate(shaped(mask[1:4, 2:7])):
+        y, x = 4 + r, 8 + c
+        if hit and y < 12 and x < 20 and not mask[y, x]:
+            want[y, x], copied[y, x] = image.ravel()[at[r, c]], True
+            taken.ravel()[at[r, c]] = True
+    assert (dense(out, (12, 20)) == want).all()
+    rows = truth.collect()
+    for part, held in (("copy", copied), ("source", taken)):
+        assert sorted((r["y"], r["x"]) for r in rows if r["part"] == part) == [tuple(p) for p in np.argwhere(held).tolist()]
+
+
+def test_forgeries_by_name(spark):
+    image = np.arange(64).reshape(8, 8)
+    objects = spark.createDataFrame([(0, 0, 0, 5), (0, 0, 1, 5), (0, 4, 4, 6), (0, 6, 0, 7), (0, 6, 1, 7), (0, 6, 2, 7)], "image_id long, y int, x int, component int")
+    px = pixels(spark, image)
+    out, truth = forge.forge("random_copy_move", px, objects, 8, 8, tile_h=2, tile_w=2, n=3, seed=4)
+    rows = truth.collect()
+    made = dense(out, (8, 8))
+    assert {r["index"] for r in rows} == {1, 2}  # the third is wider than a tile
+    for index in (1, 2):
+        ends = [sorted((r["y"], r["x"]) for r in rows if r["index"] == index and r["part"] == p) for p in ("source", "copy")]
+        shift = np.subtract(ends[1][0], ends[0][0])
+        assert [tuple(np.add(p, shift)) for p in ends[0]] == ends[1] and all(made[c] == image[s] for s, c in zip(*ends, strict=True))
+    brighter, _ = forge.forge("retouching_brightness", px, objects, 8, 8, beta=10)
+    assert dense(brighter, (8, 8))[4, 4] == image[4, 4] + 10
+    hosts = pixels(spark, image * 0, 1)
+    spliced, _ = forge.forge("splicing_forgery", px, objects, 8, 8, host=hosts, host_objects=objects.limit(0), pairs=spark.createDataFrame([(0, 1)], "donor long, host long"), tile_h=2, tile_w=2)
+    assert dense(spliced, (8, 8)).sum() > 0
+    for name, arguments in (("no_such", {}), ("retouching_brightness", {}), ("retouching_brightness", {"beta": 1, "gamma": 2})):
+        with pytest.raises(ValueError):
+            forge.forge(name, px, objects, 8, 8, **arguments)
+
+
+def test_kernels_on_small_rasters():
+    r = np.random.default_rng(3)
+    image = r.random((9, 11)) * 200
+    assert np.allclose(grids.blur(np.full((7, 8), 5.0), 2), 5) and np.allclose(grids.blur(image, 1)[3, 4], image[2:5, 3:6].mean())
+    assert np.allclose(grids.blur(image, 1)[0, 0], image[np.ix_([1, 0, 1], [1, 0, 1])].mean())
+    assert np.allclose(grids.resize_linear(image, 9, 11), image) and np.allclose(grids.resize_linear(image, 18, 22)[1::2, 1::2][:8, :10], (9 * image[:8, :10] + 3 * image[1:, :10] + 3 * image[:8, 1:] + image[1:, 1:]) / 16)
+    assert np.allclose(grids.warp_affine(image, np.array([[1.0, 0, 2], [0, 1, 1]]))[1:, 2:], image[:-1, :-2])
+    ring = np.zeros((7, 7), bool)
+    ring[1:6, 1:6] = True
+    ring[2:5, 2:5] = False
+    assert grids.fill_holes(ring).sum() == 25 and grids.fill_holes(ring, 9).sum() == 16
+    mask = np.zeros((9, 11), bool)
+    mask[2:6, 3:8] = True
+    assert np.allclose(grids.poisson_clone(image, image + 40, mask), image, atol=0.5)  # equal gradients: the target again
+    field, cost = grids.patch_field(np.tile(r.random((4, 6)), (1, 2)), 3, 2, 8)
+    assert (cost >= 0).all() and all((y - ty) ** 2 + (x - tx) ** 2 >= 4 for (y, x), (ty, tx) in zip(np.ndindex(cost.shape), field.reshape(-1, 2), strict=True) if np.isfinite(cost[y, x]))
+
+
+def test_total_least_squares_and_vectors(spark):
+    from palimpsest.functions import arrays
+
+    r = np.random.default_rng(5)
+    a = r.random((30, 2)) * 50
+    m = np.array([[0.9, -0.2, 4.0], [0.3, 1.1, -7.0]])
+    assert np.allclose(grids.fit_affine_total(a, a @ m[:, :2].T + m[:, 2]), m)
+    noisy = np.column_stack((a, a @ m[:, :2].T + m[:, 2])) + r.normal(0, 0.5, (30, 4))
+
+    def apart(t):  # squared distances to the plane b = A a + t
+        off = noisy[:, 2:] - noisy[:, :2] @ t[:, :2].T - t[:, 2]
+        spread = np.eye(2) + t[:, :2] @ t[:, :2].T
+        return float((off @ np.linalg.inv(spread) * off).sum())
+
+    best = grids.fit_affine_total(noisy[:, :2], noisy[:, 2:])
+    assert all(apart(best) <= apart(best + r.normal(0, 1e-3, (2, 3))) + 1e-9 for _ in range(50)) and apart(best) <= apart(grids.fit_affine(noisy[:, :2], noisy[:, 2:]))
+    row = spark.createDataFrame([([2.0, 4.0, 2.0], [1.0, 0.0], [1.0, float("inf")])], "a array<double>, b array<double>, c array<double>")
+    assert [r_ for r_ in row.select(*[arrays.homogeneous(c) for c in "abc"]).first()] == [[1.0, 2.0, 1.0], [1.0, 0.0], [1.0, float("inf")]]
+
+
+def test_block_kernels():
+    r = np.random.default_rng(6)
+    block = r.random((8, 8))
+    kernels = features.KERNELS
+    assert np.allclose(kernels["SVD"](block) ** 2, np.sort(np.linalg.eigvalsh(block @ block.T))[::-1])
+    assert np.isclose((kernels["DWTFEAT"](block) ** 2).sum(), (block**2).sum()) and np.isclose(kernels["DWTFEAT"](block)[0], block.sum() / 8)
+    assert np.allclose(kernels["DSIFT"](block * 3 + 5), kernels["DSIFT"](block)) and np.isclose(np.linalg.norm(kernels["DSIFT"](block)), 1)
+    inner = np.zeros((16, 16))
+    inner[4:12, 4:12] = block
+    known, soft = kernels["BLUR"](inner), kernels["BLUR"](grids.blur(inner, 1))
+    assert np.allclose(known, soft, rtol=1e-6, atol=1e-6 * np.abs(known).max())
+
+
+def test_areas_by_share_and_clusters_by_links(spark):
+    mask = spark.createDataFrame([(0, 0, 0), (0, 0, 1), (0, 5, 5)], "image_id long, y int, x int")
+    m = spark.createDataFrame([(0, 0, 0, 5, 5)], "image_id long, y int, x int, my int, mx int")
+    assert sorted((r["y"], r["x"]) for r in verify.area_rules(mask, m, 0.02, 100).collect()) == [(0, 0), (0, 1)]
+
+
+def test_scratch_tables_go(spark):
+    from palimpsest import session
+
+    with session.scratch():
+        gone = session.durable(spark.range(3), "gone")
+        kept = session.durable(spark.range(3), "kept", kept=True)
+        assert gone.count() == kept.count() == 3
+    assert not os.path.exists(gone._palimpsest_path.removeprefix("file://")) and os.path.exists(kept._palimpsest_path.removeprefix("file://"))
+    session.discard(kept)
