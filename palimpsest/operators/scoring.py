@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import grids
 from palimpsest.functions.arrays import quotient
 from palimpsest.operators.images import XY
-from palimpsest.session import prepare
+from palimpsest.session import durable, prepare
 
 
 def merge_truth(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -79,7 +79,8 @@ def scores(detected: DataFrame, truth: DataFrame, images: DataFrame, check: bool
     The checked scores count only consistent pixels as true positives. Where truth is empty, or without the check, both are F1;
     they are 0 where nothing is detected and where the plain score is 0.
     """
-    plain = confusion(detected, truth, images).withColumns({"f1": f1(), "precision": precision()})
+    counts = confusion(detected, truth, images)
+    plain = (durable(counts, "confusion") if check else counts).withColumns({"f1": f1(), "precision": precision()})  # the check reads them three times
     if not check:
         return plain.select("image_id", "f1", F.col("f1").alias("f1_check"), "precision", F.col("f1").alias("precision_check"))
     # labelling runs only for images that can have a checked score

@@ -128,3 +128,28 @@ def contact_sheet(panels: DataFrame, border: int = 2) -> DataFrame:
     per_row = F.ceil(F.col("n") / F.floor(F.sqrt("n")))
     rows = panels.select("sheet", "panel").join(size, "sheet").withColumn("i", F.row_number().over(w) - 1)
     return rows.select("sheet", "panel", (F.floor(F.col("i") / per_row) * (F.col("h") + 2 * border) + border).cast("int").alias("y0"), (F.col("i") % per_row * (F.col("w") + 2 * border) + border).cast("int").alias("x0"), "h", "w")
+
+
+def mates(panels: DataFrame) -> DataFrame:
+    """The panels with a role: of the first class that has two panels of a template, the first is `pristine` and the second `forged`; all others are `filler`.
+
+    Templates without two panels alike give nothing.
+    """
+    ranked = panels.withColumn("__n", F.row_number().over(Window.partitionBy("template", "class").orderBy("panel")))
+    chosen = ranked.filter("__n = 2").groupBy("template").agg(F.min_by("class", "panel").alias("__class"))
+    role = F.when((F.col("class") == F.col("__class")) & (F.col("__n") == 1), "pristine").when((F.col("class") == F.col("__class")) & (F.col("__n") == 2), "forged").otherwise("filler")
+    return ranked.join(chosen, "template").withColumn("role", role).drop("__n", "__class")
+
+
+def inter_panel(panels: DataFrame, shown: DataFrame, pristine: DataFrame, forged: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Figures with an image and its forgery side by side, and their ground truth (template, y, x, part).
+
+    shown: (template, panel, image_id, ih, iw). Panels get their roles by mates(); a template whose pair is not shown by one image gives nothing.
+    """
+    roles = mates(panels).join(shown, ["template", "panel"])
+    pair = roles.filter("role <> 'filler'").groupBy("template").agg(F.count_distinct("image_id").alias("images"), F.count(F.lit(1)).alias("n")).filter("images = 1 AND n = 2")
+    roles = roles.join(pair.select("template"), "template", "left_semi")
+    figure = place(roles.filter("role <> 'forged'"), pristine).unionByName(place(roles.filter("role = 'forged'"), forged))
+    marked = truth.select("image_id", "y", "x").distinct().withColumn("g", F.lit(1))
+    ends = [place(roles.filter(F.col("role") == role), marked).select("template", "y", "x", F.lit(part).alias("part")) for role, part in (("pristine", "source"), ("forged", "copy"))]
+    return figure, ends[0].unionByName(ends[1])

@@ -330,3 +330,25 @@ def splicing_to_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     px, parts = maps.pixels(spark, sf_dir), S.label_components(maps.truth(spark, sf_dir))
     pairs = maps.image_list(spark, sf_dir).select(F.col("image_id").alias("donor"), (F.col("image_id") + 1).alias("host"))
     return _tiled(*forge.splice_to_tiles(px, parts, px, parts, pairs, SIDE, SIDE, 2, 2, 2))
+
+
+@query(
+    f"""WITH {_TEMPLATE}, {PX}, ranked AS (SELECT *, row_number() OVER (PARTITION BY template, class ORDER BY panel) AS n FROM panels),
+chosen AS (SELECT template, arg_min(class, panel) AS own FROM ranked WHERE n = 2 GROUP BY template),
+roles AS (SELECT r.*, CASE WHEN class = own AND n <= 2 THEN n ELSE 0 END AS role FROM ranked r JOIN chosen USING (template)),
+shown AS (SELECT *, CASE WHEN role > 0 THEN template % 50 ELSE (template + CAST(panel AS INT)) % 50 END AS image_id FROM roles),
+fig AS (SELECT s.template, s.role, v > 0.15 AS marked, CASE WHEN role = 2 AND v > 0.15 THEN least(255, g + 30) ELSE g END AS g FROM shown s, LATERAL (SELECT unnest(range(y0, y1)) AS fy), LATERAL (SELECT unnest(range(x0, x1)) AS fx), px
+  WHERE px.image_id = s.image_id AND px.y = CAST(floor((fy - y0) * 8 / (y1 - y0)::DOUBLE) AS INT) AND px.x = CAST(floor((fx - x0) * 8 / (x1 - x0)::DOUBLE) AS INT))
+SELECT template, count(*) AS pixels, CAST(sum(g) AS BIGINT) AS total, count(*) FILTER (WHERE role = 1 AND marked) AS sources, count(*) FILTER (WHERE role = 2 AND marked) AS copies FROM fig GROUP BY template"""
+)
+def inter_panel_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures that show an image and its retouched copy in two panels alike, with the ground truth of both."""
+    p = _panels(spark, sf_dir)
+    role = P.mates(p).select("template", "panel", "role")
+    image = F.when(F.col("role") != "filler", F.col("template") % 50).otherwise((F.col("template") + F.col("panel").cast("int")) % 50)
+    shown = role.select("template", "panel", image.alias("image_id"), F.lit(SIDE).alias("ih"), F.lit(SIDE).alias("iw"))
+    px, gt = maps.pixels(spark, sf_dir).select(*XY, "g"), maps.truth(spark, sf_dir)
+    forged = px.join(gt.select(*XY, F.lit(30).alias("more")), XY, "left").select(*XY, R.brighten(F.col("g"), F.coalesce("more", F.lit(0))).alias("g"))
+    figure, truth = P.inter_panel(p, shown, px, forged, gt)
+    counts = truth.groupBy("template").agg(F.count_if(F.col("part") == "source").alias("sources"), F.count_if(F.col("part") == "copy").alias("copies"))
+    return figure.groupBy("template").agg(F.count(F.lit(1)).alias("pixels"), F.sum("g").alias("total")).join(counts, "template", "left").fillna(0, ["sources", "copies"])

@@ -77,3 +77,25 @@ def test_unknown_measure_is_left_out(spark):
     rows = S.chosen_measures(measured, ["f1", "beauty"]).collect()
     assert [(r["measure"], r["value"]) for r in rows] == [("f1", 1.0)]
     assert S.chosen_measures(measured, ["beauty"]).count() == 0
+
+
+def test_folders_of_maps_to_scores(spark, tmp_path):
+    from palimpsest.sources import evaluation, readers
+
+    truth, found = np.array(TWO_PARTS), np.array(BOTH_PARTS_AND_NOISE)
+    for folder in ("truth", "labels", "network"):
+        (tmp_path / folder).mkdir()
+    write = lambda path, a: (tmp_path / path).write_bytes(readers.encode_png(a.astype(np.uint8)))
+    for name in ("one", "none", "broken"):
+        write(f"truth/{name}.png", truth)
+    write("labels/one.png", found)
+    write("labels/more.png", found)
+    (tmp_path / "labels" / "broken.png").write_bytes(b"no image")
+    write("network/one.png", np.stack([(found == 5) * 200, (found == 7) * 150, found * 30], axis=2))
+    rows = {r["image_id"]: r for r in evaluation.score_folders(spark, str(tmp_path / "labels"), str(tmp_path / "truth"), "labels").collect()}
+    assert {k: (r["found"], r["readable"]) for k, r in rows.items()} == {"one": (True, True), "none": (False, False), "broken": (True, False)}
+    assert rows["one"]["f1"] == pytest.approx(9 / 11) and rows["one"]["f1_check"] == pytest.approx(9 / 11) and rows["none"]["f1"] == rows["broken"]["f1_check"] == 0
+    net = {r["image_id"]: r["f1"] for r in evaluation.score_folders(spark, str(tmp_path / "network"), str(tmp_path / "truth"), "network", check=False).collect()}
+    assert net["one"] == pytest.approx(9 / 11)
+    with pytest.raises(ValueError):
+        evaluation.label_maps(spark, str(tmp_path), "no such kind")
