@@ -14,7 +14,9 @@ ever made. Of the classes' representatives:
 3. Verify. Sets with a signature in common form candidate groups. Within blocks of a group, the set
    with the fewest rare tokens goes first: overlaps with all others are counted exactly, links are kept, and what
    is connected is not compared again, so a large group of near copies of one text costs one pass. Where
-   a group has several blocks and is not yet one component, sets outside its main component meet every block.
+   a group has several blocks and is not yet one component, the same is done signature by signature: the sets outside a signature's main
+   component meet all of its blocks, so texts that a chain of signatures put into one group are not compared. Whole groups are
+   compared so only where that sends fewer rows.
 
 Every link between different sets is either verified or lies within a component that other links connect, so
 components are exact. Hot tokens and copies are
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import kernels as K
@@ -224,43 +226,70 @@ def find_links(sets: DataFrame, percent: int) -> DataFrame:
     heads = signed.groupBy("sig").agg(F.min("doc").alias("root"), F.count(F.lit(1)).alias("docs"), F.max("indexed").alias("any")).filter("docs >= 2 AND any")
     edges = signed.join(heads.hint("merge"), "sig").filter("doc <> root").select("doc", "root").distinct()
     group = components(edges, "doc", "root")
-    discard(signed)
     members = join_sized(join_sized(sets, group.withColumnRenamed("node", "doc").withColumnRenamed("component", "group"), "doc"), shared.select("doc", "rare"), "doc")
     members = durable(members.withColumn("label", F.col("doc")), "members")
     discard(shared)
     size = members.groupBy("group").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("tokens")).alias("tokens"), F.min_by("doc", F.struct("rare", "doc")).alias("centre"))
-    blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_ROWS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).alias("blocks")
-    size = durable(size.select("group", "centre", blocks, "docs"), "groups")
+    size = durable(size.select("group", "centre", _blocks(F.col("docs"), F.col("tokens")).alias("blocks")), "groups")
+    wide = size.filter("blocks > 1").select("group")
+    one_block = not wide.limit(1).count()
+    if one_block:
+        discard(signed)
     links = durable(_compare(_in_blocks(members, size), ["group", "block"], percent), "links")
-    if size.filter("blocks > 1").limit(1).count():
-        links = links.unionByName(_across_blocks(members, size.filter("blocks > 1"), links, percent))
+    if not one_block:
+        links = links.unionByName(_across_blocks(members, wide, signed, links, percent))
+        discard(signed)
     discard(members)
     return links
 
 
-def _across_blocks(members: DataFrame, wide: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+def _blocks(docs: Column, tokens: Column) -> Column:
+    return F.greatest(F.ceil(docs / BLOCK_ROWS), F.ceil(tokens / BLOCK_TOKENS), F.lit(1))
+
+
+def _unlinked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The parts (by keys) of more than one label: main label, blocks of its sets (major) and of the others (minor), and the rows `sent` to compare the others with all."""
+    kinds = rows.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("tokens"))
+    first = F.struct("docs", "label")
+    main = kinds.groupBy(*keys).agg(F.max_by("label", first).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("docs").alias("all"), F.sum("tokens").alias("tokens"), F.max("docs").alias("mains"), F.max_by("tokens", first).alias("main_tokens"))
+    main = main.filter("labels > 1").withColumn("minors", F.col("all") - F.col("mains"))
+    main = main.withColumn("major", _blocks(F.col("mains"), F.col("main_tokens"))).withColumn("minor", _blocks(F.col("minors"), F.col("tokens") - F.col("main_tokens")))
+    return main.select(*keys, "main", "major", "minor", F.expr("mains * minor + minors * (major + minor)").cast("decimal(38,0)").alias("sent"))
+
+
+def _across_blocks(members: DataFrame, wide: DataFrame, signed: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """Links across the blocks of groups that are not one component yet: each block of the sets outside
-    a group's main component against every block of the group."""
+    a part's main component against every block of the part. Parts are the sets of one signature, each different collection of sets once, or the whole
+    group where that sends fewer rows (near copies of one text share many signatures); two sets that link share a signature, so either way finds all."""
     labels = components(links, "a", "b").withColumnRenamed("node", "doc").withColumnRenamed("component", "found")
-    rows = join_sized(members.drop("label"), wide.select("group"), "group", "left_semi")
+    rows = join_sized(members.drop("label"), wide, "group", "left_semi")
     rows = durable(join_sized(rows, labels, "doc", "left").withColumn("label", F.coalesce("found", "doc")).drop("found"), "labelled")
-    kinds = rows.groupBy("group", "label").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("tokens")).alias("tokens"))
-    main = kinds.groupBy("group").agg(F.max_by("label", F.struct("docs", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("docs").alias("all"), F.sum("tokens").alias("tokens"), F.max("docs").alias("mains"), F.max_by("tokens", F.struct("docs", "label")).alias("main_tokens"))
-    count = lambda docs, tokens: F.greatest(F.ceil(docs / BLOCK_ROWS), F.ceil(tokens / BLOCK_TOKENS), F.lit(1))
-    plan = main.filter("labels > 1").select("group", "main", count(F.col("mains"), F.col("main_tokens")).alias("major"), count(F.col("all") - F.col("mains"), F.col("tokens") - F.col("main_tokens")).alias("minor"))
-    rows = join_sized(rows, durable(plan, "wide"), "group")
+    slim = rows.select("doc", "group", "label", F.size("tokens").alias("size"))
+    groups = durable(_unlinked(slim, ["group"]), "unlinked")
+    slim = join_sized(slim, groups.select("group"), "group", "left_semi")
+    shares = durable(signed.join(slim.hint("merge"), "doc"), "shares")
+    alike = F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y")
+    sigs = shares.groupBy("group", "sig").agg(F.count(F.lit(1)).alias("docs"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("indexed").alias("any"), *alike)
+    sigs = sigs.filter("low <> high AND any").groupBy("group", "docs", "x", "y").agg(F.min("sig").alias("sig"))
+    shares = durable(shares.drop("indexed").join(sigs.select("sig").hint("merge"), "sig"), "by-signature")
+    parts = durable(_unlinked(shares, ["group", "sig"]), "parts")
+    fewer = groups.join(parts.groupBy("group").agg(F.sum("sent").alias("fewer")), "group", "left").filter("coalesce(fewer, 0) < sent")
+    fewer = durable(fewer.select("group"), "fewer")
+    which = lambda name, whole: (F.col(name).cast("long").alias("part"), F.lit(whole).alias("whole"))
+    plan = ("main", "major", "minor")
+    parts = join_sized(groups, fewer, "group", "left_anti").select(*which("group", True), *plan).unionByName(join_sized(parts, fewer, "group", "left_semi").select(*which("sig", False), *plan))
+    shares = join_sized(slim, fewer, "group", "left_anti").select("doc", "label", *which("group", True)).unionByName(join_sized(shares, fewer, "group", "left_semi").select("doc", "label", *which("sig", False)))
+    dealt = join_sized(shares, durable(parts, "parts-of-both"), ["whole", "part"])
     number = lambda n: F.pmod(F.xxhash64("doc"), n)
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     is_main = F.col("label") == F.col("main")
-    major = rows.filter(is_main).withColumn("j", number(F.col("major"))).withColumn("i", F.explode(upto("minor")))
-    minor = rows.filter(~is_main).withColumn("own", number(F.col("minor")))
+    major = dealt.filter(is_main).withColumn("j", number(F.col("major"))).withColumn("i", F.explode(upto("minor")))
+    minor = dealt.filter(~is_main).withColumn("own", number(F.col("minor")))
     to_major = minor.withColumn("i", F.col("own")).withColumn("j", F.explode(upto("major")))
     to_minor = minor.withColumn("other", F.explode(upto("minor"))).withColumn("i", F.least("own", "other")).withColumn("j", -1 - F.greatest("own", "other"))
-    tasks = major.select("group", "i", "j", *_SET).unionByName(to_major.select("group", "i", "j", *_SET)).unionByName(to_minor.select("group", "i", "j", *_SET))
-    return durable(_compare(tasks, ["group", "i", "j"], percent), "links")
-
-
-_SET = ("doc", "tokens", "rare", "label")
+    keys = ["whole", "part", "i", "j"]
+    tasks = major.select(*keys, "doc").unionByName(to_major.select(*keys, "doc")).unionByName(to_minor.select(*keys, "doc"))
+    return durable(_compare(tasks.join(rows.hint("merge"), "doc"), keys, percent), "links")
 
 
 def _by_row(body: DataFrame, key: str, words: int, percent: int) -> DataFrame:

@@ -150,6 +150,25 @@ def test_components_against_brute_force(spark, monkeypatch, seed, words, percent
     assert sorted(map(tuple, got)) == plain_components(texts, ids, words, percent)
 
 
+@pytest.mark.parametrize("sent", [0, 10**12])
+def test_groups_and_signatures_find_the_same_links(spark, monkeypatch, sent):
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 2)
+    plain, wide = ngram_join._unlinked, []
+
+    def priced(rows, keys):
+        out = plain(rows, keys)
+        if keys == ["group"]:
+            wide.append(out.count())
+            return out.withColumn("sent", F.lit(sent))  # 0: whole groups are compared, else signatures
+        return out
+
+    monkeypatch.setattr(ngram_join, "_unlinked", priced)
+    texts = near_copies(4, 5, 80)
+    got = ngram_join.jaccard_components(docs(spark, texts), words=5, percent=80).collect()
+    assert sorted(map(tuple, got)) == plain_components(texts, list(range(len(texts))), 5, 80) and wide[0] > 0
+
+
 def test_components_of_nothing_and_of_repeated_rows(spark):
     assert ngram_join.jaccard_components(docs(spark, [])).count() == 0
     got = ngram_join.jaccard_components(docs(spark, ["a b c d"] * 3 + [None], [7, 7, 9, 1])).collect()
