@@ -5,6 +5,8 @@ Integer geometry is SQL on coordinates. Choices that would be random follow a se
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,6 +131,15 @@ def annotation(names: DataFrame) -> DataFrame:
     return names.select("image_id", F.to_json(F.struct(info.alias("forgery_info"), figure.alias("figure_annotations"))).alias("annotation"))
 
 
+def _sampled(at: DataFrame, pixels: DataFrame, objects: DataFrame, height: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Pixels and truth where (ty, tx) takes the object pixel (y, x), but for what falls outside or on the objects."""
+    at = at.filter(F.col("ty").between(0, height - 1) & F.col("tx").between(0, width - 1)).join(objects.select(*XY).distinct(), XY, "left_semi")
+    landed = at.join(objects.select("image_id", F.col("y").alias("ty"), F.col("x").alias("tx")).distinct(), ["image_id", "ty", "tx"], "left_anti")
+    copied = landed.join(pixels.select(*XY, "g"), XY).select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), "g")
+    truth = landed.select(*XY, F.lit("source").alias("part")).distinct().unionByName(copied.select(*XY, F.lit("copy").alias("part")))
+    return R.paste(pixels.select(*XY, "g"), copied, "g"), truth
+
+
 def turned_copy(pixels: DataFrame, objects: DataFrame, height: int, width: int, dy: int, dx: int, turns: int = 0, mirrored: bool = False, up: int = 1, down: int = 1) -> tuple[DataFrame, DataFrame]:
     """Each image's objects as one piece, mirrored left to right, turned clockwise by quarters, scaled by up / down and pasted at (dy, dx) from their box.
 
@@ -144,11 +155,34 @@ def turned_copy(pixels: DataFrame, objects: DataFrame, height: int, width: int,
     sy, sx = {0: ("i", "j"), 1: ("h - 1 - j", "i"), 2: ("h - 1 - i", "w - 1 - j"), 3: ("j", "w - 1 - i")}[turns % 4]
     sx = f"w - 1 - ({sx})" if mirrored else sx
     at = grid.select("image_id", F.expr(f"y0 + {sy}").alias("y"), F.expr(f"x0 + {sx}").alias("x"), (F.col("y0") + dy + F.col("r")).alias("ty"), (F.col("x0") + dx + F.col("c")).alias("tx"))
-    at = at.filter(F.col("ty").between(0, height - 1) & F.col("tx").between(0, width - 1)).join(objects.select(*XY).distinct(), XY, "left_semi")
-    landed = at.join(objects.select("image_id", F.col("y").alias("ty"), F.col("x").alias("tx")).distinct(), ["image_id", "ty", "tx"], "left_anti")
-    copied = landed.join(pixels.select(*XY, "g"), XY).select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), "g")
-    truth = landed.select(*XY, F.lit("source").alias("part")).distinct().unionByName(copied.select(*XY, F.lit("copy").alias("part")))
-    return R.paste(pixels.select(*XY, "g"), copied, "g"), truth
+    return _sampled(at, pixels, objects, height, width)
+
+
+def rotated_copy(pixels: DataFrame, objects: DataFrame, height: int, width: int, dy: int, dx: int, degrees: float, scale: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Each image's objects as one piece, turned clockwise by any angle about the centre of their box, scaled and moved by (dy, dx).
+
+    Every target pixel takes the nearest sample by the inverse transform, in units of 2^-16, so the copy has no holes and no result depends on rounding.
+    What falls outside or on the objects is left out; truth is as in turned_copy(). Target pixels are made within the reach of the turned box alone.
+    """
+    if scale <= 0:
+        raise ValueError("scale must be positive")
+    a, b = rotation_units(degrees, scale)
+    cos, sin = abs(math.cos(math.radians(degrees))) * scale, abs(math.sin(math.radians(degrees))) * scale
+    box = R.boxes(objects, ["image_id"]).select("image_id", (F.col("y0") + F.col("y1")).alias("cy"), (F.col("x0") + F.col("x1")).alias("cx"), (F.col("y1") - F.col("y0") + 1).alias("h"), (F.col("x1") - F.col("x0") + 1).alias("w"))
+    reach = box.withColumns({"ry": F.ceil((F.col("h") * cos + F.col("w") * sin) / 2) + 1, "rx": F.ceil((F.col("w") * cos + F.col("h") * sin) / 2) + 1})
+    for axis, shift, last in (("y", dy, height - 1), ("x", dx, width - 1)):
+        centre = F.floor(F.col(f"c{axis}") / 2) + shift
+        reach = reach.withColumns({f"low{axis}": F.greatest(F.lit(0), centre - F.col(f"r{axis}")).cast("int"), f"high{axis}": F.least(F.lit(last), centre + F.col(f"r{axis}")).cast("int")})
+    spots = reach.filter("lowy <= highy AND lowx <= highx").withColumn("ty", F.explode(F.expr("sequence(lowy, highy)"))).withColumn("tx", F.explode(F.expr("sequence(lowx, highx)")))
+    spots = spots.withColumns({"u": (2 * (F.col("ty") - dy) - F.col("cy")).cast("long"), "v": (2 * (F.col("tx") - dx) - F.col("cx")).cast("long")})
+    nearest = lambda centre, turned: F.floor((F.col(centre) * 65536 + turned + 65536) / 131072.0).cast("int")
+    at = spots.select("image_id", nearest("cy", F.col("u") * a - F.col("v") * b).alias("y"), nearest("cx", F.col("v") * a + F.col("u") * b).alias("x"), "ty", "tx")
+    return _sampled(at, pixels, objects, height, width)
+
+
+def rotation_units(degrees: float, scale: float) -> tuple[int, int]:
+    """Cosine and sine by scale, in units of 2^-16."""
+    return round(65536 * math.cos(math.radians(degrees)) / scale), round(65536 * math.sin(math.radians(degrees)) / scale)
 
 
 def tile_moves(objects: DataFrame, tiles: DataFrame, pairs: DataFrame, tile_h: int, tile_w: int, n: int, label: str = "component", seed: int | None = None) -> DataFrame:
@@ -194,6 +228,7 @@ def forge(name: str, pixels: DataFrame, objects: DataFrame, height: int, width:
         "retouching_brightness": lambda beta: retouch(pixels, objects, 1.0, beta, height, width),
         "retouching_brightness_contrast": lambda alpha, beta: retouch(pixels, objects, alpha, beta, height, width),
         "copy_move_forgery": lambda dy, dx, turns=0, mirrored=False, up=1, down=1: turned_copy(pixels, objects, height, width, dy, dx, turns, mirrored, up, down),
+        "copy_move_rotation": lambda dy, dx, degrees, scale=1.0: rotated_copy(pixels, objects, height, width, dy, dx, degrees, scale),
         "random_copy_move": lambda tile_h, tile_w, n=1, seed=0: random_copy_move(pixels, objects, height, width, tile_h, tile_w, n, seed=seed),
         "splicing_forgery": lambda host, host_objects, pairs, tile_h, tile_w, n=1, seed=0: splice_to_tiles(pixels, objects, host, host_objects, pairs, height, width, tile_h, tile_w, n, seed=seed),
         "cleaning_using_bf": lambda tile_h, tile_w, seed=0: clean_by_tiles(pixels, objects, R.free_tiles(pixels.select("image_id").distinct(), objects, height, width, tile_h, tile_w), tile_h, tile_w, seed=seed),

@@ -305,6 +305,26 @@ def copy_move_turned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(truth, XY, "left").withColumn("part", F.coalesce("part", F.lit("none")))
 
 
+_A, _B = forge.rotation_units(30, 1.25)
+
+
+@query(
+    f"""WITH RECURSIVE {PX}, {GT}, {COMP}, obj AS (SELECT image_id, y, x FROM comp WHERE (image_id, c) IN (SELECT image_id, min(c) FROM comp GROUP BY image_id)),
+box AS (SELECT image_id, CAST(min(y) + max(y) AS BIGINT) AS cy, CAST(min(x) + max(x) AS BIGINT) AS cx FROM obj GROUP BY image_id),
+turned AS (SELECT p.image_id, p.y, p.x, cy, cx, 2 * (p.y - 1) - cy AS u, 2 * (p.x - 2) - cx AS v FROM px p JOIN box USING (image_id)),
+spots AS (SELECT image_id, y, x, CAST(floor((cy * 65536 + u * {_A} - v * {_B} + 65536) / 131072::DOUBLE) AS INT) AS sy, CAST(floor((cx * 65536 + v * {_A} + u * {_B} + 65536) / 131072::DOUBLE) AS INT) AS sx FROM turned),
+landed AS (SELECT a.* FROM spots a JOIN obj s ON s.image_id = a.image_id AND s.y = sy AND s.x = sx WHERE NOT EXISTS (SELECT 1 FROM obj o WHERE o.image_id = a.image_id AND o.y = a.y AND o.x = a.x)),
+copied AS (SELECT l.image_id, l.y, l.x, p.g FROM landed l JOIN px p ON p.image_id = l.image_id AND p.y = sy AND p.x = sx),
+source AS (SELECT DISTINCT image_id, sy AS y, sx AS x FROM landed)
+SELECT p.image_id, p.y, p.x, coalesce(c.g, p.g) AS g, CASE WHEN c.g IS NOT NULL THEN 'copy' WHEN s.y IS NOT NULL THEN 'source' ELSE 'none' END AS part
+FROM px p LEFT JOIN copied c ON c.image_id = p.image_id AND c.y = p.y AND c.x = p.x LEFT JOIN source s ON s.image_id = p.image_id AND s.y = p.y AND s.x = p.x"""
+)
+def copy_move_rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An object turned by 30 degrees, scaled by 5 / 4 and pasted."""
+    out, truth = forge.forge("copy_move_rotation", maps.pixels(spark, sf_dir), _first_object(spark, sf_dir), SIDE, SIDE, dy=1, dx=2, degrees=30, scale=1.25)
+    return out.join(truth, XY, "left").withColumn("part", F.coalesce("part", F.lit("none")))
+
+
 _TILED = f"""WITH RECURSIVE {PX}, {GT}, {COMP}, box AS (SELECT image_id, c, min(y) AS y0, min(x) AS x0 FROM comp GROUP BY ALL HAVING max(y) - min(y) < 2 AND max(x) - min(x) < 2),
 a AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY c) AS n FROM box),
 tiles AS (SELECT image_id, ty, tx FROM (SELECT DISTINCT image_id FROM px), (SELECT CAST(unnest([0, 2, 4, 6]) AS INT) AS ty), (SELECT CAST(unnest([0, 2, 4, 6]) AS INT) AS tx)),

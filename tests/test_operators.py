@@ -379,6 +379,27 @@ def test_turned_copies_against_arrays(spark, turns, mirrored, up, down):
         assert sorted((r["y"], r["x"]) for r in rows if r["part"] == part) == [tuple(p) for p in np.argwhere(held).tolist()]
 
 
+@pytest.mark.parametrize(("degrees", "scale"), [(0, 1.0), (90, 1.0), (30, 1.5), (-137.5, 0.75), (200, 3.0)])
+def test_rotated_copies_against_a_plain_loop(spark, degrees, scale):
+    image = np.arange(240).reshape(12, 20) % 251
+    mask = np.zeros((12, 20), bool)
+    mask[1:4, 2:7] = [[1, 1, 0, 1, 1], [1, 1, 1, 1, 0], [0, 1, 1, 1, 1]]
+    objects = spark.createDataFrame([(0, int(y), int(x)) for y, x in np.argwhere(mask)], "image_id long, y int, x int")
+    out, truth = forge.forge("copy_move_rotation", pixels(spark, image), objects, 12, 20, dy=4, dx=7, degrees=degrees, scale=scale)
+    a, b = forge.rotation_units(degrees, scale)
+    want, copied, taken = image.copy(), np.zeros_like(mask), np.zeros_like(mask)
+    for (y, x), _ in np.ndenumerate(image):
+        u, v = 2 * (y - 4) - 4, 2 * (x - 7) - 8
+        sy, sx = (4 * 65536 + u * a - v * b + 65536) >> 17, (8 * 65536 + v * a + u * b + 65536) >> 17
+        if 0 <= sy < 12 and 0 <= sx < 20 and mask[sy, sx] and not mask[y, x]:
+            want[y, x], copied[y, x], taken[sy, sx] = image[sy, sx], True, True
+    assert copied.any()
+    assert (dense(out, (12, 20)) == want).all()
+    rows = truth.collect()
+    for part, held in (("copy", copied), ("source", taken)):
+        assert sorted((r["y"], r["x"]) for r in rows if r["part"] == part) == [tuple(p) for p in np.argwhere(held).tolist()]
+
+
 def test_forgeries_by_name(spark):
     image = np.arange(64).reshape(8, 8)
     objects = spark.createDataFrame([(0, 0, 0, 5), (0, 0, 1, 5), (0, 4, 4, 6), (0, 6, 0, 7), (0, 6, 1, 7), (0, 6, 2, 7)], "image_id long, y int, x int, component int")
