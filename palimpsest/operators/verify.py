@@ -168,27 +168,23 @@ def symmetric(field: DataFrame) -> DataFrame:
 def affine_residual(field: DataFrame, radius: int, limit: float) -> DataFrame:
     """Pixels of a field whose neighbourhood's displacements follow one affine map: the summed squared residual is under the limit.
 
-    Normal equations of the fit are sums over the disc, so the whole is one offset join and closed-form 3 x 3 algebra in SQL would do;
-    the last step is a small numpy solve on those sums.
+    A field has one target a pixel. Every pixel sends its displacement to the pixels of the disc around it; the least squares of each are whole-number sums,
+    added up before the shuffle, and a closed form, so a large image is many keys. Neighbours on one line or in one place fit by what they determine.
     """
-    prepare(field.sparkSession)
-    kind = dict(field.dtypes)["image_id"]
-    disc = grids.disc(radius)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = {(y, x): (dy, dx) for y, x, dy, dx in zip(pdf.y, pdf.x, pdf.my - pdf.y, pdf.mx - pdf.x, strict=True)}
-        out = []
-        for y, x in at:
-            near = [(oy, ox, *at[y + oy, x + ox]) for oy, ox in disc if (y + oy, x + ox) in at]
-            p = np.array([(1, oy, ox) for oy, ox, _, _ in near], dtype=float)
-            d = np.array([n[2:] for n in near], dtype=float)
-            solved, *_ = np.linalg.lstsq(p, d, rcond=None)
-            error = float(((p @ solved - d) ** 2).sum())
-            if error < limit:
-                out.append((pdf.image_id.iloc[0], y, x, *(int(v) for v in (at[y, x][0] + y, at[y, x][1] + x)), error))
-        return pd.DataFrame(out, columns=["image_id", "y", "x", "my", "mx", "error"])
-
-    return field.select(*XY, "my", "mx").groupBy("image_id").applyInPandas(run, f"image_id {kind}, y int, x int, my int, mx int, error double")
+    disc = F.explode(F.array(*[F.struct(F.lit(oy).alias("oy"), F.lit(ox).alias("ox")) for oy, ox in grids.disc(radius)]))
+    sent = field.select("image_id", "y", "x", "my", "mx", disc.alias("o")).select("image_id", "y", "x", "my", "mx", F.col("o.oy").cast("long").alias("p"), F.col("o.ox").cast("long").alias("q"))
+    moved = {"a": F.col("my").cast("long") - F.col("y"), "b": F.col("mx").cast("long") - F.col("x")}
+    at = sent.select("image_id", (F.col("y") - F.col("p")).cast("int").alias("y"), (F.col("x") - F.col("q")).cast("int").alias("x"), "p", "q", *[v.alias(k) for k, v in moved.items()])
+    own = F.expr("p = 0 AND q = 0")
+    products = [x + y for i, x in enumerate("pqab") for y in "pqab"[i:] if x + y != "ab"]
+    sums = [F.sum(x).alias(x) for x in "pqab"] + [F.sum(F.col(c[0]) * F.col(c[1])).alias(c) for c in products]
+    rows = at.groupBy(*XY).agg(F.count(F.lit(1)).alias("n"), F.max(F.when(own, F.col("a"))).alias("oa"), F.max(F.when(own, F.col("b"))).alias("ob"), *sums).filter("oa IS NOT NULL")
+    spread = [F.expr(f"cast(n * {c} - {c[0]} * {c[1]} AS double)").alias(f"s{c}") for c in products]
+    rows = rows.select(*XY, "n", "oa", "ob", *spread).withColumn("det", F.expr("spp * sqq - spq * spq"))
+    explained = "CASE WHEN det > 0 THEN (sp{d} * sp{d} * sqq - 2 * sp{d} * sq{d} * spq + sq{d} * sq{d} * spp) / det WHEN spp > 0 THEN sp{d} * sp{d} / spp WHEN sqq > 0 THEN sq{d} * sq{d} / sqq ELSE 0 END"
+    error = " + ".join(f"greatest((s{d}{d} - {explained.format(d=d)}) / n, 0)" for d in "ab")
+    rows = rows.withColumn("error", F.expr(error)).filter(F.col("error") < limit)
+    return rows.select(*XY, (F.col("y") + F.col("oa")).cast("int").alias("my"), (F.col("x") + F.col("ob")).cast("int").alias("mx"), "error")
 
 
 def correlation_map(pixels: DataFrame, matches: DataFrame, radius: int = 2, value: str = "g") -> DataFrame:

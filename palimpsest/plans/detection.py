@@ -249,6 +249,28 @@ def patchmatch_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.least_displacement(V.affine_residual(field, 1, 200.0), 4.0)
 
 
+_DISC = ", ".join(f"({oy}, {ox})" for oy, ox in grids.disc(2))
+
+
+@query(
+    f"""WITH {PX}, f AS (SELECT image_id, y, x, CASE WHEN g > 150 THEN 3 ELSE 2 END AS a, CAST(3 + (image_id % 3) * (y // 4) AS INT) AS b FROM px WHERE (y * 8 + x) % 7 <> 0),
+o(p, q) AS (VALUES {_DISC}),
+s AS (SELECT c.image_id, c.y, c.x, c.a AS oa, c.b AS ob, CAST(count(*) AS DOUBLE) AS n, CAST(sum(p) AS DOUBLE) AS p, CAST(sum(q) AS DOUBLE) AS q, CAST(sum(f.a) AS DOUBLE) AS a, CAST(sum(f.b) AS DOUBLE) AS b,
+  CAST(sum(p * p) AS DOUBLE) AS pp, CAST(sum(q * q) AS DOUBLE) AS qq, CAST(sum(p * q) AS DOUBLE) AS pq, CAST(sum(p * f.a) AS DOUBLE) AS pa, CAST(sum(q * f.a) AS DOUBLE) AS qa, CAST(sum(p * f.b) AS DOUBLE) AS pb, CAST(sum(q * f.b) AS DOUBLE) AS qb,
+  CAST(sum(f.a * f.a) AS DOUBLE) AS aa, CAST(sum(f.b * f.b) AS DOUBLE) AS bb
+  FROM f c, o, f WHERE f.image_id = c.image_id AND f.y = c.y + p AND f.x = c.x + q GROUP BY ALL),
+m AS (SELECT *, n * pp - p * p AS spp, n * qq - q * q AS sqq, n * pq - p * q AS spq, n * pa - p * a AS spa, n * qa - q * a AS sqa, n * pb - p * b AS spb, n * qb - q * b AS sqb, n * aa - a * a AS saa, n * bb - b * b AS sbb FROM s),
+e AS (SELECT *, CASE WHEN spp * sqq - spq * spq > 0 THEN greatest((saa - (spa * spa * sqq - 2 * spa * sqa * spq + sqa * sqa * spp) / (spp * sqq - spq * spq)) / n, 0)
+    + greatest((sbb - (spb * spb * sqq - 2 * spb * sqb * spq + sqb * sqb * spp) / (spp * sqq - spq * spq)) / n, 0) END AS error FROM m)
+SELECT image_id, y, x, y + oa AS my, x + ob AS mx, CAST(floor(error * 1000 + 0.5) AS BIGINT) AS thousandths FROM e WHERE error < 1.25"""
+)
+def affine_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of a field with holes whose neighbours' displacements follow one affine map."""
+    px = maps.pixels(spark, sf_dir).filter("(y * 8 + x) % 7 <> 0")
+    field = px.select(*XY, F.expr("y + CASE WHEN g > 150 THEN 3 ELSE 2 END").alias("my"), F.expr("cast(x + 3 + (image_id % 3) * (y div 4) AS int)").alias("mx"))
+    return V.affine_residual(field, 2, 1.25).select(*XY, "my", "mx", F.floor(F.col("error") * 1000 + 0.5).alias("thousandths"))
+
+
 @query(
     f"""WITH {PX}, s AS (SELECT image_id AS id, y - 2 AS y, x - 3 AS x, g FROM px WHERE y BETWEEN 2 AND 4 AND x BETWEEN 3 AND 5),
 c AS (SELECT s.id AS snippet_id, p.image_id, p.y - s.y AS oy, p.x - s.x AS ox, sum(abs(p.g - s.g)) AS score, count(*) AS n FROM s JOIN px p ON p.image_id = s.id GROUP BY ALL),

@@ -400,6 +400,26 @@ def test_rotated_copies_against_a_plain_loop(spark, degrees, scale):
         assert sorted((r["y"], r["x"]) for r in rows if r["part"] == part) == [tuple(p) for p in np.argwhere(held).tolist()]
 
 
+@pytest.mark.parametrize("radius", [1, 2])
+def test_affine_residuals_against_least_squares(spark, radius):
+    random = np.random.default_rng(radius)
+    at = {(y, x): (int(2 + y // 3 + random.integers(0, 2)), int(3 - x)) for y in range(9) for x in range(9) if random.random() < 0.6}
+    at |= {(20, x): (x * x, 1) for x in range(20, 26)} | {(30, 30): (4, 4), (40, 40): (1, 2), (41, 41): (7, 1)}  # on a line, alone, on a slant
+    field = spark.createDataFrame([(1, y, x, y + a, x + b) for (y, x), (a, b) in at.items()], "image_id long, y int, x int, my int, mx int")
+    want = {}
+    for y, x in at:
+        near = [(1.0, p, q, *at[y + p, x + q]) for p, q in grids.disc(radius) if (y + p, x + q) in at]
+        m = np.array(near, float)
+        solved, *_ = np.linalg.lstsq(m[:, :3], m[:, 3:], rcond=None)
+        want[y, x] = float(((m[:, :3] @ solved - m[:, 3:]) ** 2).sum())
+    rows = verify.affine_residual(field, radius, 1e9).collect()
+    assert {(r["y"], r["x"]): (r["my"] - r["y"], r["mx"] - r["x"]) for r in rows} == at
+    assert max(abs(r["error"] - want[r["y"], r["x"]]) for r in rows) < 1e-6
+    few = verify.affine_residual(field, radius, 1.0).collect()
+    assert {(r["y"], r["x"]) for r in few} == {k for k, e in want.items() if e < 1.0} != set(at)
+    assert verify.affine_residual(field.limit(0), radius, 1.0).count() == 0
+
+
 def test_forgeries_by_name(spark):
     image = np.arange(64).reshape(8, 8)
     objects = spark.createDataFrame([(0, 0, 0, 5), (0, 0, 1, 5), (0, 4, 4, 6), (0, 6, 0, 7), (0, 6, 1, 7), (0, 6, 2, 7)], "image_id long, y int, x int, component int")
