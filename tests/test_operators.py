@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import grids, paths
-from palimpsest.operators import features, forge, images, matching, raster, tabular, templates, verify
+from palimpsest.operators import features, forge, images, matching, raster, scenes, tabular, templates, verify
 from palimpsest.operators.graph import connected
 from palimpsest.sources import readers, sinks
 
@@ -422,6 +422,44 @@ def test_affine_residuals_against_least_squares(spark, radius):
     assert verify.affine_residual(field.limit(0), radius, 1.0).count() == 0
 
 
+def test_segment_matches_against_a_plain_loop(spark):
+    random = np.random.default_rng(8)
+    rows = [(image, i, int(random.integers(0, 5)), [float(v) for v in random.integers(0, 9, 3)]) for image in (0, 1) for i in range(40)]
+    points = spark.createDataFrame(rows, "image_id long, id int, segment int, vec array<double>")
+    want = {}
+    for image in (0, 1):
+        own = [r for r in rows if r[0] == image]
+        counts = {}
+        for _, _, s, a in own:
+            for t in {r[2] for r in own if r[2] > s}:
+                d = sorted(float(np.linalg.norm(np.subtract(a, r[3]))) for r in own if r[2] == t)
+                if len(d) > 1 and d[0] < 0.8 * d[1]:
+                    counts[s, t] = counts.get((s, t), 0) + 1
+        n = sorted(counts.values())
+        d1 = [0, *np.diff(n).tolist()]
+        d2 = [*np.diff(d1).tolist(), 0]
+        slope = [step for step, count in zip(d1, n, strict=True) if count > 1]
+        knee = [count for count, bend in zip(n, d2, strict=True) if bend > (np.mean(slope) if slope else 0)]
+        want |= {(image, *pair): count for pair, count in counts.items() if count >= min(knee, default=1)}
+    found = matching.segment_matches(points, 0.8).collect()
+    assert want and {(r["image_id"], r["s"], r["t"]): r["n"] for r in found} == want
+
+
+def test_scenes_scaled_noisy_and_planned(spark):
+    image = np.arange(600).reshape(20, 30) % 7 + 120
+    big = scenes.scaled_nearest(pixels(spark, image), 3)
+    assert (dense(big, (60, 90)) == np.kron(image, np.ones((3, 3), int))).all()
+    noise = dense(scenes.noisy(pixels(spark, image), 5.0), image.shape) - image
+    assert abs(noise.mean()) < 1 and 4.3 < noise.std() < 5.7
+    assert (dense(scenes.noisy(pixels(spark, image), 5.0), image.shape) - image == noise).all()
+    assert (dense(scenes.noisy(pixels(spark, image), 5.0, seed=1), image.shape) - image != noise).any()
+    strong = dense(scenes.noisy(pixels(spark, image), 500.0), image.shape)
+    assert strong.min() == 0 and strong.max() == 255
+    plan = [tuple(r) for r in scenes.random_blocks(spark.range(50).withColumnRenamed("id", "image_id"), 16, 24, 4, 6).collect()]
+    assert all(sy % 4 == sx % 4 == ty % 4 == tx % 4 == 0 and 0 <= min(sy, sx, ty, tx) and max(sy, ty) <= 12 and max(sx, tx) <= 20 and (sy, sx) != (ty, tx) for _, _, sy, sx, ty, tx in plan)
+    assert len({(i, ty, tx) for i, _, _, _, ty, tx in plan}) == len(plan) and {n for _, n, *_ in plan} <= set(range(1, 7)) and len({i for i, *_ in plan}) > 40
+
+
 def test_forgeries_by_name(spark):
     image = np.arange(64).reshape(8, 8)
     objects = spark.createDataFrame([(0, 0, 0, 5), (0, 0, 1, 5), (0, 4, 4, 6), (0, 6, 0, 7), (0, 6, 1, 7), (0, 6, 2, 7)], "image_id long, y int, x int, component int")
