@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import byte_bpe, decontam, host_rules, html_main, lm_score, ngram_join, pii, shard_ring, token_count, toxicity
+from palimpsest.llm import byte_bpe, decontam, host_rules, html_main, license_scan, lm_score, ngram_join, pii, shard_ring, token_count, toxicity, turn_repair, whitening
 from palimpsest.session import table
 
 UNIGRAM_PIECES = "piece_bpe_32k.model"
@@ -69,7 +69,34 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_main_text, op4_shard_ring, op5_byte_bpe, op6_host_rules, op7_lm_score, op8_toxicity, op9_pii, op10_ngram_join)}
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.plan_repairs(turn_repair.damage(table(spark, sf_dir, "conversations")), present="present")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+_OPERATORS = (
+    op1_token_counts,
+    op2_decontamination,
+    op3_main_text,
+    op4_shard_ring,
+    op5_byte_bpe,
+    op6_host_rules,
+    op7_lm_score,
+    op8_toxicity,
+    op9_pii,
+    op10_ngram_join,
+    op11_turn_repair,
+    op12_whitening,
+    op13_license_scan,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
 
 _OP6 = r"""
 WITH split AS (
