@@ -1,9 +1,10 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree of elements in one pass (comments, scripts and the like are skipped, ends that HTML leaves out
-are supplied). Elements that are boilerplate by tag or role are left out with all below them; forms and elements with a class or id that names
-nothing but boilerplate only where they hold no article or main and not the greatest density sum, so wrappers of the content stay. Every other node gets its characters, tags, link characters and link tags, and
-from them its link-adjusted characters per tag (its density); a node's density sum adds up its children's. Of the containers (elements that hold a block) the
+are supplied). Elements that are boilerplate by tag are left out with all below them. Suspects are forms, elements that a role, `hidden`, aria-hidden or `display:none` sets apart, and those
+with a class or id whose first or last part names boilerplate (comment-list, user-comments, ad-slot; not has-sidebar or no-ads). A suspect goes where it holds no article or main and not the
+greatest density sum, so wrappers of the content stay; reader comments, which can be longer than what they comment on, go whatever their sum, and an article that is itself a comment holds nothing.
+A notice or advert of the density of content goes like any other. Every other node gets its characters, tags, link characters and link tags, and from them its link-adjusted characters per tag (its density); a node's density sum adds up its children's. Of the containers (elements that hold a block) the
 one with the greatest sum is content, the outermost, first of equals; a body without containers is content itself. The threshold is the least density on the way from
 there to the body, and in each other subtree that reaches it the container with the greatest sum, or the subtree without containers, is content too.
 If the greatest sum lies in an article, that article is content as a whole and alone: short headings and paragraphs stay with it, what lies beside it goes. Without an
@@ -53,6 +54,10 @@ ENDS = {
     "body": (frozenset({"head"}), frozenset()),
 }
 HOLDS = frozenset({"article", "main"})
+#: Names of reader comments, and names that only say boilerplate where nothing else stands beside them; openings that turn a name round.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies respond".split())
+WHOLE_WORDS = frozenset("widget widgets overlay tracking social".split())
+TURNING_WORDS = frozenset("no not has with without hide".split())
 #: Their ends also end boilerplate that was left open inside.
 ENCLOSING = frozenset({"article", "main", "body", "html", "head"})
 
@@ -65,7 +70,7 @@ _WORD = re.compile(r"[a-z]+")
 class Node:
     __slots__ = ("best", "chars", "children", "density", "link_chars", "link_tags", "parent", "pick", "suspect", "sum", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None, suspect: bool = False):
+    def __init__(self, tag: str, parent: Node | None, suspect: int = 0):
         self.tag, self.parent, self.suspect = tag, parent, suspect
         self.children: list[Node] = []
         self.clear()
@@ -76,35 +81,6 @@ class Node:
         self.pick: Node | None = None  # of the greatest sum, `best`, among the containers of the subtree
 
 
-class Stack:
-    """The open elements, with the places of each tag and of the blocks among them."""
-
-    def __init__(self, root: Node):
-        self.nodes, self.places, self.blocks = [root], {}, []
-
-    def push(self, node: Node) -> None:
-        self.places.setdefault(node.tag, []).append(len(self.nodes))
-        if node.tag in BLOCKS:
-            self.blocks.append(len(self.nodes))
-        self.nodes.append(node)
-
-    def last(self, tags) -> int:
-        """The place of the innermost open element of one of the tags, or 0."""
-        return max([self.places[t][-1] for t in tags if self.places.get(t)], default=0)
-
-    def cut(self, k: int) -> bool:
-        """Closes the elements from place k on; True if a block or form was among them."""
-        edge = False
-        while len(self.nodes) > k:
-            tag = self.nodes.pop().tag
-            self.places[tag].pop()
-            if tag in BLOCKS:
-                self.blocks.pop()
-            edge |= tag in BLOCKS or tag == "form"
-        return edge
-        self.pick: Node | None = None  # of the greatest sum, `best`, among the containers of the subtree
-
-
 class Stack:
     """The open elements, with the places of each tag and of the blocks among them."""
 
@@ -137,27 +113,30 @@ def _attributes(body: str) -> dict[str, str]:
     return {m[1].lower(): unescape((m[2] or "").strip("\"'")) for m in _ATTRIBUTE.finditer(body)} if body.strip(" /\n\t") else {}
 
 
-def is_boilerplate(tag: str, attributes: dict[str, str], within: bool) -> bool:
+def is_boilerplate(tag: str, within: bool) -> bool:
     """within: an article or main element is open."""
-    if tag in BOILERPLATE_TAGS or tag == "header" and not within:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    if attributes.get("role", "").lower() in BOILERPLATE_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
-    if "display:none" in attributes.get("style", "").replace(" ", "").lower():
-        return True
-    return False
+    return tag in BOILERPLATE_TAGS or tag == "header" and not within
 
 
-def is_suspect(tag: str, attributes: dict[str, str]) -> bool:
-    """Boilerplate unless it holds the content: a form, or an element with a class or id of words that all say so."""
-    if tag == "form":
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
-    return any((parts := _WORD.findall(x)) and BOILERPLATE_WORDS.issuperset(parts) for x in names)
+def suspicion(tag: str, attributes: dict[str, str]) -> int:
+    """0: none; 1: boilerplate unless it holds the content; 2: reader comments."""
+    if tag in ("html", "body") or not attributes:
+        return int(tag == "form")
+    level = int(tag == "form")
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        parts = _WORD.findall(name)
+        if not parts or parts[0] in TURNING_WORDS:
+            continue
+        ends = {parts[0], parts[-1]}
+        if ends & COMMENT_WORDS:
+            return 2
+        if BOILERPLATE_WORDS.issuperset(parts) or ends & BOILERPLATE_WORDS - WHOLE_WORDS:
+            level = 1
+    if tag in HOLDS:
+        return 0
+    if attributes.get("role", "").lower() in BOILERPLATE_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
+        return 1
+    return 1 if "display:none" in attributes.get("style", "").replace(" ", "").lower() else level
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Node | None, str]]]:
@@ -231,13 +210,12 @@ def parse(page: str) -> tuple[Node, list[tuple[Node | None, str]]]:
             ended, walls = ENDS[tag]
             if (k := stack.last(ended)) > stack.last(walls):
                 close(k)
-        attributes = _attributes(body)
-        if is_boilerplate(tag, attributes, stack.last(HOLDS) > 0):
+        if is_boilerplate(tag, stack.last(HOLDS) > 0):
             runs.append((None, ""))
             if tag not in VOID and not body.endswith("/"):
                 skip.append(tag)
             continue
-        suspect = is_suspect(tag, attributes)
+        suspect = suspicion(tag, _attributes(body))
         if tag in BLOCKS or suspect:
             runs.append((None, ""))
         elif tag == "br":
@@ -295,17 +273,18 @@ def is_container(node: Node) -> bool:
     return any(x.tag in BLOCKS for x in node.children)
 
 
-def prune(nodes: list[Node], body: Node) -> bool:
-    """Take suspects without an article, a main or the node of the greatest density sum off the tree; True if there were any."""
-    if not any(x.suspect for x in nodes):
+def prune(nodes: list[Node], body: Node, level: int) -> bool:
+    """Take suspects of this level on without an article or main (of level 1, nor the node of the greatest density sum) off the tree; True if there were any."""
+    if not any(x.suspect >= level for x in nodes):
         return False
     holders: set[int] = set()
-    for node in [body.pick or body, *(x for x in nodes if x.tag in HOLDS)]:
+    greatest = [body, *(x for x in nodes if x.pick and x.best >= body.best)] if level == 1 else []
+    for node in [*greatest, *(x for x in nodes if x.tag in HOLDS and x.suspect < 2)]:
         while node is not None and id(node) not in holders:
             holders.add(id(node))
             node = node.parent
     for node in nodes:
-        node.children = [x for x in node.children if not x.suspect or id(x) in holders]
+        node.children = [x for x in node.children if x.suspect < level or id(x) in holders]
         node.clear()
     return True
 
@@ -339,8 +318,9 @@ def main_text(page: str | None) -> str:
         return ""
     root, runs = parse(page)
     nodes, body = measure(root, runs)
-    if prune(nodes, body):
-        nodes, body = measure(root, runs)
+    for level in (2, 1):
+        if prune(nodes, body, level):
+            nodes, body = measure(root, runs)
     if not body.chars:
         return ""
     chosen = {id(x) for x in select(body)}

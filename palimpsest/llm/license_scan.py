@@ -131,6 +131,7 @@ def spans(docs: DataFrame, templates: tuple[Template, ...] = NAMES + NOTICES, ke
     met = join_sized(each, places, "hash")
     whose = ["__key", "__mark", "template", "label", "is_name", "size", "k"]
     votes = met.groupBy(*whose, (F.col("i") - F.col("place")).alias("diagonal")).agg(F.collect_set("place").alias("places"))  # at most the template's windows
+    votes = durable(votes, "votes")  # read twice, and far smaller than the texts
 
     # names: the whole phrase on one diagonal, so diagonals that share a window do not merge
     names = votes.where("is_name AND size(places) = size - k + 1").select(*whose, F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("size") - 1).alias("last"), F.lit(1.0).alias("covered"))

@@ -253,9 +253,11 @@ def _texts(row: dict) -> Texts:
 
 
 def _dealt(block: int, keys: np.ndarray, parts: int, columns: list[np.ndarray]) -> Iterator[tuple]:
-    """Messages (part, block, keys, columns) of ascending keys; parts are ranges of the high half of a hash."""
+    """Messages (part, block, keys, columns) of ascending keys, none without keys; parts are ranges of the high half of a hash."""
+    if not len(keys):
+        return
     part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    edges = np.flatnonzero(np.diff(part, prepend=np.uint64(parts))) if len(keys) else []
+    edges = np.flatnonzero(np.diff(part, prepend=np.uint64(parts)))
     for low, high in zip(edges, [*edges[1:], len(keys)], strict=True):
         yield (int(part[low]), block, _steps(keys[low:high]), *[_pack(x[low:high]) for x in columns])
 

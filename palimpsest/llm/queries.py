@@ -174,4 +174,108 @@ shared AS (
 SELECT doc_id, item_id, n_item, n_shared FROM shared JOIN sizes USING (item_id) WHERE 10 * n_shared >= 8 * n_item
 """
 
-ORACLES = {"op2_decontamination": _OP2, "op6_host_rules": _OP6, "op10_ngram_join": _OP10}
+_OP11 = r"""
+WITH RECURSIVE steps(i, n, c) AS (
+  SELECT i, 0, i FROM range(256) AS r(i)
+  UNION ALL SELECT i, n + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM steps WHERE n < 8),
+crcs AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE n = 8),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+  FROM conversations),
+coded AS (
+  SELECT conv_id, turn, role, text,
+         xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(k) + 1), lambda i: CAST(ascii(k[i]) AS BIGINT))),
+                         lambda c, b: xor(t[1 + xor(c % 256, b)], c // 256)), 4294967295) % 20 AS code
+  FROM keyed, crcs),
+damaged AS (
+  SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM coded, range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+convs AS (SELECT conv_id, row_number() OVER () AS conv FROM (SELECT DISTINCT conv_id FROM conversations)),
+numbered AS (
+  SELECT conv, turn, role, text, left(role, 1) AS initial, row_number() OVER w AS j, lag(left(role, 1)) OVER w AS before,
+         regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS ending
+  FROM damaged JOIN convs ON damaged.conv_id IS NOT DISTINCT FROM convs.conv_id
+  WINDOW w AS (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text)),
+lines AS (
+  SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY j) > 1 THEN 'duplicate' WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault
+  FROM numbered),
+counted AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM lines GROUP BY conv),
+moves(last, q, inserts) AS (VALUES ('', 's', ''), ('', 'u', ''), ('', 'a', 'u'), ('s', 'u', ''), ('s', 'a', 'u'), ('u', 'a', ''), ('u', 'u', 'a'), ('a', 'u', ''), ('a', 'a', 'u')),
+edits(edit) AS (VALUES ('D'), ('K'), ('R')),
+walk(conv, j, last, cost, audit, body) AS (
+  SELECT conv, 0, '', 0, '', '' FROM convs
+  UNION ALL
+  SELECT conv, j, q, cost, audit, body FROM (
+    SELECT w.conv, w.j + 1 AS j, coalesce(m.q, w.last) AS q,
+           w.cost + CASE edit WHEN 'D' THEN 3 ELSE 2 * length(inserts) + (CASE edit WHEN 'R' THEN 2 ELSE 0 END) + (CASE fault WHEN 'truncated' THEN 1 ELSE 0 END) END AS cost,
+           w.audit || repeat('I', CASE edit WHEN 'D' THEN 0 ELSE length(inserts) END) || edit AS audit,
+           w.body || CASE edit WHEN 'D' THEN '' ELSE
+             CASE inserts WHEN 'u' THEN chr(10) || 'user:' WHEN 'a' THEN chr(10) || 'assistant:' ELSE '' END
+             || chr(10) || CASE WHEN edit = 'K' THEN role WHEN m.q = 'u' THEN 'user' ELSE 'assistant' END || ':' || text END AS body
+    FROM walk w JOIN lines l ON l.conv = w.conv AND l.j = w.j + 1 CROSS JOIN edits
+    LEFT JOIN moves m ON edit <> 'D' AND m.last = w.last
+    WHERE edit = 'D' OR (fault NOT IN ('blank', 'duplicate') AND CASE edit WHEN 'K' THEN m.q = initial ELSE m.q IN ('u', 'a') AND m.q <> initial END))
+  QUALIFY row_number() OVER (PARTITION BY conv, j, q ORDER BY cost, audit) = 1),
+finished AS (
+  SELECT conv, cost + 2 * length(ending) AS cost, audit || repeat('I', length(ending)) AS audit,
+         body || CASE ending WHEN 'ua' THEN chr(10) || 'user:' || chr(10) || 'assistant:' WHEN 'a' THEN chr(10) || 'assistant:' ELSE '' END AS body
+  FROM walk JOIN (VALUES ('', ''), ('s', 'ua'), ('u', 'a'), ('a', '')) AS ends(last, ending) USING (last) LEFT JOIN counted USING (conv)
+  WHERE j = coalesce(n, 0)
+  QUALIFY row_number() OVER (PARTITION BY conv ORDER BY walk.cost + 2 * length(ending), walk.audit || repeat('I', length(ending))) = 1)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(cost AS BIGINT) AS cost, audit, sha256(substr(body, 2)) AS repaired_sha256
+FROM convs JOIN finished USING (conv) LEFT JOIN counted USING (conv)
+"""
+
+
+def _op13() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({i}, {quoted(x.label)}, {x.is_name}, {quoted(x.text)})" for i, x in enumerate(license_scan.NAMES + license_scan.NOTICES))
+    return _OP13.replace("TEMPLATES", values)
+
+
+_OP13 = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, NULL AS template, NULL AS label, NULL AS is_name, text FROM documents
+  UNION ALL SELECT NULL, NULL, template, label, is_name, text FROM (VALUES TEMPLATES) AS t(template, label, is_name, text)),
+cut AS (
+  SELECT * EXCLUDE (text), regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-/:-@\[-`{-\x7f]+') AS words
+  FROM texts),
+listed AS (SELECT rid, template, label, is_name, len(words) AS size, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM cut),
+grams AS (
+  SELECT rid, template, label, is_name, size, i, word || ' ' || lead(word) OVER w AS two, word || ' ' || lead(word) OVER w || ' ' || lead(word, 2) OVER w AS three
+  FROM listed WINDOW w AS (PARTITION BY rid, template ORDER BY i)),
+windows AS (
+  SELECT rid, template, label, is_name, size, 2 AS k, i, two AS gram FROM grams WHERE two IS NOT NULL
+  UNION ALL SELECT rid, template, label, is_name, size, 3, i, three FROM grams WHERE three IS NOT NULL),
+places AS (SELECT template, label, is_name, size, k, i AS j, gram FROM windows WHERE template IS NOT NULL AND k = CASE WHEN is_name THEN 2 ELSE 3 END),
+votes AS (
+  SELECT g.rid, p.template, p.label, p.is_name, p.size, p.k, g.i - p.j AS diagonal, list(DISTINCT p.j) AS places
+  FROM windows g JOIN places p ON g.k = p.k AND g.gram = p.gram WHERE g.rid IS NOT NULL GROUP BY ALL),
+names AS (SELECT rid, label, diagonal AS first FROM votes WHERE is_name AND len(places) = size - k + 1),
+along AS (
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) > least(4, size // 16) THEN 1 ELSE 0 END AS apart
+  FROM votes WHERE NOT is_name),
+grouped AS (SELECT *, sum(apart) OVER (PARTITION BY rid, template ORDER BY diagonal) AS run FROM along),
+covering AS (SELECT rid, template, label, size, run, unnest(places) + x AS place FROM grouped, range(3) AS r(x)),
+notices AS (
+  SELECT rid, label, covered FROM (
+    SELECT rid, label, size, count(DISTINCT place) / size AS covered FROM covering GROUP BY rid, template, label, size, run)
+  WHERE covered >= CASE WHEN size < 16 THEN 1.0 ELSE 0.8 END),
+named AS (
+  SELECT rid, count(*) AS n_base, min(first) AS first_word, max(first) AS last_word, array_to_string(list_sort(list(DISTINCT label)), ',') AS base_labels FROM names GROUP BY rid),
+noticed AS (SELECT rid, count(*) AS n_notices, max(covered) AS covered FROM notices GROUP BY rid),
+labelled AS (
+  SELECT rid, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM (SELECT rid, label FROM names UNION ALL SELECT rid, label FROM notices) GROUP BY rid)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(n_notices, 0) AS n_notices, CAST(greatest(coalesce(covered, 0), CASE WHEN n_base > 0 THEN 0.5 ELSE 0 END) AS DOUBLE) AS score
+FROM cut LEFT JOIN named USING (rid) LEFT JOIN noticed USING (rid) LEFT JOIN labelled USING (rid) WHERE rid IS NOT NULL
+"""
+
+ORACLES = {"op2_decontamination": _OP2, "op6_host_rules": _OP6, "op10_ngram_join": _OP10, "op11_turn_repair": _OP11, "op13_license_scan": _op13()}
