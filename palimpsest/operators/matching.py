@@ -230,24 +230,9 @@ def dense_field(packed: DataFrame, patch: int, least: int, rounds: int = 4) -> D
     return packed.select("image_id", "height", "width", "values").mapInPandas(run, f"image_id {kind}, y int, x int, my int, mx int, cost double")
 
 
-def locate(pixels: DataFrame, snippets: DataFrame, height: int, width: int, best: int = 6, value: str = "g") -> DataFrame:
-    """snippet_id, image_id, oy, ox, score, rank: offsets of least absolute difference of each snippet in its image.
-
-    snippets: (snippet_id, image_id, y, x, g). A snippet's pixel meets an image's pixel once; their difference is the offset.
-    """
-    size = snippets.groupBy("snippet_id").agg(F.count(F.lit(1)).alias("need"))
-    both = snippets.select("snippet_id", "image_id", F.col("y").alias("sy"), F.col("x").alias("sx"), F.col(value).alias("sg")).join(pixels, "image_id")
-    sums = both.groupBy("snippet_id", "image_id", (F.col("y") - F.col("sy")).alias("oy"), (F.col("x") - F.col("sx")).alias("ox")).agg(F.sum(F.abs(F.col(value) - F.col("sg"))).alias("score"), F.count(F.lit(1)).alias("n"))
-    whole = sums.join(size, "snippet_id").filter("n = need")
-    w = Window.partitionBy("snippet_id").orderBy("score", "oy", "ox")
-    return whole.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= best).select("snippet_id", "image_id", "oy", "ox", "score", "rank")
-
-
 def blocks_of_text(documents: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """doc_id, position, block: every run of words as a block of a one-dimensional image."""
     split = documents.select(F.col(key).alias("image_id"), F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ").alias("w"))
     at = F.when(F.size("w") >= words, F.sequence(F.lit(1), F.size("w") - words + 1))
     rows = split.select("image_id", "w", F.explode(at).alias("position"))
     return rows.select("image_id", "position", F.array_join(F.slice("w", F.col("position"), words), " ").alias("block"))
-
-

@@ -9,6 +9,7 @@ from palimpsest.functions import grids
 from palimpsest.functions.arrays import normalise, quantise
 from palimpsest.operators import features as B
 from palimpsest.operators import matching as M
+from palimpsest.operators import search as S
 from palimpsest.operators import verify as V
 from palimpsest.operators.images import XY
 from palimpsest.plans import maps
@@ -278,10 +279,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY snippet_id ORDER BY score, oy, o
 SELECT snippet_id, image_id, oy, ox, CAST(score AS BIGINT) AS score, rank FROM r WHERE rank <= 6"""
 )
 def snippet_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The six best places of a snippet in its image."""
+    """The six best places of a snippet in its image."""
     px = maps.pixels(spark, sf_dir).select(*XY, "g")
     cut = px.filter("y BETWEEN 2 AND 4 AND x BETWEEN 3 AND 5").select(F.col("image_id").alias("snippet_id"), "image_id", (F.col("y") - 2).alias("y"), (F.col("x") - 3).alias("x"), "g")
-    return M.locate(px, cut, SIDE, SIDE).withColumn("rank", F.col("rank").cast("long"))
+    return S.search(px, cut, kind="absolute").withColumns({"score": F.col("score").cast("long"), "rank": F.col("rank").cast("long")})
 
 
 _TEXT = """w AS (SELECT 'item ' || item_id AS image_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM benchmark UNION ALL SELECT 'turn ' || conv_id || ' ' || turn, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') FROM conversations),

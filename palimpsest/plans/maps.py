@@ -47,3 +47,17 @@ def detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def image_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"))
+
+
+#: Sheets of 16 vectors, 32 x 32: sh(image_id, y, x, g).
+SHEET = """sh AS (
+  SELECT vec_id // 16 AS image_id, CAST(vec_id % 16 // 4 * 8 + i // 8 AS INT) AS y, CAST(vec_id % 4 * 8 + i % 8 AS INT) AS x,
+         CAST(floor((CAST(embedding[i + 1] AS DOUBLE) + 1) * 127.5) AS INT) AS g
+  FROM embeddings, (SELECT unnest(range(64)) AS i))"""
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, y, x, g: images of 32 x 32, each of 16 vectors side by side; the last may end early."""
+    rows = pixels(spark, sf_dir)
+    y, x = F.expr("cast(image_id % 16 div 4 * 8 + y AS int)"), F.expr("cast(image_id % 4 * 8 + x AS int)")
+    return rows.select(F.expr("image_id div 16").alias("sheet"), y.alias("y"), x.alias("x"), "g").withColumnRenamed("sheet", "image_id")

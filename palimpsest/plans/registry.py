@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import detection, forgery, raster, reports, scoring, tabular
+from palimpsest.plans import detection, forgery, raster, reports, scoring, search, tabular
 from palimpsest.plans.catalog import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "detection", "forgery", "raster", "reports", "scoring", "tabular"]
+__all__ = ["ORACLES", "QUERIES", "detection", "forgery", "raster", "reports", "scoring", "search", "tabular"]
