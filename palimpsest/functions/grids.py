@@ -158,29 +158,6 @@ def normalise_points(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (p - centre) * s, np.array([[s, 0, -s * centre[0]], [0, s, -s * centre[1]], [0, 0, 1]])
 
 
-def ransac_affine(a: np.ndarray, b: np.ndarray, tolerance: float = 3.0, rounds: int = 100, seed: int = 0, enough: float = 0.97) -> tuple[np.ndarray | None, np.ndarray]:
-    """Affine map by random triples, refitted to its inliers; None with fewer than three pairs or none that fit."""
-    n = len(a)
-    best, inliers = None, np.zeros(n, dtype=bool)
-    if n < 3:
-        return best, inliers
-    random = np.random.default_rng(seed)
-    for _ in range(rounds):
-        pick = random.choice(n, 3, replace=False)
-        triple = np.hstack((a[pick], np.ones((3, 1))))
-        if abs(np.linalg.det(triple)) < 1e-9:
-            continue
-        m = np.linalg.solve(triple, b[pick]).T
-        near = (((a @ m[:, :2].T + m[:, 2] - b) ** 2).sum(axis=1)) <= tolerance**2
-        if near.sum() > inliers.sum():
-            best, inliers = m, near
-            if near.sum() >= enough * n:
-                break
-    if best is not None and inliers.sum() >= 3:
-        best = fit_affine(a[inliers], b[inliers])
-    return best, inliers
-
-
 def grow_affine(a: np.ndarray, b: np.ndarray, reach: float = 5.0, tolerance: float = 3.0, least: int = 4) -> list[tuple[np.ndarray, np.ndarray]]:
     """Same-affine region growing: from a seed of three close pairs, neighbours join while the map predicts them; refits on the way."""
     free, out = np.ones(len(a), dtype=bool), []

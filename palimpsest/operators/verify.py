@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions import grids
+from palimpsest.functions import estimators, grids
 from palimpsest.operators.graph import connected
 from palimpsest.operators.images import XY
 from palimpsest.operators.scoring import label_components
@@ -87,18 +87,30 @@ def _ordered(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return pdf[["x", "y"]].to_numpy(dtype=float), pdf[["mx", "my"]].to_numpy(dtype=float)
 
 
-def fit_transforms(matches: DataFrame, groups: list[str], tolerance: float = 3.0, rounds: int = 100) -> DataFrame:
-    """groups, transform (2 x 3, row-major), inliers, matches: the affine map that most matches of a group follow, of a fixed seed."""
+def estimate_transforms(matches: DataFrame, groups: list[str], method: str = "ransac", tolerance: float = 3.0, rounds: int = 2000) -> DataFrame:
+    """groups, method, transform (3 x 3, row-major, last entry 1; null where the pairs leave it open), inliers, matches: the map of each group by a method of estimators.METHODS, of a fixed seed.
+
+    Points are normalised first; a group's matches are one task's.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = _ordered(pdf)
         pa, ta = grids.normalise_points(a)
         pb, tb = grids.normalise_points(b)
-        m, near = grids.ransac_affine(pa, pb, tolerance * tb[0, 0], rounds)
-        whole = None if m is None else (np.linalg.inv(tb) @ np.vstack((m, (0, 0, 1))) @ ta)[:2].ravel().tolist()
-        return pd.DataFrame([(*pdf[groups].iloc[0], whole, int(near.sum()), len(pdf))], columns=[*groups, "transform", "inliers", "matches"])
+        h, near = estimators.estimate(method, pa, pb, tolerance * tb[0, 0], rounds)
+        whole = None
+        if h is not None:
+            whole = np.linalg.inv(tb) @ h @ ta
+            whole = (whole / whole[2, 2]).ravel().tolist()
+        return pd.DataFrame([(*pdf[groups].iloc[0], method, whole, int(near.sum()), len(pdf))], columns=[*groups, "method", "transform", "inliers", "matches"])
 
-    return _fits(matches, groups, run, "transform array<double>, inliers long, matches long")
+    return _fits(matches, groups, run, "method string, transform array<double>, inliers long, matches long")
+
+
+def fit_transforms(matches: DataFrame, groups: list[str], tolerance: float = 3.0, rounds: int = 100) -> DataFrame:
+    """groups, transform (2 x 3, row-major), inliers, matches: the affine map that most matches of a group follow."""
+    found = estimate_transforms(matches, groups, "ownransac", tolerance, rounds)
+    return found.select(*groups, F.slice("transform", 1, 6).alias("transform"), "inliers", "matches")
 
 
 def grow_transforms(matches: DataFrame, groups: list[str], reach: float = 5.0, tolerance: float = 3.0, least: int = 4) -> DataFrame:

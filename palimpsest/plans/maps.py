@@ -61,3 +61,19 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pixels(spark, sf_dir)
     y, x = F.expr("cast(image_id % 16 div 4 * 8 + y AS int)"), F.expr("cast(image_id % 4 * 8 + x AS int)")
     return rows.select(F.expr("image_id div 16").alias("sheet"), y.alias("y"), x.alias("x"), "g").withColumnRenamed("sheet", "image_id")
+
+
+#: Boards of 64 vectors, 64 x 64, black where the last has none: bd(image_id, y, x, g).
+BOARD = """bd AS (
+  SELECT board AS image_id, CAST(tile // 8 * 8 + i // 8 AS INT) AS y, CAST(tile % 8 * 8 + i % 8 AS INT) AS x,
+         coalesce(CAST(floor((CAST(embedding[i + 1] AS DOUBLE) + 1) * 127.5) AS INT), 0) AS g
+  FROM (SELECT board, tile FROM (SELECT DISTINCT vec_id // 64 AS board FROM embeddings), (SELECT unnest(range(64)) AS tile)) LEFT JOIN embeddings ON vec_id = board * 64 + tile, (SELECT unnest(range(64)) AS i))"""
+
+
+def boards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, y, x, g: images of 64 x 64, each of 64 vectors side by side, black where the last has none."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    tiles = vectors.select(F.expr("vec_id div 64").alias("image_id")).distinct().withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    rows = tiles.join(vectors, F.col("image_id") * 64 + F.col("tile") == F.col("vec_id"), "left").withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))))
+    y, x = F.expr(f"cast(tile div 8 * 8 + pos div {SIDE} AS int)"), F.expr(f"cast(tile % 8 * 8 + pos % {SIDE} AS int)")
+    return rows.select("image_id", y.alias("y"), x.alias("x"), F.coalesce(images.gray(F.get("embedding", F.col("pos")).cast("double")), F.lit(0)).alias("g"))
