@@ -59,6 +59,10 @@ def pick_panel(panels: DataFrame, seed: int = 0) -> DataFrame:
     return T.best_of(panels, ["template"], [T.seeded("template", "panel", seed=seed), F.col("panel")])
 
 
+#: The classes whose panels get letters inside.
+LETTERED = ("Microscopy",)
+
+
 def place(panels: DataFrame, pixels: DataFrame) -> DataFrame:
     """figure pixels (template, y, x, g) of panels with an image, resized to their boxes by nearest sample; the rest of the figure is white."""
     grid = panels.select("template", "image_id", "x0", "x1", "y0", "y1", "ih", "iw", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("fy")).withColumn("fx", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)))
@@ -90,11 +94,34 @@ def free_strip(panels: DataFrame, depth: int) -> DataFrame:
 
 
 def captions(panels: DataFrame) -> DataFrame:
-    """template, panel, caption: letters in reading order."""
+    """template, panel, caption: a letter for each of these panels (those with room for one), A for the first by y, then x; what follows Z are the next characters, [ and so on."""
     w = Window.partitionBy("template").orderBy("y0", "x0", "panel")
     return panels.select("template", "panel", F.chr(64 + F.row_number().over(w)).alias("caption"))
 
 
+def corner_captions(panels: DataFrame, size: int) -> DataFrame:
+    """template, panel, y, x, caption: letters in squares of that side, left of a panel's upper corner, where they lie in the figure, a pixel from its left edge, and on no panel and no square before.
+
+    Panels are taken in the order of their names, and letters go by y, then x, to the squares that are free. A template's panels are few and make one row.
+    """
+    square = panels.select("template", "panel", F.col("y0").alias("y"), (F.col("x0") - size).alias("x"), "height").filter(f"x >= 1 AND y + {size} <= height")
+    taken = panels.select(F.col("template").alias("t"), "x0", "x1", "y0", "y1")
+    on = (F.col("template") == F.col("t")) & (F.col("x0") < F.col("x") + size) & (F.col("x") < F.col("x1")) & (F.col("y0") < F.col("y") + size) & (F.col("y") < F.col("y1"))
+    free = square.join(taken, on, "left_anti")
+    listed = free.groupBy("template").agg(F.array_sort(F.collect_list(F.struct("panel", "y", "x"))).alias("wanted"))
+    clear = lambda kept, one: F.forall(kept, lambda k: (F.abs(k["x"] - one["x"]) >= size) | (F.abs(k["y"] - one["y"]) >= size))
+    kept = F.aggregate("wanted", F.slice("wanted", 1, 0), lambda kept, one: F.when(clear(kept, one), F.concat(kept, F.array(one))).otherwise(kept))
+    spots = listed.select("template", F.explode(kept).alias("k")).select("template", "k.*")
+    w = Window.partitionBy("template").orderBy("y", "x")
+    return spots.withColumn("caption", F.chr(64 + F.row_number().over(w)))
+
+
+def panel_letters(panels: DataFrame, classes: tuple[str, ...] = LETTERED) -> DataFrame:
+    """template, panel, letter: a to z and over again, inside the panels of these classes, by x, then y."""
+    w = Window.partitionBy("template").orderBy("x0", "y0", "panel")
+    return panels.filter(F.col("class").isin(*classes)).select("template", "panel", F.chr(97 + (F.row_number().over(w) - 1) % 26).alias("letter"))
+
+
 def dark(histogram_mode: Column) -> Column:
     """Whether text on it should be white."""
     return histogram_mode < 100

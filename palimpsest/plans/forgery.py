@@ -42,8 +42,8 @@ def copy_move_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {PX}, {GT}, moved AS (SELECT g.image_id + 1 AS image_id, g.y + 1 AS y, g.x - 1 AS x, p.g FROM gt g JOIN px p USING (image_id, y, x) WHERE g.y + 1 <= 7 AND g.x >= 1)
-SELECT p.image_id, p.y, p.x, coalesce(m.g, p.g) AS g, m.g IS NOT NULL AS truth FROM px p LEFT JOIN moved m ON m.image_id = p.image_id AND m.y = p.y AND m.x = p.x"""
+    f"""WITH {PX}, laid AS (SELECT image_id, y, x, g, 0 AS k FROM px UNION ALL SELECT image_id + 1, y + 1, x - 1, g, 1 FROM px WHERE v > 0.15 AND y < 7 AND x >= 1)
+SELECT image_id, y, x, coalesce(max(g) FILTER (k = 1), max(g)) AS g, max(k) = 1 AS truth FROM laid GROUP BY image_id, y, x HAVING min(k) = 0"""
 )
 def splicing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """objects of one image in the next."""
@@ -199,13 +199,38 @@ def picked_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT template, panel, height, width, 2, 'right', x1, x1 + 8, y0, y1 FROM panels UNION ALL SELECT template, panel, height, width, 3, 'bottom', x0, x1, y1, y1 + 8 FROM panels),
 f AS (SELECT * FROM s WHERE a >= 0 AND c >= 0 AND b <= width AND d <= height AND NOT EXISTS (SELECT 1 FROM panels p WHERE p.template = s.template AND p.x0 < b AND a < p.x1 AND p.y0 < d AND c < p.y1))
 SELECT f.template, f.panel, arg_min(side, n) AS side, any_value(l.caption) AS caption, any_value(k.number) AS number FROM f
-JOIN (SELECT template, panel, chr(CAST(64 + row_number() OVER (PARTITION BY template ORDER BY y0, x0, panel) AS INT)) AS caption FROM panels) l ON l.template = f.template AND l.panel = f.panel
+JOIN (SELECT template, panel, chr(CAST(64 + row_number() OVER (PARTITION BY template ORDER BY y0, x0, panel) AS INT)) AS caption FROM panels SEMI JOIN f USING (template, panel)) l ON l.template = f.template AND l.panel = f.panel
 JOIN (SELECT template, panel, CAST(dense_rank() OVER (PARTITION BY template ORDER BY first) AS INT) AS number FROM (SELECT *, min(panel) OVER (PARTITION BY template, class) AS first FROM panels)) k ON k.template = f.template AND k.panel = f.panel GROUP BY f.template, f.panel"""
 )
 def caption_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The free side for a caption, its letter, and the panel's class number."""
+    """The free side for a caption, its letter among the panels that have one, and the panel's class number."""
     p = _panels(spark, sf_dir)
-    return P.free_strip(p, 8).join(P.captions(p), ["template", "panel"]).join(P.class_numbers(p), ["template", "panel"])
+    sides = P.free_strip(p, 8)
+    free = p.join(sides, ["template", "panel"], "left_semi")
+    return sides.join(P.captions(free), ["template", "panel"]).join(P.class_numbers(p), ["template", "panel"])
+
+
+_NARROW = "nar AS (SELECT template, panel, height, x0 + (template + CAST(right(panel, 1) AS INT)) % 3 * 6 AS x0, x1, y0, y1 FROM panels)"
+
+
+@query(
+    f"""WITH RECURSIVE {_TEMPLATE}, {_NARROW}, w AS (SELECT template, panel, y0 AS y, x0 - 5 AS x FROM nar s WHERE x0 - 5 >= 1 AND y0 + 5 <= height AND NOT EXISTS (SELECT 1 FROM nar p WHERE p.template = s.template AND p.x0 < s.x0 AND s.x0 - 5 < p.x1 AND p.y0 < s.y0 + 5 AND s.y0 < p.y1)),
+o AS (SELECT *, row_number() OVER (PARTITION BY template ORDER BY panel) AS n FROM w),
+r(template, n, kept) AS (SELECT DISTINCT template, 0::BIGINT, []::STRUCT(panel VARCHAR, y INT, x BIGINT)[] FROM o
+  UNION ALL SELECT o.template, o.n, CASE WHEN len(list_filter(kept, lambda k: abs(k.x - o.x) < 5 AND abs(k.y - o.y) < 5)) = 0 THEN list_append(kept, struct_pack(panel := o.panel, y := o.y, x := CAST(o.x AS BIGINT))) ELSE kept END FROM r JOIN o ON o.template = r.template AND o.n = r.n + 1),
+k AS (SELECT template, unnest(arg_max(kept, n)) AS k FROM r GROUP BY template)
+SELECT template, k.panel AS panel, k.y AS y, CAST(k.x AS BIGINT) AS x, chr(CAST(64 + row_number() OVER (PARTITION BY template ORDER BY k.y, k.x) AS INT)) AS caption FROM k"""
+)
+def caption_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters left of the upper corners of panels that have room there; every second and third panel is narrowed to make some."""
+    p = _panels(spark, sf_dir).withColumn("x0", F.expr("x0 + (template + cast(right(panel, 1) AS int)) % 3 * 6"))
+    return P.corner_captions(p, 5).withColumn("x", F.col("x").cast("long"))
+
+
+@query(f"WITH {_TEMPLATE} SELECT template, panel, chr(CAST(97 + (row_number() OVER (PARTITION BY template ORDER BY x0, y0, panel) - 1) % 26 AS INT)) AS letter FROM panels WHERE class = 'Microscopy'")
+def panel_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters inside microscopy panels, from left to right."""
+    return P.panel_letters(_panels(spark, sf_dir))
 
 
 @query(f"WITH {_TEMPLATE}, {PX} SELECT template, CAST(count(*) AS BIGINT) AS pixels, CAST(sum(g) AS BIGINT) AS total FROM panels r, LATERAL (SELECT unnest(range(y0, y1)) AS fy), LATERAL (SELECT unnest(range(x0, x1)) AS fx), px WHERE px.image_id = template % 50 AND px.y = CAST(floor((fy - y0) * 8 / (y1 - y0)::DOUBLE) AS INT) AND px.x = CAST(floor((fx - x0) * 8 / (x1 - x0)::DOUBLE) AS INT) GROUP BY template")
@@ -244,9 +269,8 @@ def figure_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {PX}, l AS (SELECT image_id, y, x, 200 AS g1, 255 AS a1, CASE WHEN x > 2 THEN 50 END AS g2, 100 AS a2 FROM px WHERE y BETWEEN 2 AND 5),
-m AS (SELECT p.image_id, p.y, p.x, p.g, l.g1, g2, CASE WHEN l.g1 IS NULL THEN p.g ELSE CAST(floor((g1 * a1 + p.g * (255 - a1)) / 255.0::DOUBLE) AS INT) END AS s FROM px p LEFT JOIN l USING (image_id, y, x))
-SELECT image_id, y, x, CASE WHEN g2 IS NULL THEN s ELSE CAST(floor((g2 * 100 + s * 155) / 255.0::DOUBLE) AS INT) END AS g, CASE WHEN g1 IS NOT NULL THEN 1 ELSE 0 END AS owner FROM m"""
+    f"""WITH {PX}, m AS (SELECT image_id, y, x, y BETWEEN 2 AND 5 AS band, CASE WHEN y BETWEEN 2 AND 5 THEN 200 ELSE g END AS s FROM px)
+SELECT image_id, y, x, CASE WHEN band AND x > 2 THEN CAST(floor((50 * 100 + s * 155) / 255.0::DOUBLE) AS INT) ELSE s END AS g, CASE WHEN band THEN 1 ELSE 0 END AS owner FROM m"""
 )
 def scene_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two layers blended in order, and who owns each pixel."""
@@ -258,7 +282,10 @@ def scene_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(owner, XY, "left").fillna(0, ["owner"])
 
 
-@query(f"WITH {PX}, f AS (SELECT p.image_id, p.y, p.x, p.g, CASE WHEN p.y >= 4 AND p.x < 4 THEN q.g + p.x % 2 * 10 ELSE p.g END AS f, coalesce(q.g, -1000) AS s FROM px p LEFT JOIN px q ON q.image_id = p.image_id AND q.y = p.y - 4 AND q.x = p.x) SELECT image_id, y, x, CASE WHEN abs(f - s) < 6 THEN 255 ELSE 128 END AS value FROM f WHERE f <> g")
+@query(
+    f"""WITH {PX}, u AS (SELECT image_id, y, x, max(g) FILTER (k = 0) AS g, coalesce(max(g) FILTER (k = 1), -1000) AS s FROM (SELECT image_id, y, x, g, 0 AS k FROM px UNION ALL SELECT image_id, y + 4, x, g, 1 FROM px WHERE y < 4) GROUP BY image_id, y, x),
+f AS (SELECT *, CASE WHEN y >= 4 AND x < 4 THEN s + x % 2 * 10 ELSE g END AS f FROM u) SELECT image_id, y, x, CASE WHEN abs(f - s) < 6 THEN 255 ELSE 128 END AS value FROM f WHERE f <> g"""
+)
 def scene_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels that copy a place, and those that only changed."""
     px = maps.pixels(spark, sf_dir).select(*XY, "g")

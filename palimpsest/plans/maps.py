@@ -50,7 +50,7 @@ def image_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Sheets of 16 vectors, 32 x 32: sh(image_id, y, x, g).
-SHEET = """sh AS (
+SHEET = """sh AS MATERIALIZED (
   SELECT vec_id // 16 AS image_id, CAST(vec_id % 16 // 4 * 8 + i // 8 AS INT) AS y, CAST(vec_id % 4 * 8 + i % 8 AS INT) AS x,
          CAST(floor((CAST(embedding[i + 1] AS DOUBLE) + 1) * 127.5) AS INT) AS g
   FROM embeddings, (SELECT unnest(range(64)) AS i))"""
@@ -67,7 +67,9 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
 BOARD = """bd AS (
   SELECT board AS image_id, CAST(tile // 8 * 8 + i // 8 AS INT) AS y, CAST(tile % 8 * 8 + i % 8 AS INT) AS x,
          coalesce(CAST(floor((CAST(embedding[i + 1] AS DOUBLE) + 1) * 127.5) AS INT), 0) AS g
-  FROM (SELECT board, tile FROM (SELECT DISTINCT vec_id // 64 AS board FROM embeddings), (SELECT unnest(range(64)) AS tile)) LEFT JOIN embeddings ON vec_id = board * 64 + tile, (SELECT unnest(range(64)) AS i))"""
+  FROM (SELECT id // 64 AS board, id % 64 AS tile, any_value(embedding) AS embedding
+        FROM (SELECT vec_id AS id, embedding FROM embeddings UNION ALL SELECT board * 64 + t, NULL FROM (SELECT DISTINCT vec_id // 64 AS board FROM embeddings), (SELECT unnest(range(64)) AS t)) GROUP BY id),
+       (SELECT unnest(range(64)) AS i))"""
 
 
 def boards(spark: SparkSession, sf_dir: str) -> DataFrame:

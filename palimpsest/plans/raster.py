@@ -81,7 +81,7 @@ def flip_rotate_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query(f"WITH {PX} SELECT p.image_id, p.y, p.x, coalesce(CASE WHEN s.v > 0.1 THEN s.g END, p.g) AS g FROM px p LEFT JOIN px s ON s.image_id = p.image_id AND s.y + 2 = p.y AND s.x + 3 = p.x")
+@query(f"WITH {PX} SELECT image_id, y, x, coalesce(max(g) FILTER (k = 1), max(g) FILTER (k = 0)) AS g FROM (SELECT image_id, y, x, g, 0 AS k FROM px UNION ALL SELECT image_id, y + 2, x + 3, g, 1 FROM px WHERE v > 0.1 AND y < 6 AND x < 5) GROUP BY image_id, y, x")
 def masked_paste(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An object moved by (2, 3) and pasted over its image."""
     px = maps.pixels(spark, sf_dir)

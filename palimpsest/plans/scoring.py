@@ -97,9 +97,8 @@ def measure_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {PX}, a AS (SELECT image_id, y, x, CASE WHEN v > 0.2 THEN 2 ELSE 0 END AS label FROM px WHERE v > 0.05),
-b AS (SELECT image_id, y, x, 1 AS label FROM px WHERE v > 0.1 AND x < 5)
-SELECT image_id, y, x, coalesce(nullif(a.label, 0), b.label) AS label FROM a FULL JOIN b USING (image_id, y, x) WHERE coalesce(nullif(a.label, 0), b.label) <> 0"""
+    f"""WITH {PX}, m AS (SELECT image_id, y, x, 2 AS label, 0 AS k FROM px WHERE v > 0.2 UNION ALL SELECT image_id, y, x, 1, 1 FROM px WHERE v > 0.1 AND x < 5)
+SELECT image_id, y, x, arg_min(label, k) AS label FROM m GROUP BY image_id, y, x"""
 )
 def truth_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two ground truths as one, the first one's labels over the second's."""

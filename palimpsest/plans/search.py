@@ -13,8 +13,9 @@ from palimpsest.plans.maps import SHEET
 
 #: A snippet of 9 rows and 8 columns of each sheet at (k % 7 + 1, k % 5), without some of its pixels, and the forged sheet, where it stands a second time 14 rows down and 13 to the right, a level brighter.
 _SNIPPET = f"""{SHEET}, whole AS (SELECT image_id, y - (image_id % 7 + 1) AS y, x - image_id % 5 AS x, g FROM sh WHERE y - (image_id % 7 + 1) BETWEEN 0 AND 8 AND x - image_id % 5 BETWEEN 0 AND 7),
-sn AS (SELECT * FROM whole WHERE (y + x) % 6 <> 5),
-fo AS (SELECT sh.image_id, sh.y, sh.x, CASE WHEN f.g IS NULL THEN sh.g ELSE least(255, f.g + 1) END AS g FROM sh LEFT JOIN whole f ON f.image_id = sh.image_id AND f.y = sh.y - (sh.image_id % 7 + 15) AND f.x = sh.x - (sh.image_id % 5 + 13))"""
+sn AS MATERIALIZED (SELECT * FROM whole WHERE (y + x) % 6 <> 5),
+put AS (SELECT *, 0 AS k FROM sh UNION ALL SELECT image_id, CAST(y + image_id % 7 + 15 AS INT), CAST(x + image_id % 5 + 13 AS INT), least(255, g + 1), 1 FROM whole),
+fo AS MATERIALIZED (SELECT image_id, y, x, arg_max(g, k) AS g FROM put GROUP BY image_id, y, x HAVING min(k) = 0)"""
 
 
 def _scene(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -48,11 +49,12 @@ _FIRST = "SELECT image_id, oy, ox FROM (SELECT *, row_number() OVER (PARTITION B
     f"""WITH {_SNIPPET}, c AS (SELECT s.image_id, CAST(p.y - s.y AS INT) AS oy, CAST(p.x - s.x AS INT) AS ox, count(*) AS n, count(*) FILTER (abs(p.g - s.g) > 2) AS score FROM sn s JOIN fo p ON p.image_id = s.image_id GROUP BY ALL),
 sizes AS (SELECT image_id, count(*) AS need FROM sn GROUP BY ALL), w AS (SELECT c.* FROM c JOIN sizes USING (image_id) WHERE n = need AND 2 * score < need),
 near AS (SELECT * FROM w WHERE abs(oy - (image_id % 7 + 15)) <= 3 AND abs(ox - (image_id % 5 + 13)) <= 3), ins AS ({_FIRST.format("near")}),
-neutral AS (SELECT fo.image_id, fo.y, fo.x, CASE WHEN s.y IS NULL THEN fo.g ELSE (fo.g + 128) % 256 END AS g FROM fo LEFT JOIN ins i ON i.image_id = fo.image_id LEFT JOIN sn s ON s.image_id = fo.image_id AND s.y = fo.y - i.oy AND s.x = fo.x - i.ox),
+neutral AS MATERIALIZED (SELECT image_id, y, x, CASE WHEN count(*) > 1 THEN (max(g) + 128) % 256 ELSE max(g) END AS g FROM (SELECT * FROM fo UNION ALL SELECT s.image_id, s.y + i.oy, s.x + i.ox, -1 FROM sn s JOIN ins i USING (image_id)) GROUP BY image_id, y, x),
 c2 AS (SELECT s.image_id, CAST(p.y - s.y AS INT) AS oy, CAST(p.x - s.x AS INT) AS ox, count(*) AS n, count(*) FILTER (abs(p.g - s.g) > 2) AS score FROM sn s JOIN neutral p ON p.image_id = s.image_id GROUP BY ALL),
 w2 AS (SELECT c2.* FROM c2 JOIN sizes USING (image_id) WHERE n = need AND 2 * score < need), src AS ({_FIRST.format("w2")}),
-ag AS (SELECT a.image_id, a.y, a.x, b.y AS py, b.x AS px FROM sn s JOIN ins i USING (image_id) JOIN src o USING (image_id) JOIN fo a ON a.image_id = s.image_id AND a.y = i.oy + s.y AND a.x = i.ox + s.x
-  JOIN fo b ON b.image_id = s.image_id AND b.y = o.oy + s.y AND b.x = o.ox + s.x WHERE abs(a.g - b.g) < 6),
+sp AS MATERIALIZED (SELECT s.image_id, i.oy + s.y AS y, i.ox + s.x AS x, o.oy + s.y AS py, o.ox + s.x AS px FROM sn s JOIN ins i USING (image_id) JOIN src o USING (image_id)),
+sa AS MATERIALIZED (SELECT sp.*, g FROM sp JOIN fo USING (image_id, y, x)),
+ag AS MATERIALIZED (SELECT sa.image_id, sa.y, sa.x, py, px FROM sa JOIN fo b ON b.image_id = sa.image_id AND b.y = py AND b.x = px WHERE abs(sa.g - b.g) < 6),
 cp AS (SELECT image_id, y, x FROM ag UNION SELECT image_id, py, px FROM ag),
 ch AS (SELECT DISTINCT a.image_id, a.y, a.x FROM whole f JOIN ins i USING (image_id) JOIN fo a ON a.image_id = f.image_id AND a.y = i.oy + f.y AND a.x = i.ox + f.x JOIN sh b ON b.image_id = a.image_id AND b.y = a.y AND b.x = a.x WHERE abs(a.g - b.g) >= 6)
 SELECT image_id, y, x, 255 AS value FROM cp UNION ALL SELECT image_id, y, x, 128 FROM ch WHERE NOT EXISTS (SELECT 1 FROM cp WHERE cp.image_id = ch.image_id AND cp.y = ch.y AND cp.x = ch.x)"""

@@ -548,3 +548,33 @@ def test_scratch_tables_go(spark):
         assert gone.count() == kept.count() == 3
     assert not os.path.exists(gone._palimpsest_path.removeprefix("file://")) and os.path.exists(kept._palimpsest_path.removeprefix("file://"))
     session.discard(kept)
+
+
+def test_letters_go_to_free_panels_alone(spark):
+    panels = "template long, panel string, height int, width int, x0 int, x1 int, y0 int, y1 int, class string"
+    rows = [(1, f"{i:03d}", 2000, 2000, 100 + 40 * (i % 6), 120 + 40 * (i % 6), 60 * (i // 6), 50 + 60 * (i // 6), "Microscopy" if i % 2 else "WesternBlot") for i in range(36)]
+    rows += [(2, "001", 50, 50, 0, 20, 0, 20, "Microscopy"), (2, "002", 50, 50, 20, 50, 0, 20, "Microscopy"), (2, "003", 50, 50, 31, 50, 26, 50, "Graphs"), (2, "004", 50, 50, 11, 28, 30, 50, "Graphs")]
+    # the squares of 005 and 006 would meet: the first takes the place
+    rows += [(3, "005", 90, 90, 30, 60, 40, 45, "Graphs"), (3, "006", 90, 90, 32, 60, 46, 60, "Graphs"), (3, "007", 90, 90, 30, 60, 85, 90, "Graphs")]
+    df = spark.createDataFrame(rows, panels)
+    got = {(r["template"], r["panel"]): (r["y"], r["x"], r["caption"]) for r in templates.corner_captions(df, 10).collect()}
+    first = [k for k in got if k[0] == 1]
+    assert len(first) == 36 and got[1, "035"][2] == chr(64 + 36) and got[1, "000"] == (0, 90, "A") and got[1, "006"][2] == "G"
+    assert {k[1]: v for k, v in got.items() if k[0] == 2} == {"004": (30, 1, "A")}
+    assert {k[1]: v for k, v in got.items() if k[0] == 3} == {"005": (40, 20, "A")}
+    letters = {(r["template"], r["panel"]): r["letter"] for r in templates.panel_letters(df).collect()}
+    assert letters[1, "001"] == "a" and letters[1, "007"] == "b" and letters[2, "001"] == "a" and len(letters) == 20
+
+
+def test_rounds_of_a_chain_leave_one_table(spark, tmp_path):
+    from palimpsest import session
+
+    before = session.shared_folder
+    session.shared_folder = lambda s: f"file://{tmp_path}"
+    try:
+        found = connected(spark.createDataFrame([(0, i, i + 1) for i in range(200)], "g int, a int, b int"), ["g"])
+        assert found.select("component").distinct().count() == 1
+        left = os.listdir(tmp_path / "palimpsest")
+    finally:
+        session.shared_folder = before
+    assert len([f for f in left if not f.startswith(".")]) == 1
