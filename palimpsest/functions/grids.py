@@ -1,4 +1,4 @@
-"""Numpy kernels over one small raster: labelling, morphology, resampling, inpainting, dense matching, model fits."""
+"""Numpy kernels over one small raster: labelling, morphology, resampling, inpainting, model fits."""
 
 from __future__ import annotations
 
@@ -247,38 +247,6 @@ def inpaint(image: np.ndarray, hole: np.ndarray, patch: int = 3) -> np.ndarray:
     return image
 
 
-def patch_field(image: np.ndarray, patch: int = 3, least: int = 2, rounds: int = 4, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest patches of an image in itself, at least `least` away: random start, propagation both ways, random search."""
-    h, w = image.shape[0] - patch + 1, image.shape[1] - patch + 1
-    windows = np.lib.stride_tricks.sliding_window_view(image.astype(float), (patch, patch)).reshape(h, w, -1)
-    random = np.random.default_rng(seed)
-    ys, xs = np.indices((h, w))
-    field = np.stack((random.integers(0, h, (h, w)), random.integers(0, w, (h, w))), axis=-1)
-
-    def cost(y: int, x: int, ty: int, tx: int) -> float:
-        if not (0 <= ty < h and 0 <= tx < w) or (ty - y) ** 2 + (tx - x) ** 2 < least**2:
-            return np.inf
-        return float(((windows[y, x] - windows[ty, tx]) ** 2).sum())
-
-    best = np.array([[cost(y, x, *field[y, x]) for x in range(w)] for y in range(h)])
-    for turn in range(rounds):
-        step = 1 if turn % 2 == 0 else -1
-        for y in range(h)[::step]:
-            for x in range(w)[::step]:
-                tries = []
-                for dy, dx in ((step, 0), (0, step)):
-                    if 0 <= y - dy < h and 0 <= x - dx < w:
-                        tries.append(field[y - dy, x - dx] + (dy, dx))
-                r = max(h, w)
-                while r >= 1:
-                    tries.append(field[y, x] + random.integers(-r, r + 1, 2))
-                    r //= 2
-                for ty, tx in tries:
-                    if (c := cost(y, x, int(ty), int(tx))) < best[y, x]:
-                        best[y, x], field[y, x] = c, (ty, tx)
-    return field, best
-
-
 def poisson_clone(target: np.ndarray, source: np.ndarray, mask: np.ndarray, rounds: int = 500) -> np.ndarray:
     """Pixels inside the mask get the source's gradients and the target's border values (Gauss-Seidel by colours)."""
     out = target.astype(float).copy()

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions import fields
 from palimpsest.functions.arrays import squared_distance
 from palimpsest.session import durable, prepare
 
@@ -212,20 +213,40 @@ def segment_matches(points: DataFrame, ratio: float = 0.5) -> DataFrame:
     return counts.join(knee, "image_id", "left").filter("n >= coalesce(least, 1)").select("image_id", "s", "t", "n")
 
 
-def dense_field(packed: DataFrame, patch: int, least: int, rounds: int = 4) -> DataFrame:
-    """image_id, y, x, my, mx, cost: an approximate nearest-patch field of each image in itself."""
-    from palimpsest.functions import grids
+def dense_vectors(packed: DataFrame, radius: int = 8, order: int = 5) -> DataFrame:
+    """image_id, y, x, vec: the Zernike magnitudes of the disc around every pixel."""
+    prepare(packed.sparkSession)
+    kind = dict(packed.dtypes)["image_id"]
+
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.itertuples():
+                vectors = fields.zernike_vectors(np.asarray(row.values, dtype=float).reshape(row.height, row.width), radius, order)
+                y, x = np.indices(vectors.shape[:2], dtype=np.int32)
+                yield pd.DataFrame({"image_id": row.image_id, "y": y.ravel(), "x": x.ravel(), "vec": list(vectors.reshape(-1, vectors.shape[2]))})
+
+    return packed.select("image_id", "height", "width", "values").mapInPandas(run, f"image_id {kind}, y int, x int, vec array<double>")
+
 
+def dense_field(packed: DataFrame, patch: int, least: float, rounds: int = 8, descriptor: str = "NO", order: int = 5) -> DataFrame:
+    """image_id, y, x, my, mx, cost: an approximate nearest-descriptor field of each image in itself, matches at least so far apart; one image a task.
+
+    descriptor: NO, the pixels of squares of side `patch` by their upper left corners; ZERNIKE, magnitudes of discs of radius `patch` around every pixel.
+    """
     prepare(packed.sparkSession)
+    if descriptor not in ("NO", "ZERNIKE"):
+        raise ValueError(f"no such descriptor: {descriptor}")
     kind = dict(packed.dtypes)["image_id"]
 
     def run(batches):
         for pdf in batches:
-            out = []
             for row in pdf.itertuples():
-                field, cost = grids.patch_field(np.asarray(row.values, dtype=float).reshape(row.height, row.width), patch, least, rounds)
-                out += [(row.image_id, y, x, int(field[y, x, 0]), int(field[y, x, 1]), float(cost[y, x])) for y, x in np.ndindex(cost.shape)]
-            yield pd.DataFrame(out, columns=["image_id", "y", "x", "my", "mx", "cost"])
+                image = np.asarray(row.values, dtype=float).reshape(row.height, row.width)
+                vectors = fields.raw_vectors(image, patch) if descriptor == "NO" else fields.zernike_vectors(image, patch, order)
+                field, cost = fields.match_field(vectors, least, rounds)
+                y, x = np.indices(cost.shape, dtype=np.int32)
+                known = np.isfinite(cost)
+                yield pd.DataFrame({"image_id": row.image_id, "y": y[known], "x": x[known], "my": field[..., 0][known].astype(np.int32), "mx": field[..., 1][known].astype(np.int32), "cost": cost[known]})
 
     return packed.select("image_id", "height", "width", "values").mapInPandas(run, f"image_id {kind}, y int, x int, my int, mx int, cost double")
 

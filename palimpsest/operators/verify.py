@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import estimators, grids
+from palimpsest.operators import raster
 from palimpsest.operators.graph import connected
 from palimpsest.operators.images import XY
 from palimpsest.operators.scoring import label_components
-from palimpsest.session import prepare
+from palimpsest.session import durable, prepare
 
 
 def shifts(matches: DataFrame) -> DataFrame:
@@ -199,6 +200,24 @@ def affine_residual(field: DataFrame, radius: int, limit: float) -> DataFrame:
     return rows.select(*XY, (F.col("y") + F.col("oa")).cast("int").alias("my"), (F.col("x") + F.col("ob")).cast("int").alias("mx"), "error")
 
 
+def dense_areas(field: DataFrame, height: int, width: int, median: int = 4, radius: int = 6, residual: float = 300.0, displacement: float = 50.0, least_size: int = 1200, reach: int = 10) -> DataFrame:
+    """image_id, y, x: copied areas of a dense field (image_id, y, x, my, mx), in the order of the published detector.
+
+    Displacements become medians over a disc, clipped to where a target exists; pixels whose neighbours follow no affine map go, then those moved too little, then small 4-connected areas; targets
+    join their sources; the rest is dilated by a disc.
+    """
+    moved = field.select(*XY, (F.col("my") - F.col("y")).alias("dy"), (F.col("mx") - F.col("x")).alias("dx"))
+    calm = raster.medians(moved, "dy", grids.disc(median)).withColumnRenamed("median", "dy").join(raster.medians(moved, "dx", grids.disc(median)).withColumnRenamed("median", "dx"), XY)
+    clip = lambda c, d, side: F.greatest(F.lit(0), F.least(F.lit(side - 1), F.col(c) + F.rint(d).cast("int")))
+    calm = durable(calm.select(*XY, clip("y", "dy", height).alias("my"), clip("x", "dx", width).alias("mx")), "field")
+    kept = least_displacement(affine_residual(calm, radius, residual), displacement * displacement)
+    kept = durable(kept.select(*XY, "my", "mx"), "kept")
+    areas = label_components(kept.select(*XY, F.lit(1).alias("label")))
+    large = raster.open_area(areas, least_size)
+    both = symmetric(kept.join(large.select(*XY), XY))
+    return raster.dilate(both, grids.disc(reach), height, width)
+
+
 def correlation_map(pixels: DataFrame, matches: DataFrame, radius: int = 2, value: str = "g") -> DataFrame:
     """image_id, y, x, ncc: zero-mean correlation of the squares around both ends of each match; 0 where one is flat."""
     square = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in grids.box(radius)]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.functions import grids
+from palimpsest.functions import fields, grids
 from palimpsest.functions.arrays import normalise, quantise
 from palimpsest.operators import features as B
 from palimpsest.operators import matching as M
@@ -245,11 +245,35 @@ def segment_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def patchmatch_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dense field of each image in itself, filtered."""
+    """A dense field of the squares of each image in itself, filtered."""
     field = M.dense_field(_packed(spark, sf_dir), 3, 2)
     return V.least_displacement(V.affine_residual(field, 1, 200.0), 4.0)
 
 
+_ZF = ", ".join(f"({i}, {y - 2}, {x - 2}, {v.real!r}::DOUBLE, {v.imag!r}::DOUBLE)" for i, f in enumerate(fields.zernike_filters(2, 5).tolist()) for y, line in enumerate(f) for x, v in enumerate(line))
+
+
+@query(
+    f"""WITH {PX}, zf(n, dy, dx, re, im) AS (VALUES {_ZF}), s AS (SELECT c.image_id, c.y, c.x, n, sum(p.g * re) AS re, sum(p.g * im) AS im FROM px c, zf JOIN px p ON p.image_id = c.image_id AND p.y = c.y + dy AND p.x = c.x + dx GROUP BY ALL)
+SELECT image_id, y, x, n, CAST(floor(sqrt(re * re + im * im) * 100 + 0.5) AS BIGINT) AS hundredths FROM s"""
+)
+def dense_zernike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve Zernike magnitudes of the disc around every pixel, by a filter bank."""
+    rows = M.dense_vectors(_packed(spark, sf_dir), 2, 5).select(*XY, F.posexplode("vec").alias("n", "v"))
+    return rows.select(*XY, "n", F.floor(F.col("v") * 100 + 0.5).alias("hundredths"))
+
+
+@query()
+def dense_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copied areas of boards in which a square was moved by 20 and 23: Zernike field, median displacements, affine residual, least displacement, least size, both sides, dilated."""
+    board = maps.boards(spark, sf_dir)
+    moved = board.filter("y BETWEEN 4 AND 33 AND x BETWEEN 4 AND 33").select("image_id", (F.col("y") + 20).alias("y"), (F.col("x") + 23).alias("x"), F.col("g").alias("new"))
+    forged = board.join(moved, XY, "left").select(*XY, F.coalesce("new", "g").alias("g"))
+    packed = forged.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "g"))), lambda s: s["g"].cast("double")).alias("values"))
+    packed = packed.select("image_id", F.lit(64).alias("height"), F.lit(64).alias("width"), "values")
+    return V.dense_areas(M.dense_field(packed, 5, 12.0, descriptor="ZERNIKE"), 64, 64, least_size=60, residual=30.0, displacement=12.0, reach=2)
+
+
 _DISC = ", ".join(f"({oy}, {ox})" for oy, ox in grids.disc(2))
 
 
