@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import detection, forgery, homographies, raster, reports, scoring, search, tabular
+from palimpsest.plans import detection, forgery, homographies, raster, reports, scoring, search, superpixels, tabular
 from palimpsest.plans.catalog import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "detection", "forgery", "homographies", "raster", "reports", "scoring", "search", "tabular"]
+__all__ = ["ORACLES", "QUERIES", "detection", "forgery", "homographies", "raster", "reports", "scoring", "search", "superpixels", "tabular"]
