@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions import keypoints as K
 from palimpsest.functions.arrays import quotient
 from palimpsest.operators import raster as R
 from palimpsest.session import prepare
@@ -268,3 +269,22 @@ def reduce_by_kernel_pca(vectors: DataFrame, key: list[str], train: int, keep: i
             yield pdf
 
     return vectors.mapInPandas(run, vectors.schema)
+
+
+def keypoints(packed: DataFrame, contrast: float = 0.04) -> DataFrame:
+    """image_id, id (from 0), y, x, gray, scale, octave, theta (radians), vec (128 values): keypoints of each image; one image a task."""
+    prepare(packed.sparkSession)
+    kind = dict(packed.dtypes)["image_id"]
+
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.itertuples():
+                image = np.asarray(row.values, dtype=float).reshape(row.height, row.width)
+                found = K.keypoints(image, contrast)
+                gray = [int(image[min(row.height - 1, round(k.y)), min(row.width - 1, round(k.x))]) for k in found]
+                yield pd.DataFrame(
+                    [(row.image_id, i, k.y, k.x, g, k.scale, k.octave, k.theta, k.vec.tolist()) for i, (k, g) in enumerate(zip(found, gray, strict=True))],
+                    columns=["image_id", "id", "y", "x", "gray", "scale", "octave", "theta", "vec"],
+                )
+
+    return packed.select("image_id", "height", "width", "values").mapInPandas(run, f"image_id {kind}, id long, y double, x double, gray int, scale double, octave int, theta double, vec array<double>")

@@ -288,6 +288,13 @@ def copied_areas(sides: DataFrame, models: DataFrame, sizes: DataFrame) -> DataF
     return marked.groupBy("image_id").applyInPandas(run, f"image_id {kind}, y int, x int")
 
 
+def matched(points: DataFrame, pairs: DataFrame) -> DataFrame:
+    """MATCH rows of pairs (image_id, a, b) of keypoints (image_id, id, y, x, scale, theta)."""
+    side = lambda key, y, x, scale, theta: points.select("image_id", F.col("id").alias(key), F.col("y").alias(y), F.col("x").alias(x), F.col("scale").alias(scale), F.col("theta").alias(theta))
+    both = pairs.join(side("a", "y", "x", "scale", "theta"), ["image_id", "a"]).join(side("b", "my", "mx", "mscale", "mtheta"), ["image_id", "b"])
+    return both.withColumn("id", F.col("a") * (1 << 31) + F.col("b")).select(*MATCH)
+
+
 def verified(matches: DataFrame, pixels: DataFrame, sizes: DataFrame, bands: tuple[str, ...] = ("g",), gray: str = "g") -> tuple[DataFrame, DataFrame]:
     """(models, areas): the accepted models with their inliers' number, and image_id, y, x of the copied areas. sizes: rows of settings()."""
     matches = durable(inside(matches, sizes), "matches")

@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import estimators
+from palimpsest.operators import features as B
 from palimpsest.operators import homographies as H
+from palimpsest.operators import matching as M
+from palimpsest.operators import scenes
 from palimpsest.operators import verify as V
 from palimpsest.operators.images import XY
 from palimpsest.plans import maps
 from palimpsest.plans.catalog import query
 from palimpsest.plans.maps import BOARD
-from palimpsest.session import table
+from palimpsest.session import durable, table
 
 #: A match a vector: 9 down and 12 right, each sixth 5 further, each ninth turned; some are given from copy to source.
 _MATCHES = """ma AS (
@@ -150,6 +153,37 @@ def cloned_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.verified(_matches(spark, sf_dir), forged, sizes)[1]
 
 
+def _moved_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets at four times their size, softened by means of 3 x 3 twice, in which a square of 56 stands a second time, 66 down and 65 to the right."""
+    soft = scenes.scaled_nearest(maps.sheets(spark, sf_dir), 4)
+    for _ in range(2):
+        soft = H.smoothed(soft, ("g",))
+    soft = durable(soft, "sheets")
+    moved = soft.filter("y BETWEEN 4 AND 59 AND x BETWEEN 4 AND 59").select("image_id", (F.col("y") + 66).alias("y"), (F.col("x") + 65).alias("x"), F.col("g").alias("new"))
+    return soft.join(moved, XY, "left").select(*XY, F.coalesce("new", "g").alias("g"))
+
+
+def _packed(images: DataFrame) -> DataFrame:
+    rows = images.groupBy("image_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"), F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "g"))), lambda s: s["g"].cast("double")).alias("values"))
+    return rows.filter("size(values) = height * width")  # the last sheet may be no rectangle
+
+
+@query()
+def keypoint_scale_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keypoints of sheets, with descriptors of 128 values."""
+    return B.keypoints(_packed(_moved_sheets(spark, sf_dir)), 0.01)
+
+
+@query()
+def keypoint_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copied areas of sheets from the pixels alone: keypoints, pairs by their angles, local homographies, discs."""
+    images = durable(_moved_sheets(spark, sf_dir), "images")
+    points = durable(B.keypoints(_packed(images), 0.01), "keypoints")
+    pairs = M.bucketed_matches(points, "gray", 0.65, 40.0, "octave")
+    sizes = H.settings(images.groupBy("image_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))).withColumn("least_size", F.lit(500))
+    return H.verified(H.matched(points, pairs), images, sizes)[1]
+
+
 @query(
     f"""WITH {BOARD}, {_MATCHES}, me(method) AS (VALUES ('ownransac'), ('ransac'), ('lmeds'), ('pure'), ('goldstandard')),
 t AS (SELECT ma.image_id, method, id, id % 6 <> 0 AS good FROM ma, me WHERE id % 4 <> 1 AND (method IN ('ownransac', 'ransac', 'lmeds') OR id % 6 <> 0)),
