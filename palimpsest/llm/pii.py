@@ -4,7 +4,7 @@ Four base kinds (email, ip, card, phone) follow fixed rules and always stay. Fou
 (two letters, two digits, 11 to 30 letters or digits in groups, confirmed by mod 97), `ssn` (ddd-dd-dddd with valid parts), `key` (an access key
 by its fixed prefix) and `secret` (16 letters and digits or more, of both). Each span has a
 score: its kind's prior, plus the weight of a checksum that holds, plus the weight of a context word of
-its kind within `CONTEXT` characters before it, less that of a word that speaks against personal data (a serial number, an example). An
+its kind within `CONTEXT` characters before it, or as far behind it in the same sentence and line, less that of a word before it that speaks against personal data (a serial number, an example). An
 added span is reported from `threshold` on: ssn and secret need a context word, iban and key go where only a contrary one stands.
 
 Null and empty texts have no spans; texts of any length are read whole. Offsets are code points, ends are exclusive. Repeated rows are treated
@@ -54,6 +54,7 @@ _KEY = re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])")
 _SECRET = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{16,}+")
 _NEAR = {kind: re.compile(rf"(?<![a-z])(?:{'|'.join(words)})") for kind, words in NEARBY.items()}
 _CONTRARY = re.compile(rf"(?<![a-z])(?:{'|'.join(CONTRARY)})")
+_STOP = re.compile(r"[.!?;](?=\s|$)|\n")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 
 
@@ -106,10 +107,11 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
-def score(text: str, start: int, kind: str, checked: bool) -> float:
+def score(text: str, start: int, end: int, kind: str, checked: bool) -> float:
     before = text[max(0, start - CONTEXT) : start].lower()
+    behind = _STOP.split(text[end : end + CONTEXT], maxsplit=1)[0].lower()
     total = PRIOR[kind] + (CHECKED.get(kind, 0.0) if checked else 0.0)
-    total += (NEAR_WEIGHT if _NEAR[kind].search(before) else 0.0) - (CONTRARY_WEIGHT if _CONTRARY.search(before) else 0.0)
+    total += (NEAR_WEIGHT if _NEAR[kind].search(before) or _NEAR[kind].search(behind) else 0.0) - (CONTRARY_WEIGHT if _CONTRARY.search(before) else 0.0)
     return round(min(1.0, max(0.0, total)), 6)
 
 
@@ -120,7 +122,7 @@ def added_spans(text: str, threshold: float) -> list[tuple[int, int, str, float]
     keys = [(m.start(), 6, m.end(), False) for m in _KEY.finditer(text)] if "AKIA" in text else []
     taken = {s for s, *_ in found + keys}
     found += keys + [(m.start(), 7, m.end(), False) for m in _SECRET.finditer(text) if m.start() not in taken]
-    scored = [(s, k, e, score(text, s, KINDS[k], checked)) for s, k, e, checked in found]
+    scored = [(s, k, e, score(text, s, e, KINDS[k], checked)) for s, k, e, checked in found]
     return [x for x in scored if x[3] >= threshold]
 
 
@@ -128,7 +130,7 @@ def find(text: str | None, threshold: float = 0.5) -> list[tuple[int, int, str,
     """(start, end, kind, score) of all spans, by start, then kind, then end."""
     if not text:
         return []
-    spans = [(s, k, e, score(text, s, KINDS[k], True)) for s, k, e in base_spans(text)]
+    spans = [(s, k, e, score(text, s, e, KINDS[k], True)) for s, k, e in base_spans(text)]
     if _DIGIT.search(text) or "AKIA" in text:
         spans += added_spans(text, threshold)
     return [(s, e, KINDS[k], p) for s, k, e, p in sorted(spans)]

@@ -126,6 +126,12 @@ def test_added_spans_and_masks(spark):
         ("monkeys 0123456789abcdef", []),
         ("mail a@b.c", [("email", 0.9)]),
         ("sample a@b.c", [("email", 0.3)]),
+        ("123-45-6789 is my SSN", [("ssn", 0.5)]),
+        ("123-45-6789. My SSN is not here", []),
+        ("123-45-6789\nssn", []),
+        ("123-45-6789" + " so" * 13 + " is my ssn", []),
+        ("4111 1111 1111 1111 is my credit card", [("card", 1.0)]),
+        ("0123456789abcdef, the token of order 5", [("secret", 0.5)]),
     ],
 )
 def test_checksums_confirm_and_context_adjusts(text, found):
