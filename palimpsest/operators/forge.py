@@ -8,12 +8,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import grids
 from palimpsest.operators import raster as R
 from palimpsest.operators.images import XY
+from palimpsest.session import prepare
 
 #: Families of the operators by name (fixed values).
 MODALITIES = {
@@ -108,6 +110,60 @@ def inpaint(packed: DataFrame, above: float, patch: int = 3) -> DataFrame:
     return R.on_images(packed, lambda _, image: grids.inpaint(image, image > above, patch))
 
 
+def inpaint_objects(pixels: DataFrame, objects: DataFrame, height: int, width: int, patch: int = 25) -> tuple[DataFrame, DataFrame]:
+    """Objects filled from the rest of their image by exemplars; truth is what was filled. One image a task."""
+    prepare(pixels.sparkSession)
+    kind = dict(pixels.dtypes)["image_id"]
+    marked = pixels.select(*XY, "g").join(objects.select(*XY).distinct().withColumn("hole", F.lit(True)), XY, "left")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        image, hole = np.zeros((height, width)), np.zeros((height, width), bool)
+        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+        image[y, x], hole[y, x] = pdf["g"], pdf["hole"].notna()
+        filled = np.floor(grids.inpaint(image, hole, patch) + 0.5).astype(np.int32)
+        return pd.DataFrame({"image_id": pdf["image_id"], "y": y, "x": x, "g": filled[y, x]})
+
+    out = marked.groupBy("image_id").applyInPandas(run, f"image_id {kind}, y int, x int, g int")
+    return out, objects.select(*XY).distinct().withColumn("label", F.lit(1))
+
+
+def blur_objects(pixels: DataFrame, objects: DataFrame, height: int, width: int, radius: int = 5, level: int = 1, grow: int = 3, label: str = "component") -> tuple[DataFrame, DataFrame]:
+    """Objects softened by means over squares, `level` times, each within its own box and through its dilated shape; truth is what changed places. Means are of what lies in the box; in two boxes the lesser object counts."""
+    key = ["image_id", label]
+    box = R.boxes(objects, key).select(*key, "y0", "y1", "x0", "x1")
+    soft = box.join(pixels.select(*XY, F.col("g").cast("double").alias("v")), "image_id").filter("y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1").select(*key, "y", "x", "v")
+    along = Window.partitionBy(*key, "y").orderBy("x").rangeBetween(-radius, radius)
+    down = Window.partitionBy(*key, "x").orderBy("y").rangeBetween(-radius, radius)
+    for _ in range(level):
+        rows = soft.select(*key, "y", "x", F.sum("v").over(along).alias("v"), F.count("v").over(along).alias("n"))
+        soft = rows.select(*key, "y", "x", (F.sum("v").over(down) / F.sum("n").over(down)).alias("v"))
+    near = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in grids.box(grow)]))
+    shape = objects.select(*key, "y", "x").withColumn("o", near).select(*key, (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).distinct()
+    changed = soft.join(shape, [*key, "y", "x"]).groupBy(*XY).agg(F.min_by("v", label).alias("v"))
+    value = changed.select(*XY, F.floor(F.round("v", 6) + 0.5).cast("int").alias("g"))
+    return R.paste(pixels.select(*XY, "g"), value, "g"), value.select(*XY, F.lit(1).alias("label"))
+
+
+def overlap_crops(pixels: DataFrame, first: tuple[int, int, int, int], second: tuple[int, int, int, int]) -> tuple[DataFrame, DataFrame]:
+    """(image_id, crop, y, x, g) of two crops (y0, x0, height, width) of each image, in their own frames, and (image_id, crop, y, x) of what they share."""
+    out, truth = None, None
+    inside = lambda c: F.col("y").between(c[0], c[0] + c[2] - 1) & F.col("x").between(c[1], c[1] + c[3] - 1)
+    for n, crop in enumerate((first, second)):
+        place = ["image_id", F.lit(n + 1).alias("crop"), (F.col("y") - crop[0]).alias("y"), (F.col("x") - crop[1]).alias("x")]
+        own = pixels.filter(inside(crop)).select(*place, "g")
+        shared = pixels.filter(inside(first) & inside(second)).select(*place)
+        out, truth = (own, shared) if out is None else (out.unionByName(own), truth.unionByName(shared))
+    return out, truth
+
+
+def applied_type(types: tuple[str, ...]) -> str:
+    """The one transformation that is applied of those asked for: a flip before a translation before a rotation."""
+    for one in ("flip", "translation", "rotation"):
+        if one in types:
+            return one
+    raise ValueError(f"none of flip, translation, rotation in {types}")
+
+
 def poisson_move(packed: DataFrame, above: float, dy: int, dx: int) -> DataFrame:
     """Objects moved with their gradients, blended at the border."""
 
@@ -223,12 +279,25 @@ def forge(name: str, pixels: DataFrame, objects: DataFrame, height: int, width:
     """The forgery of that name: changed pixels and ground truth. An unknown name, or arguments that the operator lacks, raise ValueError before any work."""
     import inspect
 
+    def copy_move_forgery(dy, dx, types=("translation",), turns=0, mirrored=False, up=1, down=1, degrees=0.0, scale=1.0):
+        kind = "flip" if mirrored else applied_type(types)
+        if kind == "rotation":
+            return rotated_copy(pixels, objects, height, width, dy, dx, degrees, scale)
+        return turned_copy(pixels, objects, height, width, dy, dx, turns, kind == "flip", up, down)
+
+    def whole_copy(turns=0, mirrored=False, brightness=0):
+        out = simple_copy(pixels, height, width, turns, mirrored, brightness)
+        return out.select(*XY, "g"), out.select(*XY, F.col("truth").alias("label"))
+
     makers = {
         "retouching_contrast": lambda alpha: retouch(pixels, objects, alpha, 0, height, width),
         "retouching_brightness": lambda beta: retouch(pixels, objects, 1.0, beta, height, width),
         "retouching_brightness_contrast": lambda alpha, beta: retouch(pixels, objects, alpha, beta, height, width),
-        "copy_move_forgery": lambda dy, dx, turns=0, mirrored=False, up=1, down=1: turned_copy(pixels, objects, height, width, dy, dx, turns, mirrored, up, down),
-        "copy_move_rotation": lambda dy, dx, degrees, scale=1.0: rotated_copy(pixels, objects, height, width, dy, dx, degrees, scale),
+        "copy_move_forgery": copy_move_forgery,
+        "overlap_forgery": lambda first, second: overlap_crops(pixels, first, second),
+        "simple_copy": whole_copy,
+        "retouching_blurring": lambda radius=5, level=1: blur_objects(pixels, objects, height, width, radius, level),
+        "cleaning_with_inpainting": lambda patch=25: inpaint_objects(pixels, objects, height, width, patch),
         "random_copy_move": lambda tile_h, tile_w, n=1, seed=0: random_copy_move(pixels, objects, height, width, tile_h, tile_w, n, seed=seed),
         "splicing_forgery": lambda host, host_objects, pairs, tile_h, tile_w, n=1, seed=0: splice_to_tiles(pixels, objects, host, host_objects, pairs, height, width, tile_h, tile_w, n, seed=seed),
         "cleaning_using_bf": lambda tile_h, tile_w, seed=0: clean_by_tiles(pixels, objects, R.free_tiles(pixels.select("image_id").distinct(), objects, height, width, tile_h, tile_w), tile_h, tile_w, seed=seed),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import fields, grids
 from palimpsest.functions.arrays import normalise, quantise
 from palimpsest.operators import features as B
+from palimpsest.operators import index as I
 from palimpsest.operators import matching as M
 from palimpsest.operators import search as S
 from palimpsest.operators import verify as V
@@ -181,10 +182,17 @@ k AS (SELECT *, lead(distance) OVER (PARTITION BY id ORDER BY rank) AS next FROM
 
 @query(f"WITH {_KNN} SELECT id, other, round(distance, 6) AS distance, rank FROM k")
 def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest vectors of each, exact, in blocks."""
+    """The five nearest vectors of each, exact, in blocks."""
     return _neighbours(spark, sf_dir, 5).select("id", "other", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
+@query()
+def knn_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About the five nearest vectors of each, by a forest."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    return I.approximate_nearest(vectors, 5, trees=12)
+
+
 @query(f"WITH {_KNN}, t AS (SELECT *, coalesce(distance <= 0.98 * next, FALSE) AS ok FROM k), r AS (SELECT *, bool_and(ok) OVER (PARTITION BY id ORDER BY rank) AS run FROM t) SELECT id, other, rank FROM r WHERE run")
 def knn_ratio_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours before the first small step in distance."""

@@ -91,24 +91,28 @@ def poisson_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forge.poisson_move(_packed(spark, sf_dir), 160.0, 2, 3)
 
 
-@query()
-def retouch_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects blurred three times within their boxes."""
-    import numpy as np
+_BLURRED = """{out} AS MATERIALIZED (SELECT a.image_id, a.y, a.x, avg(b.v) AS v FROM {of} a JOIN {of} b ON a.image_id = b.image_id AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY ALL)"""
 
-    from palimpsest.functions import grids
 
-    def kernel(_, image):
-        mask, out = image > 150, image.copy()
-        if not mask.any():
-            return out
-        ys, xs = np.nonzero(mask)
-        box = np.s_[ys.min() : ys.max() + 1, xs.min() : xs.max() + 1]
-        for _ in range(3):
-            out[box] = grids.blur(out[box], 1)
-        return np.floor(out)
+@query(
+    f"""WITH {PX}, {GT}, bx AS (SELECT image_id, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM gt GROUP BY image_id),
+s0 AS MATERIALIZED (SELECT px.image_id, y, x, g::DOUBLE AS v FROM px JOIN bx USING (image_id) WHERE y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1), {_BLURRED.format(out="s1", of="s0")}, {_BLURRED.format(out="s2", of="s1")},
+sh AS (SELECT DISTINCT image_id, y + dy AS y, x + dx AS x FROM gt, (SELECT unnest([-3, -2, -1, 0, 1, 2, 3]) AS dy), (SELECT unnest([-3, -2, -1, 0, 1, 2, 3]) AS dx)),
+ne AS (SELECT image_id, y, x, CAST(floor(round(v, 6) + 0.5) AS INT) AS g, 1 AS k FROM s2 SEMI JOIN sh USING (image_id, y, x) UNION ALL SELECT image_id, y, x, g, 0 FROM px)
+SELECT image_id, y, x, arg_max(g, k) AS g FROM ne GROUP BY image_id, y, x"""
+)
+def retouch_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects blurred twice within their box; all of an image's are one."""
+    objects = maps.truth(spark, sf_dir).select(*XY, F.lit(1).alias("component"))
+    return forge.forge("retouching_blurring", maps.pixels(spark, sf_dir), objects, SIDE, SIDE, radius=1, level=2)[0]
+
 
-    return R.on_images(_packed(spark, sf_dir), kernel)
+@query(f"WITH {PX} SELECT image_id, 1 AS crop, y - 1 AS y, x AS x, g, y >= 3 AND x >= 2 AS shared FROM px WHERE y BETWEEN 1 AND 5 AND x BETWEEN 0 AND 3 UNION ALL SELECT image_id, 2, y - 3, x - 2, g, y <= 5 AND x <= 3 FROM px WHERE y BETWEEN 3 AND 6 AND x BETWEEN 2 AND 6")
+def overlap_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two crops of each image, and which of their pixels both have."""
+    px = maps.pixels(spark, sf_dir)
+    out, truth = forge.forge("overlap_forgery", px, px.limit(0), SIDE, SIDE, first=(1, 0, 5, 4), second=(3, 2, 4, 5))
+    return out.join(truth.withColumn("shared", F.lit(True)), ["image_id", "crop", "y", "x"], "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
 
 
 @query()
@@ -348,7 +352,7 @@ FROM px p LEFT JOIN copied c ON c.image_id = p.image_id AND c.y = p.y AND c.x =
 )
 def copy_move_rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An object turned by 30 degrees, scaled by 5 / 4 and pasted."""
-    out, truth = forge.forge("copy_move_rotation", maps.pixels(spark, sf_dir), _first_object(spark, sf_dir), SIDE, SIDE, dy=1, dx=2, degrees=30, scale=1.25)
+    out, truth = forge.forge("copy_move_forgery", maps.pixels(spark, sf_dir), _first_object(spark, sf_dir), SIDE, SIDE, types=("rotation",), dy=1, dx=2, degrees=30, scale=1.25)
     return out.join(truth, XY, "left").withColumn("part", F.coalesce("part", F.lit("none")))
 
 

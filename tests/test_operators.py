@@ -385,7 +385,7 @@ def test_rotated_copies_against_a_plain_loop(spark, degrees, scale):
     mask = np.zeros((12, 20), bool)
     mask[1:4, 2:7] = [[1, 1, 0, 1, 1], [1, 1, 1, 1, 0], [0, 1, 1, 1, 1]]
     objects = spark.createDataFrame([(0, int(y), int(x)) for y, x in np.argwhere(mask)], "image_id long, y int, x int")
-    out, truth = forge.forge("copy_move_rotation", pixels(spark, image), objects, 12, 20, dy=4, dx=7, degrees=degrees, scale=scale)
+    out, truth = forge.forge("copy_move_forgery", pixels(spark, image), objects, 12, 20, types=("rotation",), dy=4, dx=7, degrees=degrees, scale=scale)
     a, b = forge.rotation_units(degrees, scale)
     want, copied, taken = image.copy(), np.zeros_like(mask), np.zeros_like(mask)
     for (y, x), _ in np.ndenumerate(image):
@@ -576,3 +576,53 @@ def test_rounds_of_a_chain_leave_one_table(spark, tmp_path):
     finally:
         session.shared_folder = before
     assert len([f for f in left if not f.startswith(".")]) == 1
+
+
+def test_every_name_of_a_family_is_made(spark):
+    r = np.random.default_rng(11)
+    image = r.integers(0, 256, (24, 26))
+    px = pixels(spark, image)
+    mask = np.zeros(image.shape, int)
+    mask[3:9, 4:12] = 1
+    mask[14:18, 15:20] = 2
+    objects = spark.createDataFrame([(0, y, x, int(mask[y, x])) for y, x in np.argwhere(mask).tolist()], "image_id long, y int, x int, component int")
+    extra = {
+        "copy_move_forgery": {"dy": 2, "dx": 1},
+        "random_copy_move": {"tile_h": 9, "tile_w": 9},
+        "splicing_forgery": {"host": px, "host_objects": objects.limit(0), "pairs": spark.createDataFrame([(0, 0)], "donor long, host long"), "tile_h": 9, "tile_w": 9},
+        "overlap_forgery": {"first": (2, 3, 10, 12), "second": (6, 1, 15, 9)},
+        "retouching_contrast": {"alpha": 1.2},
+        "retouching_brightness": {"beta": 9},
+        "retouching_brightness_contrast": {"alpha": 1.1, "beta": 2},
+        "retouching_blurring": {"radius": 2, "level": 2},
+        "cleaning_using_bf": {"tile_h": 9, "tile_w": 9},
+        "cleaning_with_inpainting": {"patch": 3},
+    }
+    for name in [n for names in forge.MODALITIES.values() for n in names]:
+        out, truth = forge.forge(name, px, objects, 24, 26, **extra.get(name, {}))
+        assert out.count() > 0 and truth.count() > 0, name
+
+    # blurring by plain loops
+    want = image.astype(float)
+    for k in (2, 1):  # the lesser object counts where boxes meet
+        ys, xs = np.nonzero(mask == k)
+        y0, y1, x0, x1 = ys.min(), ys.max() + 1, xs.min(), xs.max() + 1
+        soft = image[y0:y1, x0:x1].astype(float)
+        for _ in range(2):
+            soft = np.array([[soft[max(0, y - 2) : y + 3, max(0, x - 2) : x + 3].mean() for x in range(soft.shape[1])] for y in range(soft.shape[0])])
+        inside = grids.dilate(mask == k, grids.box(3))[y0:y1, x0:x1]
+        want[y0:y1, x0:x1] = np.where(inside, np.floor(soft.round(6) + 0.5), want[y0:y1, x0:x1])
+    blurred, truth = forge.forge("retouching_blurring", px, objects, 24, 26, radius=2, level=2)
+    assert (dense(blurred, image.shape) == want).all() and truth.count() == (mask > 0).sum()
+
+    filled, _ = forge.forge("cleaning_with_inpainting", px, objects.filter("component = 2"), 24, 26, patch=3)
+    got = dense(filled, image.shape)
+    assert (got[mask != 2] == image[mask != 2]).all() and (got == np.floor(grids.inpaint(image, mask == 2, 3) + 0.5)).all()
+
+    crops, shared = forge.forge("overlap_forgery", px, objects, 24, 26, first=(2, 3, 10, 12), second=(6, 1, 15, 9))
+    frames = {(c["crop"], c["y"], c["x"]): c["g"] for c in crops.collect()}
+    assert len(frames) == 120 + 135 and frames[1, 0, 0] == image[2, 3] and frames[2, 14, 8] == image[20, 9]
+    assert {(t["crop"], t["y"], t["x"]) for t in shared.collect()} == {(1, y - 2, x - 3) for y in range(6, 12) for x in range(3, 10)} | {(2, y - 6, x - 1) for y in range(6, 12) for x in range(3, 10)}
+    assert forge.applied_type(("rotation", "flip")) == "flip" and forge.applied_type(("rotation", "translation")) == "translation"
+    with pytest.raises(ValueError):
+        forge.applied_type(("shear",))
