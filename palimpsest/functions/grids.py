@@ -1,4 +1,4 @@
-"""Numpy kernels over one small raster: labelling, morphology, resampling, inpainting, model fits."""
+"""Numpy kernels over one small raster: labelling, morphology, resampling, model fits."""
 
 from __future__ import annotations
 
@@ -210,43 +210,6 @@ def ward_clusters(points: np.ndarray, cut: float) -> np.ndarray:
     return out
 
 
-def inpaint(image: np.ndarray, hole: np.ndarray, patch: int = 3) -> np.ndarray:
-    """Exemplar filling: the border patch of greatest confidence times edge strength takes the pixels of the closest whole patch."""
-    image, hole, half = image.astype(float).copy(), hole.astype(bool).copy(), patch // 2
-    confidence = (~hole).astype(float)
-    h, w = image.shape
-    while hole.any():
-        front = np.argwhere(hole & dilate(~hole, FOUR))
-        if not len(front):
-            break
-        gy, gx = np.gradient(np.where(hole, 0, image))
-        best = None
-        for y, x in front:
-            s = np.s_[max(0, y - half) : y + half + 1, max(0, x - half) : x + half + 1]
-            c = confidence[s].sum() / confidence[s].size
-            rank = (-(c * (np.hypot(gy[s], gx[s]).max() + 1e-3)), y, x)
-            best = min(best, (rank, c, s)) if best else (rank, c, s)
-        (_, y, x), c, s = best
-        target, open_ = image[s], hole[s]
-        choices = []
-        ph, pw = target.shape
-        for sy in range(h - ph + 1):
-            for sx in range(w - pw + 1):
-                t = np.s_[sy : sy + ph, sx : sx + pw]
-                if not hole[t].any():
-                    choices.append((((image[t] - target)[~open_] ** 2).sum(), (sy - y) ** 2 + (sx - x) ** 2, sy, sx))
-        if not choices:
-            fill = image[~hole].mean() if (~hole).any() else 0.0
-            image[hole] = fill
-            break
-        _, _, sy, sx = min(choices)
-        source = image[sy : sy + ph, sx : sx + pw]
-        target[open_] = source[open_]
-        confidence[s][open_] = c
-        hole[s] = False
-    return image
-
-
 def poisson_clone(target: np.ndarray, source: np.ndarray, mask: np.ndarray, rounds: int = 500) -> np.ndarray:
     """Pixels inside the mask get the source's gradients and the target's border values (Gauss-Seidel by colours)."""
     out = target.astype(float).copy()

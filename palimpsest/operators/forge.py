@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions import grids
+from palimpsest.functions import grids, inpainting
 from palimpsest.operators import raster as R
 from palimpsest.operators.images import XY
 from palimpsest.session import prepare
@@ -105,9 +105,17 @@ def clean_by_tiles(pixels: DataFrame, objects: DataFrame, tiles: DataFrame, tile
     return out, truth.distinct()
 
 
+def isolated(objects: DataFrame, by: int, label: str = "component") -> DataFrame:
+    """Pixels of the objects whose box, enlarged by so many pixels on all sides, holds no pixel of another."""
+    box = R.boxes(objects, ["image_id", label]).select("image_id", F.col(label).alias("__own"), "y0", "y1", "x0", "x1")
+    near = F.col("y").between(F.col("y0") - by, F.col("y1") + by) & F.col("x").between(F.col("x0") - by, F.col("x1") + by)
+    crowded = objects.join(box, "image_id").filter((F.col(label) != F.col("__own")) & near).select("image_id", F.col("__own").alias(label)).distinct()
+    return objects.join(crowded, ["image_id", label], "left_anti")
+
+
 def inpaint(packed: DataFrame, above: float, patch: int = 3) -> DataFrame:
     """Packed images with everything above a value filled from the rest."""
-    return R.on_images(packed, lambda _, image: grids.inpaint(image, image > above, patch))
+    return R.on_images(packed, lambda _, image: inpainting.inpaint(image, image > above, patch))
 
 
 def inpaint_objects(pixels: DataFrame, objects: DataFrame, height: int, width: int, patch: int = 25) -> tuple[DataFrame, DataFrame]:
@@ -120,7 +128,7 @@ def inpaint_objects(pixels: DataFrame, objects: DataFrame, height: int, width: i
         image, hole = np.zeros((height, width)), np.zeros((height, width), bool)
         y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
         image[y, x], hole[y, x] = pdf["g"], pdf["hole"].notna()
-        filled = np.floor(grids.inpaint(image, hole, patch) + 0.5).astype(np.int32)
+        filled = np.floor(inpainting.inpaint(image, hole, patch) + 0.5).astype(np.int32)
         return pd.DataFrame({"image_id": pdf["image_id"], "y": y, "x": x, "g": filled[y, x]})
 
     out = marked.groupBy("image_id").applyInPandas(run, f"image_id {kind}, y int, x int, g int")

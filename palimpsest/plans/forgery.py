@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.operators import forge, scenes
+from palimpsest.operators import forge, images, scenes
 from palimpsest.operators import raster as R
 from palimpsest.operators import scoring as S
 from palimpsest.operators import templates as P
@@ -79,6 +79,16 @@ def tiles_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forge.clean_by_tiles(px, objects, tiles, 2, 2)[0]
 
 
+@query(
+    f"""WITH RECURSIVE {PX}, gt AS (SELECT image_id, y, x, 1 AS label FROM px WHERE v > 0.18), {COMP}, b AS (SELECT image_id, c, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM comp GROUP BY ALL)
+SELECT image_id, y, x, c AS component FROM comp WHERE (image_id, c) NOT IN (SELECT b.image_id, b.c FROM b JOIN comp o ON o.image_id = b.image_id AND o.c <> b.c AND o.y BETWEEN y0 - 1 AND y1 + 1 AND o.x BETWEEN x0 - 1 AND x1 + 1)"""
+)
+def isolated_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """objects with nothing else in their enlarged box."""
+    objects = S.label_components(images.threshold(maps.pixels(spark, sf_dir), 0.18)).drop("label")
+    return forge.isolated(objects, 1).select(*XY, "component")
+
+
 @query()
 def inpaint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bright objects filled from the rest of their image."""

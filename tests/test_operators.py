@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.functions import estimators, grids, paths
+from palimpsest.functions import estimators, grids, inpainting, paths
 from palimpsest.operators import features, forge, images, matching, raster, scenes, tabular, templates, verify
 from palimpsest.operators.graph import connected
 from palimpsest.sources import readers, sinks
@@ -143,7 +143,7 @@ def test_inpainting_keeps_the_rest():
     image = np.tile(np.array([10.0, 20.0] * 5), (10, 1))
     hole = np.zeros((10, 10), bool)
     hole[2:4, 2:4] = True
-    out = grids.inpaint(np.where(hole, 99, image), hole)
+    out = inpainting.inpaint(np.where(hole, 99, image), hole, 3)
     assert (out == image).all()
 
 
@@ -617,7 +617,7 @@ def test_every_name_of_a_family_is_made(spark):
 
     filled, _ = forge.forge("cleaning_with_inpainting", px, objects.filter("component = 2"), 24, 26, patch=3)
     got = dense(filled, image.shape)
-    assert (got[mask != 2] == image[mask != 2]).all() and (got == np.floor(grids.inpaint(image, mask == 2, 3) + 0.5)).all()
+    assert (got[mask != 2] == image[mask != 2]).all() and (got == np.floor(inpainting.inpaint(image, mask == 2, 3) + 0.5)).all()
 
     crops, shared = forge.forge("overlap_forgery", px, objects, 24, 26, first=(2, 3, 10, 12), second=(6, 1, 15, 9))
     frames = {(c["crop"], c["y"], c["x"]): c["g"] for c in crops.collect()}
