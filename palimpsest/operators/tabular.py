@@ -164,11 +164,12 @@ def repaired_range(low: Column, high: Column, step: Column) -> Column:
     return F.when(lo.isNotNull(), F.transform(F.sequence(F.lit(0), count), lambda i: lo + i * F.coalesce(by, F.lit(0.0))))
 
 
-def parameter_grid(spark, ranges: dict[str, tuple[str, str | None, str | None]]) -> DataFrame:
-    """One row for each combination of the ranges' values."""
-    out = spark.range(1).drop("id")
-    for name, (low, high, step) in ranges.items():
-        out = out.withColumn(name, F.explode(repaired_range(F.lit(low).cast("string"), F.lit(high).cast("string"), F.lit(step).cast("string"))))
+def parameter_grid(ranges: DataFrame, names: list[str]) -> DataFrame:
+    """All combinations of each row's ranges: a row has <name>_low, <name>_high and <name>_step as strings, and gets one value of every name; other columns stay. Names whose low end is no number give no rows."""
+    out = ranges
+    for name in names:
+        ends = [f"{name}_{end}" for end in ("low", "high", "step")]
+        out = out.withColumn(name, F.explode(repaired_range(*map(F.col, ends)))).drop(*ends)
     return out
 
 

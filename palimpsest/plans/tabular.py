@@ -117,13 +117,22 @@ def random_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT CAST(a * 15 AS DOUBLE) AS angle, 0.8 + s * 0.1 AS scale, 5.0::DOUBLE AS noise
-FROM (SELECT unnest(range(0, 7)) AS a), (SELECT CAST(unnest(range(0, 5)) AS DOUBLE) AS s)"""
+    """SELECT p_partkey, CAST(p_partkey % 5 * 15 + a * 15 AS DOUBLE) AS angle, CAST(80 + s * 10 AS DOUBLE) AS scale
+FROM part, range(4) AS r(a), range(3) AS t(s) WHERE a <= CASE WHEN p_partkey % 7 = 0 OR p_partkey % 11 = 0 THEN 0 ELSE p_partkey % 4 END AND s <= p_partkey % 3"""
 )
 def param_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All combinations of repaired parameter ranges."""
-    grid = T.parameter_grid(spark, {"angle": ("0", "90", "15"), "scale_step": ("0", "4", "1"), "noise": ("5", "x", None)})
-    return grid.select("angle", (F.lit(0.8) + F.col("scale_step") * 0.1).alias("scale"), "noise")
+    """All combinations of repaired ranges, which each part gives: some with a word for an end, some without a step."""
+    low = "p_partkey % 5 * 15"
+    ends = {
+        "angle_low": low,
+        "angle_high": f"CASE WHEN p_partkey % 7 = 0 THEN 'x' ELSE cast({low} + p_partkey % 4 * 15 AS string) END",
+        "angle_step": "CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE '15' END",
+        "scale_low": "80",
+        "scale_high": "80 + p_partkey % 3 * 10",
+        "scale_step": "10",
+    }
+    rows = table(spark, sf_dir, "part").select("p_partkey", *[F.expr(f"cast({e} AS string)").alias(n) for n, e in ends.items()])
+    return T.parameter_grid(rows, ["angle", "scale"])
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
