@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import keypoints as K
 from palimpsest.functions.arrays import quotient
+from palimpsest.functions.log_polar import fourier_mellin
 from palimpsest.operators import raster as R
 from palimpsest.session import prepare
 
@@ -136,18 +137,6 @@ def dct(cells: DataFrame, size: int, step: float = 16.0) -> DataFrame:
     return sums.select(*KEY, "u", "v", F.floor(F.col("c") / (step * (1 + F.col("u") + F.col("v"))) + 0.5).cast("long").alias("q"))
 
 
-def _dft_log_polar(block: np.ndarray, angles: int = 8, radii: int = 4) -> np.ndarray:
-    n = block.shape[0]
-    spectrum = np.abs(np.fft.fftshift(np.fft.fft2(block)))
-    c = n // 2
-    t = np.arange(angles) * np.pi / angles
-    r = np.exp(np.linspace(0, np.log(max(n / 2 - 1, 1)), radii))
-    y = np.clip(np.rint(c + r[:, None] * np.sin(t)), 0, n - 1).astype(int)
-    x = np.clip(np.rint(c + r[:, None] * np.cos(t)), 0, n - 1).astype(int)
-    rays = np.log1p(spectrum[y, x]).sum(axis=0)
-    return rays[: angles // 2] + rays[angles // 2 :]  # angles a quarter turn apart
-
-
 def _blur_invariants(block: np.ndarray) -> np.ndarray:
     """Central moments of odd order up to 7, made invariant to a symmetric blur by the known recursion."""
     y, x = np.indices(block.shape).astype(float)
@@ -195,7 +184,7 @@ KERNELS = {
     "NO": lambda b: b.ravel(),
     "SVD": lambda b: np.linalg.svd(b, compute_uv=False),
     "DWTFEAT": _haar_bands,
-    "FMT": _dft_log_polar,
+    "FMT": fourier_mellin,
     "BLUR": _blur_invariants,
     "DSIFT": _orientations,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import fields
 from palimpsest.functions.arrays import squared_distance
+from palimpsest.functions.log_polar import profile_correlation
 from palimpsest.session import durable, prepare
 
 
@@ -120,31 +121,33 @@ def colour_entropy(colour: float, entropy: float, a: str = "a", b: str = "b") ->
     return means & (F.abs(F.col(f"{a}.entropy") - F.col(f"{b}.entropy")) <= entropy)
 
 
-def correlation(a: np.ndarray, b: np.ndarray) -> float:
-    a, b = a - a.mean(), b - b.mean()
-    size = np.sqrt((a @ a) * (b @ b))
-    return float(a @ b / size) if size > 0 else 0.0
+def correlations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each pair of two stacks (n, height, width), the zero-mean correlation of their values; 0 where one is flat."""
+    a, b = (s.reshape(len(s), -1) - s.reshape(len(s), -1).mean(axis=1, keepdims=True) for s in (a, b))
+    size = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+    return np.where(size > 0, (a * b).sum(axis=1) / np.where(size > 0, size, 1), 0.0)
 
 
-def phase_peak(a: np.ndarray, b: np.ndarray) -> float:
-    """Peak of the phase correlation of two blocks."""
+def phase_peaks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each pair of two stacks, the peak of the phase correlation."""
     cross = np.fft.fft2(a) * np.conj(np.fft.fft2(b))
     size = np.abs(cross)
-    return float(np.fft.ifft2(np.where(size > 1e-12, cross / np.where(size > 1e-12, size, 1), 0)).real.max())
+    return np.fft.ifft2(np.where(size > 1e-12, cross / np.where(size > 1e-12, size, 1), 0)).real.max(axis=(1, 2))
 
 
-def spectrum_correlation(a: np.ndarray, b: np.ndarray) -> float:
-    return correlation(np.abs(np.fft.fft(a.ravel())), np.abs(np.fft.fft(b.ravel())))
+#: Criteria of pairs of raw blocks, on stacks: phase peak, Fourier magnitudes of log-polar profiles, plain correlation.
+CRITERIA = {"CPS": phase_peaks, "CORREL": profile_correlation, "PLAIN": correlations}
 
 
 def block_criterion(pairs: DataFrame, kind: str, least: float, size: int) -> DataFrame:
-    """Adds `value` to pairs of raw blocks and keeps those from `least` on: CPS (phase peak), CORREL (spectra) or PLAIN (values)."""
+    """Adds `value` to pairs of raw blocks and keeps those from `least` on, by one of CRITERIA, a batch at a time."""
     prepare(pairs.sparkSession)
-    measure = {"CPS": lambda a, b: phase_peak(a.reshape(size, size), b.reshape(size, size)), "CORREL": spectrum_correlation, "PLAIN": correlation}[kind]
+    measure = CRITERIA[kind]
 
     @F.pandas_udf("double")
     def value(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([measure(np.asarray(p, dtype=float), np.asarray(q, dtype=float)) for p, q in zip(a, b, strict=True)])
+        stacks = (np.array(s.tolist(), dtype=float).reshape(-1, size, size) for s in (a, b))
+        return pd.Series(measure(*stacks))
 
     return pairs.withColumn("value", value("a.vec", "b.vec")).filter(F.col("value") >= least)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import fields, grids
 from palimpsest.functions.arrays import normalise, quantise
+from palimpsest.functions.log_polar import samples
 from palimpsest.operators import features as B
 from palimpsest.operators import index as I
 from palimpsest.operators import matching as M
@@ -217,9 +218,27 @@ def euclidean_criterion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _block_pairs(spark, sf_dir).filter(M.within(75.0)).select("image_id", F.col("a.id").cast("long").alias("a"), F.col("b.id").cast("long").alias("b"))
 
 
+_LP = samples(4, 4, 8, True)
+_LW = ", ".join(f"({p // 4}, {p % 4}, {r}, {int((_LP[:, r] == p).sum())})" for r in range(8) for p in range(16) if (_LP[:, r] == p).any())
+_WAVE = lambda f: f"sum(v * {f}(2 * pi() * r * k / 8))"
+
+
+@query(
+    f"""WITH {PX}, lw(y, x, r, n) AS (VALUES {_LW}), b AS (SELECT image_id, y // 4 * 32 + x // 4 * 4 AS id, y % 4 AS y, x % 4 AS x, g FROM px),
+p AS (SELECT image_id, id, r, CAST(sum(g * n) AS DOUBLE) AS v FROM b JOIN lw USING (y, x) GROUP BY ALL),
+f AS (SELECT image_id, id, k, sqrt({_WAVE("cos")} * {_WAVE("cos")} + {_WAVE("sin")} * {_WAVE("sin")}) AS m FROM p, (SELECT unnest(range(5)) AS k) GROUP BY image_id, id, k),
+c AS (SELECT p.image_id, p.id AS a, q.id AS b, sum(p.m * q.m) / sqrt(sum(p.m * p.m) * sum(q.m * q.m)) AS value FROM f p JOIN f q ON p.image_id = q.image_id AND p.k = q.k AND p.id < q.id GROUP BY ALL)
+SELECT image_id, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, round(value, 6) AS value FROM c WHERE value >= 0.5"""
+)
+def profile_criterion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of blocks by the spectra of their log-polar profiles."""
+    found = M.block_criterion(_block_pairs(spark, sf_dir), "CORREL", 0.5, 4)
+    return found.select("image_id", F.col("a.id").cast("long").alias("a"), F.col("b.id").cast("long").alias("b"), F.round("value", 6).alias("value"))
+
+
 @query()
 def block_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Component limits, phase peaks and spectrum correlation of block pairs."""
+    """Component limits, phase peaks and correlation of log-polar profiles' spectra of block pairs."""
     pairs = _block_pairs(spark, sf_dir).filter(M.componentwise([120.0] * 16))
     phase = M.block_criterion(pairs, "CPS", 0.35, 4).withColumn("criterion", F.lit("phase"))
     spectrum = M.block_criterion(pairs, "CORREL", 0.9, 4).withColumn("criterion", F.lit("spectrum"))
