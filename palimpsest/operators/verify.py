@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import estimators, grids
+from palimpsest.functions import outlines as lines
 from palimpsest.operators import raster
 from palimpsest.operators.graph import connected
 from palimpsest.operators.images import XY
@@ -236,6 +237,27 @@ def pair_counts(matches: DataFrame, truth: DataFrame) -> DataFrame:
     return at.groupBy("image_id").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.expr("p = 1 AND q = 1")).alias("both"))
 
 
+def outlines(mask: DataFrame) -> DataFrame:
+    """image_id, component, kind (contour or hull), n (from 0), y, x: the outer border, in order, and the hull's corners of every 8-connected area."""
+    prepare(mask.sparkSession)
+    areas = label_components(mask.select(*XY).distinct().withColumn("label", F.lit(1)), eight=True).drop("label")
+    kind = dict(mask.dtypes)["image_id"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        component, points = pdf["component"].to_numpy(), pdf[["y", "x"]].to_numpy()
+        order = np.argsort(component, kind="stable")
+        names, first = np.unique(component[order], return_index=True)
+        made = [(name, kind, line) for name, own in zip(names, np.split(points[order], first[1:]), strict=True) for kind, line in (("contour", lines.contour(own)), ("hull", lines.hull(own)))]
+        sizes = [len(line) for *_, line in made]
+        places = np.concatenate([line for *_, line in made])
+        columns = {"component": np.repeat([m[0] for m in made], sizes), "kind": np.repeat([m[1] for m in made], sizes), "n": np.concatenate([np.arange(n) for n in sizes])}
+        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], **columns, "y": places[:, 0], "x": places[:, 1]})
+
+    # a few areas of an image together, so that many small ones are few groups
+    some = areas.withColumn("some", F.pmod(F.xxhash64("component"), F.lit(4)))
+    return some.groupBy("image_id", "some").applyInPandas(run, f"image_id {kind}, component long, kind string, n int, y int, x int")
+
+
 def orientation_consistent(matches: DataFrame, tolerance: float) -> DataFrame:
     """Matches whose angle difference is near their image's circular mean of it."""
     d = F.radians(F.pmod(F.col("theta_b") - F.col("theta_a"), F.lit(360.0)))

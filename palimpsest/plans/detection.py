@@ -452,6 +452,27 @@ def area_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.area_rules(gt, m, 2).select(*XY, "component")
 
 
+@query(
+    f"""WITH RECURSIVE {PX}, gt AS MATERIALIZED (SELECT image_id, y, x FROM px WHERE v > 0.12), step AS MATERIALIZED (SELECT a.image_id, a.y * 1048576 + a.x AS p, b.y * 1048576 + b.x AS q FROM gt a JOIN gt b ON a.image_id = b.image_id AND greatest(abs(a.y - b.y), abs(a.x - b.x)) = 1),
+reach AS (SELECT image_id, y * 1048576 + x AS p, y * 1048576 + x AS q FROM gt UNION SELECT r.image_id, r.p, s.q FROM reach r JOIN step s ON s.image_id = r.image_id AND s.p = r.q),
+comp AS MATERIALIZED (SELECT image_id, CAST(p // 1048576 AS INT) AS y, CAST(p % 1048576 AS INT) AS x, CAST(min(q) AS BIGINT) AS component FROM reach GROUP BY image_id, p),
+an AS (SELECT a.image_id, a.component, a.y, a.x, atan2(b.y - a.y, b.x - a.x) AS t FROM comp a JOIN comp b ON a.image_id = b.image_id AND a.component = b.component AND (a.y, a.x) <> (b.y, b.x)),
+ga AS (SELECT *, coalesce(lead(t) OVER w, first_value(t) OVER w + 2 * pi()) - t AS gap FROM an WINDOW w AS (PARTITION BY image_id, component, y, x ORDER BY t)),
+ve AS (SELECT image_id, component, y, x FROM ga GROUP BY ALL HAVING max(gap) > pi() + 1e-9)
+SELECT * FROM ve UNION ALL SELECT image_id, any_value(component), any_value(y), any_value(x) FROM comp GROUP BY image_id, component HAVING count(*) = 1"""
+)
+def area_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners of the convex hull of each marked area."""
+    marked = maps.pixels(spark, sf_dir).filter("v > 0.12")
+    return V.outlines(marked).filter("kind = 'hull'").select("image_id", "component", "y", "x")
+
+
+@query()
+def area_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outer borders of each marked area, in order."""
+    return V.outlines(maps.pixels(spark, sf_dir).filter("v > 0.12")).filter("kind = 'contour'")
+
+
 @query(f"WITH {PX}, {GT}, m AS (SELECT image_id, y, x, y + 2 AS my, x + 1 AS mx FROM px WHERE v > 0.05) SELECT m.image_id, count(*) AS pairs, count(*) FILTER (WHERE a.y IS NOT NULL AND b.y IS NOT NULL) AS both FROM m LEFT JOIN gt a ON a.image_id = m.image_id AND a.y = m.y AND a.x = m.x LEFT JOIN gt b ON b.image_id = m.image_id AND b.y = m.my AND b.x = m.mx GROUP BY m.image_id")
 def pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches, and those with both ends in the ground truth."""
