@@ -180,3 +180,20 @@ def inter_panel(panels: DataFrame, shown: DataFrame, pristine: DataFrame, forged
     marked = truth.select("image_id", "y", "x").distinct().withColumn("g", F.lit(1))
     ends = [place(roles.filter(F.col("role") == role), marked).select("template", "y", "x", F.lit(part).alias("part")) for role, part in (("pristine", "source"), ("forged", "copy"))]
     return figure, ends[0].unionByName(ends[1])
+
+
+def fitting_panel(panels: DataFrame, shape: str, ratio: float, tolerance: float) -> DataFrame:
+    """template, panel: the first panel of a class that an image of that aspect ratio fits; templates without one give nothing."""
+    fits = panels.filter((F.col("class") == shape) & (F.abs(F.col("ratio") - ratio) <= tolerance))
+    return fits.groupBy("template").agg(F.min("panel").alias("panel"))
+
+
+def intra_panel(panels: DataFrame, chosen: DataFrame, shown: DataFrame, pristine: DataFrame, forged: DataFrame, before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Figures in which one panel shows a forged image, and their ground truth (template, y, x, part): `before` where the forged things were, `after` where they are.
+
+    chosen: (template, panel), at most one a template; its class becomes __FORGERY__ in annotations, here it only gets the forged pixels. shown: (template, panel, image_id, ih, iw), the images of all panels.
+    """
+    roles = panels.join(chosen.withColumn("own", F.lit(True)), ["template", "panel"], "left").join(chosen.select("template"), "template", "left_semi").join(shown, ["template", "panel"])
+    figure = place(roles.filter("own IS NULL"), pristine).unionByName(place(roles.filter("own"), forged))
+    truths = [place(roles.filter("own"), mask.select("image_id", "y", "x").distinct().withColumn("g", F.lit(1))).select("template", "y", "x", F.lit(part).alias("part")) for part, mask in (("before", before), ("after", after))]
+    return figure, truths[0].unionByName(truths[1])

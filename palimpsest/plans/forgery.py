@@ -413,3 +413,26 @@ def inter_panel_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     figure, truth = P.inter_panel(p, shown, px, forged, gt)
     counts = truth.groupBy("template").agg(F.count_if(F.col("part") == "source").alias("sources"), F.count_if(F.col("part") == "copy").alias("copies"))
     return figure.groupBy("template").agg(F.count(F.lit(1)).alias("pixels"), F.sum("g").alias("total")).join(counts, "template", "left").fillna(0, ["sources", "copies"])
+
+
+@query(
+    f"""WITH {_TEMPLATE}, {PX}, ch AS (SELECT template, min(panel) AS panel FROM rated WHERE class = 'Microscopy' AND abs(ratio - 1) <= 4 GROUP BY template),
+shown AS (SELECT p.*, p.panel = ch.panel AS own, (template + CAST(p.panel AS INT)) % 50 AS image_id FROM panels p JOIN ch USING (template)),
+mv AS (SELECT image_id, y AS sy, x AS sx, y + 3 AS y, x + 2 AS x, g FROM px WHERE v > 0.15 AND y <= 4 AND x <= 5),
+ld AS MATERIALIZED (SELECT * FROM mv WHERE (image_id, y, x) NOT IN (SELECT image_id, y, x FROM px WHERE v > 0.15)),
+fo AS (SELECT image_id, y, x, arg_max(g, k) AS g FROM (SELECT image_id, y, x, g, 0 AS k FROM px UNION ALL SELECT image_id, y, x, g, 1 FROM ld) GROUP BY image_id, y, x),
+ce AS MATERIALIZED (SELECT template, own, image_id, CAST(floor((fy - y0) * 8 / (y1 - y0)::DOUBLE) AS INT) AS y, CAST(floor((fx - x0) * 8 / (x1 - x0)::DOUBLE) AS INT) AS x FROM shown, LATERAL (SELECT unnest(range(y0, y1)) AS fy), LATERAL (SELECT unnest(range(x0, x1)) AS fx)),
+fig AS (SELECT template, count(*) AS pixels, CAST(sum(CASE WHEN own THEN fo.g ELSE px.g END) AS BIGINT) AS total FROM ce JOIN px USING (image_id, y, x) JOIN fo USING (image_id, y, x) GROUP BY template),
+be AS (SELECT template, count(*) AS before FROM ce JOIN (SELECT image_id, sy AS y, sx AS x FROM ld) USING (image_id, y, x) WHERE own GROUP BY template),
+af AS (SELECT template, count(*) AS after FROM ce JOIN (SELECT image_id, y, x FROM ld) USING (image_id, y, x) WHERE own GROUP BY template)
+SELECT template, pixels, total, coalesce(before, 0) AS before, coalesce(after, 0) AS after FROM fig LEFT JOIN be USING (template) LEFT JOIN af USING (template)"""
+)
+def intra_panel_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of which one microscopy panel shows an image with objects copied within it, with the ground truth of both ends."""
+    p, px = _panels(spark, sf_dir), maps.pixels(spark, sf_dir)
+    forged, truth = forge.copy_move(px, maps.truth(spark, sf_dir), F.lit(3), F.lit(2), SIDE, SIDE)
+    shown = p.select("template", "panel", ((F.col("template") + F.col("panel").cast("int")) % 50).alias("image_id"), F.lit(SIDE).alias("ih"), F.lit(SIDE).alias("iw"))
+    chosen = P.fitting_panel(p, "Microscopy", 1.0, 4.0)
+    figure, marks = P.intra_panel(p, chosen, shown, px.select(*XY, "g"), forged, truth.filter("part = 'source'"), truth.filter("part = 'copy'"))
+    counts = marks.groupBy("template").agg(F.count_if(F.col("part") == "before").alias("before"), F.count_if(F.col("part") == "after").alias("after"))
+    return figure.groupBy("template").agg(F.count(F.lit(1)).alias("pixels"), F.sum("g").alias("total")).join(counts, "template", "left").fillna(0, ["before", "after"])
