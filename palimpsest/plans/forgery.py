@@ -436,3 +436,26 @@ def intra_panel_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     figure, marks = P.intra_panel(p, chosen, shown, px.select(*XY, "g"), forged, truth.filter("part = 'source'"), truth.filter("part = 'copy'"))
     counts = marks.groupBy("template").agg(F.count_if(F.col("part") == "before").alias("before"), F.count_if(F.col("part") == "after").alias("after"))
     return figure.groupBy("template").agg(F.count(F.lit(1)).alias("pixels"), F.sum("g").alias("total")).join(counts, "template", "left").fillna(0, ["before", "after"])
+
+
+_STEPS = "lg AS (SELECT image_id, s AS step, CASE s WHEN 1 THEN 15.0 + image_id % 4 * 20 ELSE 0.0 END::DOUBLE AS degrees, CASE s WHEN 1 THEN 1.0 WHEN 2 THEN 1.3 ELSE 0.9 END::DOUBLE AS factor, 3.5::DOUBLE AS cy, 3.0 + s * 0.25::DOUBLE AS cx FROM (SELECT DISTINCT image_id FROM px), (SELECT unnest([1, 2, 3]) AS s))"
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = maps.image_list(spark, sf_dir).withColumn("step", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])))
+    degrees = F.when(F.col("step") == 1, 15.0 + F.col("image_id") % 4 * 20).otherwise(0.0)
+    factor = F.when(F.col("step") == 1, 1.0).when(F.col("step") == 2, 1.3).otherwise(0.9)
+    return rows.select("image_id", "step", degrees.alias("degrees"), factor.alias("factor"), F.lit(3.5).alias("cy"), (3.0 + F.col("step") * 0.25).alias("cx"))
+
+
+@query(
+    f"""WITH {PX}, {_STEPS}, m AS (SELECT image_id, step, factor * cos(radians(degrees)) AS c, factor * sin(radians(degrees)) AS s, cy, cx FROM lg),
+i AS (SELECT image_id, step, c / (c * c + s * s) AS c, s / (c * c + s * s) AS s, cy, cx FROM m),
+p3 AS (SELECT f.image_id, f.y, f.x, cx + c * (f.x - cx) + s * (f.y - cy) AS u, cy - s * (f.x - cx) + c * (f.y - cy) AS v FROM (SELECT image_id, y, x FROM px) f JOIN i USING (image_id) WHERE step = 3),
+p2 AS (SELECT p3.image_id, y, x, cx + c * (u - cx) + s * (v - cy) AS u, cy - s * (u - cx) + c * (v - cy) AS v FROM p3 JOIN i USING (image_id) WHERE step = 2),
+p1 AS (SELECT p2.image_id, y, x, CAST(round_even(round(cx + c * (u - cx) + s * (v - cy), 6), 0) AS INT) AS sx, CAST(round_even(round(cy - s * (u - cx) + c * (v - cy), 6), 0) AS INT) AS sy FROM p2 JOIN i USING (image_id) WHERE step = 1)
+SELECT p1.image_id, p1.y, p1.x, g FROM p1 JOIN px ON px.image_id = p1.image_id AND px.y = sy AND px.x = sx"""
+)
+def scene_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images under a log of a turn and two scalings, replayed as one transform; SQL goes back step by step."""
+    return scenes.replayed(maps.pixels(spark, sf_dir).select(*XY, "g"), scenes.composed(_log(spark, sf_dir)), SIDE, SIDE)

@@ -65,3 +65,40 @@ def test_outlines_of_a_table(spark):
                 want[i, name, kind] = [(n, *p) for n, p in enumerate(made.tolist())]
     assert {k: sorted(v) for k, v in got.items()} == want
     assert verify.outlines(df.limit(0)).count() == 0
+
+
+def test_logs_compose_invert_and_replay(spark):
+    from palimpsest.operators import scenes
+
+    r = np.random.default_rng(7)
+    steps = [(0, 2, 0.0, 1.4, 3.0, 5.0), (0, 1, 35.0, 1.0, 6.0, 4.5), (0, 3, -90.0, 0.8, 5.5, 5.5), (1, 1, 0.0, 0.0, 1.0, 1.0)]
+    log = spark.createDataFrame(steps, "image_id long, step int, degrees double, factor double, cy double, cx double")
+
+    def matrix(degrees, factor, cy, cx):
+        c, s = factor * np.cos(np.radians(degrees)), factor * np.sin(np.radians(degrees))
+        move = lambda y, x: np.array([[1, 0, x], [0, 1, y], [0, 0, 1.0]])
+        return move(cy, cx) @ np.array([[c, -s, 0], [s, c, 0], [0, 0, 1]]) @ move(-cy, -cx)
+
+    whole = np.eye(3)
+    for _, _, *one in sorted(steps[:3], key=lambda s: s[1]):
+        whole = matrix(*one) @ whole
+    found = {x["image_id"]: x for x in scenes.composed(log).collect()}
+    assert np.allclose(np.array(found[0]["matrix"]).reshape(2, 3), whole[:2]) and np.allclose(np.array(found[0]["back"]).reshape(2, 3), np.linalg.inv(whole)[:2])
+    assert found[1]["back"] is None  # a scaling to nothing has no way back
+
+    image = r.integers(1, 256, (12, 11))
+    px = spark.createDataFrame([(i, y, x, int(image[y, x])) for i in range(2) for y, x in np.ndindex(12, 11)], "image_id long, y int, x int, g int")
+    got = {(p["y"], p["x"]): p["g"] for p in scenes.replayed(px, scenes.composed(log), 12, 11).collect()}
+    back, want = np.linalg.inv(whole), {}
+    for y, x in np.ndindex(12, 11):
+        sx, sy, _ = np.rint(np.round(back @ (x, y, 1), 6)).astype(int)
+        if 0 <= sy < 12 and 0 <= sx < 11:
+            want[y, x] = image[sy, sx]
+    assert got == want and 40 < len(want) < 132
+
+    # there and back by the same log: what stayed in the frame is found again, but for what nearest samples lose
+    target = log.filter("image_id = 0")
+    mask = px.filter("image_id = 0").select("image_id", "y", "x")
+    same = {(p["y"], p["x"]) for p in scenes.carried(mask, target, target, 12, 11).collect()}
+    assert same <= set(want) and len(same) >= 0.9 * len(want)
+    assert scenes.carried(mask.limit(0), target, target, 12, 11).count() == 0
