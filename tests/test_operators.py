@@ -626,3 +626,42 @@ def test_every_name_of_a_family_is_made(spark):
     assert forge.applied_type(("rotation", "flip")) == "flip" and forge.applied_type(("rotation", "translation")) == "translation"
     with pytest.raises(ValueError):
         forge.applied_type(("shear",))
+
+
+def test_panels_meet_lines_of_images_not_pixels(spark):
+    """Gaps in an image stay gaps, and the pixels of figures are made after the join."""
+    from palimpsest.operators import templates
+
+    panels = spark.createDataFrame([(1, 7, 2, 8, 1, 5, 2, 3), (2, 7, 0, 3, 0, 2, 2, 3), (3, 9, 0, 2, 0, 2, 2, 3)], "template long, image_id long, x0 int, x1 int, y0 int, y1 int, ih int, iw int")
+    pixels = {(0, 0): 5, (0, 2): 6, (1, 1): 7}
+    rows = spark.createDataFrame([(7, y, x, g) for (y, x), g in pixels.items()] + [(8, 0, 0, 1)], "image_id long, y int, x int, g int")
+    made = templates.place(panels, rows)
+    want = {(t, fy, fx, pixels[at]) for t, x0, x1, y0, y1 in ((1, 2, 8, 1, 5), (2, 0, 3, 0, 2)) for fy in range(y0, y1) for fx in range(x0, x1) if (at := ((fy - y0) * 2 // (y1 - y0), (fx - x0) * 3 // (x1 - x0))) in pixels}
+    assert {tuple(r) for r in made.collect()} == want
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(sequence(x0") < plan.index("Join Inner")  # above it
+
+
+def test_ward_clusters_of_many_points_with_ties():
+    import time
+
+    points = np.random.default_rng(3).integers(0, 30, (300, 2)).astype(float)
+    start = time.time()
+    label = grids.ward_clusters(points, 12.0)
+    assert time.time() - start < 20  # looking at all pairs again at each merge took minutes
+    few = points[:30]
+    groups = {i: [i] for i in range(30)}
+
+    def gap(p, q):
+        a, b = groups[p], groups[q]
+        d = few[a].mean(axis=0) - few[b].mean(axis=0)
+        return float(np.sqrt(2 * len(a) * len(b) / (len(a) + len(b)) * (d[0] * d[0] + d[1] * d[1])))
+
+    while len(groups) > 1:
+        d, p, q = min((gap(p, q), p, q) for p in groups for q in groups if p < q)
+        if d > 12:
+            break
+        groups[p] += groups.pop(q)
+    got = grids.ward_clusters(few, 12.0)
+    assert all(got[m] == p for p, members in groups.items() for m in members)
+    assert set(label.tolist()) == {int(np.flatnonzero(label == k)[0]) for k in np.unique(label)}
