@@ -182,15 +182,19 @@ def symmetric(field: DataFrame) -> DataFrame:
 def affine_residual(field: DataFrame, radius: int, limit: float) -> DataFrame:
     """Pixels of a field whose neighbourhood's displacements follow one affine map: the summed squared residual is under the limit.
 
-    A field has one target a pixel. Every pixel sends its displacement to the pixels of the disc around it; the least squares of each are whole-number sums,
-    added up before the shuffle, and a closed form, so a large image is many keys. Neighbours on one line or in one place fit by what they determine.
+    A field has one target a pixel. The least squares of the disc around each are whole-number sums and a closed form; discs of up to raster.NEAR pixels are joined by sending each displacement to the
+    pixels around it, added up before the shuffle, and larger ones are summed in tiles. Neighbours on one line or in one place fit by what they determine.
     """
-    disc = F.explode(F.array(*[F.struct(F.lit(oy).alias("oy"), F.lit(ox).alias("ox")) for oy, ox in grids.disc(radius)]))
-    sent = field.select("image_id", "y", "x", "my", "mx", disc.alias("o")).select("image_id", "y", "x", "my", "mx", F.col("o.oy").cast("long").alias("p"), F.col("o.ox").cast("long").alias("q"))
+    disc = grids.disc(radius)
     moved = {"a": F.col("my").cast("long") - F.col("y"), "b": F.col("mx").cast("long") - F.col("x")}
+    products = [x + y for i, x in enumerate("pqab") for y in "pqab"[i:] if x + y != "ab"]
+    if len(disc) > raster.NEAR:
+        rows = raster.by_tiles(field.select(*XY, *[v.alias(k) for k, v in moved.items()]), ["a", "b"], radius, lambda *of: _affine_errors(*of, disc, limit), "oa long, ob long, error double")
+        return rows.select(*XY, (F.col("y") + F.col("oa")).cast("int").alias("my"), (F.col("x") + F.col("ob")).cast("int").alias("mx"), "error")
+    steps = F.explode(F.array(*[F.struct(F.lit(oy).alias("oy"), F.lit(ox).alias("ox")) for oy, ox in disc]))
+    sent = field.select("image_id", "y", "x", "my", "mx", steps.alias("o")).select("image_id", "y", "x", "my", "mx", F.col("o.oy").cast("long").alias("p"), F.col("o.ox").cast("long").alias("q"))
     at = sent.select("image_id", (F.col("y") - F.col("p")).cast("int").alias("y"), (F.col("x") - F.col("q")).cast("int").alias("x"), "p", "q", *[v.alias(k) for k, v in moved.items()])
     own = F.expr("p = 0 AND q = 0")
-    products = [x + y for i, x in enumerate("pqab") for y in "pqab"[i:] if x + y != "ab"]
     sums = [F.sum(x).alias(x) for x in "pqab"] + [F.sum(F.col(c[0]) * F.col(c[1])).alias(c) for c in products]
     rows = at.groupBy(*XY).agg(F.count(F.lit(1)).alias("n"), F.max(F.when(own, F.col("a"))).alias("oa"), F.max(F.when(own, F.col("b"))).alias("ob"), *sums).filter("oa IS NOT NULL")
     spread = [F.expr(f"cast(n * {c} - {c[0]} * {c[1]} AS double)").alias(f"s{c}") for c in products]
@@ -201,6 +205,33 @@ def affine_residual(field: DataFrame, radius: int, limit: float) -> DataFrame:
     return rows.select(*XY, (F.col("y") + F.col("oa")).cast("int").alias("my"), (F.col("x") + F.col("ob")).cast("int").alias("mx"), "error")
 
 
+def _affine_errors(known: np.ndarray, a: np.ndarray, b: np.ndarray, disc: list[tuple[int, int]], limit: float) -> dict[str, np.ndarray]:
+    """oa and ob (the displacements themselves), error, and keep: where it is under the limit."""
+    one = known.astype(np.int64)
+    planes = {"n": one, "a": a, "b": b, "aa": a * a, "bb": b * b}
+    total = {k: np.zeros(known.shape, np.int64) for k in ("n", "p", "q", "a", "b", "pp", "qq", "pq", "pa", "qa", "pb", "qb", "aa", "bb")}
+    for p, q in disc:
+        near = {k: grids.shifted(v, -p, -q) for k, v in planes.items()}  # what stands at (y + p, x + q)
+        for k, v in near.items():
+            total[k] += v
+        for k, w in (("p", p), ("q", q), ("pp", p * p), ("qq", q * q), ("pq", p * q)):
+            total[k] += w * near["n"]
+        for d in "ab":
+            total[f"p{d}"] += p * near[d]
+            total[f"q{d}"] += q * near[d]
+    n = total["n"]
+    s = {c: (n * total[c] - total[c[0]] * total[c[1]]).astype(float) for c in total if len(c) == 2}
+    det = s["pp"] * s["qq"] - s["pq"] * s["pq"]
+    error = np.zeros(known.shape)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for d in "ab":
+            p, q = s[f"p{d}"], s[f"q{d}"]
+            flat = np.where(s["pp"] > 0, p * p / s["pp"], np.where(s["qq"] > 0, q * q / s["qq"], 0.0))
+            explained = np.where(det > 0, (p * p * s["qq"] - 2 * p * q * s["pq"] + q * q * s["pp"]) / det, flat)
+            error += np.maximum((s[d + d] - explained) / n, 0)
+    return {"oa": a, "ob": b, "error": error, "keep": known & (error < limit)}
+
+
 def dense_areas(field: DataFrame, height: int, width: int, median: int = 4, radius: int = 6, residual: float = 300.0, displacement: float = 50.0, least_size: int = 1200, reach: int = 10) -> DataFrame:
     """image_id, y, x: copied areas of a dense field (image_id, y, x, my, mx), in the order of the published detector.
 
@@ -208,7 +239,7 @@ def dense_areas(field: DataFrame, height: int, width: int, median: int = 4, radi
     join their sources; the rest is dilated by a disc.
     """
     moved = field.select(*XY, (F.col("my") - F.col("y")).alias("dy"), (F.col("mx") - F.col("x")).alias("dx"))
-    calm = raster.medians(moved, "dy", grids.disc(median)).withColumnRenamed("median", "dy").join(raster.medians(moved, "dx", grids.disc(median)).withColumnRenamed("median", "dx"), XY)
+    calm = raster.medians(moved, ["dy", "dx"], grids.disc(median))
     clip = lambda c, d, side: F.greatest(F.lit(0), F.least(F.lit(side - 1), F.col(c) + F.rint(d).cast("int")))
     calm = durable(calm.select(*XY, clip("y", "dy", height).alias("my"), clip("x", "dx", width).alias("mx")), "field")
     kept = least_displacement(affine_residual(calm, radius, residual), displacement * displacement)

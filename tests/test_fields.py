@@ -3,8 +3,8 @@
 import numpy as np
 import pytest
 
-from palimpsest.functions import fields
-from palimpsest.operators import matching, verify
+from palimpsest.functions import fields, grids
+from palimpsest.operators import matching, raster, verify
 
 
 def test_filters_are_the_moments_of_a_disc():
@@ -102,3 +102,18 @@ def test_areas_of_a_dense_field(spark):
     with pytest.raises(ValueError):
         matching.dense_field(df, 4, 12.0, descriptor="OTHER")
     assert matching.dense_field(df.limit(0), 4, 12.0).count() == 0 and matching.dense_vectors(df, 3).count() == 64 * 60 + 1600
+
+
+def test_neighbourhoods_of_large_discs_go_by_tiles(spark, monkeypatch):
+    """Residuals by tiles are those by rows, over tile borders too, and a pixel is not sent once a neighbour."""
+    r = np.random.default_rng(5)
+    field = spark.createDataFrame([(1, y, x, int(y + 3 + r.integers(0, 2)), int(x + 5 - r.integers(0, 2))) for y in range(-3, 30) for x in range(118, 140) if r.random() < 0.8], "image_id long, y int, x int, my int, mx int")
+    tiled = verify.affine_residual(field, 3, 9.0)
+    assert "explode(array" not in tiled._jdf.queryExecution().optimizedPlan().toString()
+    got = {tuple(v)[:5]: v["error"] for v in tiled.collect()}
+    monkeypatch.setattr(raster, "NEAR", 1000)
+    want = {tuple(v)[:5]: v["error"] for v in verify.affine_residual(field, 3, 9.0).collect()}
+    assert 0 < len(want) < field.count() and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    calm = {(v["y"], v["x"]): (v["my"], v["mx"]) for v in raster.medians(field, ["my", "mx"], grids.disc(2)).collect()}
+    at = {(v["y"], v["x"]): (v["my"], v["mx"]) for v in field.collect()}
+    assert calm == {(y, x): tuple(np.median([at[y + dy, x + dx] for dy, dx in grids.disc(2) if (y + dy, x + dx) in at], axis=0).tolist()) for y, x in at}
