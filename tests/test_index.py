@@ -73,3 +73,24 @@ def test_odd_tables(spark):
     assert index.approximate_nearest(frame(spark, []), 3).count() == 0
     assert index.approximate_nearest(frame(spark, [[1.0, 2.0]]), 3).count() == 0
     assert taken(index.approximate_nearest(frame(spark, [[1.0, 2.0]] * 3), 3)) == {i: [(n + 1, o, 0.0) for n, o in enumerate(x for x in range(3) if x != i)] for i in range(3)}
+
+
+def test_nearest_of_equal_distances_are_those_of_least_ids_within_a_block(spark):
+    """Many copies at one distance: the block keeps the least ids; a row's own id is left out."""
+    import numpy as np
+
+    from palimpsest.operators import matching
+
+    r = np.random.default_rng(2)
+    x = np.repeat(r.normal(size=(6, 64)), 50, axis=0)[r.permutation(300)]
+    ids = r.permutation(300)
+    order = np.argsort(ids)
+    rows, other, distance = matching._best(x[:40], x[order], ids[:40], ids[order], 5, False)
+    for i in range(40):
+        d = np.round(np.sqrt(((x - x[i]) ** 2).sum(axis=1)), 9)
+        want = sorted((d[j], ids[j]) for j in range(300) if j != i)[:5]
+        assert [(round(v, 9), o) for v, o in zip(distance[rows == i], ids[order][other[rows == i]], strict=True)] == want
+    table = spark.createDataFrame([(0, int(i), [float(v) for v in row]) for i, row in zip(ids, x, strict=True)], "image_id int, id long, vec array<double>")
+    got = {(v["id"], v["other"]) for v in matching.nearest(table, 5, across_images=True, block_rows=16).collect()}
+    whole = matching._best(x, x[order], ids, ids[order], 5, False)
+    assert got == set(zip(ids[whole[0]].tolist(), ids[order][whole[1]].tolist(), strict=True))
