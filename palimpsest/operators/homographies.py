@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import estimators, grids
+from palimpsest.operators import raster
 from palimpsest.operators.images import XY
 from palimpsest.operators.scoring import label_components
 from palimpsest.session import durable, prepare
@@ -207,12 +208,26 @@ def accepted_models(inliers: DataFrame, models: DataFrame, matches: DataFrame, s
     return every.filter(~random & ~close & ~edge).select(*models.columns, "inliers")
 
 
+#: Side of the tiles that are smoothed at once.
+SMOOTH_TILE = 1024
+
+
 def smoothed(pixels: DataFrame, bands: tuple[str, ...]) -> DataFrame:
-    """Means over squares of 3, of what lies inside the image."""
-    along = Window.partitionBy("image_id", "y").orderBy("x").rangeBetween(-1, 1)
-    down = Window.partitionBy("image_id", "x").orderBy("y").rangeBetween(-1, 1)
-    rows = pixels.select(*XY, F.count(F.lit(1)).over(along).alias("__n"), *[F.sum(b).over(along).alias(b) for b in bands])
-    return rows.select(*XY, *[(F.sum(b).over(down) / F.sum("__n").over(down)).alias(b) for b in bands])
+    """Means over squares of 3, of what lies inside the image; coordinates are not negative."""
+
+    def three(v: np.ndarray, axis: int) -> np.ndarray:
+        before, after = np.zeros_like(v), np.zeros_like(v)
+        np.swapaxes(before, 0, axis)[1:] = np.swapaxes(v, 0, axis)[:-1]
+        np.swapaxes(after, 0, axis)[:-1] = np.swapaxes(v, 0, axis)[1:]
+        return before + v + after
+
+    def run(known: np.ndarray, *values: np.ndarray) -> dict[str, np.ndarray]:
+        # the sums of a line count at its own pixels, as they do in rows
+        number = three(np.where(known, three(known.astype(np.int64), 1), 0), 0)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return {b: three(np.where(known, three(v if v.dtype.kind == "f" else v.astype(np.int64), 1), 0), 0) / number for b, v in zip(bands, values, strict=True)}
+
+    return raster.by_tiles(pixels, list(bands), 1, run, ", ".join(f"{b} double" for b in bands), SMOOTH_TILE, 0)
 
 
 def inverse(h: str = "h") -> Column:
