@@ -102,9 +102,67 @@ def similar_pairs(vectors: DataFrame, key: str, vector: str, least: float, block
     return sent.groupBy("i", "j").applyInPandas(run, f"a {kind}, b {kind}, score double")
 
 
+#: Rows that meet all of the other block at once, rows of a block, and block pairs that at least so many tasks share.
+STEP_ROWS, BLOCK_ROWS, LEAST_PAIRS = 256, 65_536, 64
+
+
+def similar_first(vectors: DataFrame, key: str, vector: str, least: float, n: int, digits: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """query, candidate, score: of each vector the n most similar ones of a cosine of at least `least`, by the score rounded to so many digits, then by candidate.
+
+    Blocks of queries meet blocks of candidates as matrix products, some rows at a time, and keep the n first of each query, so pairs beyond them are neither written nor shuffled; a window chooses
+    among the blocks' rows. Vectors of few rows are cut into more blocks of queries, for tasks enough.
+    """
+    spark = prepare(vectors.sparkSession)
+    rows = vectors.count()
+    bases = max(1, -(-rows // block_rows))
+    queries = max(bases, min(-(-LEAST_PAIRS // bases), -(-rows // STEP_ROWS)), 1)
+    kind = dict(vectors.dtypes)[key]
+    own = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.xxhash64(key).alias("h"))
+    block = lambda of: F.pmod("h", F.lit(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    as_query = own.select("id", "v", F.lit(True).alias("asks"), block(queries).alias("i"), every(bases).alias("j"))
+    as_base = own.select("id", "v", F.lit(False).alias("asks"), every(queries).alias("i"), block(bases).alias("j"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks = pdf["asks"].to_numpy()
+        (qid, x), (bid, y) = ((side["id"].to_numpy(), np.array(side["v"].tolist(), dtype=np.float64)) for side in (pdf[asks], pdf[~asks].sort_values("id")))
+        found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        if len(x) and len(y):
+            x, y = (m / np.where((size := np.sqrt((m * m).sum(axis=1))) > 0, size, 1)[:, None] for m in (x, y))
+            for at in range(0, len(x), STEP_ROWS):
+                score = x[at : at + STEP_ROWS] @ y.T
+                # products are rounded: what may reach the bound, or the n-th score once it is rounded, is measured again
+                bound = np.full(len(score), least - 1e-11)
+                if n < score.shape[1]:
+                    edge = score.shape[1] - n - 1  # one more than n: oneself may be among them
+                    bound = np.maximum(bound, np.partition(score, edge, axis=1)[:, edge] - 1.5 * 10.0**-digits)
+                p, q = np.nonzero(score >= bound[:, None])
+                value = (x[at + p] * y[q]).sum(axis=1)
+                kept = (np.round(value, 12) >= least) & (qid[at + p] != bid[q])
+                p, q, value = p[kept], q[kept], value[kept]
+                order = np.lexsort((q, -np.round(value, digits), p))
+                p, q, value = p[order], q[order], value[order]
+                # rows whose rounded score is the n-th one's within a digit stay: Spark rounds halves its own way
+                first = np.searchsorted(p, p)
+                last = value[np.minimum(first + n, np.searchsorted(p, p, "right")) - 1]
+                near = (np.arange(len(p)) - first < n) | (np.abs(np.abs(value * 10.0**digits % 1) - 0.5) < 1e-3) & (value >= last - 1.5 * 10.0**-digits)
+                found.append((p[near] + at, q[near], value[near]))
+        p, q, value = (np.concatenate(v) for v in zip(*found, strict=True))
+        return pd.DataFrame({"query": qid[p], "candidate": bid[q], "score": value})
+
+    dealt = as_query.unionByName(as_base).repartition(max(queries * bases, 1), "i", "j")
+    pairs = dealt.groupBy("i", "j").applyInPandas(run, f"query {kind}, candidate {kind}, score double").withColumn("score", F.round("score", digits))
+    return best_of(pairs, ["query"], [F.desc("score"), F.col("candidate")], n)
+
+
 def similar_top(pairs: DataFrame, catalogue: DataFrame, key: str, n: int, pads: int, seed: int = 0) -> DataFrame:
     """query, candidate, score, rank: the n most similar of each row; short lists are padded from `pads` seeded rows of the catalogue at score 0."""
     both = pairs.select(F.col("a").alias("query"), F.col("b").alias("candidate"), "score").unionByName(pairs.select(F.col("b").alias("query"), F.col("a").alias("candidate"), "score"))
+    return padded_top(both, catalogue, key, n, pads, seed)
+
+
+def padded_top(both: DataFrame, catalogue: DataFrame, key: str, n: int, pads: int, seed: int = 0) -> DataFrame:
+    """The lists of similar_top() from rows (query, candidate, score) of either direction."""
     pool = draw(catalogue.select(F.col(key).alias("candidate")), "candidate", pads, seed)  # at most `pads` rows
     padding = catalogue.select(F.col(key).alias("query")).crossJoin(F.broadcast(pool)).filter("query <> candidate").withColumn("score", F.lit(0.0))
     listed = best_of(both.unionByName(padding), ["query", "candidate"], [F.desc("score")])

@@ -82,14 +82,15 @@ SELECT query, candidate, score, rank FROM ranked WHERE rank <= 50"""
 )
 def similar_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 most similar rows of each, best first, one row a candidate; here without padding."""
-    pairs = similarity_self_join(spark, sf_dir)
-    return T.similar_top(pairs, table(spark, sf_dir, "embeddings").limit(0), "vec_id", 50, 0).select("query", "candidate", "score", F.col("rank").cast("long").alias("rank"))
+    vectors = table(spark, sf_dir, "embeddings")
+    return T.padded_top(T.similar_first(vectors, "vec_id", "embedding", 0.3, 50, 6), vectors.limit(0), "vec_id", 50, 0).select("query", "candidate", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query()
 def similar_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short similarity lists, filled from a seeded sample at score 0."""
-    return T.similar_top(similarity_self_join(spark, sf_dir), table(spark, sf_dir, "embeddings"), "vec_id", 50, 100)
+    vectors = table(spark, sf_dir, "embeddings")
+    return T.padded_top(T.similar_first(vectors, "vec_id", "embedding", 0.3, 50, 6), vectors, "vec_id", 50, 100)
 
 
 @query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment")
