@@ -238,6 +238,11 @@ def inverse(h: str = "h") -> Column:
     return F.array(*adjugate)
 
 
+def _partitions(rows: DataFrame) -> int:
+    """The session's number of partitions: what grows to many rows from a few bytes is dealt to all of them, whatever its size."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def grown_discs(pixels: DataFrame, inliers: DataFrame, models: DataFrame, sizes: DataFrame, bands: tuple[str, ...] = ("g",)) -> DataFrame:
     """image_id, y, x, side (1 the first ends', 2 the second ends'): pixels in discs around the inliers, and their copies, whose smoothed colours differ by less than COLOUR in every band.
 
@@ -257,7 +262,11 @@ def grown_discs(pixels: DataFrame, inliers: DataFrame, models: DataFrame, sizes:
     rows = centres.withColumn("y", F.explode(F.sequence(F.greatest(F.lit(0), F.col("cy") - F.col("r")), F.least(F.col("height") - 1, F.col("cy") + F.col("r")))))
     half = F.floor(F.sqrt((F.col("r") * F.col("r") - (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))).cast("double"))).cast("int")
     rows = rows.withColumns({"low": F.greatest(F.lit(0), F.col("cx") - half), "high": F.least(F.col("width") - 1, F.col("cx") + half)}).filter("low <= high")
-    disc = rows.select("image_id", "seed", "way", "y", F.explode(F.sequence("low", "high")).alias("x")).distinct()
+    # the stretches of a line that discs share are united first, so a model has each of its pixels once
+    spans = rows.groupBy("image_id", "seed", "way", "y", "low").agg(F.max("high").alias("high")).repartition(_partitions(pixels), "image_id", "seed", "way", "y")
+    passed = F.max("high").over(Window.partitionBy("image_id", "seed", "way", "y").orderBy("low").rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("low", F.greatest("low", F.coalesce(passed + 1, F.col("low")))).filter("low <= high")
+    disc = spans.select("image_id", "seed", "way", "y", F.explode(F.sequence("low", "high")).alias("x"))
     px, py = mapped(F.col("x").cast("double"), F.col("y").cast("double"))
     to = disc.join(model.select(*MODEL, "way", "h", "height", "width"), [*MODEL, "way"]).withColumns({"ty": F.rint(py), "tx": F.rint(px)})
     to = to.filter((F.col("ty") >= 0) & (F.col("ty") < F.col("height")) & (F.col("tx") >= 0) & (F.col("tx") < F.col("width"))).select("image_id", "way", "y", "x", F.col("ty").cast("int").alias("ty"), F.col("tx").cast("int").alias("tx")).distinct()
