@@ -14,7 +14,7 @@ from palimpsest.plans import maps
 from palimpsest.plans.catalog import query
 from palimpsest.plans.maps import COMP, GT, PX, SIDE
 from palimpsest.plans.raster import _packed
-from palimpsest.session import table
+from palimpsest.session import durable, table
 
 
 @query(
@@ -430,8 +430,9 @@ SELECT template, pixels, total, coalesce(before, 0) AS before, coalesce(after, 0
 def intra_panel_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures of which one microscopy panel shows an image with objects copied within it, with the ground truth of both ends."""
     p, px = _panels(spark, sf_dir), maps.pixels(spark, sf_dir)
-    forged, truth = forge.copy_move(px, maps.truth(spark, sf_dir), F.lit(3), F.lit(2), SIDE, SIDE)
     shown = p.select("template", "panel", ((F.col("template") + F.col("panel").cast("int")) % 50).alias("image_id"), F.lit(SIDE).alias("ih"), F.lit(SIDE).alias("iw"))
+    of_figures = px.join(durable(shown.select("image_id").distinct(), "shown"), "image_id", "left_semi")  # images that no figure shows need no forgery
+    forged, truth = forge.copy_move(of_figures, images.threshold(of_figures, 0.15), F.lit(3), F.lit(2), SIDE, SIDE)
     chosen = P.fitting_panel(p, "Microscopy", 1.0, 4.0)
     figure, marks = P.intra_panel(p, chosen, shown, px.select(*XY, "g"), forged, truth.filter("part = 'source'"), truth.filter("part = 'copy'"))
     counts = marks.groupBy("template").agg(F.count_if(F.col("part") == "before").alias("before"), F.count_if(F.col("part") == "after").alias("after"))
