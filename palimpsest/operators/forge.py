@@ -175,11 +175,11 @@ def applied_type(types: tuple[str, ...]) -> str:
 def poisson_move(packed: DataFrame, above: float, dy: int, dx: int) -> DataFrame:
     """Objects moved with their gradients, blended at the border."""
 
-    def kernel(_, image: np.ndarray) -> np.ndarray:
-        source = grids.shifted(image, dy, dx)
-        return grids.poisson_clone(image, source, grids.shifted(image > above, dy, dx, False))
+    def kernel(_, stack: np.ndarray) -> np.ndarray:
+        moved = lambda a, fill: grids.shifted(a.transpose(1, 2, 0), dy, dx, fill).transpose(2, 0, 1)
+        return grids.poisson_clones(stack, moved(stack, 0), moved(stack > above, False))
 
-    return R.on_images(packed, kernel)
+    return R.on_alike(packed, kernel)
 
 
 def parameters(images: DataFrame, seed: int = 0) -> DataFrame:

@@ -2,7 +2,8 @@
 
 import numpy as np
 
-from palimpsest.operators import templates
+from palimpsest.functions import grids
+from palimpsest.operators import forge, templates
 
 
 def test_panels_send_each_line_of_an_image_once(spark):
@@ -19,3 +20,31 @@ def test_panels_send_each_line_of_an_image_once(spark):
     rows = templates.place(panels, spark.createDataFrame([(*k, g) for k, g in pixels.items()], "image_id long, y int, x int, g int")).collect()
     wanted = [(b[0], fy, fx, pixels[b[1], (fy - b[4]) * b[6] // (b[5] - b[4]), (fx - b[2]) * b[7] // (b[3] - b[2])]) for b in boxes for fy in range(b[4], b[5]) for fx in range(b[2], b[3])]
     assert sorted(tuple(r) for r in rows) == sorted(wanted)
+
+
+def one_clone(target, source, mask, rounds=500):
+    """The definition, one raster."""
+    out, inner = target.astype(float).copy(), mask.astype(bool).copy()
+    inner[0] = inner[-1] = inner[:, 0] = inner[:, -1] = False
+    laplace = 4 * source - sum(grids.shifted(source.astype(float), dy, dx) for dy, dx in grids.FOUR)
+    parity = np.add(*np.indices(target.shape)) % 2
+    for _ in range(rounds):
+        for colour in (0, 1):
+            new = (laplace + sum(grids.shifted(out, dy, dx) for dy, dx in grids.FOUR)) / 4
+            out = np.where(inner & (parity == colour), new, out)
+    return out
+
+
+def test_clones_of_many_rasters_are_those_of_each(spark):
+    random = np.random.default_rng(6)
+    for shape in ((30, 8, 8), (4, 1, 5), (5, 13, 6), (1, 2, 2)):
+        target, source = random.integers(0, 256, (2, *shape)).astype(float)
+        mask = random.random(shape) < 0.6
+        for rounds in (0, 1, 7, 500):
+            got = grids.poisson_clones(target, source, mask, rounds)
+            assert np.allclose(got, [one_clone(*of, rounds) for of in zip(target, source, mask, strict=True)], rtol=0, atol=1e-9)
+    images = {i: random.integers(0, 256, (8, 8) if i % 3 else (5, 11)).astype(float) for i in range(20)}
+    packed = spark.createDataFrame([(i, *a.shape, a.ravel().tolist()) for i, a in images.items()], "image_id long, height int, width int, values array<double>")
+    got = {r["image_id"]: np.array(r["values"]).reshape(r["height"], r["width"]) for r in forge.poisson_move(packed, 160.0, 2, 3).collect()}
+    assert got.keys() == images.keys()
+    assert all(np.allclose(got[i], one_clone(a, grids.shifted(a, 2, 3), grids.shifted(a > 160.0, 2, 3, False)), rtol=0, atol=1e-9) for i, a in images.items())
