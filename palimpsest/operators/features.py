@@ -137,23 +137,25 @@ def dct(cells: DataFrame, size: int, step: float = 16.0) -> DataFrame:
     return sums.select(*KEY, "u", "v", F.floor(F.col("c") / (step * (1 + F.col("u") + F.col("v"))) + 0.5).cast("long").alias("q"))
 
 
-def _blur_invariants(block: np.ndarray) -> np.ndarray:
-    """Central moments of odd order up to 7, made invariant to a symmetric blur by the known recursion."""
-    y, x = np.indices(block.shape).astype(float)
-    m = block.sum() or 1.0
-    u, v = x - (block * x).sum() / m, y - (block * y).sum() / m
-    mu = lambda p, q: (block * u**p * v**q).sum()
-    known: dict[tuple[int, int], float] = {}
-
-    def invariant(p: int, q: int) -> float:
-        if (p + q) % 2 == 0:
-            return 0.0
-        if (p, q) not in known:
-            rest = sum(math.comb(p, n) * math.comb(q, k) * invariant(p - n, q - k) * mu(n, k) for n in range(p + 1) for k in range(q + 1) if 0 < n + k < p + q)
-            known[p, q] = mu(p, q) - rest / m
-        return known[p, q]
-
-    return np.array([invariant(p, o - p) for o in (3, 5, 7) for p in range(o + 1)])
+def _blur_invariants(blocks: np.ndarray) -> np.ndarray:
+    """(n, 18) of n square blocks: central moments of odd order up to 7, made invariant to a symmetric blur by the known recursion."""
+    y, x = np.indices(blocks.shape[1:]).astype(float)
+    m = blocks.sum(axis=(1, 2))
+    m = np.where(m == 0, 1.0, m)
+    u, v = (a - (blocks * a).sum(axis=(1, 2))[:, None, None] / m[:, None, None] for a in (x, y))
+    side = range(8)
+    us, vs = np.stack([u**p for p in side], axis=1), np.stack([v**q for q in side], axis=1)
+    mu = {(p, q): (blocks * us[:, p] * vs[:, q]).sum(axis=(1, 2)) for p in side for q in range(8 - p)}
+    known: dict[tuple[int, int], np.ndarray] = {}
+    for o in (1, 3, 5, 7):
+        for p in range(o + 1):
+            q, rest = o - p, np.zeros(len(blocks))
+            for n in range(p + 1):
+                for k in range(q + 1):
+                    if 0 < n + k < o and (n + k) % 2 == 0:  # invariants of even order are 0
+                        rest = rest + math.comb(p, n) * math.comb(q, k) * known[p - n, q - k] * mu[n, k]
+            known[p, q] = mu[p, q] - rest / m
+    return np.stack([known[p, o - p] for o in (3, 5, 7) for p in range(o + 1)], axis=1)
 
 
 def _haar_bands(block: np.ndarray) -> np.ndarray:
@@ -185,25 +187,33 @@ KERNELS = {
     "SVD": lambda b: np.linalg.svd(b, compute_uv=False),
     "DWTFEAT": _haar_bands,
     "FMT": fourier_mellin,
-    "BLUR": _blur_invariants,
+    "BLUR": lambda b: _blur_invariants(b[None])[0],
     "DSIFT": _orientations,
 }
 
 
+#: Those that take many blocks at once, (n, size, size) -> (n, length).
+BATCHED = {"NO": lambda b: b.reshape(len(b), -1), "SVD": lambda b: np.linalg.svd(b, compute_uv=False), "BLUR": _blur_invariants}
+
+
 def block_vectors(packed: DataFrame, kernel: str, size: int, step: int) -> DataFrame:
-    """image_id, block_y, block_x, vec by one of KERNELS."""
+    """image_id, block_y, block_x, vec by one of KERNELS; images of one size are worked on together."""
     prepare(packed.sparkSession)
     make, kind = KERNELS[kernel], dict(packed.dtypes)["image_id"]
+    together = BATCHED.get(kernel, lambda blocks: [make(b) for b in blocks])
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for row in pdf.itertuples():
-                image = np.asarray(row.values, dtype=float).reshape(row.height, row.width)
-                for by in range(0, row.height - size + 1, step):
-                    for bx in range(0, row.width - size + 1, step):
-                        out.append((row.image_id, by, bx, make(image[by : by + size, bx : bx + size]).tolist()))
-            yield pd.DataFrame(out, columns=["image_id", "block_y", "block_x", "vec"])
+            for ids, stack in R.alike(pdf):
+                if min(stack.shape[1:]) < size:
+                    continue
+                windows = np.lib.stride_tricks.sliding_window_view(stack, (size, size), axis=(1, 2))[:, ::step, ::step]
+                n, ny, nx = windows.shape[:3]
+                by, bx = np.indices((ny, nx), dtype=np.int32).reshape(2, -1) * step
+                for row in range(0, n, per := max(1, R.TOGETHER // (ny * nx * size * size))):
+                    own = windows[row : row + per]
+                    vec = together(np.ascontiguousarray(own).reshape(-1, size, size))
+                    yield pd.DataFrame({"image_id": np.repeat(ids[row : row + per], ny * nx), "block_y": np.tile(by, len(own)), "block_x": np.tile(bx, len(own)), "vec": list(vec)})
 
     return packed.select("image_id", "height", "width", "values").mapInPandas(run, f"image_id {kind}, block_y int, block_x int, vec array<double>")
 

@@ -1,9 +1,11 @@
 """Steps whose time, memory or shuffled rows grew too fast: what they send, and that their results stay."""
 
+import math
+
 import numpy as np
 
 from palimpsest.functions import grids
-from palimpsest.operators import forge, templates
+from palimpsest.operators import features, forge, templates
 
 
 def test_panels_send_each_line_of_an_image_once(spark):
@@ -48,3 +50,34 @@ def test_clones_of_many_rasters_are_those_of_each(spark):
     got = {r["image_id"]: np.array(r["values"]).reshape(r["height"], r["width"]) for r in forge.poisson_move(packed, 160.0, 2, 3).collect()}
     assert got.keys() == images.keys()
     assert all(np.allclose(got[i], one_clone(a, grids.shifted(a, 2, 3), grids.shifted(a > 160.0, 2, 3, False)), rtol=0, atol=1e-9) for i, a in images.items())
+
+
+def one_blur_vector(block):
+    """The definition, one block."""
+    y, x = np.indices(block.shape).astype(float)
+    m = block.sum() or 1.0
+    u, v = x - (block * x).sum() / m, y - (block * y).sum() / m
+    mu = lambda p, q: (block * u**p * v**q).sum()
+
+    def invariant(p, q):
+        if (p + q) % 2 == 0:
+            return 0.0
+        return mu(p, q) - sum(math.comb(p, n) * math.comb(q, k) * invariant(p - n, q - k) * mu(n, k) for n in range(p + 1) for k in range(q + 1) if 0 < n + k < p + q) / m
+
+    return [invariant(p, o - p) for o in (3, 5, 7) for p in range(o + 1)]
+
+
+def test_features_of_many_blocks_are_those_of_each(spark):
+    random = np.random.default_rng(7)
+    images = {i: random.integers(0, 256, (8, 8) if i % 3 else (3 + i // 3, 9)).astype(float) for i in range(8)} | {8: np.zeros((8, 8))}
+    packed = spark.createDataFrame([(i, *a.shape, a.ravel().tolist()) for i, a in images.items()], "image_id long, height int, width int, values array<double>")
+    places = sorted((i, y, x) for i, a in images.items() for y in range(0, a.shape[0] - 3, 2) for x in range(0, a.shape[1] - 3, 2))
+    plain = {"BLUR": one_blur_vector, "NO": lambda b: b.ravel(), "SVD": lambda b: np.linalg.svd(b, compute_uv=False), "DSIFT": features.KERNELS["DSIFT"]}
+    for kernel, make in plain.items():
+        got = {(r["image_id"], r["block_y"], r["block_x"]): np.array(r["vec"]) for r in features.block_vectors(packed, kernel, 4, 2).collect()}
+        assert sorted(got) == places
+        for i, y, x in places:
+            wanted = np.array(make(images[i][y : y + 4, x : x + 4]))
+            assert np.allclose(got[i, y, x], wanted, rtol=1e-9, atol=1e-9 * max(1.0, np.abs(wanted).max())), (kernel, i, y, x)
+    blocks = random.integers(0, 256, (50, 4, 4)).astype(float)
+    assert (features.BATCHED["BLUR"](blocks) == np.array([features.BATCHED["BLUR"](b[None])[0] for b in blocks])).all()
