@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import grids, inpainting
 from palimpsest.operators import raster as R
 from palimpsest.operators.images import XY
-from palimpsest.session import prepare
+from palimpsest.session import durable, prepare
 
 #: Families of the operators by name (fixed values).
 MODALITIES = {
@@ -107,6 +107,7 @@ def clean_by_tiles(pixels: DataFrame, objects: DataFrame, tiles: DataFrame, tile
 
 def isolated(objects: DataFrame, by: int, label: str = "component") -> DataFrame:
     """Pixels of the objects whose box, enlarged by so many pixels on all sides, holds no pixel of another."""
+    objects = durable(objects, "objects")  # read three times
     box = R.boxes(objects, ["image_id", label]).select("image_id", F.col(label).alias("__own"), "y0", "y1", "x0", "x1")
     near = F.col("y").between(F.col("y0") - by, F.col("y1") + by) & F.col("x").between(F.col("x0") - by, F.col("x1") + by)
     crowded = objects.join(box, "image_id").filter((F.col(label) != F.col("__own")) & near).select("image_id", F.col("__own").alias(label)).distinct()
@@ -271,6 +272,7 @@ def to_tiles(donor: DataFrame, objects: DataFrame, host: DataFrame, moves: DataF
 
 def random_copy_move(pixels: DataFrame, objects: DataFrame, height: int, width: int, tile_h: int, tile_w: int, n: int = 1, label: str = "component", seed: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Up to n objects of each image in free tiles of it."""
+    objects = durable(objects, "objects")  # boxes, tiles and what moves read them
     images = pixels.select("image_id").distinct()
     tiles = R.free_tiles(images, objects, height, width, tile_h, tile_w)
     moves = tile_moves(objects, tiles, images.select(F.col("image_id").alias("donor"), F.col("image_id").alias("host")), tile_h, tile_w, n, label, seed)
@@ -279,7 +281,9 @@ def random_copy_move(pixels: DataFrame, objects: DataFrame, height: int, width:
 
 def splice_to_tiles(donor: DataFrame, donor_objects: DataFrame, host: DataFrame, host_objects: DataFrame, pairs: DataFrame, height: int, width: int, tile_h: int, tile_w: int, n: int = 1, label: str = "component", seed: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Up to n objects of each donor in free tiles of its host; pairs: (donor, host)."""
-    tiles = R.free_tiles(host.select("image_id").distinct(), host_objects, height, width, tile_h, tile_w)
+    same = host_objects is donor_objects
+    donor_objects = durable(donor_objects, "objects")  # boxes and what moves read them
+    tiles = R.free_tiles(host.select("image_id").distinct(), donor_objects if same else host_objects, height, width, tile_h, tile_w)
     return to_tiles(donor, donor_objects, host, tile_moves(donor_objects, tiles, pairs, tile_h, tile_w, n, label, seed), label)
 
 

@@ -5,7 +5,7 @@ import math
 import numpy as np
 
 from palimpsest.functions import grids
-from palimpsest.operators import features, forge, templates
+from palimpsest.operators import features, forge, scoring, templates
 
 
 def test_panels_send_each_line_of_an_image_once(spark):
@@ -81,3 +81,45 @@ def test_features_of_many_blocks_are_those_of_each(spark):
             assert np.allclose(got[i, y, x], wanted, rtol=1e-9, atol=1e-9 * max(1.0, np.abs(wanted).max())), (kernel, i, y, x)
     blocks = random.integers(0, 256, (50, 4, 4)).astype(float)
     assert (features.BATCHED["BLUR"](blocks) == np.array([features.BATCHED["BLUR"](b[None])[0] for b in blocks])).all()
+
+
+def test_components_of_many_images_at_once(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "TOGETHER", 150)  # images go on from batch to batch
+    random = np.random.default_rng(8)
+    rows = []
+    for i in range(60):
+        h, w = (25, 40) if i == 7 else (int(random.integers(1, 12)), int(random.integers(1, 12)))
+        label = random.integers(0, 3, (h, w))
+        rows += [(None if i == 3 else i - 5, int(y) - 2, int(x) + i, int(label[y, x])) for y, x in zip(*np.nonzero(label), strict=True)]
+    spiral = [(900, y, x, 1) for y in range(0, 21, 2) for x in range(21)] + [(900, y, 20 if y % 4 == 1 else 0, 1) for y in range(1, 20, 2)]
+    rows += spiral
+    df = spark.createDataFrame(rows, "image_id long, y int, x int, label int")
+    for eight in (False, True):
+        wanted = set()
+        for image in {r[0] for r in rows}:
+            for k in (1, 2):
+                own = [r for r in rows if r[0] == image and r[3] == k]
+                if own:
+                    y0, x0 = min(r[1] for r in own), min(r[2] for r in own)
+                    mask = np.zeros((60, 120), dtype=bool)
+                    mask[[r[1] - y0 for r in own], [r[2] - x0 for r in own]] = True
+                    number = grids.label_regions(mask, grids.EIGHT if eight else grids.FOUR)
+                    name = {}
+                    for r in own:
+                        at = number[r[1] - y0, r[2] - x0]
+                        name[at] = min(name.get(at, 1 << 60), r[1] * (1 << 20) + r[2])
+                    wanted |= {(*r, name[number[r[1] - y0, r[2] - x0]]) for r in own}
+        got = scoring.label_components(df, eight)
+        assert {tuple(r) for r in got.collect()} == wanted and got.count() == len(rows)
+        assert "FlatMapGroups" not in got._jdf.queryExecution().optimizedPlan().toString()  # no call an image
+    assert scoring.label_components(df.limit(0)).count() == 0
+
+
+def test_components_are_made_once(spark):
+    rows = [(i, y, x, 1) for i in range(4) for y, x in ((0, 0), (0, 1), (4, 4), (7, 7))]
+    px = spark.createDataFrame([(i, y, x, y * 8 + x) for i in range(4) for y in range(8) for x in range(8)], "image_id long, y int, x int, g int")
+    mask = spark.createDataFrame(rows, "image_id long, y int, x int, label int")
+    parts = scoring.label_components(mask)
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(3)], "donor long, host long")
+    made = [scoring.consistency(mask, mask), forge.isolated(parts, 1), *forge.random_copy_move(px, parts, 8, 8, 2, 2, 2), *forge.splice_to_tiles(px, parts, px, parts, pairs, 8, 8, 2, 2, 2)]
+    assert all("MapInPandas" not in one._jdf.queryExecution().optimizedPlan().toString() for one in made)
