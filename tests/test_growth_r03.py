@@ -4,8 +4,8 @@ import math
 
 import numpy as np
 
-from palimpsest.functions import grids
-from palimpsest.operators import features, forge, scoring, templates
+from palimpsest.functions import fields, grids
+from palimpsest.operators import features, forge, matching, scoring, templates
 
 
 def test_panels_send_each_line_of_an_image_once(spark):
@@ -123,3 +123,17 @@ def test_components_are_made_once(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(3)], "donor long, host long")
     made = [scoring.consistency(mask, mask), forge.isolated(parts, 1), *forge.random_copy_move(px, parts, 8, 8, 2, 2, 2), *forge.splice_to_tiles(px, parts, px, parts, pairs, 8, 8, 2, 2, 2)]
     assert all("MapInPandas" not in one._jdf.queryExecution().optimizedPlan().toString() for one in made)
+
+
+def test_fields_of_many_rasters_are_those_of_each(spark):
+    random = np.random.default_rng(9)
+    images = {i: random.integers(0, 20, (8, 8) if i % 3 else (7, 12)).astype(float) for i in range(9)}
+    packed = spark.createDataFrame([(i, *a.shape, a.ravel().tolist()) for i, a in images.items()], "image_id long, height int, width int, values array<double>")
+    for descriptor in ("NO", "ZERNIKE"):
+        wanted = set()
+        for i, a in images.items():
+            found, cost = fields.match_field(fields.raw_vectors(a, 3) if descriptor == "NO" else fields.zernike_vectors(a, 3), 2)
+            wanted |= {(i, y, x, *map(int, found[y, x]), cost[y, x]) for y, x in np.argwhere(np.isfinite(cost)).tolist()}
+        assert {tuple(r) for r in matching.dense_field(packed, 3, 2, descriptor=descriptor).collect()} == wanted
+    stack = np.stack([fields.raw_vectors(random.random((8, 8)), 3) for _ in range(5)])
+    assert (fields.match_fields(stack, 2)[1] == np.stack([fields.match_field(v, 2)[1] for v in stack])).all()
