@@ -5,7 +5,9 @@ import math
 import numpy as np
 
 from palimpsest.functions import fields, grids
-from palimpsest.operators import features, forge, matching, scoring, templates
+from palimpsest.operators import features, forge, matching, scoring, superpixels, templates
+from palimpsest.session import durable
+from test_superpixels import dense, plain_grown, plain_slic
 
 
 def test_panels_send_each_line_of_an_image_once(spark):
@@ -137,3 +139,45 @@ def test_fields_of_many_rasters_are_those_of_each(spark):
         assert {tuple(r) for r in matching.dense_field(packed, 3, 2, descriptor=descriptor).collect()} == wanted
     stack = np.stack([fields.raw_vectors(random.random((8, 8)), 3) for _ in range(5)])
     assert (fields.match_fields(stack, 2)[1] == np.stack([fields.match_field(v, 2)[1] for v in stack])).all()
+
+
+def test_superpixels_meet_centres_by_tiles(spark):
+    random = np.random.default_rng(10)
+    image = random.integers(0, 256, (70, 135, 1))
+    px = spark.createDataFrame([(0, y, x, int(image[y, x, 0])) for y, x in np.ndindex(70, 135)], "image_id long, y int, x int, g int")
+    for n, rounds in ((60, 2), (2, 1)):
+        got = superpixels.slic(px, spark.createDataFrame([(0, n)], "image_id long, segments int"), 40.0, rounds)
+        assert (dense(got, (70, 135)) == plain_slic(image, n, 40.0, rounds)).all()
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Aggregate [" in line and " y#" in line.split("]")[0]]  # no row for each pixel and centre, to be aggregated again
+
+
+def test_growth_reads_the_segments_no_more_once_it_has_pairs(spark):
+    random = np.random.default_rng(11)
+    labels = np.add.outer(np.arange(140) // 9 * 15, np.arange(133) // 9)
+    rows = [(0, y, x, int(labels[y, x]), int(random.integers(0, 30))) for y, x in np.ndindex(labels.shape)]
+    px = durable(spark.createDataFrame(rows, "image_id long, y int, x int, segment long, g int"), "whole")
+    segments = px.select("image_id", "y", "x", "segment")
+    matches = [tuple(map(int, m)) for m in random.integers(0, 133, (12, 4))]
+    got = superpixels.grown(segments, superpixels.described(px.select("image_id", "y", "x", "g"), segments), spark.createDataFrame([(0, *m) for m in matches], "image_id long, y int, x int, my int, mx int"), 2.0)
+    assert not any("/whole-" in f for f in got.inputFiles())
+    assert {r["segment"] for r in got.collect()} == plain_grown(labels, np.array([r[4] for r in rows]).reshape(labels.shape), matches, 2.0, 3)
+
+
+def plain_meetings(labels, steps):
+    out = {}
+    for y, x in np.ndindex(labels.shape):
+        for dy, dx in steps:
+            if 0 <= y + dy < labels.shape[0] and 0 <= x + dx < labels.shape[1] and labels[y, x] != labels[y + dy, x + dx]:
+                pair = int(labels[y, x]), int(labels[y + dy, x + dx])
+                out[pair] = out.get(pair, 0) + 1
+    return out
+
+
+def test_segments_meet_by_tiles(spark, monkeypatch):
+    monkeypatch.setattr(superpixels, "PAIRED", 16)
+    labels = np.random.default_rng(12).integers(5, 9, (37, 50)) * 3
+    df = spark.createDataFrame([(4, y - 20, x + 3, int(labels[y, x])) for y, x in np.ndindex(labels.shape)], "image_id long, y int, x int, segment long")
+    for steps in (grids.FOUR, tuple(grids.box(3))):
+        got = {(r["segment"], r["to"]): r["n"] for r in superpixels.meetings(df, steps).collect()}
+        assert got == plain_meetings(labels, steps)
