@@ -5,7 +5,7 @@ import math
 import numpy as np
 
 from palimpsest.functions import fields, grids
-from palimpsest.operators import features, forge, matching, scoring, superpixels, templates
+from palimpsest.operators import features, forge, matching, raster, scoring, superpixels, templates
 from palimpsest.session import durable
 from test_superpixels import dense, plain_grown, plain_slic
 
@@ -181,3 +181,47 @@ def test_segments_meet_by_tiles(spark, monkeypatch):
     for steps in (grids.FOUR, tuple(grids.box(3))):
         got = {(r["segment"], r["to"]): r["n"] for r in superpixels.meetings(df, steps).collect()}
         assert got == plain_meetings(labels, steps)
+
+
+def test_masks_are_closed_by_tiles(spark):
+    random = np.random.default_rng(13)
+    for radius, side in ((2, 16), (4, 128)):
+        mask = random.random((45, 50)) < 0.1
+        df = spark.createDataFrame([(0, int(y), int(x)) for y, x in np.argwhere(mask)] + [(1, -1, 3), (2, 44, 50)], "image_id long, y int, x int")
+        element = grids.disc(radius)
+        wanted = {(0, int(y), int(x)) for y, x in np.argwhere(grids.MORPHOLOGY["CLOSE"](mask, element))}
+        got = {tuple(r) for r in raster.closed(df, element, 45, 50, side).collect()}
+        assert {r for r in got if r[0] == 0} == wanted
+        assert got == {tuple(r) for r in raster.erode(raster.dilate(df, element, 45, 50), element, 45, 50).collect()}
+
+
+def plain_without_fragments(segments, least):
+    pieces = np.zeros(segments.shape, int)
+    for k in np.unique(segments):
+        number = grids.label_regions(segments == k)
+        for n in range(1, number.max() + 1):
+            y, x = np.argwhere(number == n)[0]
+            pieces[number == n] = y * (1 << 20) + x
+    for _ in range(20):
+        names, sizes = np.unique(pieces, return_counts=True)
+        size, edges = dict(zip(names.tolist(), sizes.tolist(), strict=True)), plain_meetings(pieces, grids.FOUR)
+        goal = {a: min((-n, q) for (p, q), n in edges.items() if p == a and size[q] >= least)[1] for a in {p for p, q in edges if size[p] < least <= size[q]}}
+        if not goal:
+            break
+        pieces = np.vectorize(lambda p: goal.get(p, p))(pieces)  # noqa: B023
+    return pieces
+
+
+def test_fragments_join_by_sizes_and_edges(spark):
+    random = np.random.default_rng(14)
+    for least in (4, 9):
+        a = np.where(random.random((40, 45)) < 0.4, random.integers(0, 9, (40, 45)), np.add.outer(np.arange(40) // 12 * 4, np.arange(45) // 12))
+        df = spark.createDataFrame([(0, y, x, int(a[y, x])) for y, x in np.ndindex(a.shape)], "image_id long, y int, x int, segment int")
+        assert (dense(superpixels.without_fragments(df, least), a.shape) == plain_without_fragments(a, least)).all()
+
+
+def test_pixels_are_not_broadcast_for_their_small_files(spark):
+    px = durable(spark.createDataFrame([(0, y, x, 0, y) for y, x in np.ndindex(8, 8)], "image_id long, y int, x int, segment long, g int"), "whole")
+    about = superpixels.described(px.select("image_id", "y", "x", "g"), px.select("image_id", "y", "x", "segment"))
+    assert "Broadcast" not in about._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in about.collect()] == [(0, 0, 3.5, 3.5, 3.5, 64)]
