@@ -22,6 +22,8 @@ MATCH = ["image_id", "id", "y", "x", "my", "mx", "scale", "mscale", "theta", "mt
 MODEL = ["image_id", "seed"]
 #: Half the side of the square around an end whose gradients tell how noisy a match is.
 PATCH = 16
+#: Side of the tiles that are smoothed, or searched for discs, at once.
+SMOOTH_TILE = 1024
 #: Disc radius by keypoint scale, and what colours of both ends may differ by.
 RADIUS_RATIO, COLOUR = 16, 16
 
@@ -88,26 +90,47 @@ def around(matches: DataFrame, picked: DataFrame, sizes: DataFrame) -> DataFrame
     return near.join(matches, ["image_id", "id"])
 
 
-def gradient_sums(pixels: DataFrame, value: str = "g") -> DataFrame:
-    """image_id, y, x, energy: gradient lengths (central differences, one-sided at the border) summed over the square of 32 pixels that ends at 15 below and right."""
+def _steepness(known: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Gradient lengths: central differences, one-sided at the border; 0 where an axis has no neighbour."""
+    slopes = []
+    for dy, dx in ((1, 0), (0, 1)):
+        (before, is_before), (after, is_after) = ((grids.shifted(v, s * dy, s * dx), grids.shifted(known, s * dy, s * dx, False)) for s in (1, -1))
+        slopes.append(np.where(is_before & is_after, (after - before) / 2, np.where(is_after, after - v, np.where(is_before, v - before, np.nan))))
+    size = np.sqrt(slopes[0] * slopes[0] + slopes[1] * slopes[1])
+    return np.where(known & ~np.isnan(size), size, 0.0)
+
+
+def gradient_sums(places: DataFrame, pixels: DataFrame, value: str = "g") -> DataFrame:
+    """image_id, y, x, energy of places (image_id, y, x; each once, not negative) that are pixels: gradient lengths summed over the square of 32 pixels that ends at 15 below and right.
+
+    Tiles of pixels meet the places in them, so a pixel is sent a few times at most and only squares of places are summed.
+    """
+    prepare(pixels.sparkSession)
+    kinds, tile = dict(places.dtypes), ["image_id", "__ty", "__tx"]
+    sent = raster.in_tiles(pixels.select(*XY, F.col(value).cast("double").alias("v")), PATCH + 1, SMOOTH_TILE, 0)
+    wanted = raster.in_tiles(places.select(*XY), 0, SMOOTH_TILE, 0)
 
-    def slope(axis: str, other: str) -> Column:
-        w = Window.partitionBy("image_id", other).orderBy(axis)
-        before, after, here = F.lag(value).over(w), F.lead(value).over(w), F.col(value)
-        return F.when(before.isNull(), after - here).when(after.isNull(), here - before).otherwise((after - before) / 2)
+    def run(px: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+        if not len(px) or not len(at):
+            return pd.DataFrame({"image_id": [], "y": [], "x": [], "energy": []})
+        (y0, x0), known, (v,) = raster.spread(px, ["v"])
+        steep = _steepness(known, v)
+        y, x = at["y"].to_numpy() - y0, at["x"].to_numpy() - x0
+        inside = (y >= 0) & (y < known.shape[0]) & (x >= 0) & (x < known.shape[1])
+        inside[inside] = known[y[inside], x[inside]]
+        sums = [steep[max(0, b - PATCH) : b + PATCH, max(0, a - PATCH) : a + PATCH].sum() for b, a in zip(y[inside].tolist(), x[inside].tolist(), strict=True)]
+        return at.loc[inside, XY].assign(energy=np.array(sums, dtype=float))
 
-    steep = pixels.select(*XY, value).withColumns({"__y": slope("y", "x"), "__x": slope("x", "y")}).withColumn("__s", F.coalesce(F.sqrt(F.col("__y") * F.col("__y") + F.col("__x") * F.col("__x")), F.lit(0.0)))
-    along = Window.partitionBy("image_id", "y").orderBy("x").rangeBetween(-PATCH, PATCH - 1)
-    down = Window.partitionBy("image_id", "x").orderBy("y").rangeBetween(-PATCH, PATCH - 1)
-    return steep.withColumn("__r", F.sum("__s").over(along)).withColumn("energy", F.sum("__r").over(down)).select(*XY, "energy")
+    return sent.groupBy(*tile).cogroup(wanted.groupBy(*tile)).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in XY) + ", energy double")
 
 
 def noise_ratios(matches: DataFrame, pixels: DataFrame, sizes: DataFrame, value: str = "g") -> DataFrame:
     """image_id, id, ratio: how many times steeper the squares around one end are than around the other, the flatter counted as 1 at least; 1 where a square leaves the image."""
-    energy = gradient_sums(pixels, value)
     whole = [(F.floor(c).cast("int") >= PATCH) & (F.floor(c).cast("int") <= F.col(side) - PATCH) for c, side in (("y", "height"), ("x", "width"), ("my", "height"), ("mx", "width"))]
     at = matches.select("image_id", "id", *[F.floor(c).cast("int").alias(f"__{c}") for c in ("y", "x", "my", "mx")], "y", "x", "my", "mx").join(sizes.select("image_id", "height", "width"), "image_id")
     at = at.filter(whole[0] & whole[1] & whole[2] & whole[3]).select("image_id", "id", "__y", "__x", "__my", "__mx")
+    end = lambda y, x: at.select("image_id", F.col(y).alias("y"), F.col(x).alias("x"))
+    energy = durable(gradient_sums(end("__y", "__x").unionByName(end("__my", "__mx")).distinct(), pixels, value), "energy")
     for y, x, name in (("__y", "__x", "p"), ("__my", "__mx", "q")):
         at = at.join(energy.select("image_id", F.col("y").alias(y), F.col("x").alias(x), F.col("energy").alias(name)), ["image_id", y, x])
     return at.select("image_id", "id", (F.greatest("p", "q") / F.greatest(F.lit(1.0), F.least("p", "q"))).alias("ratio"))
@@ -136,15 +159,14 @@ def local_models(local: DataFrame, sizes: DataFrame, reprojection: float = 5.0,
     """MODEL, h (3 x 3, row-major, last entry 1), s0, s1 (its scales), turn (degrees), allowed (squared error), least_inliers, distance (mean, of local inliers): a plausible homography of the matches around each seed.
 
     local: matches of MODEL with `ratio` (noise_ratios, null for none). A model needs four inliers, scales between 0.2 and 8 (where scales are checked), and orientations
-    that agree with its turn to 15 degrees in four of five inliers. The squared error that is allowed later grows with scale, rotation and noise.
+    that agree with its turn to 15 degrees in four of five inliers. The squared error that is allowed later grows with scale, rotation and noise. A group has a few of an image's seeds.
     """
     prepare(local.sparkSession)
     kinds = dict(local.dtypes)
     rules = local.join(sizes.select("image_id", F.col("allowed").alias("base"), "check_scale", "scale_weight", F.col("least_inliers").alias("least")), "image_id")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        out = []
+    def one(pdf: pd.DataFrame) -> list[tuple]:
+        pdf, out = pdf.sort_values("id"), []
         a, b = pdf[["x", "y"]].to_numpy(dtype=float), pdf[["mx", "my"]].to_numpy(dtype=float)
         h, near = estimators.estimate("ransac", a, b, reprojection, rounds)
         if h is not None and near.sum() >= 4:
@@ -168,10 +190,16 @@ def local_models(local: DataFrame, sizes: DataFrame, reprojection: float = 5.0,
                         least = 4
                 distance = float(np.sqrt(((a - b) ** 2).sum(axis=1))[near].mean())
                 out.append((first["image_id"], first["seed"], h.ravel().tolist(), float(s[0]), float(s[1]), turn, float(allowed), least, distance))
+        return out
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [row for _, own in pdf.groupby("seed", sort=False) for row in one(own)]
         return pd.DataFrame(out, columns=[*MODEL, "h", "s0", "s1", "turn", "allowed", "least_inliers", "distance"])
 
     made = f"image_id {kinds['image_id']}, seed {kinds['seed']}, h array<double>, s0 double, s1 double, turn double, allowed double, least_inliers int, distance double"
-    return rules.groupBy(*MODEL).applyInPandas(run, made)
+    # few bytes are much work here, so the partitions are not left to be put together by size
+    dealt = rules.withColumn("__some", F.pmod(F.xxhash64("seed"), F.lit(4))).repartition(_partitions(rules), "image_id", "__some")
+    return dealt.groupBy("image_id", "__some").applyInPandas(run, made)
 
 
 def mapped(x: Column, y: Column, h: str = "h") -> tuple[Column, Column]:
@@ -208,26 +236,24 @@ def accepted_models(inliers: DataFrame, models: DataFrame, matches: DataFrame, s
     return every.filter(~random & ~close & ~edge).select(*models.columns, "inliers")
 
 
-#: Side of the tiles that are smoothed at once.
-SMOOTH_TILE = 1024
-
+def _three(v: np.ndarray, axis: int) -> np.ndarray:
+    before, after = np.zeros_like(v), np.zeros_like(v)
+    np.swapaxes(before, 0, axis)[1:] = np.swapaxes(v, 0, axis)[:-1]
+    np.swapaxes(after, 0, axis)[:-1] = np.swapaxes(v, 0, axis)[1:]
+    return before + v + after
 
-def smoothed(pixels: DataFrame, bands: tuple[str, ...]) -> DataFrame:
-    """Means over squares of 3, of what lies inside the image; coordinates are not negative."""
 
-    def three(v: np.ndarray, axis: int) -> np.ndarray:
-        before, after = np.zeros_like(v), np.zeros_like(v)
-        np.swapaxes(before, 0, axis)[1:] = np.swapaxes(v, 0, axis)[:-1]
-        np.swapaxes(after, 0, axis)[:-1] = np.swapaxes(v, 0, axis)[1:]
-        return before + v + after
+def means(known: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Of each raster the means over squares of 3, of what is known; 0 elsewhere."""
+    # the sums of a line count at its own pixels, as they do in rows
+    number = _three(np.where(known, _three(known.astype(np.int64), 1), 0), 0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return [np.where(known, _three(np.where(known, _three(v if v.dtype.kind == "f" else v.astype(np.int64), 1), 0), 0) / number, 0) for v in values]
 
-    def run(known: np.ndarray, *values: np.ndarray) -> dict[str, np.ndarray]:
-        # the sums of a line count at its own pixels, as they do in rows
-        number = three(np.where(known, three(known.astype(np.int64), 1), 0), 0)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return {b: three(np.where(known, three(v if v.dtype.kind == "f" else v.astype(np.int64), 1), 0), 0) / number for b, v in zip(bands, values, strict=True)}
 
-    return raster.by_tiles(pixels, list(bands), 1, run, ", ".join(f"{b} double" for b in bands), SMOOTH_TILE, 0)
+def smoothed(pixels: DataFrame, bands: tuple[str, ...]) -> DataFrame:
+    """Means over squares of 3, of what lies inside the image; coordinates are not negative."""
+    return raster.by_tiles(pixels, list(bands), 1, lambda known, *values: dict(zip(bands, means(known, *values), strict=True)), ", ".join(f"{b} double" for b in bands), SMOOTH_TILE, 0)
 
 
 def inverse(h: str = "h") -> Column:
@@ -243,12 +269,27 @@ def _partitions(rows: DataFrame) -> int:
     return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _pixels(spans: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(y, x) of stretches of lines."""
+    low, n = spans["low"].to_numpy(), (spans["high"] - spans["low"] + 1).to_numpy()
+    return np.repeat(spans["y"].to_numpy(), n), np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def _targets(h: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(y, x), rounded, of places under a homography; not a number where they go to infinity."""
+    y, x = y.astype(float), x.astype(float)
+    w = h[6] * x + h[7] * y + h[8]
+    w = np.where(np.abs(w) > 1e-12, w, np.nan)
+    return np.rint((h[3] * x + h[4] * y + h[5]) / w), np.rint((h[0] * x + h[1] * y + h[2]) / w)
+
+
 def grown_discs(pixels: DataFrame, inliers: DataFrame, models: DataFrame, sizes: DataFrame, bands: tuple[str, ...] = ("g",)) -> DataFrame:
     """image_id, y, x, side (1 the first ends', 2 the second ends'): pixels in discs around the inliers, and their copies, whose smoothed colours differ by less than COLOUR in every band.
 
     A disc's radius is RADIUS_RATIO times the keypoint's scale (twice that for scales over 2.8) within the image's bounds. In images that ask for two directions, discs around the second
-    ends go back by the inverse.
+    ends go back by the inverse. Discs are drawn and meet colours in tiles of pixels; only pixels whose copies lie in another tile are joined as rows.
     """
+    prepare(pixels.sparkSession)
     odd, large = (F.greatest("s0", "s1") > 1.1) | (F.least("s0", "s1") < 0.9), F.greatest("s0", "s1") > 2.8
     # scales that are near 1 keep the image's largest radius
     model = models.select(*MODEL, "h", F.when(large, 2 * RADIUS_RATIO).otherwise(RADIUS_RATIO).alias("by"), F.when(large, 50).when(odd, 12).otherwise(0).alias("more"))
@@ -258,7 +299,7 @@ def grown_discs(pixels: DataFrame, inliers: DataFrame, models: DataFrame, sizes:
     end = lambda p, q: F.when(F.col("way") == 1, F.col(p)).otherwise(F.col(q))
     raw = end("scale", "mscale") * F.col("by")
     radius = F.when(raw > F.col("largest_radius"), F.col("largest_radius") + F.col("more")).when(raw < F.col("least_radius"), F.col("least_radius")).otherwise(raw).cast("int")
-    centres = inliers.join(model, MODEL).select("image_id", "seed", "way", "height", "width", end("y", "my").cast("int").alias("cy"), end("x", "mx").cast("int").alias("cx"), radius.alias("r")).distinct()
+    centres = inliers.join(model.drop("h"), MODEL).select("image_id", "seed", "way", "height", "width", end("y", "my").cast("int").alias("cy"), end("x", "mx").cast("int").alias("cx"), radius.alias("r")).distinct()
     rows = centres.withColumn("y", F.explode(F.sequence(F.greatest(F.lit(0), F.col("cy") - F.col("r")), F.least(F.col("height") - 1, F.col("cy") + F.col("r")))))
     half = F.floor(F.sqrt((F.col("r") * F.col("r") - (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))).cast("double"))).cast("int")
     rows = rows.withColumns({"low": F.greatest(F.lit(0), F.col("cx") - half), "high": F.least(F.col("width") - 1, F.col("cx") + half)}).filter("low <= high")
@@ -266,17 +307,56 @@ def grown_discs(pixels: DataFrame, inliers: DataFrame, models: DataFrame, sizes:
     spans = rows.groupBy("image_id", "seed", "way", "y", "low").agg(F.max("high").alias("high")).repartition(_partitions(pixels), "image_id", "seed", "way", "y")
     passed = F.max("high").over(Window.partitionBy("image_id", "seed", "way", "y").orderBy("low").rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("low", F.greatest("low", F.coalesce(passed + 1, F.col("low")))).filter("low <= high")
-    disc = spans.select("image_id", "seed", "way", "y", F.explode(F.sequence("low", "high")).alias("x"))
-    px, py = mapped(F.col("x").cast("double"), F.col("y").cast("double"))
-    to = disc.join(model.select(*MODEL, "way", "h", "height", "width"), [*MODEL, "way"]).withColumns({"ty": F.rint(py), "tx": F.rint(px)})
-    to = to.filter((F.col("ty") >= 0) & (F.col("ty") < F.col("height")) & (F.col("tx") >= 0) & (F.col("tx") < F.col("width"))).select("image_id", "way", "y", "x", F.col("ty").cast("int").alias("ty"), F.col("tx").cast("int").alias("tx")).distinct()
-    soft = durable(smoothed(pixels, bands), "smoothed")
-    there = soft.select("image_id", F.col("y").alias("ty"), F.col("x").alias("tx"), *[F.col(b).alias(f"t_{b}") for b in bands])
-    both = to.join(soft, XY).join(there, ["image_id", "ty", "tx"])
+    across = F.explode(F.sequence(F.expr(f"low div {SMOOTH_TILE}"), F.expr(f"high div {SMOOTH_TILE}")))
+    discs = spans.withColumns({"__ty": F.expr(f"y div {SMOOTH_TILE}"), "__tx": across}).join(model.select(*MODEL, "way", "h", "height", "width"), [*MODEL, "way"])
+    kinds, tile, side = dict(pixels.dtypes), ["image_id", "__ty", "__tx"], SMOOTH_TILE
+    columns = [*XY, "side", "ty", "tx", *bands]
+
+    def run(key: tuple, px: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        if not len(px) or not len(found):
+            return pd.DataFrame({c: [] for c in columns})
+        (y0, x0), known, values = raster.spread(px, list(bands))
+        soft = means(known, *values)
+        top, left = int(key[1]) * side - y0, int(key[2]) * side - x0  # the tile's own pixels begin there
+        own = np.zeros_like(known)
+        own[max(0, top) : top + side, max(0, left) : left + side] = known[max(0, top) : top + side, max(0, left) : left + side]
+        marks, apart = np.zeros((2, *known.shape), dtype=bool), []
+        for (_, way), some in found.groupby(["seed", "way"], sort=False):
+            first, (y, x) = some.iloc[0], _pixels(some)
+            y, x = y - y0, x - x0
+            inside = (y >= 0) & (y < known.shape[0]) & (x >= 0) & (x < known.shape[1])
+            inside[inside] = own[y[inside], x[inside]]
+            y, x = y[inside], x[inside]
+            ty, tx = _targets(np.asarray(first["h"], dtype=float), y + y0, x + x0)
+            inside = (ty >= 0) & (ty < first["height"]) & (tx >= 0) & (tx < first["width"])
+            y, x, ty, tx = y[inside], x[inside], ty[inside].astype(np.int64) - y0, tx[inside].astype(np.int64) - x0
+            here = (ty >= max(0, top)) & (ty < min(known.shape[0], top + side)) & (tx >= max(0, left)) & (tx < min(known.shape[1], left + side))
+            away = ~here & ~((ty >= top) & (ty < top + side) & (tx >= left) & (tx < left + side))
+            apart.append(np.column_stack([np.full(int(away.sum()), way), y[away], x[away], ty[away], tx[away]]))
+            y, x, ty, tx = (v[here] for v in (y, x, ty, tx))
+            alike = own[ty, tx]
+            for b in soft:
+                alike = alike & (np.abs(b[y, x] - b[ty, tx]) < COLOUR)
+            marks[way - 1, y[alike], x[alike]] = True
+            marks[2 - way, ty[alike], tx[alike]] = True
+        number, y, x = np.nonzero(marks)
+        done = pd.DataFrame({"y": y + y0, "x": x + x0, "side": number + 1, "ty": -1, "tx": -1})
+        way, y, x, ty, tx = np.unique(np.concatenate(apart), axis=0).T
+        open_ = pd.DataFrame({"y": y + y0, "x": x + x0, "side": way, "ty": ty + y0, "tx": tx + x0} | {b: v[y, x] for b, v in zip(bands, soft, strict=True)})
+        return pd.concat([done, open_] if len(open_) else [done]).assign(image_id=px["image_id"].iloc[0]).reindex(columns=columns)
+
+    sent = raster.in_tiles(pixels.select(*XY, *bands), 1, side, 0)
+    made = f"image_id {kinds['image_id']}, y {kinds['y']}, x {kinds['x']}, side int, ty int, tx int, " + ", ".join(f"{b} double" for b in bands)
+    met = sent.groupBy(*tile).cogroup(discs.groupBy(*tile)).applyInPandas(run, made)
+    if not sizes.filter((F.col("height") > side) | (F.col("width") > side)).limit(1).count():
+        return met.select(*XY, "side")  # an image is one tile
+    met = durable(met, "discs")
+    done, away = met.filter("ty < 0").select(*XY, "side"), met.filter("ty >= 0")
+    there = smoothed(pixels, bands).select("image_id", F.col("y").alias("ty"), F.col("x").alias("tx"), *[F.col(b).alias(f"t_{b}") for b in bands])
+    both = away.join(there, ["image_id", "ty", "tx"])
     for b in bands:
         both = both.filter(F.abs(F.col(b) - F.col(f"t_{b}")) < COLOUR)
-    here = both.select("image_id", "y", "x", F.col("way").alias("side"))
-    return here.unionByName(both.select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), (3 - F.col("way")).alias("side"))).distinct()
+    return done.unionByName(both.select(*XY, "side")).unionByName(both.select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), (3 - F.col("side")).alias("side"))).distinct()
 
 
 #: By half side of a closing element, what |y| + |x| goes to.
@@ -292,7 +372,7 @@ def copied_areas(sides: DataFrame, models: DataFrame, sizes: DataFrame) -> DataF
     """image_id, y, x: areas of either side that are large enough (4-connected), joined, closed and without small holes, of images where both sides have any."""
     prepare(sides.sparkSession)
     kind = dict(sides.dtypes)["image_id"]
-    parts = label_components(sides.withColumn("label", F.col("side").cast("int")))
+    parts = durable(label_components(sides.withColumn("label", F.col("side").cast("int"))), "parts")
     big = parts.groupBy("image_id", "label", "component").count().join(sizes.select("image_id", "least_size"), "image_id").filter("count >= least_size").select("image_id", "label", "component")
     kept = parts.join(big, ["image_id", "label", "component"], "left_semi")
     both = kept.groupBy("image_id").agg(F.countDistinct("label").alias("s")).filter("s = 2").select("image_id")
@@ -321,10 +401,11 @@ def matched(points: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def verified(matches: DataFrame, pixels: DataFrame, sizes: DataFrame, bands: tuple[str, ...] = ("g",), gray: str = "g") -> tuple[DataFrame, DataFrame]:
     """(models, areas): the accepted models with their inliers' number, and image_id, y, x of the copied areas. sizes: rows of settings()."""
+    sizes = durable(sizes, "sizes")
     matches = durable(inside(matches, sizes), "matches")
     local = around(matches, seeds(matches), sizes).join(noise_ratios(matches, pixels, sizes, gray), ["image_id", "id"], "left")
     models = durable(local_models(local, sizes), "models")
     inliers = durable(model_inliers(matches, models), "inliers")
     good = durable(accepted_models(inliers, models, matches, sizes), "accepted")
-    sides = grown_discs(pixels, inliers, good, sizes, bands)
+    sides = durable(grown_discs(pixels, inliers, good, sizes, bands), "sides")
     return good, copied_areas(sides, good, sizes)
