@@ -6,6 +6,10 @@ import numpy as np
 
 from palimpsest.functions import estimators as E
 from palimpsest.operators import homographies as H
+from palimpsest.operators import matching
+from palimpsest.plans import detection
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def raster(spark, image):
@@ -56,3 +60,20 @@ def test_seeds_are_dealt_to_all_partitions(spark):
     assert models.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = models.collect()
     assert len(found) == 24 and all(np.allclose(np.array(m["h"]).reshape(3, 3), [[1, 0, 12], [0, 1, 9], [0, 0, 1]], atol=1e-6) for m in found)
+
+
+def test_both_filters_of_the_field_drop_pixels(spark):
+    packed = detection._packed(spark, SMALL)
+    field = {(r["image_id"], r["y"], r["x"]): (r["my"], r["mx"]) for r in matching.dense_field(packed, 3, 2).collect()}
+    limit, calm = 300.0 * 5 / 113, {}
+    for (i, y, x), (my, mx) in field.items():
+        near = [(p, q, field[i, y + p, x + q]) for p, q in ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)) if (i, y + p, x + q) in field]
+        a = np.array([[1.0, p, q] for p, q, _ in near])
+        b = np.array([[m[0] - y - p, m[1] - x - q] for p, q, m in near], dtype=float)
+        error = ((b - a @ np.linalg.lstsq(a, b, rcond=None)[0]) ** 2).sum()
+        assert error < 200 and abs(error - limit) > 1e-9  # the limit before, that nothing reached
+        if error < limit:
+            calm[i, y, x] = (my, mx)
+    want = {(*k, *m) for k, m in calm.items() if (m[0] - k[1]) ** 2 + (m[1] - k[2]) ** 2 >= 9}
+    got = {(r["image_id"], r["y"], r["x"], r["my"], r["mx"]) for r in detection.patchmatch_field(spark, SMALL).collect()}
+    assert got == want and 0 < len(want) < len(calm) < len(field)
